@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secrets, url_filter, warc
+from . import decontaminate, quality_rules, secrets, url_filter, warc
 
 # Fixed values of the url query: rules (verdict, host and path), and the hosts that the list itself blocks.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -30,6 +30,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark, _table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "failed_rules")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.annotate(spark, docs, _table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_bytes=0)
 
