@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, secrets, url_filter, warc
+from . import bpe, classifier, decontaminate, quality_rules, secrets, url_filter, warc
 
 # Fixed values of the url query: rules (verdict, host and path), and the hosts that the list itself blocks.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -18,6 +18,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's file, which lies outside the repository."""
+    try:
+        import public_tokenizers
+
+        return public_tokenizers.path("word_bpe_49k.json")
+    except ImportError:
+        return "/opt/tokenizers/word_bpe_49k.json"
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES, URL_BLOCKLIST)
 
@@ -35,10 +45,18 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.annotate(spark, docs, _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(spark, _table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
