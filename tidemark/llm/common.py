@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_zstd = pa.Codec("zstd", 1)
+
+
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes after their own length; shuffles then move less."""
+    return len(data).to_bytes(8, "little") + _zstd.compress(data, asbytes=True)
+
+
+def unsqueeze(data: bytes) -> bytes:
+    return _zstd.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions for a shuffle or for the buckets of a table."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

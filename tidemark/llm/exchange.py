@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, parts, slices
+from .common import Workspace, parts, slices, squeeze, unsqueeze
 
 BLOCK_BYTES = 8 << 20
 #: Stands for a missing doc_id, which comes after all others.
@@ -31,10 +31,11 @@ def pack(*arrays: np.ndarray) -> bytes:
     out = [np.uint32(len(arrays[0])).tobytes()]
     for a in arrays:
         out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"")
-    return b"".join(out)
+    return squeeze(b"".join(out))
 
 
 def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
+    blob = unsqueeze(blob)
     n, at, out = int(np.frombuffer(blob, "<u4", 1)[0]), 4, []
     for t in dtypes:
         size = np.dtype(t).itemsize * n
