@@ -120,9 +120,25 @@ def judge(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str
     base = ws.write(counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), "lang", "source")), "counts")
     rates = base.withColumns({f"r_{r.name}": F.expr(r.rate) for r in RULES})
     bound = ws.write(limits(sketches(rates, ["lang", "source"]), min_group), "limits")
-    b, m = rates.alias("b"), bound.alias("m")
-    joined = b.join(m, F.col("b.lang").eqNullSafe(F.col("m.lang")) & F.col("b.source").eqNullSafe(F.col("m.source")), "left")
+    out = _verdicts(rates, bound).select("doc_id", "lang", "source", *BASE, "base_failed", "failed_rules", "kept")
+    return ws.close(out)
+
+
+def _verdicts(rates: DataFrame, bound: DataFrame) -> DataFrame:
+    """The rows of `rates` with base_failed, failed_rules and kept, by the limits of their language and source."""
+    b, m = rates.alias("b"), bound.withColumnsRenamed({"lang": "__lang", "source": "__source"})
+    joined = b.join(m, F.col("b.lang").eqNullSafe(F.col("__lang")) & F.col("b.source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
     fails = [F.when(F.col(f"r_{r.name}") < F.col(f"limit_{r.name}") if r.low else F.col(f"r_{r.name}") > F.col(f"limit_{r.name}"), F.lit(r.name)) for r in RULES]
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = joined.select("doc_id", "b.lang", "b.source", *BASE, base_failed.alias("base_failed"), F.array_compact(F.array(*fails)).alias("failed_rules"))
-    return ws.close(out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)))
+    out = joined.withColumns({"base_failed": base_failed, "failed_rules": F.array_compact(F.array(*fails))})
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
+def passing(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """The rows of `docs` that pass, with their columns. Limits come from a first reading; the second judges each row beside its text, which doesn't move."""
+    ws = Workspace(spark)
+    first = counts(docs.select("doc_id", "text", "lang", "source"))
+    rated = {f"r_{r.name}": F.expr(r.rate) for r in RULES}
+    bound = ws.write(limits(sketches(first.withColumns(rated), ["lang", "source"]), min_group), "limits")
+    every = counts(docs, keep=tuple(docs.columns)).withColumns(rated)
+    return ws.close(_verdicts(every, bound).where("kept").select(*docs.columns))
