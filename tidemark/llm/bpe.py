@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Workspace, parts, slices
+from .common import Workspace, parts, slices, squeeze, unsqueeze
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 _TABLE = "block long, part int, doc_id long, n int, data binary, blob binary"
 _SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("blob", pa.binary())])
 
@@ -60,14 +60,17 @@ def gather(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return buf[np.repeat(start - (total - length), length) + np.arange(total[-1])]
 
 
-def _pieces(lengths: np.ndarray, blob: np.ndarray) -> bytes:
-    """A count, the lengths and the bytes of variable pieces."""
-    return np.uint32(len(lengths)).tobytes() + lengths.astype("<u4").tobytes() + blob.tobytes()
+def _pieces(numbers: np.ndarray, lengths: np.ndarray, blob: np.ndarray) -> bytes:
+    """Ascending numbers, the lengths and the content of their variable pieces."""
+    lists = _planes(np.diff(numbers, prepend=0)) + _planes(lengths)
+    content = _planes(blob) if blob.dtype.itemsize == 4 else blob.tobytes()
+    return squeeze(np.uint32(len(lengths)).tobytes() + lists + content)
 
 
-def _unpieces(data: bytes) -> tuple[np.ndarray, bytes]:
+def _unpieces(data: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+    data = unsqueeze(data)
     n = int(np.frombuffer(data, "<u4", 1)[0])
-    return np.frombuffer(data, "<u4", n, 4).astype(np.int64), data[4 + 4 * n :]
+    return np.cumsum(_unplanes(data[4 : 4 + 4 * n]).astype(np.int64)), _unplanes(data[4 + 4 * n : 4 + 8 * n]).astype(np.int64), data[4 + 8 * n :]
 
 
 class _Block:
@@ -120,7 +123,7 @@ class _Block:
             mine = mine[np.argsort(number[mine])]
             f = first[mine]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([p], pa.int32()), pa.array([None], pa.int64()), pa.array([len(mine)], pa.int32()), pa.array([_planes(number[mine])], pa.binary()), pa.array([_pieces(length[f], gather(blob, start[f], length[f]))], pa.binary())], schema=_SCHEMA
+                [pa.array([block]), pa.array([p], pa.int32()), pa.array([None], pa.int64()), pa.array([len(mine)], pa.int32()), pa.nulls(1, pa.binary()), pa.array([_pieces(number[mine], length[f], gather(blob, start[f], length[f]))], pa.binary())], schema=_SCHEMA
             )
 
 
@@ -152,15 +155,15 @@ def load(path: str) -> Any:
 
 
 def encode_words(words: DataFrame, file: str) -> DataFrame:
-    """For each hash part, encode every distinct word once: block, data (word numbers), blob (ids)."""
+    """For each hash part, encode every distinct word once: block, blob (word numbers and their ids)."""
 
     def run(table: pa.Table) -> pa.Table:
         tokenizer = load(SparkFiles.get(file))
-        rows = list(zip(table["block"].to_pylist(), table["data"].to_pylist(), table["blob"].to_pylist(), strict=True))
         known: dict[bytes, int] = {}
-        slots = []
-        for _, _, blob in rows:
-            lengths, raw = _unpieces(blob)
+        slots, numbers = [], []
+        for blob in table["blob"]:
+            number, lengths, raw = _unpieces(blob.as_py())
+            numbers.append(number)
             ends = np.cumsum(lengths)
             slots.append(np.fromiter((known.setdefault(raw[a:z], len(known)) for a, z in zip((ends - lengths).tolist(), ends.tolist(), strict=True)), np.int64, len(lengths)))
         words = list(known)
@@ -170,10 +173,10 @@ def encode_words(words: DataFrame, file: str) -> DataFrame:
         n = np.array([len(x) for x in ids], np.int64)
         flat = np.fromiter((i for x in ids for i in x), "<u4", int(n.sum()))
         start = np.cumsum(n) - n
-        out = [_pieces(n[s], gather(flat, start[s], n[s])) for s in slots]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "data": pa.array([r[1] for r in rows], pa.binary()), "blob": pa.array(out, pa.binary())})
+        out = [_pieces(number, n[s], gather(flat, start[s], n[s])) for number, s in zip(numbers, slots, strict=True)]
+        return pa.table({"block": table["block"], "blob": pa.array(out, pa.binary())})
 
-    return words.groupBy("part").applyInArrow(run, "block long, data binary, blob binary")
+    return words.groupBy("part").applyInArrow(run, "block long, blob binary")
 
 
 def _join_back(file: str):
@@ -184,11 +187,11 @@ def _join_back(file: str):
         for token, i in vocab.items():
             piece[i] = token.encode()
         numbers, lengths, flats = [], [], []
-        for data, blob in zip(words["data"].to_pylist(), words["blob"].to_pylist(), strict=True):
-            numbers.append(_unplanes(data))
-            n, raw = _unpieces(blob)
+        for blob in words["blob"]:
+            x, n, raw = _unpieces(blob.as_py())
+            numbers.append(x)
             lengths.append(n)
-            flats.append(np.frombuffer(raw, "<u4"))
+            flats.append(_unplanes(raw))
         number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         length, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
         ids = np.concatenate(flats) if flats else np.zeros(0, "<u4")
@@ -223,7 +226,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str =
     file, n = os.path.basename(tokenizer), parts(spark)
     ws = Workspace(spark)
     table = ws.bucket(blocks(docs.select("doc_id", F.col(text).alias("text")), n, block_bytes), "block", n)
-    ids = encode_words(table.where("part is not null").select("part", "block", "data", "blob"), file)
+    ids = encode_words(table.where("part is not null").select("part", "block", "blob"), file)
     rows = table.where("part is null").select("block", "doc_id", "data")
     out = rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join_back(file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return ws.close(out)
