@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import tempfile
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,15 @@ from ..functions import scalars as S
 from ..operators import evaluate, portfolio, risk
 from . import adapter, panel
 
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame as files in the shared checkpoint folder: a panel is read many times, and its plan is long. A folder of our own only where none is named."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
+
+
 SIGNALS = ("composite_score", *(f"{f}_score" for f in panel.FAMILIES))
 
 
@@ -19,7 +29,7 @@ class Setup:
     """Parameters of a run; the defaults suit weekly bars of the order tables."""
 
     features: panel.Features = panel.WEEKLY
-    mandate: portfolio.Mandate = portfolio.Mandate(aum=1e6)
+    mandate: portfolio.Mandate = portfolio.Mandate(aum=1e4)
     design_end: str = "1998-12-31"
     validation_end: str = "2000-06-30"
     hac_lags: int = 3
@@ -34,7 +44,6 @@ class Setup:
     min_history: int = 53
     min_adv: float = 1.0
     multipliers: tuple[float, ...] = (0.5, 1.0, 2.0)
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.design_end < self.validation_end:
@@ -52,12 +61,12 @@ def eligible_panel(spark: SparkSession, sf_dir: str, setup: Setup, lag: int = 1)
 
 def targets(eligible: DataFrame, market: DataFrame, setup: Setup) -> DataFrame:
     """Monthly target weights after projection and risk scaling; none of it depends on the path."""
-    rows = eligible.where("forward_return is not null and composite_score is not null")
-    rows = risk.normalised(rows, "benchmark_weight", ["execution_date"], "benchmark")
-    keep = ["execution_date", "signal_date", "symbol", "benchmark", "forward_return", "composite_score", "adv20_rmb", "volatility_63d", "market_beta_126d", "industry_group", "research_split"]
-    tilted = risk.score_tilt(rows.select(*keep), ["execution_date"], setup.score_tilt)
-    aimed = risk.projected(tilted, ["execution_date"], setup.max_weight, setup.max_active)
-    cov = covariances(rows, market, setup)
+    keep = ["execution_date", "signal_date", "symbol", "forward_return", "composite_score", "adv20_rmb", "volatility_63d", "market_beta_126d", "industry_group", "research_split"]
+    rows = eligible.where("forward_return is not null and composite_score is not null").select(*keep, "benchmark_weight")
+    rows = settled(risk.normalised(rows, "benchmark_weight", ["execution_date"], "benchmark").drop("benchmark_weight"))
+    tilted = risk.score_tilt(rows, ["execution_date"], setup.score_tilt)
+    aimed = settled(risk.projected(tilted, ["execution_date"], setup.max_weight, setup.max_active))
+    cov = settled(covariances(rows, market, setup))
     return risk.scaled(aimed, risk.active_risk(aimed, cov), setup.te_cap, setup.beta_cap)
 
 
@@ -74,21 +83,21 @@ def simulate(aims: DataFrame, setup: Setup, scenario: str, multipliers: tuple[fl
 
 def ledgers(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
     """Baseline under every cost multiplier, and the extra-lag run under the first of 1.0."""
-    market = adapter.market(spark, sf_dir)
+    market = settled(adapter.market(spark, sf_dir))
     out = None
     for lag, name, costs in ((1, "baseline", setup.multipliers), (2, "extra_lag", (1.0,))):
         one = simulate(targets(eligible_panel(spark, sf_dir, setup, lag), market, setup), setup, name, costs)
         out = one if out is None else out.unionByName(one)
-    return out
+    return settled(out)
 
 
 def gates(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
     """check_name, value, passed: eight numbers of the final holdout that must be positive. A missing number fails."""
     split = "final_holdout"
-    perf = portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup), setup.mandate.turnover_cap))
+    perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup), setup.mandate.turnover_cap)))
     found = []
     for lag, name in ((1, ""), (2, "additional_lag_")):
-        rows = eligible_panel(spark, sf_dir, setup, lag)
+        rows = settled(eligible_panel(spark, sf_dir, setup, lag).select("execution_date", "symbol", "composite_score", "forward_return", "forward_excess_return"))
         ic = evaluate.information_coefficients(rows, ["composite_score"], least=setup.min_cross_section, p_values=False).withColumn("research_split", S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end))
         legs = evaluate.quantile_returns(rows, ["composite_score"], least=setup.min_cross_section).withColumn("research_split", S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end))
         found.append((f"{name}final_holdout_rank_ic_positive", evaluate.metric(evaluate.ic_summary(ic, lags=setup.hac_lags, p_values=False), "mean_rank_ic", research_split=split)))

@@ -619,7 +619,7 @@ def c20_score_tilt(spark, d):
 
 @query()
 def x1_x2_projected_targets(spark, d):
-    return rounded(research.targets(research.eligible_panel(spark, d, SETUP), _market(spark, d), SETUP).select("execution_date", "symbol", "benchmark", "raw_weight", "target"))
+    return rounded(research.targets(research.eligible_panel(spark, d, SETUP), research.settled(_market(spark, d)), SETUP).select("execution_date", "symbol", "benchmark", "raw_weight", "target"))
 
 
 @query()
@@ -629,7 +629,7 @@ def x13_feature_panel(spark, d):
 
 @query()
 def x3_x4_x5_x6_ledger(spark, d):
-    return rounded(research.simulate(research.targets(research.eligible_panel(spark, d, SETUP), _market(spark, d), SETUP), SETUP, "baseline", SETUP.multipliers).select("cost_multiplier", "execution_date", "symbol", "implemented_weight", "trade_weight", "total_cost", "cash_weight"))
+    return rounded(research.simulate(research.targets(research.eligible_panel(spark, d, SETUP), research.settled(_market(spark, d)), SETUP), SETUP, "baseline", SETUP.multipliers).select("cost_multiplier", "execution_date", "symbol", "implemented_weight", "trade_weight", "total_cost", "cash_weight"))
 
 
 @query()
