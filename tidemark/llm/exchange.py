@@ -79,8 +79,8 @@ def deal(block: int, kind: int, key: np.ndarray, n_parts: int, *arrays: np.ndarr
     """Packed rows of arrays for the part of each key; the order within a part is kept."""
     part = (key % np.uint64(n_parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-    for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+    cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         mine = order[a:z]
         yield int(part[mine[0]]), block, kind, pack(*(x[mine] for x in arrays))
 
