@@ -79,11 +79,13 @@ class Workspace:
         return self.spark.read.schema(result.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has about `most` bytes of `column`, one row at least; null texts become empty."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, source: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each has about `most` bytes of `column`, one row at least; null texts become empty. With `source`, the column is made beside that one, which stays as it is."""
     for b in batches:
         if not b.num_rows:
             continue
+        if source:
+            b = b.append_column(column, b.column(source))
         k = b.schema.get_field_index(column)
         text = b.column(k)
         if text.null_count:

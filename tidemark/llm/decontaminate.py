@@ -34,6 +34,7 @@ WINDOW = 10
 #: Words of benchmark items in one block of phrases; a longer item is a block of its own.
 BLOCK_WORDS = 1 << 20
 SHARD_BYTES = 8 << 20
+ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 SAMPLE = 16
 
 
@@ -213,7 +214,7 @@ def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: s
     """One row for each row of `docs`: its columns (the text only if `carry_text`), then n_words, n_hit, n_items, items_sha256, contaminated and spans.
 
     `spans` lists the merged removal spans as (start, end) in bytes of the UTF-8
-    text. A null text has no words; an item without words, or without id, has no
+    text. Columns of `docs` with one of these names give way to them. A null text has no words; an item without words, or without id, has no
     window; an item with fewer than `window` words is one window. Items that repeat
     an id count once. An empty benchmark leaves all documents clean.
     """
@@ -221,13 +222,13 @@ def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: s
     for path in _blocks(benchmark, window, block_words):
         spark.sparkContext.addFile(path)
         names.append(os.path.basename(path))
-    kept = [c for c in docs.columns if carry_text or c != text]
+    kept = [c for c in docs.columns if (carry_text or c != text) and c not in ADDED]
     schema = st.StructType([*(docs.schema[c] for c in kept), *st._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>").fields])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, dict] = {}
-        for b in slices(batches, "__text", SHARD_BYTES):
+        for b in slices(batches, "__text", SHARD_BYTES, text if carry_text else None):
             buf, offs = T.packed(b.column("__text"))
             w = T.Words(buf, offs, T.ALNUM)
             hit = np.zeros(len(w.hash), bool)
@@ -260,13 +261,16 @@ def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: s
                 names=schema.names,
             )
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return (docs.select(*kept) if carry_text else docs.select(*kept, F.col(text).alias("__text"))).mapInArrow(run, schema)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most: float = 0.8, window: int = WINDOW) -> DataFrame:
     """`docs` with the removal spans cut out of `text` (n_chars follows); a document of which more than `most` of its words are hit goes altogether. Clean documents stay as they are."""
-    marked = annotate(spark, docs, benchmark, window=window, carry_text=True)
-    schema, names = docs.schema, docs.columns
+    # other columns travel under names that can't clash with the counts
+    aliases = {c: c if c in ("text", "n_chars") else f"__{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.withColumnsRenamed(aliases)
+    marked = annotate(spark, plain, benchmark, window=window, carry_text=True)
+    schema, names = plain.schema, plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -283,4 +287,4 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, mo
                 b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()))
             yield b.select(names)
 
-    return marked.where("not contaminated or n_hit <= n_words * %r" % float(most)).select(*names, "spans").mapInArrow(run, schema)
+    return marked.where("not contaminated or n_hit <= n_words * %r" % float(most)).select(*names, "spans").mapInArrow(run, schema).withColumnsRenamed({v: c for c, v in aliases.items()})

@@ -57,12 +57,12 @@ def counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         out = out.add(n, "long", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", source=text if text in keep else None):
             s = text_stats(*packed(b.column("__text")))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *(pa.array(s[n], pa.int64()) for n in names)], names=[*(f.name for f in kept), *names])
 
     kept = [docs.schema[k] for k in keep]
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, out)
+    return (docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("__text"))).mapInArrow(run, out)
 
 
 def rounded(v: Column) -> Column:
@@ -140,5 +140,7 @@ def passing(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP) ->
     first = counts(docs.select("doc_id", "text", "lang", "source"))
     rated = {f"r_{r.name}": F.expr(r.rate) for r in RULES}
     bound = ws.write(limits(sketches(first.withColumns(rated), ["lang", "source"]), min_group), "limits")
-    every = counts(docs, keep=tuple(docs.columns)).withColumns(rated)
-    return ws.close(_verdicts(every, bound).where("kept").select(*docs.columns))
+    # columns travel under other names, so that none clashes with a count
+    names = {c: c if c in ("text", "lang", "source") else f"__{k}" for k, c in enumerate(docs.columns)}
+    every = counts(docs.withColumnsRenamed(names), keep=tuple(names.values())).withColumns(rated)
+    return ws.close(_verdicts(every, bound).where("kept").select(*(F.col(v).alias(c) for c, v in names.items())))

@@ -124,12 +124,12 @@ def scan(docs: DataFrame, text: str = "text", carry_text: bool = True) -> DataFr
     out = st.StructType([*(docs.schema[n] for n in names), st.StructField("spans", SPANS, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", source=text if carry_text else None):
             found = find(*packed(b.column("__text")))
             spans = [[{"kind": k, "start": s, "end": e, "value": hashlib.blake2b(v, digest_size=16).digest(), "live": looks_live(v)} for k, s, e, v in row] for row in found]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(spans, _ARROW)], names=[*names, "spans"])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, out)
+    return (docs.select(*names) if carry_text else docs.select(*names, F.col(text).alias("__text"))).mapInArrow(run, out)
 
 
 def ownership(spans: DataFrame, repo: str, owner: str) -> DataFrame:
