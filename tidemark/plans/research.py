@@ -81,12 +81,12 @@ def simulate(aims: DataFrame, setup: Setup, scenario: str, multipliers: tuple[fl
     return portfolio.backtest(each.drop("raw_weight", "target_ex_ante_tracking_error", "target_active_market_beta"), setup.mandate)
 
 
-def ledgers(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
+def ledgers(spark: SparkSession, sf_dir: str, setup: Setup, panels: dict[int, DataFrame] | None = None) -> DataFrame:
     """Baseline under every cost multiplier, and the extra-lag run under the first of 1.0."""
     market = settled(adapter.market(spark, sf_dir))
     out = None
     for lag, name, costs in ((1, "baseline", setup.multipliers), (2, "extra_lag", (1.0,))):
-        one = simulate(targets(eligible_panel(spark, sf_dir, setup, lag), market, setup), setup, name, costs)
+        one = simulate(targets(panels[lag] if panels else eligible_panel(spark, sf_dir, setup, lag), market, setup), setup, name, costs)
         out = one if out is None else out.unionByName(one)
     return settled(out)
 
@@ -94,10 +94,11 @@ def ledgers(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
 def gates(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
     """check_name, value, passed: eight numbers of the final holdout that must be positive. A missing number fails."""
     split = "final_holdout"
-    perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup), setup.mandate.turnover_cap)))
+    panels = {lag: settled(eligible_panel(spark, sf_dir, setup, lag)) for lag in (1, 2)}
+    perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup, panels), setup.mandate.turnover_cap)))
     found = []
     for lag, name in ((1, ""), (2, "additional_lag_")):
-        rows = settled(eligible_panel(spark, sf_dir, setup, lag).select("execution_date", "symbol", "composite_score", "forward_return", "forward_excess_return"))
+        rows = panels[lag]
         ic = evaluate.information_coefficients(rows, ["composite_score"], least=setup.min_cross_section, p_values=False).withColumn("research_split", S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end))
         legs = evaluate.quantile_returns(rows, ["composite_score"], least=setup.min_cross_section).withColumn("research_split", S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end))
         found.append((f"{name}final_holdout_rank_ic_positive", evaluate.metric(evaluate.ic_summary(ic, lags=setup.hac_lags, p_values=False), "mean_rank_ic", research_split=split)))
