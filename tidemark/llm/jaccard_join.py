@@ -1,13 +1,14 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Texts with equal shingle sets form a class. Classes that share a minimum hash with
-a leader, and are verified to be similar to it, form groups of similar documents.
+Texts with equal shingle sets form a class. Classes that share minimum hashes with
+a central leader, and are verified to be similar to it, form groups of similar
+documents.
 The token-group matrix holds, for each shingle in the prefix of a member, the
 group; prefixes are so long that two similar sets share `need` of their tokens in
 both. It is dealt by token, and summing a query's matches for each group bounds
 their overlap: groups below it are never opened. In an opened group the query's
-overlap with the union of all tokens is bounded again, then members are compared
-until one is similar; as a group is connected already, one link joins them. Linked
+overlap with every member is counted through an index of their tokens; as a group
+is connected already, one link joins them. Linked
 classes and groups give components. Every comparison that decides is exact on
 64-bit shingle hashes.
 """
@@ -29,12 +30,16 @@ from .components import connected
 SHINGLE = 5
 #: Similar: TIMES * intersection >= LEAST * union.
 LEAST, TIMES = 75, 100
-HASHES = 4
+HASHES, SHARED = 12, 5
+#: Bytes of text in a block; its shingles take some thirty times as much memory.
+BLOCK_BYTES = 4 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 #: Shingles of so many documents sort last, so that prefixes avoid them; so many at most are listed, which only concerns speed.
 HOT_DOCS, HOT_IN_BLOCK, HOT_LIST = 24, 3, 65_536
-#: Queries that are compared with a group in one task.
-QUERIES = 256
+#: Pairs of queries and groups, and groups, in one task, roughly.
+QUERY_WORK, GROUP_WORK = 1 << 17, 1 << 12
+#: Queries of one leader in one task.
+QUERIES = 4096
 
 _SIGNED = np.int64
 
@@ -52,10 +57,6 @@ def shingle_sets(d: X.Documents, shingle: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, T.U)
 
 
-def similar(common: int, a: int, b: int) -> bool:
-    return TIMES * common >= LEAST * (a + b - common)
-
-
 def class_of(s: np.ndarray) -> int:
     """Key of a set that isn't empty, whatever its order."""
     return int(T.mix(np.cumsum(T.mix(s))[-1:] ^ T.mix(np.array([len(s)], T.U))).view(_SIGNED)[0])
@@ -63,12 +64,12 @@ def class_of(s: np.ndarray) -> int:
 
 def extra(n: np.ndarray | int) -> np.ndarray | int:
     """By how many tokens a prefix exceeds the shortest that would do."""
-    return np.maximum(1, n // 16)
+    return np.maximum(1, n // 8)
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
     """Tokens that a set of n shares at least with any similar set, in both prefixes: a similar set has 3/4 n tokens or more."""
-    return np.maximum(1, (-(-LEAST * n // TIMES)) // 16)
+    return np.maximum(1, (-(-LEAST * n // TIMES)) // 8)
 
 
 def _signatures(shingle: int):
@@ -128,46 +129,44 @@ def _array(x: pa.Scalar) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), T.U) if x.is_valid else np.zeros(0, T.U)
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets, the smaller searched in the larger."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    return int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-
-
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between the queries and the members of one group (role 0: member, 1: query)."""
+    """Links between the queries (role 1) and the members (role 0) of some groups: one at most for each query and group, which is connected already.
+
+    Members are indexed by token, so that one pass over a query's tokens counts what
+    it shares with all of them.
+    """
     sets = [_array(x) for x in table["set"]]
-    roles, cls = table["role"].to_pylist(), table["cls"].to_pylist()
-    members = [k for k, r in enumerate(roles) if r == 0]
-    union = np.unique(np.concatenate([sets[k] for k in members])) if members else np.zeros(0, T.U)
+    role, cls, g = (np.array(table[c].to_pylist()) for c in ("role", "cls", "g"))
+    members = np.flatnonzero(role == 0)
     sizes = np.array([len(sets[k]) for k in members])
-    links = []
-    for q in (k for k, r in enumerate(roles) if r == 1):
-        n = len(sets[q])
-        if TIMES * _common(sets[q], union) < LEAST * n:  # no member can be similar
+    token = np.concatenate([sets[k] for k in members]) if len(members) else np.zeros(0, T.U)
+    order = np.argsort(token, kind="stable")
+    owner = np.repeat(np.arange(len(members)), sizes)[order]
+    keys, start = np.unique(token[order], return_index=True)
+    stop = np.append(start[1:], len(order))
+    links: list[tuple[int, int]] = []
+    for q in np.flatnonzero(role == 1).tolist() if len(keys) else ():
+        at = np.minimum(np.searchsorted(keys, sets[q]), len(keys) - 1)
+        at = at[keys[at] == sets[q]]
+        size = stop[at] - start[at]
+        if not len(at):
             continue
-        fit = np.flatnonzero((TIMES * sizes >= LEAST * n) & (LEAST * sizes <= TIMES * n))
-        for k in fit[np.argsort(np.abs(sizes[fit] - n), kind="stable")].tolist():
-            m = members[k]
-            if m != q and similar(_common(sets[q], sets[m]), n, len(sets[m])):
-                links.append((cls[q], cls[m]))
-                break
+        met = owner[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        common = np.bincount(met, minlength=len(members))
+        near = np.flatnonzero((TIMES * common >= LEAST * (len(sets[q]) + sizes - common)) & (cls[members] != cls[q]) & (g[members] != g[q]))
+        for k in near[np.unique(g[members[near]], return_index=True)[1]].tolist():
+            links.append((int(cls[q]), int(cls[members[k]])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _open(ws: Workspace, blocks: DataFrame, classes: DataFrame, pairs: DataFrame, members: DataFrame, shingle: int, name: str) -> DataFrame:
-    """Links of pairs (q, g): each query is compared with the members (g, cls) of its group, in tasks of some queries each."""
-    sized = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("queries"))
-    chunks = sized.select("g", F.ceil(F.col("queries") / QUERIES).cast("int").alias("chunks"))
-    asked = pairs.join(chunks, "g").select("g", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int").alias("chunk"), F.col("q").alias("cls"), F.lit(1).alias("role"))
-    copies = members.join(chunks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cls", F.lit(0).alias("role"))
-    rows = ws.write(asked.unionByName(copies), f"{name}-rows")
+def _open(ws: Workspace, blocks: DataFrame, classes: DataFrame, tasks: DataFrame, members: DataFrame, shingle: int, name: str) -> DataFrame:
+    """Links of the tasks' queries (cls, of group g) with the members (g, cls) of the groups that they open (rows without cls)."""
+    keys = ["lead", "k", "qc", "gc"]
+    asked = tasks.where("cls is not null").select(*keys, "cls", "g", F.lit(1).alias("role"))
+    opened = tasks.where("cls is null").select(*keys, "g").join(members, "g").select(*keys, "cls", "g", F.lit(0).alias("role"))
+    rows = ws.write(asked.unionByName(opened), f"{name}-rows")
     sets = ws.write(_sets(blocks, classes.join(rows.select("cls").distinct(), "cls"), shingle), f"{name}-sets")
-    return ws.write(rows.join(sets, "cls").select("g", "chunk", "role", "cls", "set").groupBy("g", "chunk").applyInArrow(_compare, "a long, b long"), f"{name}-links")
+    return ws.write(rows.join(sets, "cls").select(*keys, "role", "cls", "g", "set").groupBy(*keys).applyInArrow(_compare, "a long, b long"), f"{name}-links")
 
 
 def _with_tokens(head: bytes, tokens: np.ndarray) -> bytes:
@@ -213,8 +212,8 @@ def _prefixes(n_parts: int, shingle: int, hot: np.ndarray, hot_rank: np.ndarray)
     return run
 
 
-def _pairs_of_part(table: pa.Table) -> pa.Table:
-    """q, g, n, hits: for each query and each other group with a smaller key, how many of the query's tokens in this part are in the group's matrix rows."""
+def _pairs_of_part(table: pa.Table, n_parts: int) -> pa.Table:
+    """Packed by query: query, own group, group, size, hits. For each query and each other group with a smaller key, how many of the query's tokens in this part are in the group's matrix rows."""
     cls, gid, size, token, owner = [], [], [], [], []
     at = 0
     for blob in table["blob"].to_pylist():
@@ -269,10 +268,57 @@ def _pairs_of_part(table: pa.Table) -> pa.Table:
     fold()
     keys, hits = (found[0], counts[0]) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     q = keys // many
-    return pa.table({"q": cls[q], "g": groups[keys % many], "n": size[q].astype(np.int64), "hits": hits})
+    rows = X.deal(0, 4, T.mix(cls[q].view(T.U)), n_parts, cls[q], gid[q], groups[keys % many], size[q].astype("i4"), hits.astype("i4"))
+    return X.packed_table(list(rows))
+
+
+def _qualifying(table: pa.Table) -> pa.Table:
+    """Sums each query's matches for each group over all token parts, drops pairs below the bound, and deals the others to tasks, packed.
+
+    Queries with the same smallest group meet in one task, so that sets travel once;
+    tasks split, by query and by group, as a query's list grows.
+    """
+    q, own, g, n, hits = (np.concatenate(c) for c in zip(*(X.unpack(b, "i8", "i8", "i8", "i4", "i4") for b in table["blob"].to_pylist()), strict=True))
+    order = np.lexsort((g, q))
+    q, own, g, n, hits = (x[order] for x in (q, own, g, n, hits))
+    head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])]))
+    hits, (q, own, g, n) = np.add.reduceat(hits, head), (x[head] for x in (q, own, g, n))
+    ok = hits >= need(n)
+    q, own, g = q[ok], own[ok], g[ok]
+    if not len(q):
+        return pa.table({c: pa.array([], t) for c, t in (("lead", pa.int64()), ("k", pa.int64()), ("qc", pa.int64()), ("gc", pa.int64()), ("blob", pa.binary()))})
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    times = np.diff(np.append(first, len(q)))
+    lead, k = np.repeat(g[first], times), np.repeat(np.floor(np.log2(times)).astype(np.int64), times)
+    qc = (T.mix(q.view(T.U)) % np.maximum(1, 4**k // QUERY_WORK).astype(T.U)).astype(np.int64)
+    gc = (T.mix(g.view(T.U)) % np.maximum(1, 2**k // GROUP_WORK).astype(T.U)).astype(np.int64)
+    order = np.lexsort((gc, qc, k, lead))
+    lead, k, qc, gc, q, own, g = (x[order] for x in (lead, k, qc, gc, q, own, g))
+    cut = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (k[1:] != k[:-1]) | (qc[1:] != qc[:-1]) | (gc[1:] != gc[:-1])]))
+    blobs = []
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(q)], strict=True):
+        asked, at = np.unique(q[a:z], return_index=True)
+        opened = np.unique(g[a:z])
+        blobs.append(X.squeeze(len(asked).to_bytes(8, "little") + asked.tobytes() + own[a:z][at].tobytes() + opened.tobytes()))
+    return pa.table({"lead": lead[cut], "k": k[cut], "qc": qc[cut], "gc": gc[cut], "blob": pa.array(blobs, pa.binary())})
+
+
+def _listed(table: pa.Table) -> pa.Table:
+    """The distinct queries (cls, with their own group g) and groups (g, without cls) of one task."""
+    asked: dict[int, int] = {}
+    opened: set[int] = set()
+    for blob in table["blob"].to_pylist():
+        raw = X.unsqueeze(blob)
+        m = int.from_bytes(raw[:8], "little")
+        x = np.frombuffer(raw, np.int64, -1, 8)
+        asked.update(zip(x[:m].tolist(), x[m : 2 * m].tolist(), strict=True))
+        opened.update(x[2 * m :].tolist())
+    rows = len(asked) + len(opened)
+    keys = {c: pa.array([table[c][0].as_py()] * rows, pa.int64()) for c in ("lead", "k", "qc", "gc")}
+    return pa.table({**keys, "cls": pa.array([*asked, *[None] * len(opened)], pa.int64()), "g": pa.array([*asked.values(), *opened], pa.int64())})
 
 
-def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each row of `docs`; only doc_id and text are read.
 
     doc_id, n_shingles, class_id (key of its shingle set, null without words) and
@@ -293,10 +339,20 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int
     )
     # groups: verified stars around the leader of each minimum hash
     each = classes.select("cls", "n", F.posexplode("hashes").alias("k", "hash"))
-    leaders = each.groupBy("k", "hash").agg(F.min("cls").alias("g"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = ws.write(each.join(leaders, ["k", "hash"]).where("cls <> g").select(F.col("cls").alias("q"), "g").distinct(), "stars")
+    sizes = each.groupBy("k", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = ws.write(each.join(sizes, ["k", "hash"]).select("cls", "k", "hash", "size"), "shared")
+    # the leader of a hash is its most central class: that whose hashes are the most common
+    centre = shared.groupBy("cls").agg(F.sum("size").alias("weight"))
+    ranked = shared.join(centre, "cls")
+    leaders = ranked.groupBy("k", "hash").agg(F.max_by("cls", F.struct("weight", "cls")).alias("g"))
+    met = ranked.join(leaders, ["k", "hash"]).where("cls <> g").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
+    stars = ws.write(met.where(F.col("times") >= SHARED).select(F.col("cls").alias("q"), "g"), "stars")
+    chunks = stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
+    zero = F.lit(0)
+    split = stars.join(chunks, "g").select(F.col("g").alias("lead"), zero.cast("long").alias("k"), F.pmod(F.xxhash64("q"), F.col("chunks")).alias("qc"), zero.cast("long").alias("gc"), "q", "g")
+    around = split.select("lead", "k", "qc", "gc", F.col("q").alias("cls"), F.col("q").alias("g")).unionByName(split.select("lead", "k", "qc", "gc", F.lit(None).cast("long").alias("cls"), "g").distinct())
     alone = stars.select("g").distinct().withColumn("cls", F.col("g"))
-    roots = connected(ws, _open(ws, blocks, classes, stars, alone, shingle, "stars"), "groups")
+    roots = connected(ws, _open(ws, blocks, classes, around, alone, shingle, "stars"), "groups")
     grouped = ws.write(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "block", "idx", "doc", F.coalesce("root", "cls").alias("gid")), "grouped")
 
     hot_rows = signed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "token").limit(HOT_LIST).collect()
@@ -304,11 +360,11 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int
     rank = np.array([r.n for r in hot_rows], np.int64)
     order = np.argsort(hot)
     asked = X.per_block(blocks, grouped.select("block", "idx", "cls", "gid"), _prefixes(n_parts, shingle, hot[order], rank[order]), X.PACKED)
-    found = asked.groupBy("part").applyInArrow(_pairs_of_part, "q long, g long, n long, hits long")
-    bound = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * LEAST / TIMES) / 16))
-    pairs = ws.write(found.groupBy("q", "g", "n").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= bound).select("q", "g"), "pairs")
+    found = asked.groupBy("part").applyInArrow(lambda t: _pairs_of_part(t, n_parts), X.PACKED)
+    dealt = found.groupBy("part").applyInArrow(_qualifying, "lead long, k long, qc long, gc long, blob binary")
+    tasks = ws.write(dealt.groupBy("lead", "k", "qc", "gc").applyInArrow(_listed, "lead long, k long, qc long, gc long, cls long, g long"), "tasks")
     members = grouped.select(F.col("gid").alias("g"), "cls")
-    links = _open(ws, blocks, classes, pairs, members, shingle, "pairs")
+    links = _open(ws, blocks, classes, tasks, members, shingle, "pairs")
     group_of = grouped.select("cls", "gid")
     between = links.join(group_of.toDF("a", "ga"), "a").join(group_of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     joined = connected(ws, between, "components")
