@@ -165,3 +165,27 @@ def test_queries_and_sql_have_the_same_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_covariances_of_every_signal_month(spark):
+    import tidemark.queries as q
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.signal_date, r.sym_i, r.sym_j): r["cov"] for r in q.queries()["a8_a9_j14_covariance_all_months"](spark, d).collect()}
+    close = {(r.symbol, r.date): r.close_adj for r in q._market(spark, d).collect()}
+    members: dict = {}
+    for r in asof.membership_asof(q._calendar(spark, d), q.adapter.memberships(spark, d)).collect():
+        members.setdefault(r.signal_date, set()).add(r.symbol)
+    assert min(members) < dt.date(1997, 1, 1) and max(members) > dt.date(1998, 12, 31)
+    assert set(got) == {(s, a, b) for s, m in members.items() for a in m for b in m if a <= b}
+    for s, names in members.items():
+        dates = sorted({x for n, x in close if n in names and x <= s})[-41:]
+        own = pd.DataFrame({n: [close.get((n, x), np.nan) for x in dates] for n in sorted(names)}).pct_change(fill_method=None)
+        c = own.cov(min_periods=20)
+        middle = np.nanmedian(np.diag(c)) if not c.isna().all().all() else 1e-8
+        for a in c:
+            for b in c:
+                if a <= b:
+                    v = c.loc[a, b]
+                    want = max(middle if np.isnan(v) else v, 1e-8) if a == b else 0.65 * (0 if np.isnan(v) else v)
+                    assert abs(got[s, a, b] - want * 52) < 2e-5

@@ -601,8 +601,13 @@ def j15_c21_scenario_grid(spark, d):
 # ---- risk, portfolio and whole plans
 
 
+def _all_months(spark: SparkSession, d: str) -> DataFrame:
+    return asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d)).select("signal_date", "symbol")
+
+
 def _months(spark: SparkSession, d: str) -> DataFrame:
-    return asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d)).where("signal_date between '1997-01-01' and '1998-12-31'").select("signal_date", "symbol")
+    """The slice that the SQL of a8_a9_j14_covariance covers."""
+    return _all_months(spark, d).where("signal_date between '1997-01-01' and '1998-12-31'")
 
 
 @query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, mo AS (SELECT signal_date, symbol FROM known WHERE signal_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'), dt AS (SELECT DISTINCT mo.signal_date, m.date FROM mo JOIN market m ON m.symbol = mo.symbol AND m.date <= mo.signal_date), kp AS (SELECT * FROM dt QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY date DESC) <= 41), gr AS (SELECT mo.signal_date, mo.symbol, kp.date, m.close_adj FROM mo JOIN kp ON kp.signal_date = mo.signal_date LEFT JOIN market m ON m.symbol = mo.symbol AND m.date = kp.date), rt AS (SELECT signal_date, symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY signal_date, symbol ORDER BY date) - 1 AS r FROM gr), pr AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.r, b.r) AS c, count(*) AS n FROM rt a JOIN rt b ON a.signal_date = b.signal_date AND a.date = b.date AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2, 3) SELECT signal_date, sym_i, sym_j, round(CASE WHEN sym_i = sym_j THEN greatest(c, 1e-8) ELSE 0.65 * c END * 52, 5) AS cov FROM pr WHERE n >= 20")
@@ -611,6 +616,13 @@ def a8_a9_j14_covariance(spark, d):
     return rounded(cov, 5)
 
 
+@query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, mo AS (SELECT signal_date, symbol FROM known), dt AS (SELECT DISTINCT mo.signal_date, m.date FROM mo JOIN market m ON m.symbol = mo.symbol AND m.date <= mo.signal_date), kp AS (SELECT * FROM dt QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY date DESC) <= 41), gr AS (SELECT mo.signal_date, mo.symbol, kp.date, m.close_adj FROM mo JOIN kp ON kp.signal_date = mo.signal_date LEFT JOIN market m ON m.symbol = mo.symbol AND m.date = kp.date), rt AS (SELECT signal_date, symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY signal_date, symbol ORDER BY date) - 1 AS r FROM gr), pr AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.r, b.r) AS c FROM rt a JOIN rt b ON a.signal_date = b.signal_date AND a.date = b.date AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20), na AS (SELECT DISTINCT signal_date, symbol FROM rt), fl AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, pr.c FROM na a JOIN na b ON a.signal_date = b.signal_date AND a.symbol <= b.symbol LEFT JOIN pr ON pr.signal_date = a.signal_date AND pr.sym_i = a.symbol AND pr.sym_j = b.symbol), md AS (SELECT signal_date, median(c) AS m FROM fl WHERE sym_i = sym_j GROUP BY 1) SELECT fl.signal_date, sym_i, sym_j, round(CASE WHEN sym_i = sym_j THEN greatest(coalesce(c, m, 1e-8), 1e-8) ELSE 0.65 * coalesce(c, 0) END * 52, 5) AS cov FROM fl JOIN md ON md.signal_date = fl.signal_date")
+def a8_a9_j14_covariance_all_months(spark, d):
+    returns = risk.recent_returns(research.settled(_market(spark, d)), research.settled(_all_months(spark, d)), 40)
+    cov = risk.covariance(research.settled(returns), 40, 0.35, 52)
+    return rounded(cov, 5)
+
+
 @query(f"WITH {_CROSS}, b AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY execution_date) AS w FROM cross_ WHERE value IS NOT NULL), t AS (SELECT *, w * exp(0.5 * least(greatest(value * 10, -4), 4)) AS t FROM b), g AS (SELECT *, t * sum(w) OVER (PARTITION BY execution_date, grp) / sum(t) OVER (PARTITION BY execution_date, grp) AS raw FROM t) SELECT execution_date, symbol, round(raw / sum(raw) OVER (PARTITION BY execution_date), 6) AS raw_weight FROM g")
 def c20_score_tilt(spark, d):
     b = _cross(spark, d).where("value is not null").withColumns({"benchmark": 1 / F.count(F.lit(1)).over(Window.partitionBy("execution_date")), "s": F.col("value") * 10})
