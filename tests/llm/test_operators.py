@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, classifier, decontaminate, induced_sort, jaccard_join, quality_rules, queries, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from tidemark.llm import bpe, classifier, decontaminate, induced_sort, jaccard_join, quality_rules, queries, secrets, shards, substring_dedup, suffix_dedup, url_filter, warc
 
 R = random.Random(7)
 VOCAB = ["".join(R.choice("abcdeé") for _ in range(R.randint(1, 7))) for _ in range(300)]
@@ -79,6 +79,33 @@ def test_suffix_dedup(spark, docs, rows):
     same([tuple(x) for x in suffix_dedup.dedup(spark, docs, window=100, gram=20, block_bytes=20_000).collect()], want)
 
 
+def test_a_hot_passage_is_sorted_in_bounded_parts(tmp_path, spark):
+    rng = np.random.default_rng(5)
+    passage = rng.bytes(150)
+    texts = [rng.bytes(rng.integers(40, 90)) + passage[: 150 - k % 3] + rng.bytes(rng.integers(40, 90)) for k in range(300)]
+    window, limit, parts = 60, 4000, []
+
+    def sort(pieces):
+        parts.append(sum(map(len, pieces)))
+        return suffix_dedup.repeated_windows(pieces, window, 1 << 16)
+
+    shard = shards.Shard(str(tmp_path), window, limit, sort)
+    pieces = []  # each window around the passage's bytes 130 to 140, as one anchor
+    for t in texts:
+        at = t.index(passage[130:140])
+        a, z = at + 10 - window, min(len(t), at + window)
+        pieces.append(t[a:z])
+        shard.add(np.ones(1, "u1"), np.array([z - a], "u4"), np.array([at - a], "u4"), np.ones(1, "u8"), memoryview(t[a:z]))
+    shard.solve()
+    times = Counter(p[k : k + window] for p in pieces for k in range(len(p) - window + 1))
+    assert [f.tolist() for f in shard.flags(0, len(pieces))] == [[times[p[k : k + window]] > 1 for k in range(len(p) - window + 1)] for p in pieces]
+    assert sum(map(len, pieces)) > 8 * limit and max(parts) <= limit
+    raw = [t.decode("latin-1") for t in texts[:120]]
+    want = [(k, len(b), int(gone.sum())) for k, (b, gone) in enumerate(brute_spans([t.encode() for t in raw], window))]
+    df = spark.createDataFrame(list(enumerate(raw)), "doc_id long, text string")
+    same([tuple(x)[:3] for x in suffix_dedup.dedup(spark, df, window=window, gram=12, memory=1 << 14, block_bytes=5_000).collect()], want)
+
+
 @pytest.mark.parametrize("memory", [64, 4096, 1 << 20])
 def test_induced_sort(tmp_path, memory):
     rng = np.random.default_rng(memory)

@@ -116,6 +116,18 @@ def ask(questions: DataFrame, serve: Callable[[list[tuple[int, int, bytes]]], li
     return questions.groupBy("part").applyInArrow(run, PACKED)
 
 
+def ask_streamed(questions: DataFrame, serve: Callable[[Iterator[tuple[int, int, bytes]]], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+    """As `ask`, for parts whose questions don't fit in memory: they come, and answers go, a few at a time."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        rows = ((block.as_py(), kind.as_py(), blob.as_py()) for b in batches for block, kind, blob in zip(b.column("block"), b.column("kind"), b.column("blob"), strict=True))
+        for r in serve(rows):
+            yield from packed_table([(part, *r)]).to_batches()
+
+    return questions.groupBy("part").applyInArrow(run, PACKED)
+
+
 def per_block(blocks: DataFrame, answers: DataFrame | None, run: Callable[[Documents, pa.Table], pa.Table], schema: str) -> DataFrame:
     """run(documents, answers) for each block."""
     if answers is None:

@@ -5,14 +5,15 @@ Blocks of documents first ask about the anchors of their windows; a window can
 repeat only if its anchor does. Where an anchor has one surrounding in all places,
 its windows repeat as a whole; where it has several, the distinct surroundings go to
 the anchor's shard, whose suffixes are sorted by external induction. Suffixes that
-share `window` bytes with a neighbour repeat. A shard's queues lie on disk beyond a
-fixed share of memory.
+share `window` bytes with a neighbour repeat. A shard lies on disk; one larger than a
+fixed share of memory is divided first, and queues go to disk beyond theirs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,19 @@ from . import text as T
 from .anchors import Segments
 from .common import SLICE_BYTES, Workspace
 from .induced_sort import sorted_suffixes
+from .shards import Shard
 
 WINDOW, GRAM = 400, 64
 MEMORY = 192 << 20
+#: Bytes sorted together are memory / SHARE at most: positions, names and seeds take many times as much.
+SHARE = 8
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 #: Parts two surroundings in a shard's text; bytes are numbered after it.
 _BREAK = 1
 
 
 class _State:
-    """Segments of a block: start, count of windows, row, anchor and content (hash); and its distinct anchors."""
+    """Segments of a block: start, count of windows, row, anchor and content (hash), place of the anchor after the start; and its distinct anchors."""
 
     def __init__(self, d: X.Documents, window: int, gram: int):
         self.d, self.window = d, window
@@ -48,10 +52,10 @@ class _State:
                 at = np.arange(len(buf) - gram + 1)
                 s = Segments(T.spans_hash(c, at, at + gram), offs, window, gram)
                 content = T.mix(T.spans_hash(c, s.start, s.start + s.count + window - 1) + (s.at - s.start).astype(T.U))
-                found.append((s.start + base, s.count, s.row + a, s.anchor, content))
+                found.append((s.start + base, s.count, s.row + a, s.anchor, content, s.at - s.start))
             a = z
-        kinds = (np.int64, np.int64, np.int64, T.U, T.U)
-        self.start, self.count, self.row, self.anchor, self.content = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate(kinds))
+        kinds = (np.int64, np.int64, np.int64, T.U, T.U, np.int64)
+        self.start, self.count, self.row, self.anchor, self.content, self.at = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate(kinds))
         order = np.lexsort((self.content, self.anchor))
         a_, c_ = self.anchor[order], self.content[order]
         head = np.ones(len(order), bool)
@@ -109,30 +113,24 @@ def repeated_windows(pieces: list[bytes], window: int, memory: int = MEMORY) ->
 
 
 def _serve_shard(window: int, memory: int):
-    def serve(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-        """For each content that a block sent, which of its windows repeat (bits). Equal contents of several blocks are sorted once."""
-        known: dict[bytes, int] = {}
-        total: list[int] = []
-        sent = []
-        for block, _, blob in rows:
-            raw = X.unsqueeze(blob)
-            n = int.from_bytes(raw[:4], "little")
-            times, sizes = np.frombuffer(raw, "u1", n, 4), np.frombuffer(raw, "<u4", n, 4 + n)
-            at, slots = 4 + 5 * n, []
-            for t, size in zip(times.tolist(), sizes.tolist(), strict=True):
-                slot = known.setdefault(raw[at : at + size], len(known))
-                if slot == len(total):
-                    total.append(0)
-                total[slot] += t
-                slots.append(slot)
-                at += size
-            sent.append((block, slots))
-        flags = repeated_windows(list(known), window, memory)
-        for slot, t in enumerate(total):
-            if t > 1:
-                flags[slot][:] = True
-        bits = [np.packbits(f) for f in flags]
-        return [(block, 2, X.squeeze(b"".join(bits[s].tobytes() for s in slots))) for block, slots in sent]
+    def serve(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        """For each content that a block sent, which of its windows repeat (bits)."""
+        with tempfile.TemporaryDirectory(prefix="shard-") as folder:
+            shard = Shard(folder, window, memory // SHARE, lambda pieces: repeated_windows(pieces, window, memory))
+            sent = []
+            for block, _, blob in rows:
+                raw = X.unsqueeze(blob)
+                n = int.from_bytes(raw[:4], "little")
+                times, sizes = np.frombuffer(raw, "u1", n, 4), np.frombuffer(raw, "<u4", n, 4 + n)
+                at, anchor = np.frombuffer(raw, "<u4", n, 4 + 5 * n), np.frombuffer(raw, "<u8", n, 4 + 9 * n)
+                shard.add(times, sizes, at, anchor, memoryview(raw)[4 + 17 * n :])
+                sent.append((block, n))
+            shard.solve()
+            first = 0
+            for block, n in sent:
+                yield block, 2, X.squeeze(b"".join(np.packbits(f).tobytes() for f in shard.flags(first, n)))
+                first += n
+            shard.close()
 
     return serve
 
@@ -169,10 +167,10 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int
             mine = np.flatnonzero(part == p)
             size = (s.count[one[mine]] + window - 1).astype("<u4")
             content = b"".join(d.buf[a : a + k].tobytes() for a, k in zip(s.start[one[mine]].tolist(), size.tolist(), strict=True))
-            rows.append((p, d.block, 2, X.squeeze(len(mine).to_bytes(4, "little") + times[mine].tobytes() + size.tobytes() + content)))
+            rows.append((p, d.block, 2, X.squeeze(len(mine).to_bytes(4, "little") + times[mine].tobytes() + size.tobytes() + s.at[one[mine]].astype("<u4").tobytes() + s.anchor[one[mine]].tobytes() + content)))
         return X.packed_table(rows)
 
-    shards = X.ask(X.per_block(blocks, known, ask_shards, X.PACKED), _serve_shard(window, memory))
+    shards = X.ask_streamed(X.per_block(blocks, known, ask_shards, X.PACKED), _serve_shard(window, memory))
 
     def finish(d: X.Documents, answers: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
