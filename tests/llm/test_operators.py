@@ -166,6 +166,36 @@ def test_jaccard_join(spark, docs, rows):
     same([(x.doc_id, x.n_shingles, x.component_id) for x in got], list(brute_components(rows)))
 
 
+def test_a_large_group_is_compared_in_chunks(spark, monkeypatch, tmp_path):
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[: 4 * k], f"v{k}", *base[4 * k + 1 :]]) for k in range(1, 61)]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    ws = jaccard_join.Workspace(spark)
+    blocks = jaccard_join.X.blocked(ws, df, 5_000)
+    signed = jaccard_join.X.per_block(blocks, None, jaccard_join._signatures(5), jaccard_join._SIGNATURE).where("token is null")
+    cls = [r.cls for r in signed.orderBy("doc_id").collect()]
+    classes = ws.write(signed.select("cls", "block", "idx"), "classes")
+    compare, seen = jaccard_join._compare, str(tmp_path / "sizes")
+
+    def watched(table):
+        role = table["role"].to_pylist()
+        with open(seen, "a") as f:
+            f.write(f"{role.count(0)} {role.count(1)}\n")
+        return compare(table)
+
+    monkeypatch.setattr(jaccard_join, "_compare", watched)
+    monkeypatch.setattr(jaccard_join, "SETS", 8)
+    kind = "lead long, k long, qc long, gc long, cls long, g long"
+    for name, queries_, members in (("members", cls[:1], cls[1:]), ("queries", cls[1:], cls[:1])):
+        tasks = spark.createDataFrame([*((1, 0, 0, 0, c, 2) for c in queries_), (1, 0, 0, 0, None, 1)], kind)
+        group = spark.createDataFrame([(1, c) for c in members], "g long, cls long")
+        links = jaccard_join._open(ws, blocks, classes, tasks, group, 5, name).collect()
+        assert {r.a for r in links} == set(queries_) and {r.b for r in links} <= set(members)
+    with open(seen) as f:
+        sizes = [tuple(map(int, line.split())) for line in f]
+    assert max(map(max, sizes)) <= 24 and sum(m for m, _ in sizes) > 59
+
+
 def test_secrets(spark, docs, rows):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     want = []

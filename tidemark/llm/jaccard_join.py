@@ -40,6 +40,8 @@ HOT_DOCS, HOT_IN_BLOCK, HOT_LIST = 24, 3, 65_536
 QUERY_WORK, GROUP_WORK = 1 << 17, 1 << 12
 #: Queries of one leader in one task.
 QUERIES = 4096
+#: Sets of queries, and of members, that one comparison holds, roughly.
+SETS = 1 << 14
 
 _SIGNED = np.int64
 
@@ -130,7 +132,7 @@ def _array(x: pa.Scalar) -> np.ndarray:
 
 
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between the queries (role 1) and the members (role 0) of some groups: one at most for each query and group, which is connected already.
+    """Links between the queries (role 1) and the members (role 0) of some groups or chunks of them: one at most for each query and group here; groups are connected already.
 
     Members are indexed by token, so that one pass over a query's tokens counts what
     it shares with all of them.
@@ -162,11 +164,20 @@ def _compare(table: pa.Table) -> pa.Table:
 def _open(ws: Workspace, blocks: DataFrame, classes: DataFrame, tasks: DataFrame, members: DataFrame, shingle: int, name: str) -> DataFrame:
     """Links of the tasks' queries (cls, of group g) with the members (g, cls) of the groups that they open (rows without cls)."""
     keys = ["lead", "k", "qc", "gc"]
-    asked = tasks.where("cls is not null").select(*keys, "cls", "g", F.lit(1).alias("role"))
-    opened = tasks.where("cls is null").select(*keys, "g").join(members, "g").select(*keys, "cls", "g", F.lit(0).alias("role"))
-    rows = ws.write(asked.unionByName(opened), f"{name}-rows")
+    # a task's queries and members are dealt to chunks by hash, and each chunk of queries meets each of members
+    members = ws.write(members, f"{name}-members")
+    opened = tasks.where("cls is null").select(*keys, "g").join(members.groupBy("g").agg(F.count(F.lit(1)).alias("size")), "g")
+    chunks = opened.groupBy(*keys).agg(F.ceil(F.sum("size") / SETS).alias("m")).join(tasks.groupBy(*keys).agg(F.ceil(F.count("cls") / SETS).alias("q")), keys)
+    chunks = ws.write(chunks, f"{name}-chunks")
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    asked = tasks.where("cls is not null").join(chunks, keys).select(*keys, F.pmod(F.xxhash64("cls"), F.col("q")).alias("xc"), each("m").alias("mc"), "cls", "g", F.lit(1).alias("role"))
+    held = opened.join(members, "g").join(chunks.where("q > 0"), keys).select(*keys, each("q").alias("xc"), F.pmod(F.xxhash64("cls"), F.col("m")).alias("mc"), "cls", "g", F.lit(0).alias("role"))
+    rows = ws.write(asked.unionByName(held), f"{name}-rows")
     sets = ws.write(_sets(blocks, classes.join(rows.select("cls").distinct(), "cls"), shingle), f"{name}-sets")
-    return ws.write(rows.join(sets, "cls").select(*keys, "role", "cls", "g", "set").groupBy(*keys).applyInArrow(_compare, "a long, b long"), f"{name}-links")
+    return ws.write(rows.join(sets, "cls").select(*keys, "xc", "mc", "role", "cls", "g", "set").groupBy(*keys, "xc", "mc").applyInArrow(_compare, "a long, b long"), f"{name}-links")
 
 
 def _with_tokens(head: bytes, tokens: np.ndarray) -> bytes:
