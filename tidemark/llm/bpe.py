@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import Workspace, parts, slices, squeeze, unsqueeze
+from .common import Workspace, parts, slices, squeeze, text_bytes, unsqueeze
 
 BLOCK_BYTES = 32 << 20
 _TABLE = "block long, part int, doc_id long, n int, data binary, blob binary"
@@ -223,9 +223,10 @@ def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, text: str =
     """
     check_tokenizer(tokenizer)
     spark.sparkContext.addFile(tokenizer)
-    file, n = os.path.basename(tokenizer), parts(spark)
-    ws = Workspace(spark)
-    table = ws.bucket(blocks(docs.select("doc_id", F.col(text).alias("text")), n, block_bytes), "block", n)
+    ws, file = Workspace(spark), os.path.basename(tokenizer)
+    src = docs.select("doc_id", F.col(text).alias("text"))
+    n = parts(spark, text_bytes(src))
+    table = ws.bucket(blocks(src, n, block_bytes), "block", n)
     ids = encode_words(table.where("part is not null").select("part", "block", "blob"), file)
     rows = table.where("part is null").select("block", "doc_id", "data")
     out = rows.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_join_back(file), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

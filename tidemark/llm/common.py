@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Text bytes that one vectorised step takes at a time.
-SLICE_BYTES = 2 << 20
+#: Text bytes that one vectorised step takes at a time; its arrays take some hundred times as much.
+SLICE_BYTES = 1 << 20
+#: Text bytes for each part of a shuffle, so that a part's memory doesn't grow with the input.
+PART_BYTES = 16 << 20
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is named."""
+    """The folder that driver and executors share. A folder of our own only in local mode, where none is named; on a cluster its absence is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tidemark-"))
     return _own_dir[0]
@@ -37,20 +43,28 @@ def unsqueeze(data: bytes) -> bytes:
     return _zstd.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
 
 
-def parts(spark: SparkSession) -> int:
-    """Partitions for a shuffle or for the buckets of a table."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of a text column."""
+    return int(docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)).alias("n")).first()["n"])
+
+
+def parts(spark: SparkSession, size: int = 0) -> int:
+    """Parts for a shuffle of `size` bytes of text, or the buckets of a table: as many as Spark's partitions, more where the input asks for it."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
 class Workspace:
     """Tables that one operator writes to the shared folder, which cut lineage and survive lost executors.
 
     `write` gives back what it wrote; `bucket` writes a table that later joins on
-    its key without moving it again; `close` drops all but the named results.
+    its key without moving it again; `drop` deletes what was written under a name, `release`
+    the bucketed tables, `close` all but the result, which stays in
+    `<shared folder>/llm-results` until `clear_results`.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+        self.spark, self.name = spark, f"llm-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/{self.name}"
         self.tables: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -64,21 +78,37 @@ class Workspace:
         df.write.option("compression", "zstd").bucketBy(n or parts(self.spark), key).format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
-    def drop(self, name: str) -> None:
-        jvm, path = self.spark._jvm, f"{self.root}/{name}"
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            delete(self.spark, f"{self.root}/{name}")
+
+    def release(self, tables: Sequence[str] | None = None) -> None:
+        """Delete these of the tables that `bucket` wrote, or all."""
+        for t in list(self.tables if tables is None else tables):
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            self.tables.remove(t)
 
     def close(self, result: DataFrame) -> DataFrame:
         """Write the result, then drop every table it was made from."""
-        path = f"{self.root}-result"
+        path = f"{shared_dir(self.spark)}/llm-results/{self.name}"
         result.write.option("compression", "zstd").parquet(path)
-        for t in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-        self.drop("")
+        self.release()
+        delete(self.spark, self.root)
         return self.spark.read.schema(result.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever store holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_results(spark: SparkSession) -> None:
+    """Delete the results of all calls that used this shared folder; frames that read them end."""
+    delete(spark, f"{shared_dir(spark)}/llm-results")
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, source: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has about `most` bytes of `column`, one row at least; null texts become empty. With `source`, the column is made beside that one, which stays as it is."""
     for b in batches:

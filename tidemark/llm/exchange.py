@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, parts, slices, squeeze, unsqueeze
+from .common import Workspace, slices, squeeze, unsqueeze
 
 BLOCK_BYTES = 8 << 20
 #: Stands for a missing doc_id, which comes after all others.
@@ -45,7 +45,7 @@ def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES, n: int | None = None) -> DataFrame:
     """docs (doc_id, text) as a table bucketed by block: block, seq, doc_id, text (binary; null texts are empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,7 @@ def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
             seq += b.num_rows
 
     src = docs.select(F.col("doc_id").cast("long"), "text")
-    return ws.bucket(src.mapInArrow(run, "block long, seq long, doc_id long, text binary"), "block")
+    return ws.bucket(src.mapInArrow(run, "block long, seq long, doc_id long, text binary"), "block", n)
 
 
 class Documents:
@@ -133,7 +133,3 @@ def per_block(blocks: DataFrame, answers: DataFrame | None, run: Callable[[Docum
     if answers is None:
         return blocks.groupBy("block").applyInArrow(lambda t: run(Documents(t), packed_table([])), schema)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: run(Documents(t), a), schema)
-
-
-def n_parts(ws: Workspace) -> int:
-    return parts(ws.spark)

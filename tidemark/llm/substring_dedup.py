@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import text as T
 from .anchors import Segments
-from .common import Workspace
+from .common import Workspace, parts, text_bytes
 
 WINDOW, GRAM = 13, 4
 OUT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
@@ -145,8 +145,9 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int
     64-bit hashes of their words.
     """
     ws = Workspace(spark)
-    n = X.n_parts(ws)
-    blocks = X.blocked(ws, docs.select("doc_id", F.col(text).alias("text")), block_bytes)
+    src = docs.select("doc_id", F.col(text).alias("text"))
+    n = parts(spark, text_bytes(src))
+    blocks = X.blocked(ws, src, block_bytes, n)
 
     def ask_anchors(d: X.Documents, _: pa.Table) -> pa.Table:
         s = _State(d, window, gram)

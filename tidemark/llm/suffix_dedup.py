@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import text as T
 from .anchors import Segments
-from .common import SLICE_BYTES, Workspace
+from .common import SLICE_BYTES, Workspace, parts, text_bytes
 from .induced_sort import sorted_suffixes
 from .shards import Shard
 
@@ -143,8 +143,9 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int
     rows; every row's text counts, also where rows repeat or lack a doc_id.
     """
     ws = Workspace(spark)
-    n = X.n_parts(ws)
-    blocks = X.blocked(ws, docs.select("doc_id", F.col(text).alias("text")), block_bytes)
+    src = docs.select("doc_id", F.col(text).alias("text"))
+    n = parts(spark, text_bytes(src))
+    blocks = X.blocked(ws, src, block_bytes, n)
 
     def ask_anchors(d: X.Documents, _: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
