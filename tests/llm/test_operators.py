@@ -166,15 +166,22 @@ def test_jaccard_join(spark, docs, rows):
     same([(x.doc_id, x.n_shingles, x.component_id) for x in got], list(brute_components(rows)))
 
 
+def documents(texts):
+    import pyarrow as pa
+
+    n = len(texts)
+    return jaccard_join.X.Documents(pa.table({"block": pa.array([0] * n, pa.int64()), "seq": pa.array(range(n), pa.int64()), "doc_id": pa.array(range(n), pa.int64()), "text": pa.array([t.encode() for t in texts], pa.binary())}))
+
+
 def test_a_large_group_is_compared_in_chunks(spark, monkeypatch, tmp_path):
     base = [f"w{k}" for k in range(400)]
     texts = [" ".join([*base[: 4 * k], f"v{k}", *base[4 * k + 1 :]]) for k in range(1, 61)]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     ws = jaccard_join.Workspace(spark)
-    blocks = jaccard_join.X.blocked(ws, df, 5_000)
-    signed = jaccard_join.X.per_block(blocks, None, jaccard_join._signatures(5), jaccard_join._SIGNATURE).where("token is null")
-    cls = [r.cls for r in signed.orderBy("doc_id").collect()]
-    classes = ws.write(signed.select("cls", "block", "idx"), "classes")
+    shingles = [jaccard_join.shingle_sets(d, 5) for d in [documents(texts)]][0]
+    held = [(jaccard_join.class_of(x), len(x), x.tobytes()) for x in shingles]
+    cls = [c for c, _, _ in held]
+    sets = spark.createDataFrame(held, "cls long, n long, tokens binary")
     compare, seen = jaccard_join._compare, str(tmp_path / "sizes")
 
     def watched(table):
@@ -189,7 +196,7 @@ def test_a_large_group_is_compared_in_chunks(spark, monkeypatch, tmp_path):
     for name, queries_, members in (("members", cls[:1], cls[1:]), ("queries", cls[1:], cls[:1])):
         tasks = spark.createDataFrame([*((1, 0, 0, 0, c, 2) for c in queries_), (1, 0, 0, 0, None, 1)], kind)
         group = spark.createDataFrame([(1, c) for c in members], "g long, cls long")
-        links = jaccard_join._open(ws, blocks, classes, tasks, group, 5, name).collect()
+        links = jaccard_join._open(ws, sets, tasks, group, name).collect()
         assert {r.a for r in links} == set(queries_) and {r.b for r in links} <= set(members)
     with open(seen) as f:
         sizes = [tuple(map(int, line.split())) for line in f]

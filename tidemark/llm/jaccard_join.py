@@ -1,16 +1,21 @@
 """N-gram Jaccard join with a token-group matrix.
 
-Texts with equal shingle sets form a class. Classes that share minimum hashes with
-a central leader, and are verified to be similar to it, form groups of similar
-documents.
-The token-group matrix holds, for each shingle in the prefix of a member, the
-group; prefixes are so long that two similar sets share `need` of their tokens in
-both. It is dealt by token, and summing a query's matches for each group bounds
-their overlap: groups below it are never opened. In an opened group the query's
-overlap with every member is counted through an index of their tokens; as a group
-is connected already, one link joins them. Linked
-classes and groups give components. Every comparison that decides is exact on
-64-bit shingle hashes.
+Texts with equal shingle sets form a class. Blocks of documents ask, for each of
+their shingles (tokens), in how many classes it occurs; a class of which fewer than
+three quarters of the tokens occur elsewhere can have no link, and is done. The
+others keep their shared tokens, the rarest first.
+
+Classes that share minimum hashes with a central leader, and are verified to be
+similar to it, form groups of similar documents. The token-group matrix holds for
+each token the groups whose token union has it, and is dealt by token. A query sends
+its rarest tokens there: so many that `need` of them at least lie in any similar set,
+and so in the union of that set's group. Summing a query's matches for each group
+bounds their overlap; groups below the bound are never opened. In an opened group the
+query's overlap with every member is counted through an index of their tokens; as a
+group is connected already, one link joins them. Linked classes and groups give
+components. Every comparison that decides is made on 64-bit shingle hashes; the
+counts of occurrences and the matrix hold shorter ones, which can only let more
+through.
 """
 
 from __future__ import annotations
@@ -21,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 from . import exchange as X
 from . import text as T
-from .common import Workspace
+from .common import Workspace, parts, slices, text_bytes
 from .components import connected
 
 SHINGLE = 5
@@ -34,8 +40,10 @@ HASHES, SHARED = 12, 5
 #: Bytes of text in a block; its shingles take some thirty times as much memory.
 BLOCK_BYTES = 4 << 20
 _SEEDS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, HASHES, dtype=np.uint64)
-#: Shingles of so many documents sort last, so that prefixes avoid them; so many at most are listed, which only concerns speed.
-HOT_DOCS, HOT_IN_BLOCK, HOT_LIST = 24, 3, 65_536
+#: Classes that ask about one token in one part, roughly: more common tokens are dealt to several parts.
+TOKEN_ROWS = 1 << 12
+#: Tokens of a batch of the matrix.
+MATRIX_TOKENS = 1 << 20
 #: Pairs of queries and groups, and groups, in one task, roughly.
 QUERY_WORK, GROUP_WORK = 1 << 17, 1 << 12
 #: Queries of one leader in one task.
@@ -64,67 +72,99 @@ def class_of(s: np.ndarray) -> int:
     return int(T.mix(np.cumsum(T.mix(s))[-1:] ^ T.mix(np.array([len(s)], T.U))).view(_SIGNED)[0])
 
 
-def extra(n: np.ndarray | int) -> np.ndarray | int:
-    """By how many tokens a prefix exceeds the shortest that would do."""
-    return np.maximum(1, n // 8)
+def least_common(n: np.ndarray | int) -> np.ndarray | int:
+    """Tokens that a set of n shares at least with any similar set."""
+    return -(-LEAST * n // TIMES)
+
+
+def probes(n: np.ndarray | int) -> np.ndarray | int:
+    """Tokens of a set of n that look for groups: all that a similar set can lack, and some more."""
+    return np.minimum(n, n - least_common(n) + np.maximum(1, n // 8))
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
-    """Tokens that a set of n shares at least with any similar set, in both prefixes: a similar set has 3/4 n tokens or more."""
-    return np.maximum(1, (-(-LEAST * n // TIMES)) // 8)
+    """How many of these lie in any similar set at least."""
+    return probes(n) - (n - least_common(n))
 
 
-def _signatures(shingle: int):
+def _classed(shingle: int):
     def run(d: X.Documents, _: pa.Table) -> pa.Table:
-        """A row for each document (kind 0) with its class; its first in the block has minimum hashes. Rows of kind 1 count shingles that several classes of the block share."""
-        n, cls, idx, hashes, seen, tokens = [], [], [], [], set(), []
-        for k, s in enumerate(shingle_sets(d, shingle)):
-            n.append(len(s))
-            c = class_of(s) if len(s) else None
-            cls.append(c)
-            idx.append(k)
-            if c is None or c in seen:
-                hashes.append(None)
-                continue
-            seen.add(c)
-            tokens.append(s)
-            hashes.append([int(T.mix(s ^ seed).min().view(_SIGNED)) for seed in _SEEDS])
-        every, times = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, T.U), np.zeros(0, int))
-        often = times >= HOT_IN_BLOCK
-        every, times = every[often].view(_SIGNED), times[often]
-        m = len(n)
-        none = pa.nulls(len(every))
-
-        def both(a: pa.Array, b: pa.Array) -> pa.ChunkedArray:
-            return pa.chunked_array([a, b.cast(a.type)])
-
-        return pa.table(
-            {
-                "doc_id": both(d.ids, none),
-                "n": both(pa.array(n, pa.int64()), pa.array(times, pa.int64())),
-                "cls": both(pa.array(cls, pa.int64()), none),
-                "block": both(pa.array([d.block] * m, pa.int64()), none),
-                "idx": both(pa.array(idx, pa.int64()), none),
-                "hashes": both(pa.array(hashes, pa.list_(pa.int64())), none),
-                "token": both(pa.nulls(m, pa.int64()), pa.array(every)),
-            }
-        )
+        """Size and class of each document's set."""
+        sets = list(shingle_sets(d, shingle))
+        m = len(sets)
+        cls = [class_of(s) if len(s) else None for s in sets]
+        return pa.table({"doc_id": d.ids, "n": pa.array([len(s) for s in sets], pa.int64()), "cls": pa.array(cls, pa.int64()), "block": pa.array([d.block] * m, pa.int64()), "idx": pa.array(range(m), pa.int64())})
 
     return run
 
 
-_SIGNATURE = "doc_id long, n long, cls long, block long, idx long, hashes array<long>, token long"
+_CLASSED = "doc_id long, n long, cls long, block long, idx long"
+
+
+def _at_home(d: X.Documents, rows: pa.Table, shingle: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Class and set of the classes that are at home in the block; and all their tokens."""
+    mine = {i: c for i, c in zip(rows["idx"].to_pylist(), rows["cls"].to_pylist(), strict=True) if i is not None}
+    sets = [(mine[k], s) for k, s in enumerate(shingle_sets(d, shingle)) if k in mine] if mine else []
+    return sets, np.concatenate([s for _, s in sets]) if sets else np.zeros(0, T.U)
 
 
-def _sets(blocks: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """cls, set (packed) of the wanted classes (block, idx, cls), from the blocks where they are at home."""
+def _range_of(keys: np.ndarray, bits: int, n_parts: int) -> np.ndarray:
+    """The part of each key of some bits: equal ranges, so that neighbours lie close."""
+    return ((keys >> T.U(bits - 32)) * T.U(n_parts) >> T.U(32)).astype(np.int64)
+
+
+def _ask_tokens(shingle: int, bits: int, n_parts: int):
+    def run(d: X.Documents, home: pa.Table) -> pa.Table:
+        """For each part the block's distinct tokens (differences of ascending keys), and of how many of its classes each is one."""
+        _, tokens = _at_home(d, home, shingle)
+        keys, times = np.unique(tokens >> T.U(64 - bits), return_counts=True)
+        part = _range_of(keys, bits, n_parts)
+        cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(keys))
+        return X.packed_table([(int(part[a]), d.block, 0, X.pack(np.diff(keys[a:z], prepend=T.U(0)), np.minimum(times[a:z], 255).astype("u1"))) for a, z in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    return run
+
 
-    def run(d: X.Documents, want: pa.Table) -> pa.Table:
-        mine = dict(zip(want["idx"].to_pylist(), want["cls"].to_pylist(), strict=True))
-        rows = [(mine[k], s.tobytes()) for k, s in enumerate(shingle_sets(d, shingle)) if k in mine] if mine else []
-        return pa.table({"cls": pa.array([r[0] for r in rows], pa.int64()), "set": pa.array([r[1] for r in rows], pa.binary())})
+def _serve_tokens(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """The level of each token asked about: 0 if one class has it, else the logarithm of how many have."""
+    got = [X.unpack(b, "u8", "u1") for _, _, b in rows]
+    keys, times = np.concatenate([np.cumsum(k) for k, _ in got]), np.concatenate([t for _, t in got])
+    order = np.argsort(keys, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    total = np.add.reduceat(times[order].astype(np.int64), head)
+    level = np.empty(len(keys), "u1")
+    level[order] = np.repeat(np.floor(np.log2(total)).astype("u1"), np.diff(np.append(head, len(order))))
+    cuts = np.cumsum([0, *(len(k) for k, _ in got)])
+    return [(r[0], 1, X.pack(level[a:z])) for r, a, z in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+
+
+_CANDIDATE = "cls long, n long, probes long, hashes array<long>, tokens binary, levels binary"
+
+
+def _candidates(shingle: int, bits: int):
+    def run(d: X.Documents, rows: pa.Table) -> pa.Table:
+        """The classes of which enough tokens occur in others: size, how many tokens look for groups, minimum hashes, and the shared tokens with their levels, the rarest first."""
+        sets, tokens = _at_home(d, rows, shingle)
+        keys = np.unique(tokens >> T.U(64 - bits))
+        answers = sorted((p, b) for p, b in zip(rows["part"].to_pylist(), rows["blob"].to_pylist(), strict=True) if b is not None)
+        level = np.concatenate([X.unpack(b, "u1")[0] for _, b in answers]) if answers else np.zeros(0, "u1")
+        out = []
+        for c, s in sets:
+            own, n = level[np.searchsorted(keys, s >> T.U(64 - bits))], len(s)
+            shared = own > 0
+            m = int(shared.sum())
+            if TIMES * m < LEAST * n:
+                continue
+            t, own = s[shared], own[shared]
+            order = np.argsort(own, kind="stable")  # sets are in order of hash, so all sets rank tokens alike
+            t, own = t[order], own[order]
+            # tokens that no other class has would come first
+            out.append((c, n, max(0, int(probes(n)) - (n - m)), [int(T.mix(t ^ seed).min().view(_SIGNED)) for seed in _SEEDS], t.tobytes(), own.tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _CANDIDATE.split(", ")])
 
-    return X.per_block(blocks, wanted.select("block", "idx", "cls"), run, "cls long, set binary")
+    return run
 
 
 def _array(x: pa.Scalar) -> np.ndarray:
@@ -135,15 +175,15 @@ def _compare(table: pa.Table) -> pa.Table:
     """Links between the queries (role 1) and the members (role 0) of some groups or chunks of them: one at most for each query and group here; groups are connected already.
 
     Members are indexed by token, so that one pass over a query's tokens counts what
-    it shares with all of them.
+    it shares with all of them. Tokens that only one class has are in no set, but in n.
     """
-    sets = [_array(x) for x in table["set"]]
-    role, cls, g = (np.array(table[c].to_pylist()) for c in ("role", "cls", "g"))
+    sets = [_array(x) for x in table["tokens"]]
+    role, cls, g, n = (np.array(table[c].to_pylist()) for c in ("role", "cls", "g", "n"))
     members = np.flatnonzero(role == 0)
-    sizes = np.array([len(sets[k]) for k in members])
+    held, sizes = np.array([len(sets[k]) for k in members], np.int64), n[members]
     token = np.concatenate([sets[k] for k in members]) if len(members) else np.zeros(0, T.U)
     order = np.argsort(token, kind="stable")
-    owner = np.repeat(np.arange(len(members)), sizes)[order]
+    owner = np.repeat(np.arange(len(members)), held)[order]
     keys, start = np.unique(token[order], return_index=True)
     stop = np.append(start[1:], len(order))
     links: list[tuple[int, int]] = []
@@ -155,14 +195,14 @@ def _compare(table: pa.Table) -> pa.Table:
             continue
         met = owner[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         common = np.bincount(met, minlength=len(members))
-        near = np.flatnonzero((TIMES * common >= LEAST * (len(sets[q]) + sizes - common)) & (cls[members] != cls[q]) & (g[members] != g[q]))
+        near = np.flatnonzero((TIMES * common >= LEAST * (n[q] + sizes - common)) & (cls[members] != cls[q]) & (g[members] != g[q]))
         for k in near[np.unique(g[members[near]], return_index=True)[1]].tolist():
             links.append((int(cls[q]), int(cls[members[k]])))
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _open(ws: Workspace, blocks: DataFrame, classes: DataFrame, tasks: DataFrame, members: DataFrame, shingle: int, name: str) -> DataFrame:
-    """Links of the tasks' queries (cls, of group g) with the members (g, cls) of the groups that they open (rows without cls)."""
+def _open(ws: Workspace, sets: DataFrame, tasks: DataFrame, members: DataFrame, name: str) -> DataFrame:
+    """Links of the tasks' queries (cls, of group g) with the members (g, cls) of the groups that they open (rows without cls). sets: cls, n, tokens."""
     keys = ["lead", "k", "qc", "gc"]
     # a task's queries and members are dealt to chunks by hash, and each chunk of queries meets each of members
     members = ws.write(members, f"{name}-members")
@@ -176,8 +216,9 @@ def _open(ws: Workspace, blocks: DataFrame, classes: DataFrame, tasks: DataFrame
     asked = tasks.where("cls is not null").join(chunks, keys).select(*keys, F.pmod(F.xxhash64("cls"), F.col("q")).alias("xc"), each("m").alias("mc"), "cls", "g", F.lit(1).alias("role"))
     held = opened.join(members, "g").join(chunks.where("q > 0"), keys).select(*keys, each("q").alias("xc"), F.pmod(F.xxhash64("cls"), F.col("m")).alias("mc"), "cls", "g", F.lit(0).alias("role"))
     rows = ws.write(asked.unionByName(held), f"{name}-rows")
-    sets = ws.write(_sets(blocks, classes.join(rows.select("cls").distinct(), "cls"), shingle), f"{name}-sets")
-    return ws.write(rows.join(sets, "cls").select(*keys, "xc", "mc", "role", "cls", "g", "set").groupBy(*keys, "xc", "mc").applyInArrow(_compare, "a long, b long"), f"{name}-links")
+    links = ws.write(rows.join(sets.select("cls", "n", "tokens"), "cls").select(*keys, "xc", "mc", "role", "cls", "g", "n", "tokens").groupBy(*keys, "xc", "mc").applyInArrow(_compare, "a long, b long"), f"{name}-links")
+    ws.drop(f"{name}-members", f"{name}-chunks", f"{name}-rows")
+    return links
 
 
 def _with_tokens(head: bytes, tokens: np.ndarray) -> bytes:
@@ -185,67 +226,88 @@ def _with_tokens(head: bytes, tokens: np.ndarray) -> bytes:
     return len(head).to_bytes(8, "little") + head + tokens.tobytes()
 
 
-def _prefixes(n_parts: int, shingle: int, hot: np.ndarray, hot_rank: np.ndarray):
-    def run(d: X.Documents, want: pa.Table) -> pa.Table:
-        """For each part, the prefix tokens of the block's classes: class, group and size of each set, how many tokens it has there, and the tokens."""
-        mine = {i: (c, g) for i, c, g in zip(want["idx"].to_pylist(), want["cls"].to_pylist(), want["gid"].to_pylist(), strict=True)}
-        tokens, owner, cls, gid, size = [], [], [], [], []
-        for k, s in enumerate(shingle_sets(d, shingle)) if mine else ():
-            if k not in mine:
-                continue
-            rank = np.zeros(len(s), np.int64)
-            if len(hot):
-                at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                rank = np.where(hot[at] == s, hot_rank[at], 0)
-            n = len(s)
-            length = min(n, n - -(-LEAST * n // TIMES) + int(extra(n)))
-            # sets are in order of hash, so a stable sort by rank alone gives the common order
-            first = s[np.argsort(rank, kind="stable")[:length]] if rank.any() else s[:length]
-            tokens.append(first)
-            owner.append(np.full(length, len(cls)))
-            cls.append(mine[k][0])
-            gid.append(mine[k][1])
-            size.append(n)
-        if not cls:
-            return X.packed_table([])
-        t, o = np.concatenate(tokens), np.concatenate(owner)
-        c, g, n = np.array(cls, _SIGNED), np.array(gid, _SIGNED), np.array(size, np.int32)
-        part = (T.mix(t) % T.U(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-        rows = []
-        for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
+def _without(blob: bytes, *kinds: str) -> tuple[list[np.ndarray], np.ndarray]:
+    end = 8 + int.from_bytes(blob[:8], "little")
+    return X.unpack(blob[8:end], *kinds), np.frombuffer(blob, "<u4", -1, end)
+
+
+def _copies(level: np.ndarray) -> np.ndarray:
+    """Over how many parts a token of a level is spread."""
+    return np.maximum(1, (np.int64(1) << level.astype(np.int64)) // TOKEN_ROWS)
+
+
+def _matrix_keys(token: np.ndarray, copy: np.ndarray) -> np.ndarray:
+    return T.mix(token + copy.astype(T.U) * T.U(0x9E3779B97F4A7C15))
+
+
+def _matrix(n_parts: int):
+    def packed(kind: int, key: np.ndarray, owner: np.ndarray, *facts: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
+        """Rows for each part: facts of the owners there, how many tokens each has, and the tokens in order of owner."""
+        part = (key % T.U(n_parts)).astype(np.int64)
+        order = np.lexsort((owner, part))
+        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             at = order[a:z]
-            own, times = np.unique(o[at], return_counts=True)
-            rows.append((int(part[at[0]]), d.block, 3, _with_tokens(X.pack(c[own], g[own] ^ c[own], n[own], times.astype("u4")), t[at])))
-        return X.packed_table(rows)
+            own, times = np.unique(owner[at], return_counts=True)
+            yield int(part[at[0]]), 0, kind, _with_tokens(X.pack(*(f[own] for f in facts), times.astype("u4")), (key[at] >> T.U(32)).astype("<u4"))
+
+    def rows_of(cls: np.ndarray, gid: np.ndarray, n: np.ndarray, ask: np.ndarray, tokens: list[np.ndarray], levels: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes]]:
+        size = np.array([len(t) for t in tokens])
+        token, level, owner = np.concatenate(tokens), np.concatenate(levels), np.repeat(np.arange(len(cls)), size)
+        # queries: each asks one copy of its rarest tokens
+        probe = np.flatnonzero(np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size) < ask[owner])
+        copies = _copies(level[probe])
+        copy = (T.mix(cls[owner[probe]].view(T.U)) % copies.astype(T.U)).astype(np.int64)
+        yield from packed(1, _matrix_keys(token[probe], copy), owner[probe], cls, gid, n.astype("i4"))
+        # groups: each token of the union once, in all its copies
+        groups, g = np.unique(gid, return_inverse=True)
+        low, high = np.full(len(groups), np.iinfo("i4").max, "i4"), np.zeros(len(groups), "i4")
+        np.minimum.at(low, g, n.astype("i4"))
+        np.maximum.at(high, g, n.astype("i4"))
+        order = np.lexsort((token, g[owner]))
+        t, o, v = token[order], g[owner][order], level[order]
+        head = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (o[1:] != o[:-1])]))
+        t, o, copies = t[head], o[head], _copies(v[head])
+        copy = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        yield from packed(0, _matrix_keys(np.repeat(t, copies), copy), np.repeat(o, copies), groups, low, high)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.cumsum([len(x) // 8 if x is not None else 0 for x in (y.as_buffer() for y in b.column("tokens"))])
+            cut = 0
+            while cut < b.num_rows:  # a bounded number of tokens at a time
+                z = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + MATRIX_TOKENS, side="right")))
+                x = b.slice(cut, z - cut)
+                cls, gid, n, ask = (x.column(c).to_numpy() for c in ("cls", "gid", "n", "probes"))
+                levels = [np.frombuffer(y.as_buffer(), "u1") for y in x.column("levels")]
+                yield from X.packed_table(list(rows_of(cls, gid, n, ask, [_array(y) for y in x.column("tokens")], levels))).to_batches()
+                cut = z
 
     return run
 
 
 def _pairs_of_part(table: pa.Table, n_parts: int) -> pa.Table:
     """Packed by query: query, own group, group, size, hits. For each query and each other group with a smaller key, how many of the query's tokens in this part are in the group's matrix rows."""
-    cls, gid, size, token, owner = [], [], [], [], []
-    at = 0
-    for blob in table["blob"].to_pylist():
-        end = 8 + int.from_bytes(blob[:8], "little")
-        c, x, n, times = X.unpack(blob[8:end], "i8", "i8", "i4", "u4")
-        cls.append(c)
-        gid.append(c ^ x)
-        size.append(n)
-        owner.append(np.repeat(np.arange(at, at + len(c)), times))
-        token.append(np.frombuffer(blob, T.U, int(times.sum()), end))
-        at += len(c)
-    cls, gid, size, token, owner = (np.concatenate(v) for v in (cls, gid, size, token, owner))
+    rows: tuple[list, list] = ([], [])
+    for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        facts, tokens = _without(blob, *(("i8", "i8", "i4", "u4") if kind else ("i8", "i4", "i4", "u4")))
+        rows[kind].append((*facts, tokens))
+    if not rows[0] or not rows[1]:
+        return X.packed_table([])
+    gid, low, high, times, token = (np.concatenate(c) for c in zip(*rows[0], strict=True))
     groups, g = np.unique(gid, return_inverse=True)
-    order = np.lexsort((g[owner], token))
-    t, o = token[order], owner[order]
-    head = np.ones(len(t), bool)
-    head[1:] = t[1:] != t[:-1]
-    start = np.flatnonzero(head)
-    stop = np.append(start[1:], len(t))
-    wide = g[o[stop - 1]] != g[o[start]]  # rows are in order of group
-    start, stop = start[wide], stop[wide]
+    g, low, high = (np.repeat(x, times) for x in (g, low, high))
+    order = np.lexsort((g, token))
+    g, low, high, token = (x[order] for x in (g, low, high, token))
+    head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (g[1:] != g[:-1])]))
+    low, high, g, token = np.minimum.reduceat(low, head), np.maximum.reduceat(high, head), g[head], token[head]
+    cls, own, size, times, asked = (np.concatenate(c) for c in zip(*rows[1], strict=True))
+    owner = np.repeat(np.arange(len(cls)), times)
+    first, last = np.searchsorted(token, asked), np.searchsorted(token, asked, side="right")
+    # a query's own group has each of its tokens; where no other one has it, nothing is found
+    wide = np.flatnonzero(last - first > 1)
+    owner, first, width = owner[wide], first[wide], (last - first)[wide]
+    rank = np.searchsorted(groups, own)  # smaller keys than a query's own group's
     found: list[np.ndarray] = []
     counts: list[np.ndarray] = []
 
@@ -255,32 +317,25 @@ def _pairs_of_part(table: pa.Table, n_parts: int) -> pa.Table:
             total = np.bincount(back, weights=np.concatenate(counts)).astype(np.int64)
             found[:], counts[:] = [keys], [total]
 
-    pending = 0
-    many = len(groups)
-    for a, z in zip(start.tolist(), stop.tolist(), strict=True):
-        who = o[a:z]
-        gs = g[who]
-        first = np.flatnonzero(np.diff(gs, prepend=-1))
-        sizes = size[who].astype(np.int64)
-        low, high = np.minimum.reduceat(sizes, first), np.maximum.reduceat(sizes, first)
-        names = gs[first]
-        step = max(1, 2_000_000 // len(names))
-        for k in range(0, len(who), step):
-            q = slice(k, k + step)
-            ok = (names[None, :] < gs[q, None]) & (TIMES * high[None, :] >= LEAST * sizes[q, None]) & (LEAST * low[None, :] <= TIMES * sizes[q, None])
-            i, j = np.nonzero(ok)
-            if len(i):
-                found.append(who[q][i] * np.int64(many) + names[j])
-                counts.append(np.ones(len(i), np.int64))
-                pending += len(i)
-                if pending > 4_000_000:
-                    fold()
-                    pending = 0
+    many, pending, cut = len(groups), 0, 0
+    ends = np.cumsum(width)
+    while cut < len(owner):
+        z = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + 2_000_000, side="right")))
+        w = width[cut:z]
+        at = np.repeat(first[cut:z] - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        q = np.repeat(owner[cut:z], w)
+        n = size[q].astype(np.int64)
+        ok = (g[at] < rank[q]) & (TIMES * high[at].astype(np.int64) >= LEAST * n) & (LEAST * low[at].astype(np.int64) <= TIMES * n)
+        found.append(q[ok] * np.int64(many) + g[at[ok]])
+        counts.append(np.ones(len(found[-1]), np.int64))
+        pending, cut = pending + len(found[-1]), z
+        if pending > 4_000_000:
+            fold()
+            pending = 0
     fold()
     keys, hits = (found[0], counts[0]) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     q = keys // many
-    rows = X.deal(0, 4, T.mix(cls[q].view(T.U)), n_parts, cls[q], gid[q], groups[keys % many], size[q].astype("i4"), hits.astype("i4"))
-    return X.packed_table(list(rows))
+    return X.packed_table(list(X.deal(0, 4, T.mix(cls[q].view(T.U)), n_parts, cls[q], own[q], groups[keys % many], size[q].astype("i4"), hits.astype("i4"))))
 
 
 def _qualifying(table: pa.Table) -> pa.Table:
@@ -294,7 +349,7 @@ def _qualifying(table: pa.Table) -> pa.Table:
     q, own, g, n, hits = (x[order] for x in (q, own, g, n, hits))
     head = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (g[1:] != g[:-1])]))
     hits, (q, own, g, n) = np.add.reduceat(hits, head), (x[head] for x in (q, own, g, n))
-    ok = hits >= need(n)
+    ok = hits >= need(n.astype(np.int64))
     q, own, g = q[ok], own[ok], g[ok]
     if not len(q):
         return pa.table({c: pa.array([], t) for c, t in (("lead", pa.int64()), ("k", pa.int64()), ("qc", pa.int64()), ("gc", pa.int64()), ("blob", pa.binary()))})
@@ -329,27 +384,25 @@ def _listed(table: pa.Table) -> pa.Table:
     return pa.table({**keys, "cls": pa.array([*asked, *[None] * len(opened)], pa.int64()), "g": pa.array([*asked.values(), *opened], pa.int64())})
 
 
-def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of `docs`; only doc_id and text are read.
-
-    doc_id, n_shingles, class_id (key of its shingle set, null without words) and
-    component_id: the smallest doc_id reachable by links, itself included. Words are
-    lower-cased (A-Z) and split at ASCII white space. Texts without words link with
-    nothing. Repeated rows are linked with each other. A row without doc_id links
-    like others, but gives no component its name; a component of such rows alone
-    has a null name.
-    """
-    ws = Workspace(spark)
-    n_parts = X.n_parts(ws)
-    blocks = X.blocked(ws, docs.select("doc_id", F.col(text).alias("text")), block_bytes)
-    signed = ws.write(X.per_block(blocks, None, _signatures(shingle), _SIGNATURE), "signatures")
-    rows = signed.where("token is null")
-    classes = ws.write(
-        rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.min(F.when(F.col("hashes").isNotNull(), F.struct("block", "idx", "hashes"))).alias("home")).select("cls", "doc", "n", "home.block", "home.idx", "home.hashes"),
-        "classes",
-    )
+def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """A row for each row of `src` (doc_id, n, cls), and for each class its root and component (the smallest doc_id of the root's documents)."""
+    size = text_bytes(src)
+    n_parts = parts(ws.spark, size)
+    #: with some bits more than tokens need, few are taken for shared by chance
+    bits = min(64, max(34, size.bit_length() + 6))
+    blocks = X.blocked(ws, src, block_bytes, n_parts)
+    rows = ws.write(X.per_block(blocks, None, _classed(shingle), _CLASSED), "rows")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min(F.struct("block", "idx")).alias("home"))
+    classes = ws.write(classes.select("cls", "doc", "home.block", "home.idx"), "classes")
+    home = classes.select("block", "idx", "cls")
+    known = ws.write(X.ask(X.per_block(blocks, home, _ask_tokens(shingle, bits, n_parts), X.PACKED), _serve_tokens), "levels")
+    candidates = X.per_block(blocks, known.unionByName(home, allowMissingColumns=True), _candidates(shingle, bits), _CANDIDATE)
+    blocks_and_levels = list(ws.tables)
+    sets = ws.bucket(candidates.repartition(n_parts, "cls"), "cls", n_parts)
+    ws.release(blocks_and_levels)
+    ws.drop("levels")
     # groups: verified stars around the leader of each minimum hash
-    each = classes.select("cls", "n", F.posexplode("hashes").alias("k", "hash"))
+    each = sets.select("cls", F.posexplode("hashes").alias("k", "hash"))
     sizes = each.groupBy("k", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = ws.write(each.join(sizes, ["k", "hash"]).select("cls", "k", "hash", "size"), "shared")
     # the leader of a hash is its most central class: that whose hashes are the most common
@@ -358,36 +411,71 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int
     leaders = ranked.groupBy("k", "hash").agg(F.max_by("cls", F.struct("weight", "cls")).alias("g"))
     met = ranked.join(leaders, ["k", "hash"]).where("cls <> g").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
     stars = ws.write(met.where(F.col("times") >= SHARED).select(F.col("cls").alias("q"), "g"), "stars")
+    ws.drop("shared")
     chunks = stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
     zero = F.lit(0)
     split = stars.join(chunks, "g").select(F.col("g").alias("lead"), zero.cast("long").alias("k"), F.pmod(F.xxhash64("q"), F.col("chunks")).alias("qc"), zero.cast("long").alias("gc"), "q", "g")
     around = split.select("lead", "k", "qc", "gc", F.col("q").alias("cls"), F.col("q").alias("g")).unionByName(split.select("lead", "k", "qc", "gc", F.lit(None).cast("long").alias("cls"), "g").distinct())
     alone = stars.select("g").distinct().withColumn("cls", F.col("g"))
-    roots = connected(ws, _open(ws, blocks, classes, around, alone, shingle, "stars"), "groups")
-    grouped = ws.write(classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "block", "idx", "doc", F.coalesce("root", "cls").alias("gid")), "grouped")
-
-    hot_rows = signed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_DOCS).orderBy(F.desc("n"), "token").limit(HOT_LIST).collect()
-    hot = np.array([r.token for r in hot_rows], _SIGNED).view(T.U)
-    rank = np.array([r.n for r in hot_rows], np.int64)
-    order = np.argsort(hot)
-    asked = X.per_block(blocks, grouped.select("block", "idx", "cls", "gid"), _prefixes(n_parts, shingle, hot[order], rank[order]), X.PACKED)
+    roots = connected(ws, _open(ws, sets, around, alone, "stars"), "groups")
+    grouped = ws.write(sets.select("cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("gid")), "grouped")
+
+    asked = sets.join(grouped, "cls").select("cls", "gid", "n", "probes", "tokens", "levels").mapInArrow(_matrix(n_parts), X.PACKED)
     found = asked.groupBy("part").applyInArrow(lambda t: _pairs_of_part(t, n_parts), X.PACKED)
     dealt = found.groupBy("part").applyInArrow(_qualifying, "lead long, k long, qc long, gc long, blob binary")
     tasks = ws.write(dealt.groupBy("lead", "k", "qc", "gc").applyInArrow(_listed, "lead long, k long, qc long, gc long, cls long, g long"), "tasks")
-    members = grouped.select(F.col("gid").alias("g"), "cls")
-    links = _open(ws, blocks, classes, tasks, members, shingle, "pairs")
-    group_of = grouped.select("cls", "gid")
-    between = links.join(group_of.toDF("a", "ga"), "a").join(group_of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    links = _open(ws, sets, tasks, grouped.select(F.col("gid").alias("g"), "cls"), "pairs")
+    ws.drop("tasks")
+    between = links.join(grouped.toDF("a", "ga"), "a").join(grouped.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
     joined = connected(ws, between, "components")
-    final = ws.write(grouped.join(joined.withColumnRenamed("node", "gid"), "gid", "left").select("cls", "doc", F.coalesce("root", "gid").alias("root")), "final")
+    final = classes.join(grouped, "cls", "left").withColumn("gid", F.coalesce("gid", "cls")).join(joined.withColumnRenamed("node", "gid"), "gid", "left")
+    final = ws.write(final.select("cls", "doc", F.coalesce("root", "gid").alias("root")), "final")
     names = final.groupBy("root").agg(F.min("doc").alias("component"))
-    named = final.join(names, "root").select("cls", "component")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(named, "cls", "left")
-    return ws.close(out.select("doc_id", "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
+    return rows.select("doc_id", "n", "cls"), final.join(names, "root").select("cls", "root", "component")
+
+
+def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row for each row of `docs`; only doc_id and text are read.
+
+    doc_id, n_shingles, class_id (key of its shingle set, null without words) and
+    component_id: the smallest doc_id reachable by links, itself included. Words are
+    lower-cased (A-Z) and split at ASCII white space. Texts without words, null ones
+    among them, link with nothing. Repeated rows are linked with each other. A row
+    without doc_id links like others, but gives no component its name; a component
+    of such rows alone has a null name. An empty table gives no rows.
+    """
+    ws = Workspace(spark)
+    rows, named = _components(ws, docs.select("doc_id", F.col(text).alias("text")), shingle, block_bytes)
+    out = rows.join(named, "cls", "left")
+    return ws.close(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
 
 
 def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each component, that with the smallest doc_id; of rows that repeat a doc_id one stays. Rows without doc_id are compared, but stay."""
-    kept = join(spark, docs).where("component_id = doc_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """`docs` with one document of each component, that with the smallest doc_id.
+
+    Rows without doc_id are compared, but stay, and so do rows without words. Of
+    rows that repeat a doc_id, one stays for each component that they name: texts
+    that aren't similar are kept both. An empty table gives no rows.
+    """
+    ws = Workspace(spark)
+    rows, named = _components(ws, docs.select("doc_id", "text"), SHINGLE, BLOCK_BYTES)
+    out = ws.write(rows.join(named, "cls", "left").select("doc_id", "cls", "root", (F.col("cls").isNull() | (F.col("component") == F.col("doc_id"))).alias("stays")).where("doc_id is not null"), "places")
+    times = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays"))
+    times = ws.write(times.where("stays"), "times")
+    plain = docs.join(times.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # rows that repeat a doc_id are told apart by their class, which is made again for them alone
+    names = {c: c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(docs.columns)}
+    repeated = docs.join(times.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*(F.col(c).alias(v) for c, v in names.items()))
+    own, schema = repeated.columns, st.StructType([*repeated.schema.fields, st.StructField("__cls", st.LongType())])
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "__text", source="text"):
+            column = b.column("__text")
+            d = X.Documents(pa.table({"block": pa.array([0] * len(column), pa.int64()), "seq": pa.array(range(len(column)), pa.int64()), "doc_id": pa.nulls(len(column), pa.int64()), "text": column}))
+            cls = pa.array([class_of(s) if len(s) else None for s in shingle_sets(d, SHINGLE)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(f) for f in own), cls], names=schema.names)
+
+    marked = repeated.mapInArrow(classed, schema)
+    found = marked.join(out.where("stays and cls is not null").select("doc_id", F.col("cls").alias("__cls"), "root").distinct(), ["doc_id", "__cls"]).dropDuplicates(["doc_id", "root"])
+    both = [x.select(*(F.col(v).alias(c) for c, v in names.items())) for x in (found, marked.where("__cls is null"))]
+    return ws.close(plain.unionByName(both[0]).unionByName(both[1]).unionByName(docs.where("doc_id is null")))
