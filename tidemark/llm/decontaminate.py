@@ -33,7 +33,7 @@ from .common import slices
 WINDOW = 10
 #: Words of benchmark items in one block of phrases; a longer item is a block of its own.
 BLOCK_WORDS = 1 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 SAMPLE = 16
 
@@ -82,14 +82,14 @@ class FMIndex:
     """Index of a sequence of word ids (0 parts runs). A terminator below every id is added at the end."""
 
     def __init__(self, x: np.ndarray):
-        x = np.concatenate([x + 1, [0]]).astype(np.int64)
-        sa = suffix_array(x)
+        x = np.concatenate([x + 1, [0]]).astype(np.int32)
+        sa = suffix_array(x).astype(np.int32)
         self.bwt = x[sa - 1]
         top = int(x.max())
         self.first = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=top + 1))])
         self.tree = WaveletMatrix(self.bwt, max(1, top.bit_length()))
         self.kept = sa % SAMPLE == 0
-        self.slot = np.cumsum(self.kept) - 1
+        self.slot = np.cumsum(self.kept, dtype=np.int32) - 1
         self.samples = sa[self.kept]
         self.n, self.top = len(x), top
 
@@ -148,13 +148,13 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
             phrases.append((n, distinct.astype(np.int32), starts, np.concatenate(items)[order]))
         path = os.path.join(folder, f"phrases-{uuid.uuid4().hex}.bin")
         with open(path, "wb") as f:
-            pickle.dump({"vocab": vocab, "phrases": phrases, "items": [str(i) for i in ids]}, f)
+            pickle.dump({"vocab": vocab, "phrases": phrases, "items": [None if i is None else str(i) for i in ids]}, f)
         paths.append(path)
         ids.clear()
         words.clear()
 
     held = 0
-    for row in benchmark.where("item_id is not null").toLocalIterator():  # one partition at a time
+    for row in benchmark.toLocalIterator():  # one partition at a time
         buf = np.frombuffer((row["text"] or "").encode("utf-8", "surrogatepass"), np.uint8)
         h = T.Words(buf, np.array([0, len(buf)]), T.ALNUM).hash
         if not len(h):
@@ -210,81 +210,114 @@ def _hits(w: T.Words, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (np.concatenate(starts), np.concatenate(lengths), np.concatenate(items)) if starts else (none, none, none)
 
 
-def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, carry_text: bool = False) -> DataFrame:
-    """One row for each row of `docs`: its columns (the text only if `carry_text`), then n_words, n_hit, n_items, items_sha256, contaminated and spans.
-
-    `spans` lists the merged removal spans as (start, end) in bytes of the UTF-8
-    text. Columns of `docs` with one of these names give way to them. A null text has no words; an item without words, or without id, has no
-    window; an item with fewer than `window` words is one window. Items that repeat
-    an id count once. An empty benchmark leaves all documents clean.
-    """
+def _ship(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list[str]:
+    """Send the phrase files to every executor, later ones too; gives their names for SparkFiles."""
     names = []
     for path in _blocks(benchmark, window, block_words):
         spark.sparkContext.addFile(path)
         names.append(os.path.basename(path))
-    kept = [c for c in docs.columns if (carry_text or c != text) and c not in ADDED]
-    schema = st.StructType([*(docs.schema[c] for c in kept), *st._parse_datatype_string("n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>").fields])
+    return names
+
+
+class _Shard:
+    """The words of a slice of rows, which of them are hit, and each row's items and number of hits."""
+
+    def __init__(self, column: pa.Array, names: list[str], loaded: dict[str, dict]):
+        """loaded: phrase blocks read so far; several are read again for each shard, one at a time."""
+        self.buf, self.offs = T.packed(column)
+        w = self.words = T.Words(self.buf, self.offs, T.ALNUM)
+        self.hit = np.zeros(len(w.hash), bool)
+        self.items: list[set[str]] = [set() for _ in range(len(column))]
+        for name in names if len(w.hash) else ():
+            if name not in loaded:
+                if len(names) > 1:
+                    loaded.clear()
+                with open(SparkFiles.get(name), "rb") as f:
+                    loaded[name] = pickle.load(f)
+            block = loaded[name]
+            start, length, item = _hits(w, block)
+            for n in np.unique(length).tolist():
+                self.hit |= T.covered(start[length == n], n, len(self.hit))
+            row = np.searchsorted(w.rows, start, side="right") - 1
+            for r, i in np.unique(np.stack([row, item], axis=1), axis=0).tolist():
+                if block["items"][i] is not None:
+                    self.items[r].add(block["items"][i])
+        counts = np.zeros(len(self.hit) + 1, np.int64)
+        np.cumsum(self.hit, out=counts[1:])
+        self.n_hit = counts[w.rows[1:]] - counts[w.rows[:-1]]
+        self.n_words = np.diff(w.rows)
+
+    def spans(self, r: int) -> list[tuple[int, int]]:
+        """Merged removal spans of a row, in bytes."""
+        w, a, z = self.words, self.words.rows[r], self.words.rows[r + 1]
+        turn = np.flatnonzero(np.diff(np.concatenate([[False], self.hit[a:z], [False]]).astype(np.int8)))
+        return [(int(w.start[a + s] - self.offs[r]), int(w.end[a + e - 1] - self.offs[r])) for s, e in zip(turn[::2], turn[1::2], strict=True)]
+
+
+def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row for each row of `docs`: its columns without the text, then n_words, n_hit, n_items, items_sha256, contaminated and spans.
+
+    `spans` lists the merged removal spans as (start, end) in bytes of the UTF-8
+    text. Columns of `docs` with one of these names give way to them. A null text
+    has no words; an item without words has no window, one with fewer than `window`
+    words is one window. Windows of an item without id hit like others, but it
+    isn't counted or listed. Items that repeat an id count once. An empty benchmark
+    leaves all documents clean, an empty `docs` gives no rows. Words are compared by
+    64-bit hashes.
+    """
+    names = _ship(spark, benchmark, window, block_words)
+    kept = [c for c in docs.columns if c != text and c not in ADDED]
+    span = st.StructType([st.StructField("start", st.IntegerType()), st.StructField("end", st.IntegerType())])
+    kinds = (st.LongType(), st.LongType(), st.LongType(), st.StringType(), st.BooleanType(), st.ArrayType(span))
+    schema = st.StructType([*(docs.schema[c] for c in kept), *(st.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True))])
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, dict] = {}
-        for b in slices(batches, "__text", SHARD_BYTES, text if carry_text else None):
-            buf, offs = T.packed(b.column("__text"))
-            w = T.Words(buf, offs, T.ALNUM)
-            hit = np.zeros(len(w.hash), bool)
-            items: list[set[str]] = [set() for _ in range(b.num_rows)]
-            for name in names if len(w.hash) else ():
-                if name not in loaded:
-                    if len(names) > 1:
-                        loaded.clear()
-                    with open(SparkFiles.get(name), "rb") as f:
-                        loaded[name] = pickle.load(f)
-                block = loaded[name]
-                start, length, item = _hits(w, block)
-                for n in np.unique(length).tolist():
-                    hit |= T.covered(start[length == n], n, len(hit))
-                row = np.searchsorted(w.rows, start, side="right") - 1
-                for r, i in np.unique(np.stack([row, item], axis=1), axis=0).tolist():
-                    items[r].add(block["items"][i])
-            counts = np.zeros(len(hit) + 1, np.int64)
-            np.cumsum(hit, out=counts[1:])
-            n_hit = counts[w.rows[1:]] - counts[w.rows[:-1]]
-            spans: list[list[dict[str, int]]] = [[] for _ in range(b.num_rows)]
-            for r in np.flatnonzero(n_hit).tolist():
-                a, z = w.rows[r], w.rows[r + 1]
-                flags = np.concatenate([[False], hit[a:z], [False]])
-                turn = np.flatnonzero(np.diff(flags.astype(np.int8)))
-                spans[r] = [{"start": int(w.start[a + s] - offs[r]), "end": int(w.end[a + e - 1] - offs[r])} for s, e in zip(turn[::2], turn[1::2], strict=True)]
-            sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+        for b in slices(batches, "__text", SHARD_BYTES):
+            s = _Shard(b.column("__text"), names, loaded)
+            spans = [[{"start": a, "end": z} for a, z in s.spans(r)] if k else [] for r, k in enumerate(s.n_hit.tolist())]
+            sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in s.items]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), pa.array(np.diff(w.rows), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha), pa.array(n_hit > 0), pa.array(spans, spans_type)],
+                [*(b.column(c) for c in kept), pa.array(s.n_words, pa.int64()), pa.array(s.n_hit, pa.int64()), pa.array([len(i) for i in s.items], pa.int64()), pa.array(sha), pa.array(s.n_hit > 0), pa.array(spans, spans_type)],
                 names=schema.names,
             )
 
-    return (docs.select(*kept) if carry_text else docs.select(*kept, F.col(text).alias("__text"))).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """`docs` with the removal spans cut out of `text` (n_chars follows); a document of which more than `most` of its words are hit goes altogether. Clean documents stay as they are."""
-    # other columns travel under names that can't clash with the counts
-    aliases = {c: c if c in ("text", "n_chars") else f"__{k}" for k, c in enumerate(docs.columns)}
-    plain = docs.withColumnsRenamed(aliases)
-    marked = annotate(spark, plain, benchmark, window=window, carry_text=True)
-    schema, names = plain.schema, plain.columns
+    """`docs` with the removal spans cut out of `text` (n_chars follows); a document of which more than `most` of its words are hit goes altogether.
+
+    Clean documents stay as they are, null texts among them. An empty table gives
+    no rows. Texts travel to Python once.
+    """
+    names = _ship(spark, benchmark, window, BLOCK_WORDS)
+    plain = docs.withColumnsRenamed({c: f"__{k}" for k, c in enumerate(docs.columns)})  # no name clashes with the slice's own
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    columns = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans, texts = b.column("spans").to_pylist(), b.column("text").to_pylist()
-            for i, cut in enumerate(spans):
-                if cut:
-                    raw, at, parts = texts[i].encode("utf-8", "surrogatepass"), 0, []
-                    for s in cut:
-                        parts.append(raw[at : s["start"]])
-                        at = s["end"]
-                    texts[i] = b"".join([*parts, raw[at:]]).decode("utf-8", "surrogatepass")
-            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, b.schema.field("text").type))
-            if "n_chars" in names:
-                b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array([None if t is None else len(t) for t in texts], pa.int64()))
-            yield b.select(names)
-
-    return marked.where("not contaminated or n_hit <= n_words * %r" % float(most)).select(*names, "spans").mapInArrow(run, schema).withColumnsRenamed({v: c for c, v in aliases.items()})
+        loaded: dict[str, dict] = {}
+        for b in slices(batches, "text", SHARD_BYTES, columns[at]):
+            s = _Shard(b.column("text"), names, loaded)
+            b = b.select(columns)
+            dirty = np.flatnonzero((s.n_hit > 0) & (s.n_hit <= most * s.n_words)).tolist()
+            if dirty:
+                texts = b.column(at).to_pylist()
+                for r in dirty:
+                    raw, cut, parts = s.buf[s.offs[r] : s.offs[r + 1]].tobytes(), 0, []
+                    for a, z in s.spans(r):
+                        parts.append(raw[cut:a])
+                        cut = z
+                    texts[r] = b"".join([*parts, raw[cut:]]).decode("utf-8", "surrogatepass")
+                b = b.set_column(at, columns[at], pa.array(texts, b.column(at).type))
+                if count is not None:
+                    n = b.column(count).to_pylist()
+                    for r in dirty:
+                        n[r] = len(texts[r])
+                    b = b.set_column(count, columns[count], pa.array(n, b.column(count).type))
+            yield b.filter(pa.array(s.n_hit <= most * s.n_words))
+
+    out = plain.mapInArrow(run, plain.schema)
+    return out.select(*(F.col(v).alias(c) for c, v in zip(docs.columns, columns, strict=True)))
