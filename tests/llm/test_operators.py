@@ -118,22 +118,78 @@ def test_induced_sort(tmp_path, memory):
         assert np.concatenate([p for p, _ in got]).tolist() == order and np.concatenate([h for _, h in got]).tolist() == common
 
 
-def test_substring_dedup(spark, docs, rows):
+def brute_windows(rows, window=13):
+    """(doc_id, words, removed, kept_sha256) of each row: words of windows that a smaller doc_id has too go."""
     far = 1 << 62
     first = {}
     for r in rows:
         w = words(r.text)
-        for k in range(len(w) - 12):
-            key = tuple(w[k : k + 13])
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
             first[key] = min(first.get(key, far), far if r.doc_id is None else r.doc_id)
-    want = []
     for r in rows:
         w, gone = words(r.text), set()
-        for k in range(len(w) - 12):
-            if first[tuple(w[k : k + 13])] < (far if r.doc_id is None else r.doc_id):
-                gone |= set(range(k, k + 13))
-        want.append((r.doc_id, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
-    same([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(spark, docs, block_bytes=5_000).collect()], want)
+        for k in range(len(w) - window + 1):
+            if first[tuple(w[k : k + window])] < (far if r.doc_id is None else r.doc_id):
+                gone |= set(range(k, k + window))
+        yield r.doc_id, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_substring_dedup(spark, docs, rows, hot):
+    got = substring_dedup.dedup(spark, docs, block_bytes=5_000, hot=hot).collect()  # 1: every common passage goes window by window
+    same([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got], list(brute_windows(rows)))
+    assert sum(x.n_removed for x in got) > 0 and all((x.n_spans > 0) == (x.n_removed > 0) for x in got)
+
+
+def test_only_factors_remove_words(spark, docs, monkeypatch):
+    real = substring_dedup._serve_passages
+
+    def without(window):
+        def serve(rows):
+            from tidemark.llm import substring_dedup as m
+
+            own, none = m.ReferenceBlock.factors, np.zeros(0, np.int64)
+            m.ReferenceBlock.factors = lambda self: (none, none)
+            try:
+                return real(window)(rows)
+            finally:
+                m.ReferenceBlock.factors = own
+
+        return serve
+
+    monkeypatch.setattr(substring_dedup, "_serve_passages", without)
+    # blocks are as small as can be, so that next to no passage is known within one
+    one = spark.createDataFrame([(k, LOREM[k % 8]) for k in range(16)], "doc_id long, text string").repartition(16)
+    assert {x.n_removed for x in substring_dedup.dedup(spark, one, block_bytes=1).collect()} == {0}
+
+
+def test_factors_are_greedy_and_longest():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        window = int(rng.integers(1, 14))
+        passages = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 40)).tolist() for _ in range(rng.integers(0, 30))]
+        doc = rng.integers(0, 10, len(passages))
+        edge = np.concatenate([[0], np.cumsum([len(p) for p in passages])]).astype(np.int64)
+        flat = np.array([x for p in passages for x in p], np.int64)
+        start, length = substring_dedup.ReferenceBlock(flat, edge, doc, window).factors()
+        gone = substring_dedup.T.covered(start, length, len(flat)) if len(flat) else np.zeros(0, bool)
+        first = {}
+        for p, d in zip(passages, doc, strict=True):
+            for k in range(len(p) - window + 1):
+                first[tuple(p[k : k + window])] = min(first.get(tuple(p[k : k + window]), 99), d)
+        want = np.zeros(len(flat), bool)
+        for p, d, a in zip(passages, doc, edge, strict=False):
+            for k in range(len(p) - window + 1):
+                if first[tuple(p[k : k + window])] < d:
+                    want[a + k : a + k + window] = True
+        assert gone.tolist() == want.tolist() and (length >= window).all()
+
+
+def test_words_of_one_hash_are_told_apart():
+    buf = np.frombuffer(b"abcd", np.uint8)
+    at, one = np.arange(4), np.ones(4, np.int64)
+    assert len(set(substring_dedup.word_ids(buf, at, one, np.zeros(4, "u8")).tolist())) == 4
 
 
 def brute_components(rows):

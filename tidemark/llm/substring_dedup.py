@@ -1,17 +1,22 @@
 """Substring deduplication by relative Lempel-Ziv parsing.
 
-The reference is the corpus itself: the first occurrence of every word window that
-can occur twice, indexed in blocks by hash. Documents are factored greedily against
-every block that can hold a part of them: a factor goes on while the next window's
-first occurrence continues the same source, and ends where it does not. Windows
-across a factor's end are looked up too, so that no duplicate hides at a boundary.
-Factors of at least `window` words whose source has a smaller doc_id become
-duplicate spans.
-
-Words that cannot be part of a factor are found first, through sparse anchors:
-(1) blocks of documents ask about their anchors, and learn whether an anchor has one
-document only, one surrounding everywhere (then its first occurrence is the source),
-or several; (2) for the latter they ask the reference blocks about each window.
+The corpus is its own reference, in blocks: a reference block holds all passages
+around the seeds (word 4-grams) that are dealt to it, and indexes their windows.
+Every passage is factored greedily against the block: where a window has its first
+occurrence in an earlier document, the match is extended word by word to its end in
+that source; the next factor is looked for from the first window that crosses the
+end of the last one, so that no duplicate hides at a boundary. Factors have `window`
+words at least. They, and nothing else, are the duplicate spans.
+
+Seeds are content-defined anchors: each window has one, equal windows have the same,
+and a seed that only one document has needs no factoring. (1) Blocks of documents ask
+which of their seeds occur in several documents. (2) They send the passages around
+these, each distinct one once with its smallest doc_id, to the seed's reference
+block, which answers with the words that factors cover. Passages around a seed with
+very many of them go window by window, dealt by the window, so that no block grows
+with a common passage.
+
+Hashes only bring candidates together: words and passages are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -26,172 +31,313 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import text as T
 from .anchors import Segments
-from .common import Workspace, parts, text_bytes
+from .common import Workspace, parts, squeeze, text_bytes, unsqueeze
 
 WINDOW, GRAM = 13, 4
-OUT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
-
-
-def _first(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """Rows in order of key, then of occurrence: the first of each key is its first occurrence."""
-    return np.lexsort((pos, doc, *more, key))
+#: Passages of one seed that go to one reference block, roughly; those of more common seeds are dealt window by window.
+HOT = 2048
+OUT = "doc_id long, n_words long, n_removed long, n_spans long, kept_sha256 string"
+#: Bytes that one comparison takes at a time.
+_STEP = 1 << 20
+
+
+def differing(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the pieces [a, a + length) and [b, b + length) of buf differ."""
+    out = np.zeros(len(a), bool)
+    far = np.flatnonzero(a != b)
+    ends = np.cumsum(length[far])
+    cut = 0
+    while cut < len(far):
+        z = max(cut + 1, int(np.searchsorted(ends, (ends[cut - 1] if cut else 0) + _STEP, side="right")))
+        at, n = far[cut:z], length[far[cut:z]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = buf[np.repeat(a[at], n) + inner] != buf[np.repeat(b[at], n) + inner]
+        out[at] = np.bincount(np.repeat(np.arange(len(at)), n), weights=other, minlength=len(at)) > 0
+        cut = z
+    return out
+
+
+def word_ids(buf: np.ndarray, start: np.ndarray, length: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Numbers of words, alike only for words of the same bytes."""
+    _, first, ids = np.unique(h, return_index=True, return_inverse=True)
+    alike = first[ids]
+    if (length != length[alike]).any() or differing(buf, start, start[alike], length).any():  # two words of one hash
+        known: dict[bytes, int] = {}
+        raw = buf.tobytes()
+        ids = np.array([known.setdefault(raw[s : s + n], len(known)) for s, n in zip(start.tolist(), length.tolist(), strict=True)], np.int64)
+    return ids
+
+
+class ReferenceBlock:
+    """Passages as numbers of words (`words`, passage k at rows[k] to rows[k + 1]) with their documents, indexed by windows."""
+
+    def __init__(self, words: np.ndarray, rows: np.ndarray, doc: np.ndarray, window: int):
+        self.window, self.rows, self.doc = window, rows, doc
+        n, m = len(words), len(rows) - 1
+        # a break of its own after each passage, so that no match leaves one
+        at = np.arange(n) + np.repeat(np.arange(m), np.diff(rows))
+        x = np.empty(n + m, np.int64)
+        x[at] = words
+        x[rows[1:] + np.arange(m)] = (int(words.max()) + 1 if n else 0) + np.arange(m)
+        self.begin = rows[:-1] + np.arange(m)
+        self.levels = [x]  # numbers of the strings of 1, 2, 4 ... words that begin at each place
+        while 2 ** len(self.levels) <= window:
+            self.levels.append(self._pairs(self.levels[-1], self.levels[-1], 2 ** (len(self.levels) - 1)))
+        key, done = x * 0, 0
+        for k in range(len(self.levels) - 1, -1, -1):
+            if window >> k & 1:
+                key = self._pairs(key, self.levels[k], done) if done else self.levels[k]
+                done += 2**k
+        size = np.maximum(np.diff(rows) - window + 1, 0)
+        self.size = size
+        self.passage = np.repeat(np.arange(m), size)
+        self.at = self.begin[self.passage] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        # the source of each window: its occurrence in the earliest document
+        w, d = key[self.at], doc[self.passage]
+        order = np.lexsort((d, w))
+        head = np.ones(len(w), bool)
+        head[1:] = w[order][1:] != w[order][:-1]
+        first = order[head][np.cumsum(head) - 1]
+        self.source = np.empty(len(w), np.int64)
+        self.source[order] = self.at[first]
+        self.hit = np.empty(len(w), bool)
+        self.hit[order] = d[first] < d[order]
+
+    @staticmethod
+    def _pairs(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
+        """Numbers of the pairs (a[i], b[i + step]); places without a second half get 0, and are never compared."""
+        out = np.zeros(len(a), np.int64)
+        if len(a) > step:
+            out[: len(a) - step] = np.unique(a[: len(a) - step] * (int(b.max()) + 1) + b[step:], return_inverse=True)[1]
+        return out
+
+    def extended(self, place: np.ndarray, source: np.ndarray) -> np.ndarray:
+        """Length of the match that begins at each place and source, `window` words of which are known to be equal."""
+        length, top = np.full(len(place), self.window, np.int64), len(self.levels[0])
+        for k in range(len(self.levels) - 1, -1, -1):
+            step, number, going = 2**k, self.levels[k], np.arange(len(place))
+            while len(going):
+                p, q = place[going] + length[going], source[going] + length[going]
+                ok = (np.maximum(p, q) + step <= top) & (number[np.minimum(p, top - 1)] == number[np.minimum(q, top - 1)])
+                length[going[ok]] += step
+                going = going[ok]
+        return length
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Passage-wise greedy factors against earlier documents: first word (place in `words`) and length of each."""
+        first = np.cumsum(self.size) - self.size
+        end = first + self.size
+        far = len(self.at)
+        # the next hit at or after each window
+        follow = np.minimum.accumulate(np.where(self.hit, np.arange(far), far)[::-1])[::-1] if far else np.zeros(0, np.int64)
+        starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        live, now = np.flatnonzero(self.size > 0), first[self.size > 0]
+        while len(live):
+            i = follow[now]
+            ok = i < end[live]
+            live, i = live[ok], i[ok]
+            if not len(live):
+                break
+            n = self.extended(self.at[i], self.source[i])
+            starts.append(self.at[i] - live)  # the breaks before it aside
+            lengths.append(n)
+            now = i + n - self.window + 1  # the first window that crosses the factor's end
+            ok = now < end[live]
+            live, now = live[ok], now[ok]
+        return np.concatenate(starts), np.concatenate(lengths)
 
 
 class _State:
-    """What a block knows of itself; made again from its text in each round."""
+    """Passages of a block: first word, number of words, document, key and content (hash); made again from its text in each round."""
 
     def __init__(self, d: X.Documents, window: int, gram: int):
-        self.d = d
-        self.w = T.Words(d.buf, d.offs, T.PLAIN)
-        self.win = T.rolling(self.w.hash, window)
-        s = self.s = Segments(T.rolling(self.w.hash, gram), self.w.rows, window, gram)
+        self.d, self.window = d, window
+        w = self.w = T.Words(d.buf, d.offs, T.PLAIN)
+        self.win = T.rolling(w.hash, window)
+        s = self.s = Segments(T.rolling(w.hash, gram), w.rows, window, gram)
         self.doc = d.doc[s.row]
-        self.place = (s.at - self.w.rows[s.row]).astype(np.int64)
         # up to `window` windows: the first and the last cover all words
         last = s.start + s.count - 1
         self.content = T.mix(self.win[s.start] + T.mix(self.win[last] + s.count.astype(T.U)) + (s.at - s.start).astype(T.U)) if len(s.start) else np.zeros(0, T.U)
-        order = _first(s.anchor, self.doc, self.place)
+        order = np.lexsort((self.content, s.anchor))
         a, c = s.anchor[order], self.content[order]
         head = np.ones(len(a), bool)
         head[1:] = a[1:] != a[:-1]
+        fresh = head.copy()
+        fresh[1:] |= c[1:] != c[:-1]
         self.order, self.group = order, np.cumsum(head) - 1
         at = np.flatnonzero(head)
-        lo, hi = (np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)) if len(at) else (c, c)
-        self.anchors, self.mixed, self.one = a[at], lo != hi, lo
-        self.first_doc, self.first_place = self.doc[order][at], self.place[order][at]
-
-    def asked(self, answers: pa.Table, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each segment: 0 alone, 1 one surrounding, 2 several; and the anchor's first document and place."""
-        flag, doc, place = X.collected(answers, 1, self.anchors, parts, "u1", "i8", "i4")
-        near = flag != 1
-        doc, place = np.where(near, self.first_doc, doc), np.where(near, self.first_place, place.astype(np.int64))
-        out = [np.empty(len(self.order), t) for t in ("u1", "i8", "i8")]
-        for o, v in zip(out, (flag, doc, place), strict=True):
-            o[self.order] = v[self.group]
-        return out[0], out[1], out[2]
-
-    def open_windows(self, flag: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Windows of segments with several surroundings: start, document, place; and their distinct hashes with the first occurrence in the block."""
-        seg, start = self.s.each(np.flatnonzero(flag == 2))
-        doc, place = self.doc[seg], start - self.w.rows[self.s.row[seg]]
-        h = self.win[start] if len(start) else np.zeros(0, T.U)
-        order = _first(h, doc, place)
-        head = np.ones(len(h), bool)
-        head[1:] = h[order][1:] != h[order][:-1]
-        group = np.empty(len(h), np.int64)
-        group[order] = np.cumsum(head) - 1
-        at = order[head]
-        return start, doc, group, h[at], doc[at], place[at]
-
-
-def _serve_anchors(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """Answer (flag, first document, place) for each anchor that a block asked about."""
-    got = [X.unpack(b, "u8", "u8", "u1", "i8", "i4") for _, _, b in rows]
-    a, c, mixed, doc, place = (np.concatenate([g[k] for g in got]) for k in range(5))
-    order = _first(a, doc, place)
-    head = np.ones(len(a), bool)
-    head[1:] = a[order][1:] != a[order][:-1]
-    at = np.flatnonzero(head)
-    group = np.empty(len(a), np.int64)
-    group[order] = np.cumsum(head) - 1
-    several = (np.minimum.reduceat(c[order], at) != np.maximum.reduceat(c[order], at)) | np.maximum.reduceat(mixed[order], at).astype(bool)
-    fdoc, fplace = doc[order][at][group], place[order][at][group]
-    flag = np.where(several[group], 2, (fdoc < doc).astype(np.uint8)).astype(np.uint8)
-    return _split(rows, [len(g[0]) for g in got], 1, flag, np.where(flag == 1, fdoc, 0), np.where(flag == 1, fplace, 0).astype("i4"))
-
-
-def _serve_windows(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """A reference block: the first occurrence of each of its windows, for every block that has it later."""
-    got = [X.unpack(b, "u8", "i8", "i4") for _, _, b in rows]
-    h, doc, place = (np.concatenate([g[k] for g in got]) for k in range(3))
-    order = _first(h, doc, place)
-    head = np.ones(len(h), bool)
-    head[1:] = h[order][1:] != h[order][:-1]
-    group = np.empty(len(h), np.int64)
-    group[order] = np.cumsum(head) - 1
-    at = order[head]
-    fdoc, fplace = doc[at][group], place[at][group]
-    flag = (fdoc < doc).astype(np.uint8)
-    return _split(rows, [len(g[0]) for g in got], 2, flag, np.where(flag == 1, fdoc, 0), np.where(flag == 1, fplace, 0).astype("i4"))
-
-
-def _split(rows: list[tuple[int, int, bytes]], sizes: list[int], kind: int, *arrays: np.ndarray) -> list[tuple[int, int, bytes]]:
-    cuts = np.cumsum([0, *sizes])
-    return [(r[0], kind, X.pack(*(x[a:z] for x in arrays))) for r, a, z in zip(rows, cuts[:-1], cuts[1:], strict=True)]
-
-
-def factors(doc: np.ndarray, start: np.ndarray, row: np.ndarray, source: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors of duplicate windows in order: index of each factor's first window, and its length in words.
-
-    A factor goes on while the next window starts one word later, in the same
-    document, and its source one word later in the same source.
-    """
-    if not len(start):
-        return start, start
-    go_on = np.zeros(len(start), bool)
-    go_on[1:] = (start[1:] == start[:-1] + 1) & (row[1:] == row[:-1]) & (source[1:] == source[:-1]) & (place[1:] == place[:-1] + 1)
-    head = np.flatnonzero(~go_on)
-    return head, np.diff(np.append(head, len(start))) + window - 1
-
-
-def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = X.BLOCK_BYTES) -> DataFrame:
+        self.anchors, doc = a[at], self.doc[order]
+        self.low, self.high = (np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)) if len(at) else (doc, doc)
+        self.times = np.minimum(np.add.reduceat(fresh.astype(np.int64), at), 255).astype("u1") if len(at) else np.zeros(0, "u1")
+
+    def open(self, answers: pa.Table, parts: int) -> "_Passages":
+        flag = np.empty(len(self.order), "u1")
+        flag[self.order] = X.collected(answers, 1, self.anchors, parts, "u1")[0][self.group]
+        s = self.s
+        whole = np.flatnonzero(flag == 1)
+        seg, start = s.each(np.flatnonzero(flag == 2))
+        return _Passages(
+            self,
+            np.concatenate([s.start[whole], start]),
+            np.concatenate([s.count[whole] + self.window - 1, np.full(len(start), self.window)]),
+            np.concatenate([self.doc[whole], self.doc[seg]]),
+            np.concatenate([s.anchor[whole], self.win[start]]),
+            np.concatenate([self.content[whole], self.win[start]]),
+        )
+
+
+class _Passages:
+    """Open passages of a block; `one` lists one of each content, that of the earliest document, and `back` leads to it."""
+
+    def __init__(self, state: _State, start: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, content: np.ndarray):
+        self.state, self.start, self.size, self.doc = state, start, size, doc
+        order = np.lexsort((doc, content))
+        head = np.ones(len(order), bool)
+        head[1:] = content[order][1:] != content[order][:-1]
+        first = order[head][np.cumsum(head) - 1]
+        alike = np.empty(len(order), np.int64)
+        alike[order] = first
+        own = self._other(alike)  # equal hashes of different words: each stands for itself
+        alike[own] = own
+        self.one, self.back = np.unique(alike, return_inverse=True)
+        self.key = key[self.one]
+
+    def _other(self, alike: np.ndarray) -> np.ndarray:
+        """Passages that differ in words from the one that has the same hash."""
+        w = self.state.w
+        at = np.flatnonzero((alike != np.arange(len(alike))) & (self.size == self.size[alike]))
+        odd = np.flatnonzero(self.size != self.size[alike])
+        n = self.size[at]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a, b = np.repeat(self.start[at], n) + inner, np.repeat(self.start[alike[at]], n) + inner
+        length = w.end - w.start
+        bad = length[a] != length[b]
+        bad[~bad] = differing(self.state.d.buf, w.start[a][~bad], w.start[b][~bad], length[a][~bad])
+        return np.union1d(odd, at[np.unique(np.repeat(np.arange(len(at)), n)[bad])])
+
+    def dealt(self, parts: int) -> list[np.ndarray]:
+        """The passages of `one` for each part, in order of part."""
+        part = (self.key % T.U(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        return [order[a:z] for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def sent(self, parts: int) -> list[tuple[int, int, int, bytes]]:
+        w, buf, rows = self.state.w, self.state.d.buf, []
+        for mine in self.dealt(parts):
+            at = self.one[mine]
+            a, z = w.start[self.start[at]], w.end[self.start[at] + self.size[at] - 1]
+            head = X.pack((z - a).astype("<u4"), self.doc[at])
+            content = squeeze(b"".join([buf[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True)]))
+            rows.append((int(self.key[mine[0]] % T.U(parts)), self.state.d.block, 2, len(head).to_bytes(8, "little") + head + content))
+        return rows
+
+    def gone(self, answers: pa.Table, parts: int) -> np.ndarray:
+        """Which words of the block factors cover."""
+        bits = {p: b for p, k, b in zip(answers["part"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True) if k == 2}
+        size = self.size[self.one]
+        first = np.cumsum(size) - size
+        flags = np.zeros(int(size.sum()), bool)
+        for mine in self.dealt(parts):
+            n = size[mine]
+            at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            flags[at] = np.unpackbits(np.frombuffer(unsqueeze(bits[int(self.key[mine[0]] % T.U(parts))]), np.uint8), count=int(n.sum()))
+        # a passage that an earlier document of the block has too is one factor
+        n = self.size
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        covered = flags[np.repeat(first[self.back], n) + inner] | np.repeat(self.doc > self.doc[self.one][self.back], n)
+        gone = np.zeros(int(self.state.w.rows[-1]), bool)
+        gone[(np.repeat(self.start, n) + inner)[covered]] = True
+        return gone
+
+
+def _serve_anchors(most: int):
+    def serve(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+        """0: one document has the seed; 1: several; 2: several, in more than `most` passages."""
+        got = [X.unpack(b, "u8", "i8", "i8", "u1") for _, _, b in rows]
+        a, low, high, times = (np.concatenate([g[k] for g in got]) for k in range(4))
+        order = np.argsort(a, kind="stable")
+        head = np.ones(len(a), bool)
+        head[1:] = a[order][1:] != a[order][:-1]
+        at = np.flatnonzero(head)
+        several = np.minimum.reduceat(low[order], at) < np.maximum.reduceat(high[order], at)
+        hot = np.add.reduceat(times[order].astype(np.int64), at) > most
+        flag = np.empty(len(a), "u1")
+        flag[order] = np.where(several, 1 + hot, 0).astype("u1")[np.cumsum(head) - 1]
+        cuts = np.cumsum([0, *(len(g[0]) for g in got)])
+        return [(r[0], 1, X.pack(flag[x:y])) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+
+    return serve
+
+
+def _serve_passages(window: int):
+    def serve(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+        """A reference block: factors all its passages, and gives each block the words of its own that factors cover (bits)."""
+        bufs, starts, lengths, hashes, counts, docs, base = [], [], [], [], [], [], 0
+        for _, _, blob in rows:
+            end = 8 + int.from_bytes(blob[:8], "little")
+            size, doc = X.unpack(blob[8:end], "<u4", "i8")
+            buf = np.frombuffer(unsqueeze(blob[end:]), np.uint8)
+            w = T.Words(buf, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), T.PLAIN)
+            bufs.append(buf)
+            starts.append(w.start + base)
+            lengths.append(w.end - w.start)
+            hashes.append(w.hash)
+            counts.append(np.diff(w.rows))
+            docs.append(doc)
+            base += len(buf)
+        words = word_ids(np.concatenate(bufs), np.concatenate(starts), np.concatenate(lengths), np.concatenate(hashes))
+        edge = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        start, length = ReferenceBlock(words, edge, np.concatenate(docs), window).factors()
+        turn = np.zeros(len(words) + 1, np.int32)
+        np.add.at(turn, start, 1)
+        np.add.at(turn, start + length, -1)
+        covered = np.cumsum(turn[:-1]) > 0
+        cuts = np.cumsum([0, *(len(h) for h in hashes)])
+        return [(r[0], 2, squeeze(np.packbits(covered[x:y]).tobytes())) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+
+    return serve
+
+
+def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int = WINDOW, gram: int = GRAM, block_bytes: int = X.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """One row for each row of `docs`; only doc_id and text are read.
 
-    doc_id, n_words, n_removed, n_factors, kept_sha256 (of the kept words, joined by
-    one space). A word goes if a window of `window` words covers it that also starts
-    in a document with a smaller doc_id. Rows with one doc_id are one document in
-    this: they remove nothing from each other. A row without doc_id counts as
-    coming after all others. A null text has no words. Windows are compared by
-    64-bit hashes of their words.
+    doc_id, n_words, n_removed, n_spans (maximal removed runs), kept_sha256 (of the
+    kept words, joined by one space). A word goes if a window of `window` words covers
+    it that also starts in a document with a smaller doc_id. Rows with one doc_id are
+    one document in this: they remove nothing from each other. A row without doc_id
+    counts as coming after all others. A null text has no words. An empty table gives
+    no rows.
     """
     ws = Workspace(spark)
     src = docs.select("doc_id", F.col(text).alias("text"))
-    n = parts(spark, text_bytes(src))
+    n = parts(spark, 2 * text_bytes(src))
     blocks = X.blocked(ws, src, block_bytes, n)
 
     def ask_anchors(d: X.Documents, _: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
-        return X.packed_table(list(X.deal(d.block, 1, s.anchors, n, s.anchors, s.one, s.mixed.astype(np.uint8), s.first_doc, s.first_place.astype("i4"))))
+        return X.packed_table(list(X.deal(d.block, 1, s.anchors, n, s.anchors, s.low, s.high, s.times)))
 
-    known = ws.write(X.ask(X.per_block(blocks, None, ask_anchors, X.PACKED), _serve_anchors), "anchors")
+    known = ws.write(X.ask(X.per_block(blocks, None, ask_anchors, X.PACKED), _serve_anchors(hot)), "anchors")
 
-    def ask_windows(d: X.Documents, answers: pa.Table) -> pa.Table:
-        s = _State(d, window, gram)
-        _, _, _, h, doc, place = s.open_windows(s.asked(answers, n)[0])
-        return X.packed_table(list(X.deal(d.block, 2, h, n, h, doc, place.astype("i4"))))
+    def send_passages(d: X.Documents, answers: pa.Table) -> pa.Table:
+        return X.packed_table(_State(d, window, gram).open(answers, n).sent(n))
 
-    sources = X.ask(X.per_block(blocks, known, ask_windows, X.PACKED), _serve_windows)
+    covered = X.ask(X.per_block(blocks, known, send_passages, X.PACKED), _serve_passages(window))
 
     def finish(d: X.Documents, answers: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
-        flag, adoc, aplace = s.asked(answers, n)
-        # one surrounding: the anchor's first occurrence is the source of all its windows
-        seg, start = s.s.each(np.flatnonzero((flag < 2) & (adoc < s.doc)))
-        found = [(start, adoc[seg], aplace[seg] + start - s.s.at[seg])]
-        start, doc, group, h, fdoc, fplace = s.open_windows(flag)
-        other, odoc, oplace = X.collected(answers, 2, h, n, "u1", "i8", "i4")
-        fdoc, fplace = np.where(other == 1, odoc, fdoc), np.where(other == 1, oplace.astype(np.int64), fplace)
-        hit = fdoc[group] < doc
-        found.append((start[hit], fdoc[group][hit], fplace[group][hit]))
-        start, source, place = (np.concatenate([f[k] for f in found]) for k in range(3))
-        order = np.argsort(start)
-        start, source, place = start[order], source[order], place[order]
-        rows = s.w.rows
-        row = np.searchsorted(rows, start, side="right") - 1
-        head, length = factors(d.doc, start, row, source, place, window)
-        gone = np.zeros(int(rows[-1]) + 1, np.int64)
-        np.add.at(gone, start[head], 1)
-        np.add.at(gone, start[head] + length, -1)
-        gone = np.cumsum(gone[:-1]) > 0
-        n_gone = np.concatenate([[0], np.cumsum(gone)])
-        n_gone = n_gone[rows[1:]] - n_gone[rows[:-1]]
-        sha, raw = [], d.buf.tobytes()
-        for r, cut in enumerate(n_gone.tolist()):
-            words = raw[d.offs[r] : d.offs[r + 1]].split()
-            if cut:
-                words = [words[k] for k in np.flatnonzero(~gone[rows[r] : rows[r + 1]]).tolist()]
+        gone, rows = s.open(answers, n).gone(answers, n), s.w.rows
+        n_gone, n_spans, sha, raw = [], [], [], d.buf.tobytes()
+        for r, (a, z) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
+            words, cut = raw[d.offs[r] : d.offs[r + 1]].split(), gone[a:z]
+            k = int(cut.sum())
+            if k:
+                words = [words[i] for i in np.flatnonzero(~cut).tolist()]
+            n_gone.append(k)
+            n_spans.append(int(np.count_nonzero(np.diff(cut.astype(np.int8), prepend=0) == 1)) if k else 0)
             sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-        n_factors = np.bincount(row[head], minlength=len(d.doc)) if len(head) else np.zeros(len(d.doc), int)
-        return pa.table({"doc_id": d.ids, "n_words": pa.array(np.diff(rows), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_factors": pa.array(n_factors, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        return pa.table({"doc_id": d.ids, "n_words": pa.array(np.diff(rows), pa.int64()), "n_removed": pa.array(n_gone, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    return ws.close(X.per_block(blocks, known.unionByName(sources), finish, OUT))
+    return ws.close(X.per_block(blocks, known.unionByName(covered), finish, OUT))
