@@ -34,6 +34,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 #: A value of at least so many owners is a copied example.
 EXAMPLE_OWNERS = 3
 MIN_GENERIC, MIN_ENTROPY = 20, 3.5
+#: Tasks among which the rows of one value are spread.
+SALTS = 16
 
 SPAN = st.StructType([st.StructField("kind", st.IntegerType()), st.StructField("start", st.IntegerType()), st.StructField("end", st.IntegerType()), st.StructField("value", st.BinaryType()), st.StructField("live", st.BooleanType())])
 SPANS = st.ArrayType(SPAN)
@@ -142,8 +144,10 @@ def judged(ws: Workspace, docs: DataFrame, text: str, repo: str, owner: str, exa
     """The rows of `docs` with __rid and spans, with or without their text; and for each __rid its `live` and `examples` spans."""
     scanned = ws.write(scan(docs.withColumn("__rid", F.monotonically_increasing_id()), text, carry_text), "spans")
     each = scanned.where(F.size("spans") > 0).select("__rid", F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.explode("spans").alias("s")).select("*", F.col("s.value").alias("value"))
-    stats = ownership(each, "repo", "owner")
-    known = each.join(stats, "value", "left")
+    # a value that is copied everywhere doesn't gather its rows in one task; there are few distinct values
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("__rid"), F.lit(SALTS)))
+    stats = ownership(each, "repo", "owner").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    known = salted.join(stats, ["value", "salt"], "left")
     shared = F.col("n_owners") >= example_owners
     per_row = known.groupBy("__rid").agg(
         F.array_sort(F.collect_list(F.when(~shared & F.col("s.live"), F.struct("s.start", "s.kind", "s.end")))).alias("live"),
@@ -191,15 +195,23 @@ def report(spark: SparkSession, docs: DataFrame, text: str = "text", repo: str =
 
 
 def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """`docs` with live credentials in `text` replaced by `mask`; rows without any are as before, and every row stays. n_chars follows where it is a column."""
+    """`docs` (doc_id, text, source) with live credentials in `text` replaced by `mask`; rows without any are as before, and every row stays.
+
+    n_chars follows where it is a column; a null text stays null. Null owners count
+    as one, as do null ids. An empty table gives no rows.
+    """
     ws = Workspace(spark)
-    scanned, per_row = judged(ws, docs, "text", "doc_id", "source", example_owners)
+    # columns travel under names that can't clash with the spans
+    fixed = {"doc_id": "doc_id", "text": "text", "source": "source"}
+    aliases = {c: fixed.get(c, f"__{k}") for k, c in enumerate(docs.columns)}
+    plain = docs.withColumnsRenamed(aliases)
+    scanned, per_row = judged(ws, plain, "text", "doc_id", "source", example_owners)
     dirty = scanned.where(F.size("spans") > 0).join(per_row.select("__rid", "live"), "__rid", "left")
-    schema = docs.schema
+    schema, names, count = plain.schema, plain.columns, aliases.get("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
+            texts, changed = b.column("text").to_pylist(), []
             for i, live in enumerate(b.column("live").to_pylist()):
                 if not live:
                     continue
@@ -209,12 +221,15 @@ def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]", example
                         parts += [texts[i][at : s["start"]], mask]
                     at = max(at, s["end"])
                 texts[i] = "".join(parts) + texts[i][at:]
+                changed.append(i)
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, b.schema.field("text").type))
-            if "n_chars" in names:
-                n = [None if t is None else len(t) for t in texts]
-                b = b.set_column(b.schema.get_field_index("n_chars"), "n_chars", pa.array(n, b.schema.field("n_chars").type))
+            if count:
+                n = b.column(count).to_pylist()
+                for i in changed:
+                    n[i] = len(texts[i])
+                b = b.set_column(b.schema.get_field_index(count), count, pa.array(n, b.schema.field(count).type))
             yield b.select(names)
 
-    names = docs.columns
     clean = scanned.where(F.size("spans") == 0).select(*names)
-    return ws.close(clean.unionByName(dirty.select(*names, "live").mapInArrow(run, schema)))
+    out = clean.unionByName(dirty.select(*names, "live").mapInArrow(run, schema))
+    return ws.close(out.select(*(F.col(v).alias(c) for c, v in aliases.items())))

@@ -107,11 +107,21 @@ def read_records(source: BinaryIO | Iterable[bytes]) -> Iterator[dict[str, Any]]
         yield parse(raw)
 
 
+#: Tasks among which the pages of one payload are spread.
+SALTS = 16
+
+
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """`pages` (page_id, url, payload: binary) with refers_to: of equal payloads of at least `min_bytes`, the largest page_id answers and the others refer to it."""
-    keyed = pages.withColumn("key", F.when(F.length("payload") >= min_bytes, F.sha2("payload", 256)))
-    first = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("answer"))
-    joined = keyed.join(first, "key", "left")
+    """`pages` (page_id, url, payload: binary) with refers_to: of equal payloads of at least `min_bytes`, the largest page_id answers and the others refer to it.
+
+    Only payloads that occur more than once are looked up, in several copies, so
+    that pages with one payload (all empty ones, say) don't meet in one task.
+    """
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    keyed = pages.withColumns({"key": F.when(F.length("payload") >= min_bytes, F.sha2("payload", 256)), "salt": salt})
+    first = keyed.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("answer"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = first.select("key", "answer", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    joined = keyed.join(copies, ["key", "salt"], "left")
     other = F.col("answer").isNotNull() & ~F.col("answer").eqNullSafe(F.col("page_id"))
     return joined.select("page_id", "url", "payload", F.when(other, F.col("answer")).alias("refers_to"))
 
@@ -167,7 +177,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, html: str = "html", min_by
     an empty payload, a null url leaves the target out. Of rows that repeat a
     page_id with the same payload, all with the largest page_id are responses. Rows
     without page_id refer to the group's largest page_id; if there is none, they
-    are responses.
+    are responses. An empty table gives no rows.
     """
     ws = Workspace(spark)
     src = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
