@@ -3,9 +3,11 @@
 Each rule compares one rate of a document with a limit that comes from a
 mergeable quantile sketch of its language and source: counts of values rounded
 down to six significant bits, so that sketches merge by adding counts, in any
-order, with a relative error below 1/32. A group with few documents falls back
-to the merged sketch of its language, then to that of all documents. The limits
-are joined to the documents, which then pass or fail.
+order, with a relative error below 1/32. The quartiles of a group are drawn toward
+those of its language, and these toward those of all documents, as if PRIOR
+documents more had them: a small group borrows much, a large one next to nothing,
+without a step between. The limits are joined to the documents, which then pass or
+fail.
 """
 
 from __future__ import annotations
@@ -45,7 +47,8 @@ RULES = (
     Rule("long_words", "1000 * word_chars div greatest(n_words, 1)", 1000),
     Rule("short_words", "1000 * word_chars div greatest(n_words, 1)", 600, low=True),
 )
-MIN_GROUP = 30
+#: So many documents of the language (of all) count beside a group's (a language's) own.
+PRIOR = 30
 
 
 def counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -89,7 +92,7 @@ def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return at.groupBy(*keys, "rule").agg(F.max("size").alias("size"), q(1).alias("q1"), q(3).alias("q3"))
 
 
-def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+def limits(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """lang, source and, for each rule, its limit."""
     own = quartiles(sketch, ["lang", "source"])
     lang = quartiles(sketch.groupBy("lang", "rule", "value").agg(F.sum("n").alias("n")), ["lang"])
@@ -97,10 +100,11 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     o, g, a = own.alias("o"), lang.alias("g"), whole.alias("a")
     joined = o.join(g, F.col("o.rule").eqNullSafe(F.col("g.rule")) & F.col("o.lang").eqNullSafe(F.col("g.lang"))).join(a, F.col("o.rule") == F.col("a.rule"))
 
-    def pick(c: str) -> Column:
-        return F.when(F.col("o.size") >= min_group, F.col(f"o.{c}")).when(F.col("g.size") >= min_group, F.col(f"g.{c}")).otherwise(F.col(f"a.{c}"))
+    def drawn(c: str) -> Column:
+        language = (F.col("g.size") * F.col(f"g.{c}") + prior * F.col(f"a.{c}")) / (F.col("g.size") + prior).cast("double")
+        return (F.col("o.size") * F.col(f"o.{c}") + prior * language) / (F.col("o.size") + prior).cast("double")
 
-    q = joined.select("o.lang", "o.source", "o.rule", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    q = joined.select("o.lang", "o.source", "o.rule", drawn("q1").alias("q1"), drawn("q3").alias("q3"))
     bound = F.lit(None).cast("double")
     for r in RULES:
         reach = F.lit(r.reach) * F.greatest(F.col("q3") - F.col("q1"), F.lit(r.least))
@@ -108,7 +112,7 @@ def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     return q.groupBy("lang", "source").agg(*(F.max(F.when(F.col("rule") == r.name, bound)).alias(f"limit_{r.name}") for r in RULES))
 
 
-def judge(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str = "doc_id", min_group: int = MIN_GROUP) -> DataFrame:
+def judge(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str = "doc_id", prior: int = PRIOR) -> DataFrame:
     """One row for each row of `docs` (doc_id, text, lang, source; other columns are not read).
 
     doc_id, the base counts, base_failed, failed_rules (names of the adaptive rules
@@ -119,7 +123,7 @@ def judge(spark: SparkSession, docs: DataFrame, text: str = "text", id_col: str
     ws = Workspace(spark)
     base = ws.write(counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), "lang", "source")), "counts")
     rates = base.withColumns({f"r_{r.name}": F.expr(r.rate) for r in RULES})
-    bound = ws.write(limits(sketches(rates, ["lang", "source"]), min_group), "limits")
+    bound = ws.write(limits(sketches(rates, ["lang", "source"]), prior), "limits")
     out = _verdicts(rates, bound).select("doc_id", "lang", "source", *BASE, "base_failed", "failed_rules", "kept")
     return ws.close(out)
 
@@ -134,12 +138,12 @@ def _verdicts(rates: DataFrame, bound: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
-def passing(spark: SparkSession, docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """The rows of `docs` that pass, with their columns. Limits come from a first reading; the second judges each row beside its text, which doesn't move."""
+def passing(spark: SparkSession, docs: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The rows of `docs` that pass, with their columns; of an empty table none. Null texts fail, repeated rows are judged each. Limits come from a first reading; the second judges each row beside its text, which doesn't move."""
     ws = Workspace(spark)
     first = counts(docs.select("doc_id", "text", "lang", "source"))
     rated = {f"r_{r.name}": F.expr(r.rate) for r in RULES}
-    bound = ws.write(limits(sketches(first.withColumns(rated), ["lang", "source"]), min_group), "limits")
+    bound = ws.write(limits(sketches(first.withColumns(rated), ["lang", "source"]), prior), "limits")
     # columns travel under other names, so that none clashes with a count
     names = {c: c if c in ("text", "lang", "source") else f"__{k}" for k, c in enumerate(docs.columns)}
     every = counts(docs.withColumnsRenamed(names), keep=tuple(names.values())).withColumns(rated)
