@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, jaccard_join, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from . import bpe, classifier, decontaminate, jaccard_join, oracle, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
 
 # Fixed values of the url query: rules (verdict, host and path), and the hosts that the list itself blocks.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -20,12 +20,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenizer_path() -> str:
     """The public tokenizer's file, which lies outside the repository."""
-    try:
-        import public_tokenizers
+    import public_tokenizers
 
-        return public_tokenizers.path("word_bpe_49k.json")
-    except ImportError:
-        return "/opt/tokenizers/word_bpe_49k.json"
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +46,8 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(spark, _table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "failed_rules")
+    out = quality_rules.judge(spark, _table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of all but those that call a trained model or a tokenizer."""
+    return dict(oracle.SQL)
