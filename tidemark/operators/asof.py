@@ -1,22 +1,39 @@
 """Point-in-time joins.
 
-`calendar` has one row a month, at most 12 a year, and is broadcast for that
-reason; the large side never leaves its place for an inequality.
+What is known changes on a few days: a version holds from the day on which it becomes
+visible until the next one does. Such intervals are turned into the months that they
+touch, and join the calendar by month, an equality; no table is compared with all
+dates. `calendar` has one row a month.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _month(day: str | Column) -> Column:
+    return F.trunc(day, "MM")
+
+
+def at_signals(calendar: DataFrame, held: DataFrame, start: str = "__from", until: str = "__until") -> DataFrame:
+    """Rows of `held` for each signal date in [start, until); a null `until` means for ever."""
+    days = calendar.select("signal_date").distinct()
+    last = days.agg(F.date_add(F.max("signal_date"), 1).alias("__last"))  # one row
+    ends = held.join(F.broadcast(last)).withColumn(until, F.coalesce(until, F.greatest("__last", F.date_add(start, 1)))).where(F.col(start) < F.col(until))
+    months = F.sequence(_month(start), _month(F.date_sub(until, 1)), F.expr("interval 1 month"))
+    each = ends.withColumn("__month", F.explode(months))
+    joined = each.join(days.withColumn("__month", _month("signal_date")), "__month")
+    return joined.where((F.col(start) <= F.col("signal_date")) & (F.col("signal_date") < F.col(until))).drop("__month", "__last", start, until)
+
+
 def membership_asof(calendar: DataFrame, members: DataFrame) -> DataFrame:
     """Members of the version known at each signal date: of those with available_date and snapshot_date up to it, the largest (snapshot_date, available_date). An older snapshot published later never wins."""
-    versions = members.select("snapshot_date", "available_date").distinct()
-    known = versions.join(F.broadcast(calendar), (F.col("available_date") <= F.col("signal_date")) & (F.col("snapshot_date") <= F.col("signal_date")))
-    best = known.groupBy(*calendar.columns).agg(F.max(F.struct("snapshot_date", "available_date")).alias("v"))
-    best = best.select(*calendar.columns, F.col("v.snapshot_date").alias("snapshot_date"), F.col("v.available_date").alias("available_date"))
-    return members.join(best, ["snapshot_date", "available_date"])
+    versions = members.select("snapshot_date", "available_date").distinct().withColumn("__from", F.greatest("snapshot_date", "available_date"))
+    order = Window.partitionBy(F.lit(0)).orderBy("__from")  # a few versions a year
+    best = versions.withColumns({"__v": F.max(F.struct("snapshot_date", "available_date")).over(order.rangeBetween(Window.unboundedPreceding, 0)), "__until": F.lead("__from").over(order)})
+    known = at_signals(calendar, best.select("__from", "__until", "__v")).select("signal_date", F.col("__v.snapshot_date").alias("snapshot_date"), F.col("__v.available_date").alias("available_date"))
+    return members.join(calendar.join(known, "signal_date"), ["snapshot_date", "available_date"])
 
 
 def with_effective_date(filings: DataFrame) -> DataFrame:
@@ -31,19 +48,30 @@ def fundamentals_asof(calendar: DataFrame, filings: DataFrame, values: list[str]
     the current report is the latest, the prior one exactly a year older.
     """
     fields = F.struct("report_date", "notice_date", "effective_date", *values)
-    known = filings.join(F.broadcast(calendar.select("signal_date").distinct()), (F.col("effective_date") <= F.col("signal_date")) & (F.col("report_date") <= F.col("signal_date")))
-    versions = known.groupBy("signal_date", "symbol", "report_date").agg(F.max_by(fields, "effective_date").alias("v"))
-    current = versions.groupBy("signal_date", "symbol").agg(F.max_by("v", "report_date").alias("current"), F.count(F.lit(1)).alias("report_count"))
-    prior = versions.select("signal_date", "symbol", F.col("report_date").alias("prior_date"), F.col("v").alias("prior"))
-    wanted = current.withColumn("prior_date", F.add_months(F.col("current.report_date"), -12))
-    return wanted.join(prior, ["signal_date", "symbol", "prior_date"], "left").drop("prior_date")
+    versions = filings.select("symbol", "report_date", "effective_date", F.greatest("report_date", "effective_date").alias("__from"), fields.alias("__v")).where("__from is not null")
+    # the version of a report: until its next one
+    report = Window.partitionBy("symbol", "report_date").orderBy("__from", "effective_date")
+    versions = versions.withColumns({"__first": F.row_number().over(report) == 1, "__later": F.lead("__from").over(report)})
+    # the latest report of a symbol: until anything new of it is visible
+    symbol = Window.partitionBy("symbol").orderBy("__from")
+    so_far = symbol.rangeBetween(Window.unboundedPreceding, 0)
+    state = versions.select(
+        "symbol",
+        "__from",
+        F.lead("__from").over(symbol).alias("__until"),
+        F.max_by("__v", F.struct("report_date", "effective_date")).over(so_far).alias("current"),
+        F.sum(F.col("__first").cast("long")).over(so_far).alias("report_count"),
+    )
+    current = at_signals(calendar, state).withColumn("__before", F.add_months(F.col("current.report_date"), -12))
+    prior = versions.select(F.col("symbol").alias("__s"), F.col("report_date").alias("__r"), F.col("__from").alias("__a"), F.col("__later").alias("__z"), F.col("__v").alias("prior"))
+    match = (F.col("symbol") == F.col("__s")) & (F.col("__before") == F.col("__r")) & (F.col("__a") <= F.col("signal_date")) & (F.col("__z").isNull() | (F.col("signal_date") < F.col("__z")))
+    return current.join(prior, match, "left").select("signal_date", "symbol", "current", "report_count", "prior")
 
 
 def last_known(calendar: DataFrame, bars: DataFrame) -> DataFrame:
     """Each symbol's last bar up to each signal date: a bar holds from its date until the next one."""
-    until = bars.withColumn("__next", F.lead("date").over(Window.partitionBy("symbol").orderBy("date")))
-    days = calendar.select("signal_date").distinct()
-    return until.join(F.broadcast(days), (F.col("date") <= F.col("signal_date")) & (F.col("__next").isNull() | (F.col("__next") > F.col("signal_date")))).drop("__next")
+    until = bars.withColumns({"__from": F.col("date"), "__until": F.lead("date").over(Window.partitionBy("symbol").orderBy("date"))})
+    return at_signals(calendar, until)
 
 
 def close_on(rows: DataFrame, market: DataFrame, day: str, name: str) -> DataFrame:

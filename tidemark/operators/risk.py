@@ -8,15 +8,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .asof import last_known
+
 
 def recent_returns(market: DataFrame, months: DataFrame, lookback: int) -> DataFrame:
-    """signal_date, symbol, date, r: simple returns of each month's symbols (months: signal_date, symbol) over the last `lookback` return days up to it, on the union of their dates."""
-    bars = market.join(months.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "date", "close_adj")
-    dates = months.join(bars, "symbol").where("date <= signal_date").select("signal_date", "date").distinct()
-    kept = dates.withColumn("__k", F.row_number().over(Window.partitionBy("signal_date").orderBy(F.desc("date")))).where(F.col("__k") <= lookback + 1)
-    grid = months.select("signal_date", "symbol").join(kept, "signal_date").join(bars, ["symbol", "date"], "left")
-    last = F.lag("close_adj").over(Window.partitionBy("signal_date", "symbol").orderBy("date"))
-    return grid.withColumn("r", F.when(last > 0, F.col("close_adj") / last - 1)).select("signal_date", "symbol", "date", "r")
+    """signal_date, symbol, date, r: simple returns of each month's symbols (months: signal_date, symbol) over the last `lookback` return days up to it, on the union of their dates.
+
+    A date among the last of the union is among the last of each symbol that has it,
+    so only that many bars of a symbol are looked up, by their numbers.
+    """
+    own = market.join(months.select("symbol").distinct(), "symbol", "left_semi").select("symbol", "date", "close_adj")
+    bars = own.withColumn("__k", F.row_number().over(Window.partitionBy("symbol").orderBy("date")))
+    last = last_known(months, bars.select("symbol", "date", "__k")).join(months, ["signal_date", "symbol"], "left_semi")
+    each = last.select("signal_date", "symbol", F.explode(F.sequence(F.greatest(F.col("__k") - lookback, F.lit(1)), F.col("__k"))).alias("__k"))
+    near = each.join(bars, ["symbol", "__k"]).select("signal_date", "symbol", "date", "close_adj")
+    dates = near.select("signal_date", "date").distinct()
+    kept = dates.withColumn("__n", F.row_number().over(Window.partitionBy("signal_date").orderBy(F.desc("date")))).where(F.col("__n") <= lookback + 1).drop("__n")
+    grid = months.select("signal_date", "symbol").join(kept, "signal_date").join(near, ["signal_date", "symbol", "date"], "left")
+    before = F.lag("close_adj").over(Window.partitionBy("signal_date", "symbol").orderBy("date"))
+    return grid.withColumn("r", F.when(before > 0, F.col("close_adj") / before - 1)).select("signal_date", "symbol", "date", "r")
 
 
 def covariance(returns: DataFrame, lookback: int, shrinkage: float, yearly: int) -> DataFrame:

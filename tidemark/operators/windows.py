@@ -57,21 +57,19 @@ def liquidity(bars: DataFrame, n: int, least: int) -> DataFrame:
 def beta(bars: DataFrame, n: int, least: int, yearly: int) -> DataFrame:
     """beta_6m, idio_volatility_6m and beta_observations over the last n bars where both returns exist.
 
-    bars: simple_return and benchmark_return. Residuals are formed from the window's
-    own slope and intercept in a second pass over it; the shortcut by the
-    correlation would cancel.
+    bars: simple_return and benchmark_return. The residuals' sum of squares follows
+    from the window's centred sums, which Spark keeps without cancellation.
     """
     both = F.col("simple_return").isNotNull() & F.col("benchmark_return").isNotNull()
     w = Window.partitionBy("symbol", both).orderBy("date").rowsBetween(-(n - 1), 0)
-    pairs = F.collect_list(F.struct(F.col("benchmark_return").alias("x"), F.col("simple_return").alias("y"))).over(w)
-    out = bars.withColumns({"__n": F.when(both, F.count(F.lit(1)).over(w)), "__b": F.when(both, F.regr_slope("simple_return", "benchmark_return").over(w)), "__a": F.when(both, F.regr_intercept("simple_return", "benchmark_return").over(w)), "__var": F.when(both, F.var_pop("benchmark_return").over(w)), "__p": F.when(both, pairs)})
-    square = F.aggregate("__p", F.lit(0.0), lambda s, p: s + F.pow(p["y"] - F.col("__a") - F.col("__b") * p["x"], 2.0))
-    ok = (F.col("__n") >= least) & (F.col("__var") > 0)
-    idio = F.sqrt(square / (F.col("__n") - 1)) * F.sqrt(F.lit(float(yearly)))
-    out = out.withColumn("__s", F.when(F.col("__n").isNotNull(), F.struct(F.col("__n").alias("n"), F.when(ok, F.col("__b")).alias("beta"), F.when(ok, idio).alias("idio"))))
-    last = F.last("__s", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, 0))
-    out = out.withColumn("__s", last)
-    return out.withColumns({"beta_6m": F.col("__s.beta"), "idio_volatility_6m": F.col("__s.idio"), "beta_observations": F.coalesce(F.col("__s.n"), F.lit(0))}).drop("__n", "__b", "__a", "__var", "__p", "__s")
+    pair = ("simple_return", "benchmark_return")
+    sums = F.struct(F.count(F.lit(1)).over(w).alias("n"), F.regr_sxx(*pair).over(w).alias("xx"), F.regr_sxy(*pair).over(w).alias("xy"), F.regr_syy(*pair).over(w).alias("yy"))
+    out = bars.withColumn("__s", F.when(both, sums))
+    out = out.withColumn("__s", F.last("__s", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, 0)))
+    xx, xy, yy, seen = (F.col(f"__s.{c}") for c in ("xx", "xy", "yy", "n"))
+    ok = (seen >= least) & (xx > 0)
+    idio = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / (seen - 1)) * F.sqrt(F.lit(float(yearly)))
+    return out.withColumns({"beta_6m": F.when(ok, xy / xx), "idio_volatility_6m": F.when(ok, idio), "beta_observations": F.coalesce(seen, F.lit(0))}).drop("__s")
 
 
 def month_calendar(days: DataFrame, lag: int = 1) -> DataFrame:
@@ -102,7 +100,7 @@ def log_return(series: DataFrame, value: str, name: str = "log_return", order: s
 def winsorised(df: DataFrame, value: str, low: float, high: float, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """value clipped to its exact quantiles (linear between neighbours), over all rows or each key."""
     q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    joined = df.join(q, list(keys)) if keys else df.join(q)
+    joined = df.join(q, list(keys)) if keys else df.join(F.broadcast(q))  # one row
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1]))).drop("__q")
 
 

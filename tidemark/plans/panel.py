@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import asof, cross_section, windows
 
+# Names of features, which outputs carry, and the families that they form.
 PRICE = ("momentum_12_1", "momentum_6_1", "volatility_3m", "beta_6m", "idio_volatility_6m", "adv_20d", "amihud_20d")
 FUNDAMENTAL = ("gross_profitability", "accrual_quality", "leverage_quality", "quality_raw", "growth_raw", "fundamental_momentum_raw")
 NEUTRALISED = ("momentum_12_1", "momentum_6_1", "volatility_3m", "beta_6m", "idio_volatility_6m", "amihud_20d", "quality_raw", "growth_raw", "fundamental_momentum_raw")
@@ -43,14 +44,14 @@ class Features:
     volatility: int = 63
     beta: int = 126
     liquidity: int = 20
-    min_volatility: int = 40
+    min_volatility: int = 50
     min_beta: int = 100
     min_liquidity: int = 15
     yearly: int = 252
     clip: float = 5.0
     min_cross_section: int = 10
     min_coverage: float = 0.6
-    min_row_coverage: float = 0.6
+    min_row_coverage: float = 0.7
     lag: int = 1
 
     def __post_init__(self) -> None:
@@ -97,11 +98,17 @@ def price_features(market: DataFrame, benchmark: str, f: Features) -> DataFrame:
 
 
 def member_benchmark(market: DataFrame, members: DataFrame) -> DataFrame:
-    """signal_date, date, benchmark_return: the members' weighted return, weights renewed over those that have one that day."""
+    """signal_date, date, benchmark_return: the members' weighted return, weights renewed over those that have one that day.
+
+    members: signal_date, symbol, benchmark_weight, snapshot_date, available_date.
+    Returns are weighted once for each version of the members, not for each month.
+    """
     bars = windows.with_returns(market).select("date", "symbol", "simple_return")
-    joined = members.select("signal_date", "symbol", "benchmark_weight").join(bars, "symbol").where("date <= signal_date")
+    version = ["snapshot_date", "available_date"]
+    joined = members.select(*version, "symbol", "benchmark_weight").distinct().join(bars, "symbol")
     there = F.col("simple_return").isNotNull()
-    return joined.groupBy("signal_date", "date").agg((F.sum(F.col("simple_return") * F.col("benchmark_weight")) / F.nullif(F.sum(F.when(there, F.col("benchmark_weight"))), F.lit(0.0))).alias("benchmark_return"))
+    daily = joined.groupBy(*version, "date").agg((F.sum(F.col("simple_return") * F.col("benchmark_weight")) / F.nullif(F.sum(F.when(there, F.col("benchmark_weight"))), F.lit(0.0))).alias("benchmark_return"))
+    return members.select("signal_date", *version).distinct().join(daily, version).where("date <= signal_date").select("signal_date", "date", "benchmark_return")
 
 
 def labels(rows: DataFrame, market: DataFrame, benchmark: str | None) -> DataFrame:
@@ -151,7 +158,7 @@ def scored(rows: DataFrame, f: Features, group: str | None) -> DataFrame:
     return out.withColumn("eligible_for_scoring", F.col("minimum_history_ok") & F.col("row_coverage_ok") & full)
 
 
-def composite(panel: DataFrame, min_history: int, min_adv: float, coverage: float = 0.5, families: int = 3, yearly: int = 252) -> DataFrame:
+def composite(panel: DataFrame, min_history: int, min_adv: float, coverage: float = 0.6, families: int = 3, yearly: int = 252) -> DataFrame:
     """Family scores, composite_score, systematic_eligible and the names that the portfolio reads."""
     out = cross_section.composite(panel, FAMILIES, dict.fromkeys(FAMILIES, 0.25), coverage, families)
     fit = F.coalesce((F.col("market_history_days") >= min_history) & (F.col("adv_20d") >= min_adv) & F.col("composite_score").isNotNull(), F.lit(False))
