@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .checks import require_unique
+
 
 def _month(day: str | Column) -> Column:
     return F.trunc(day, "MM")
@@ -74,6 +76,16 @@ def last_known(calendar: DataFrame, bars: DataFrame) -> DataFrame:
     return at_signals(calendar, until)
 
 
+def reindexed(keys: DataFrame, rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows in the frame of `keys`: a key without a row has nulls, a row without a key goes."""
+    return keys.join(rows, on, "left")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str], label: str) -> DataFrame:
+    """Left join of frames whose keys are both unique; raises where one repeats a key."""
+    return require_unique(left, on, f"{label}, left").join(require_unique(right, on, f"{label}, right"), on, "left")
+
+
 def close_on(rows: DataFrame, market: DataFrame, day: str, name: str) -> DataFrame:
     """The close on exactly that day; null if there is no bar (never filled forward)."""
     point = market.select(F.col("date").alias(day), "symbol", F.col("close_adj").alias(name))
@@ -81,8 +93,9 @@ def close_on(rows: DataFrame, market: DataFrame, day: str, name: str) -> DataFra
 
 
 def forward_return(prices: DataFrame, spans: DataFrame) -> DataFrame:
-    """spans (symbol, start, end) with the return from the first price at or after start to the last at or before end."""
-    priced = prices.where("close_adj is not null and close_adj > 0")
-    joined = spans.join(priced, "symbol", "left").where((F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
+    """spans (symbol, start, end) with the return from the first price at or after start to the last at or before end. Spans meet prices by symbol and month."""
+    priced = prices.where("close_adj is not null and close_adj > 0").withColumn("__month", _month("date"))
+    each = spans.withColumn("__month", F.explode(F.sequence(_month("start"), _month("end"), F.expr("interval 1 month"))))
+    joined = each.join(priced, ["symbol", "__month"]).where((F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
     ends = joined.groupBy(*spans.columns).agg(F.min_by("close_adj", "date").alias("first_close"), F.max_by("close_adj", "date").alias("last_close"), F.count(F.lit(1)).alias("bars"))
     return ends.withColumn("span_return", F.when(F.col("bars") > 1, F.col("last_close") / F.col("first_close") - 1))

@@ -14,10 +14,17 @@ from . import adapter, panel
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame as files in the shared checkpoint folder: a panel is read many times, and its plan is long. A folder of our own only where none is named."""
+    """The frame as files in the shared checkpoint folder: a panel is read many times, and its plan is long.
+
+    This runs a job at once. A folder of our own only in local mode, where none is
+    named; on a cluster its absence is an error.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 
@@ -52,7 +59,7 @@ class Setup:
 
 def eligible_panel(spark: SparkSession, sf_dir: str, setup: Setup, lag: int = 1) -> DataFrame:
     """Scored rows that are fit for research, with their split."""
-    market = adapter.market(spark, sf_dir)
+    market = settled(adapter.market(spark, sf_dir))
     f = replace(setup.features, lag=lag)
     built = panel.build(market, adapter.fundamentals(spark, sf_dir), adapter.memberships(spark, sf_dir), adapter.BENCHMARK, f)
     out = panel.composite(built, setup.min_history, setup.min_adv, yearly=f.yearly)
@@ -72,7 +79,7 @@ def targets(eligible: DataFrame, market: DataFrame, setup: Setup) -> DataFrame:
 
 def covariances(rows: DataFrame, market: DataFrame, setup: Setup) -> DataFrame:
     months = rows.select("signal_date", "symbol").distinct()
-    return risk.covariance(risk.recent_returns(market, months, setup.lookback), setup.lookback, setup.shrinkage, setup.features.yearly)
+    return risk.covariance(settled(risk.recent_returns(market, settled(months), setup.lookback)), setup.lookback, setup.shrinkage, setup.features.yearly)
 
 
 def simulate(aims: DataFrame, setup: Setup, scenario: str, multipliers: tuple[float, ...]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -74,6 +74,76 @@ def walk_forward(df: DataFrame, y: str, x: str, keys: Sequence[str], order: str,
     return out.withColumn("error", F.col(y) - F.col("predicted"))
 
 
+def _solved(products: list[list[Column]], right: list[Column]) -> list[Column]:
+    """Solution of a small symmetric system, by elimination in column expressions; null where it is singular."""
+    k = len(right)
+    m = [[*row, r] for row, r in zip(products, right, strict=True)]
+    for i in range(k):
+        pivot = F.nullif(m[i][i], F.lit(0.0))
+        for j in range(i + 1, k):
+            ratio = m[j][i] / pivot
+            m[j] = [m[j][c] - ratio * m[i][c] if c > i else F.lit(0.0) for c in range(k + 1)]
+    out: list[Column] = [F.lit(None).cast("double")] * k
+    for i in range(k - 1, -1, -1):
+        rest = m[i][k]
+        for j in range(i + 1, k):
+            rest = rest - m[i][j] * out[j]
+        out[i] = rest / F.nullif(m[i][i], F.lit(0.0))
+    return out
+
+
+def window_fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str, first: int, last: int) -> DataFrame:
+    """beta_<x> of each factor and beta_const of a least-squares fit of y over the rows `first` to `last` around each one, where all of them are there.
+
+    Covariances of the window give the normal equations, so that a fit of k factors
+    costs k (k + 3) / 2 window sums and no Python. Rows with nulls must be gone.
+    """
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(first, last)
+    names = [*xs, y]
+    sums = {f"__c{i}_{j}": F.covar_pop(names[i], names[j]).over(w) for i in range(len(xs)) for j in range(i, len(names))}
+    means = {f"__m{i}": F.avg(c).over(w) for i, c in enumerate(names)}
+    out = df.withColumns({**sums, **means, "__n": F.count(F.lit(1)).over(w)})
+    k = len(xs)
+    out = out.withColumn("__full", F.col("__n") >= last - first + 1)
+    slopes = _solved([[F.col(f"__c{min(i, j)}_{max(i, j)}") for j in range(k)] for i in range(k)], [F.col(f"__c{i}_{k}") for i in range(k)])
+    out = out.withColumns({f"beta_{x}": F.when(F.col("__full"), b) for x, b in zip(xs, slopes, strict=True)})
+    const = F.col(f"__m{k}") - sum((F.col(f"beta_{x}") * F.col(f"__m{i}") for i, x in enumerate(xs)), F.lit(0.0))
+    return out.withColumn("beta_const", F.when(F.col("__full"), const)).drop(*sums, *means, "__n", "__full")
+
+
+def rolling_fit(df: DataFrame, y: str, xs: Sequence[str], keys: Sequence[str], order: str, n: int = 52) -> DataFrame:
+    """A fit on the last n rows of each row."""
+    return window_fit(df, y, xs, keys, order, -(n - 1), 0)
+
+
+def walk_forward_models(df: DataFrame, y: str, models: dict[str, Sequence[str]], keys: Sequence[str], order: str, train: int = 78) -> DataFrame:
+    """predicted_<model> of each row from a fit on the `train` rows before it; rows without one go."""
+    out = df
+    for name, xs in models.items():
+        fitted = window_fit(out, y, xs, keys, order, -train, -1)
+        predicted = F.col("beta_const") + sum((F.col(f"beta_{x}") * F.col(x) for x in xs), F.lit(0.0))
+        out = fitted.withColumn(f"predicted_{name}", predicted).drop("beta_const", *(f"beta_{x}" for x in xs))
+    return out.where(" and ".join(f"predicted_{name} is not null" for name in models))
+
+
+def compared(df: DataFrame, keys: Sequence[str], actual: str, small: str, large: str) -> DataFrame:
+    """Errors of two nested models out of sample, the larger one's gain, and shares of right directions, that of always betting on a rise among them."""
+    e, e0 = (F.col(actual) - F.col(f"predicted_{m}") for m in (large, small))
+
+    def right(m: str) -> Column:
+        return F.avg((F.signum(actual) == F.signum(f"predicted_{m}")).cast("double"))
+
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("observations"),
+        F.sqrt(F.avg(e0 * e0)).alias(f"{small}_rmse"),
+        F.sqrt(F.avg(e * e)).alias(f"{large}_rmse"),
+        (1 - F.sum(e * e) / F.nullif(F.sum(e0 * e0), F.lit(0.0))).alias("incremental_oos_r2"),
+        right(small).alias(f"{small}_directional_accuracy"),
+        right(large).alias(f"{large}_directional_accuracy"),
+        F.avg((F.col(actual) > 0).cast("double")).alias("naive_positive_directional_accuracy"),
+    )
+
+
 def accuracy(df: DataFrame, keys: Sequence[str], actual: str, predicted: str, base: str) -> DataFrame:
     """Root mean squared errors of a forecast and a base forecast, out-of-sample gain, share of right directions."""
     e, e0 = F.col(actual) - F.col(predicted), F.col(actual) - F.col(base)

@@ -6,42 +6,18 @@ paths have no SQL; tests cover them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import asof, checks, cross_section, evaluate, portfolio, risk, windows
 from .plans import adapter, panel, research, weekly
+from .registry import QUERIES, SQL, Query, query, rounded, scratch
 from .sources import connectors, files
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 SETUP = research.Setup()
 
 
-def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
-    """Doubles rounded (own: digits of single columns), NaN as null, decimals as doubles."""
-    kinds = dict(df.dtypes)
-    return df.select(*((F.round(S.finite(F.col(c).cast("double")), own.get(c, digits)) + F.lit(0.0)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns))
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def put(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 _LINES = """lines AS (SELECT p_brand AS symbol, CAST(l_shipdate AS DATE) AS day, CAST(round(l_quantity) AS BIGINT) AS qty, CAST(round(l_extendedprice * 100) AS BIGINT) AS price,
  CAST(round(p_retailprice * 100) AS BIGINT) AS retail, CAST(round(l_discount * 100) AS BIGINT) AS disc, CAST(round(l_tax * 100) AS BIGINT) AS tax FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 _MARKET = _LINES + """, two AS (SELECT day, symbol, price, qty FROM lines UNION ALL SELECT day, 'MKT', price, qty FROM lines),
@@ -68,27 +44,28 @@ def _market(spark: SparkSession, d: str) -> DataFrame:
     return adapter.market(spark, d)
 
 
-def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return windows.history(windows.with_returns(_market(spark, d)))
+def _settled(spark: SparkSession, d: str) -> DataFrame:
+    """The market, for queries that read it more than once: a job runs while such a query is built."""
+    return research.settled(_market(spark, d))
+
 
+def _bars(spark: SparkSession, d: str, market: DataFrame | None = None) -> DataFrame:
+    return windows.history(windows.with_returns(market or _market(spark, d)))
 
-def _calendar(spark: SparkSession, d: str) -> DataFrame:
-    return windows.month_calendar(_market(spark, d).select("date"), 1)
+
+def _calendar(spark: SparkSession, d: str, market: DataFrame | None = None) -> DataFrame:
+    return windows.month_calendar((market or _market(spark, d)).select("date"), 1)
 
 
 def _cross(spark: SparkSession, d: str) -> DataFrame:
-    bars = _bars(spark, d).where(F.col("symbol") != adapter.BENCHMARK)
-    cal = _calendar(spark, d)
+    market = _settled(spark, d)
+    bars = _bars(spark, d, market).where(F.col("symbol") != adapter.BENCHMARK)
+    cal = _calendar(spark, d, market)
     rows = bars.join(F.broadcast(cal), F.col("date") == F.col("signal_date")).select("execution_date", "next_execution_date", "symbol", F.col("simple_return").alias("value"), F.col("dollar_volume").alias("adv"), adapter.group("symbol").alias("grp"))
     out = asof.close_on(asof.close_on(rows, bars, "execution_date", "a"), bars, "next_execution_date", "z")
     return out.select("execution_date", "symbol", "value", "adv", "grp", (F.col("z") / F.col("a") - 1).alias("label"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # ---- sources, sinks and checks
 
 
@@ -100,26 +77,27 @@ def s1_parquet_scan(spark, d):
 @query("SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer")
 def s2_s5_csv_round_trip(spark, d):
     df = adapter.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
-    path = f"{_scratch(spark)}.csv"
+    path = f"{scratch(spark)}.csv"
     files.write_frame(df, path)
     return files.read_csv(spark, path, df.schema)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def s3_json_round_trip(spark, d):
-    path = _scratch(spark)
+    path = scratch(spark)
     adapter.table(spark, d, "events").select("event_type", "value").write.json(path)
-    return spark.read.schema("event_type string, value double").json(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return files.read_json(spark, path, "event_type string, value double").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT 'orders' AS table_name, count(*) AS n_rows, 6 AS n_columns FROM orders UNION ALL SELECT 'lineitem', count(*), 11 FROM lineitem")
+@query("SELECT 'orders' AS table_name, count(*) AS n_rows, 6 AS n_columns, true AS stable FROM orders UNION ALL SELECT 'lineitem', count(*), 11, true FROM lineitem")
 def s9_source_record(spark, d):
-    out = None
+    rows = []
     for name in ("orders", "lineitem"):
         df = adapter.table(spark, d, name)
-        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = files.source_record(df, "tables", {"name": name})
+        other = files.source_record(df.select(*sorted(df.columns)).orderBy(df.columns[0]), "tables", {"name": name})
+        rows.append((name, one["rows"], len(one["columns"]), one["sha256"] == other["sha256"]))
+    return spark.createDataFrame(rows, "table_name string, n_rows long, n_columns int, stable boolean")
 
 
 @query()
@@ -144,14 +122,6 @@ def s12_market_connector(spark, d):
     return rounded(connectors.joined_prices(raw, adj, names, "1995-01-01", "1997-12-31").select("date", "ticker", "close_raw", "close_adjusted", "adjustment_factor"))
 
 
-@query("SELECT l_shipmode AS missing FROM (SELECT 'none' AS l_shipmode) WHERE false")
-def s15_fallback_missing(spark, d):
-    brands = adapter.table(spark, d, "part").select(F.col("p_brand").alias("symbol")).distinct()
-    primary = brands.where("symbol <> 'Brand#11'")
-    full = connectors.with_fallback(brands, primary, lambda lacking: lacking.select("symbol"))
-    return brands.join(full, "symbol", "left_anti").select(F.col("symbol").alias("missing"))
-
-
 @query("SELECT CAST(a AS DATE) AS a, CAST(least(a + INTERVAL 9 DAY, DATE '1996-03-15') AS DATE) AS z FROM generate_series(DATE '1996-01-01', DATE '1996-03-15', INTERVAL 10 DAY) t(a)")
 def s25_date_chunks(spark, d):
     one = spark.range(1).select(F.to_date(F.lit("1996-01-01")).alias("a0"), F.to_date(F.lit("1996-03-15")).alias("z0"))
@@ -355,8 +325,11 @@ def o7_intersect(spark, d):
 
 @query(f"WITH {_MARKET} SELECT date, symbol AS ticker, 'close' AS field, round(close_adj, 6) AS value FROM market UNION ALL SELECT date, symbol, 'volume', volume FROM market")
 def o8_unpivot(spark, d):
-    out = _market(spark, d).select("date", F.col("symbol").alias("ticker"), F.col("close_adj").alias("close"), "volume").unpivot(["date", "ticker"], ["close", "volume"], "field", "value")
-    return rounded(out)
+    m = _settled(spark, d)
+    names = sorted(r.symbol for r in m.select("symbol").distinct().collect())  # the columns of a provider's wide frame
+    wide = m.groupBy("date").agg(*(F.max(F.when(F.col("symbol") == t, F.col(c))).alias(f"{f}__{t}") for f, c in (("close", "close_adj"), ("volume", "volume")) for t in names))
+    long = connectors.long_prices(wide, ("close", "volume"))
+    return rounded(long.unpivot(["date", "ticker"], ["close", "volume"], "field", "value").where("value is not null"))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS y, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
@@ -382,7 +355,7 @@ def j1_j2_j13_equi_joins(spark, d):
 
 @query(f"WITH {_BARS} SELECT a.date, a.symbol, round(a.simple_return, 6) AS asset, round(b.simple_return, 6) AS benchmark FROM bars a JOIN bars b ON a.date = b.date AND b.symbol = 'MKT' WHERE a.symbol <> 'MKT' AND a.simple_return IS NOT NULL AND b.simple_return IS NOT NULL")
 def j4_benchmark_align(spark, d):
-    b = _bars(spark, d)
+    b = _bars(spark, d, _settled(spark, d))
     m = b.where("symbol = 'MKT'").select("date", F.col("simple_return").alias("benchmark"))
     return rounded(b.where("symbol <> 'MKT'").join(m, "date").select("date", "symbol", F.col("simple_return").alias("asset"), "benchmark").na.drop())
 
@@ -416,13 +389,14 @@ def c8_c9_c10_quality_growth(spark, d):
 
 @query(f"WITH {_BARS}, {_CALENDAR} SELECT c.signal_date, b.symbol, max(b.date) AS date, round(max_by(b.close_adj, b.date), 6) AS close_adj FROM calendar c JOIN bars b ON b.date <= c.signal_date GROUP BY 1, 2")
 def j7_price_asof(spark, d):
-    return rounded(asof.last_known(_calendar(spark, d), _bars(spark, d)).select("signal_date", "symbol", "date", "close_adj"))
+    m = _settled(spark, d)
+    return rounded(asof.last_known(_calendar(spark, d, m), _bars(spark, d, m)).select("signal_date", "symbol", "date", "close_adj"))
 
 
 @query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN} SELECT k.execution_date, k.symbol, round(a.close_adj, 6) AS label_start_close_adj, round(z.close_adj / a.close_adj - 1, 6) AS forward_return, round(z.close_adj / a.close_adj - mz.close_adj / ma.close_adj, 6) AS forward_excess_return FROM known k LEFT JOIN market a ON a.date = k.execution_date AND a.symbol = k.symbol LEFT JOIN market z ON z.date = k.next_execution_date AND z.symbol = k.symbol LEFT JOIN market ma ON ma.date = k.execution_date AND ma.symbol = 'MKT' LEFT JOIN market mz ON mz.date = k.next_execution_date AND mz.symbol = 'MKT'")
 def j8_w21_labels(spark, d):
-    m = _market(spark, d)
-    known = asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d))
+    m = _settled(spark, d)
+    known = asof.membership_asof(_calendar(spark, d, m), adapter.memberships(spark, d))
     return rounded(panel.labels(known, m, adapter.BENCHMARK).select("execution_date", "symbol", "label_start_close_adj", "forward_return", "forward_excess_return"))
 
 
@@ -536,7 +510,7 @@ def c15_quantile_zscore(spark, d):
 
 @query(f"WITH {_BARS}, x AS (SELECT a.date, a.symbol, a.simple_return AS y, b.simple_return AS x FROM bars a JOIN bars b ON b.date = a.date AND b.symbol = 'MKT' WHERE a.symbol <> 'MKT' AND a.simple_return IS NOT NULL AND b.simple_return IS NOT NULL), w AS (SELECT *, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, count(*) OVER w AS n, list({{'x': x, 'y': y}}) OVER w AS l FROM x WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS 25 PRECEDING)) SELECT date, symbol, round(b, 5) AS beta_6m, round(sqrt(list_sum([pow(p.y - a - b * p.x, 2) for p in l]) / (n - 1)) * sqrt(52), 5) AS idio_volatility_6m, n AS beta_observations FROM w WHERE n >= 20")
 def a10_beta_idio(spark, d):
-    bars = _bars(spark, d)
+    bars = _bars(spark, d, _settled(spark, d))
     m = bars.where("symbol = 'MKT'").select("date", F.col("simple_return").alias("benchmark_return"))
     out = windows.beta(bars.where("symbol <> 'MKT'").join(m, "date", "left"), 26, 20, 52)
     return rounded(out.where("beta_6m is not null and simple_return is not null and benchmark_return is not null").select("date", "symbol", "beta_6m", "idio_volatility_6m", "beta_observations"), 5)
@@ -544,13 +518,15 @@ def a10_beta_idio(spark, d):
 
 @query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, br AS (SELECT date, symbol, close_adj / lag(close_adj) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM market) SELECT k.signal_date, b.date, round(sum(r * benchmark_weight) / sum(benchmark_weight) FILTER (r IS NOT NULL), 6) AS benchmark_return FROM known k JOIN br b ON b.symbol = k.symbol AND b.date <= k.signal_date GROUP BY 1, 2")
 def a19_member_benchmark(spark, d):
-    return rounded(panel.member_benchmark(_market(spark, d), asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d))))
+    m = _settled(spark, d)
+    return rounded(panel.member_benchmark(m, asof.membership_asof(_calendar(spark, d, m), adapter.memberships(spark, d))))
 
 
 @query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, l AS (SELECT k.*, z.close_adj / a.close_adj - 1 AS f FROM known k JOIN market a ON a.date = k.execution_date AND a.symbol = k.symbol JOIN market z ON z.date = k.next_execution_date AND z.symbol = k.symbol) SELECT execution_date, round(sum(f * benchmark_weight) / sum(benchmark_weight), 6) AS benchmark_forward_return FROM l GROUP BY 1")
 def a18_weighted_label(spark, d):
-    known = asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d))
-    out = panel.labels(known, _market(spark, d), None).where("forward_return is not null")
+    m = _settled(spark, d)
+    known = asof.membership_asof(_calendar(spark, d, m), adapter.memberships(spark, d))
+    out = panel.labels(known, m, None).where("forward_return is not null")
     return rounded(out.select("execution_date", F.round("benchmark_forward_return", 9).alias("benchmark_forward_return")).distinct())
 
 
@@ -605,22 +581,18 @@ def _all_months(spark: SparkSession, d: str) -> DataFrame:
     return asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d)).select("signal_date", "symbol")
 
 
-def _months(spark: SparkSession, d: str) -> DataFrame:
-    """The slice that the SQL of a8_a9_j14_covariance covers."""
-    return _all_months(spark, d).where("signal_date between '1997-01-01' and '1998-12-31'")
+_COVARIANCE = f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, mo AS (SELECT signal_date, symbol FROM known), dt AS (SELECT DISTINCT mo.signal_date, m.date FROM mo JOIN market m ON m.symbol = mo.symbol AND m.date <= mo.signal_date), kp AS (SELECT * FROM dt QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY date DESC) <= 41), gr AS (SELECT mo.signal_date, mo.symbol, kp.date, m.close_adj FROM mo JOIN kp ON kp.signal_date = mo.signal_date LEFT JOIN market m ON m.symbol = mo.symbol AND m.date = kp.date), rt AS (SELECT signal_date, symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY signal_date, symbol ORDER BY date) - 1 AS r FROM gr), pr AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.r, b.r) AS c FROM rt a JOIN rt b ON a.signal_date = b.signal_date AND a.date = b.date AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20), na AS (SELECT DISTINCT signal_date, symbol FROM rt), fl AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, pr.c FROM na a JOIN na b ON a.signal_date = b.signal_date AND a.symbol <= b.symbol LEFT JOIN pr ON pr.signal_date = a.signal_date AND pr.sym_i = a.symbol AND pr.sym_j = b.symbol), md AS (SELECT signal_date, median(c) AS m FROM fl WHERE sym_i = sym_j GROUP BY 1) SELECT fl.signal_date, sym_i, sym_j, round(CASE WHEN sym_i = sym_j THEN greatest(coalesce(c, m, 1e-8), 1e-8) ELSE 0.65 * coalesce(c, 0) END * 52, 5) AS cov FROM fl JOIN md ON md.signal_date = fl.signal_date"
 
 
-@query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, mo AS (SELECT signal_date, symbol FROM known WHERE signal_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'), dt AS (SELECT DISTINCT mo.signal_date, m.date FROM mo JOIN market m ON m.symbol = mo.symbol AND m.date <= mo.signal_date), kp AS (SELECT * FROM dt QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY date DESC) <= 41), gr AS (SELECT mo.signal_date, mo.symbol, kp.date, m.close_adj FROM mo JOIN kp ON kp.signal_date = mo.signal_date LEFT JOIN market m ON m.symbol = mo.symbol AND m.date = kp.date), rt AS (SELECT signal_date, symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY signal_date, symbol ORDER BY date) - 1 AS r FROM gr), pr AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.r, b.r) AS c, count(*) AS n FROM rt a JOIN rt b ON a.signal_date = b.signal_date AND a.date = b.date AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2, 3) SELECT signal_date, sym_i, sym_j, round(CASE WHEN sym_i = sym_j THEN greatest(c, 1e-8) ELSE 0.65 * c END * 52, 5) AS cov FROM pr WHERE n >= 20")
+@query(_COVARIANCE)
 def a8_a9_j14_covariance(spark, d):
-    cov = risk.covariance(risk.recent_returns(_market(spark, d), _months(spark, d), 40), 40, 0.35, 52)
-    return rounded(cov, 5)
+    returns = risk.recent_returns(_settled(spark, d), research.settled(_all_months(spark, d)), 40)
+    return rounded(risk.covariance(research.settled(returns), 40, 0.35, 52), 5)
 
 
-@query(f"WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, mo AS (SELECT signal_date, symbol FROM known), dt AS (SELECT DISTINCT mo.signal_date, m.date FROM mo JOIN market m ON m.symbol = mo.symbol AND m.date <= mo.signal_date), kp AS (SELECT * FROM dt QUALIFY row_number() OVER (PARTITION BY signal_date ORDER BY date DESC) <= 41), gr AS (SELECT mo.signal_date, mo.symbol, kp.date, m.close_adj FROM mo JOIN kp ON kp.signal_date = mo.signal_date LEFT JOIN market m ON m.symbol = mo.symbol AND m.date = kp.date), rt AS (SELECT signal_date, symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY signal_date, symbol ORDER BY date) - 1 AS r FROM gr), pr AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, covar_samp(a.r, b.r) AS c FROM rt a JOIN rt b ON a.signal_date = b.signal_date AND a.date = b.date AND a.symbol <= b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= 20), na AS (SELECT DISTINCT signal_date, symbol FROM rt), fl AS (SELECT a.signal_date, a.symbol AS sym_i, b.symbol AS sym_j, pr.c FROM na a JOIN na b ON a.signal_date = b.signal_date AND a.symbol <= b.symbol LEFT JOIN pr ON pr.signal_date = a.signal_date AND pr.sym_i = a.symbol AND pr.sym_j = b.symbol), md AS (SELECT signal_date, median(c) AS m FROM fl WHERE sym_i = sym_j GROUP BY 1) SELECT fl.signal_date, sym_i, sym_j, round(CASE WHEN sym_i = sym_j THEN greatest(coalesce(c, m, 1e-8), 1e-8) ELSE 0.65 * coalesce(c, 0) END * 52, 5) AS cov FROM fl JOIN md ON md.signal_date = fl.signal_date")
+@query(_COVARIANCE)
 def a8_a9_j14_covariance_all_months(spark, d):
-    returns = risk.recent_returns(research.settled(_market(spark, d)), research.settled(_all_months(spark, d)), 40)
-    cov = risk.covariance(research.settled(returns), 40, 0.35, 52)
-    return rounded(cov, 5)
+    return a8_a9_j14_covariance(spark, d)
 
 
 @query(f"WITH {_CROSS}, b AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY execution_date) AS w FROM cross_ WHERE value IS NOT NULL), t AS (SELECT *, w * exp(0.5 * least(greatest(value * 10, -4), 4)) AS t FROM b), g AS (SELECT *, t * sum(w) OVER (PARTITION BY execution_date, grp) / sum(t) OVER (PARTITION BY execution_date, grp) AS raw FROM t) SELECT execution_date, symbol, round(raw / sum(raw) OVER (PARTITION BY execution_date), 6) AS raw_weight FROM g")
@@ -682,8 +654,12 @@ def x8_x12_bootstrap_quantiles(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import source_queries  # noqa: F401  registers its own
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import source_queries  # noqa: F401
+
+    return dict(SQL)

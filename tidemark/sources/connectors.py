@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -39,13 +39,18 @@ def member_symbols(members: DataFrame) -> DataFrame:
     return members.select(F.lpad(F.col("symbol").cast("string"), 6, "0").alias("symbol")).where("symbol is not null").distinct()
 
 
+def utc_date(text: Column) -> Column:
+    """The day in UTC of a timestamp's text, whatever its offset; null where it can't be read."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.try_to_timestamp(text)) / 86_400).cast("int"))
+
+
 def long_prices(wide: DataFrame, fields: Sequence[str], day: str = "date", sep: str = "__") -> DataFrame:
     """A wide frame with columns field__ticker as date, ticker, and a column for each field."""
     cols = [c for c in wide.columns if sep in c]
     long = wide.unpivot(day, cols, "__name", "__value") if cols else None
     if long is None:
         raise ValueError("no column names a field and a ticker")
-    parts = long.select(F.to_date(day).alias("date"), F.split("__name", sep)[0].alias("field"), F.split("__name", sep)[1].alias("ticker"), F.col("__value").cast("double").alias("value"))
+    parts = long.select((utc_date(F.col(day)) if dict(wide.dtypes)[day] == "string" else F.to_date(day)).alias("date"), F.split("__name", sep)[0].alias("field"), F.split("__name", sep)[1].alias("ticker"), F.col("__value").cast("double").alias("value"))
     return parts.groupBy("date", "ticker").agg(*(F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields))
 
 
@@ -68,6 +73,36 @@ def with_fallback(wanted: DataFrame, primary: DataFrame, fallback: Callable[[Dat
     return out
 
 
+def fallback_prices(wanted: DataFrame, raw: DataFrame, adjusted: DataFrame, start: str, end: str) -> tuple[DataFrame, DataFrame]:
+    """Bars of the wanted symbols (raw and adjusted frames by symbol), and the symbols that failed, with the reason."""
+    own = [f.join(wanted, "symbol", "left_semi").withColumnRenamed("symbol", "ticker") for f in (raw, adjusted)]
+    bars = joined_prices(*own, wanted.select(F.col("symbol").alias("ticker"), "symbol"), start, end)
+    seen = [f.select(F.col("ticker").alias("symbol")).distinct().withColumn(n, F.lit(True)) for f, n in zip(own, ("__raw", "__adjusted"), strict=True)]
+    lacking = wanted.join(bars.select("symbol").distinct(), "symbol", "left_anti").join(seen[0], "symbol", "left").join(seen[1], "symbol", "left")
+    reason = F.when(F.col("__raw").isNull(), "no raw prices").when(F.col("__adjusted").isNull(), "no adjusted prices").otherwise("no common days in the window")
+    return bars, lacking.select("symbol", reason.alias("reason"))
+
+
+def from_providers(wanted: DataFrame, providers: Mapping[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Each symbol's rows from the first provider that has any, and the ledger (symbol, provider; null where none has)."""
+    every = None
+    for k, (name, frame) in enumerate(providers.items()):
+        one = frame.join(wanted, "symbol", "left_semi").withColumns({"__k": F.lit(k), "provider": F.lit(name)})
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    best = every.withColumn("__best", F.min("__k").over(Window.partitionBy("symbol"))).where("__k = __best").drop("__k", "__best")
+    return best, wanted.join(best.select("symbol", "provider").distinct(), "symbol", "left")
+
+
+def futures_series(frame: DataFrame, symbol: str, variety: str, start: str, end: str, rule: str = "main_continuous") -> DataFrame:
+    """A provider's continuous contract: the window of days, numbers from text, a row a day."""
+    out = frame.withColumnsRenamed({"hold": "open_interest"})
+    numbers = ("open", "high", "low", "close", "volume", "open_interest", "settle")
+    require_columns(out, ("date", *numbers), symbol)
+    out = out.select(F.to_date("date").alias("date"), *(F.col(c).cast("string").try_cast("double").alias(c) for c in numbers))
+    out = out.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return latest(out, ("date",), [F.asc(c) for c in numbers]).withColumns({"symbol": F.lit(symbol), "variety": F.lit(variety), "selection_rule": F.lit(rule)})
+
+
 def fundamentals(frame: DataFrame, names: dict[str, str], cutoff: str, numbers: Iterable[str]) -> DataFrame:
     """Filings under canonical names; text becomes numbers, what isn't public at the cutoff goes, of repeated versions one stays."""
     out = frame.withColumnsRenamed(names)

@@ -25,8 +25,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """A JSON document or array for each file; with a schema, a record for each line, read in parallel."""
+    return spark.read.schema(schema).json(path) if schema else spark.read.option("multiLine", True).json(path)
 
 
 def load_config(path: str, sections: Iterable[str] = ()) -> dict[str, Any]:
@@ -72,6 +73,10 @@ def _replace(path: str, text: str) -> None:
     os.replace(tmp, path)
 
 
+def write_text(path: str, text: str) -> None:
+    _replace(path, text)
+
+
 def write_json(path: str, value: Any) -> None:
     _replace(path, json.dumps(json_ready(value), indent=2, sort_keys=True, allow_nan=False) + "\n")
 
@@ -95,7 +100,9 @@ def content_digest(df: DataFrame) -> DataFrame:
     """
     cols = sorted(df.columns)
     head = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in cols)
-    text = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in cols))
+    # every value follows its length, so that no two rows give one text
+    values = [F.col(c).cast("string") for c in cols]
+    text = F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values))
     sha = F.sha2(text, 256)
     summed = df.select(sha.alias("s")).select(*(F.conv(F.substring("s", 1 + 12 * k, 12), 16, 10).cast("decimal(38,0)").alias(f"p{k}") for k in range(5)))
     out = summed.agg(F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(f"p{k}"), F.lit(0)).cast("string").alias(f"p{k}") for k in range(5)))
