@@ -1,0 +1,385 @@
+"""Queries of sources, sinks, checks, costs, attribution and the command line, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import tempfile
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import cli
+from .functions import scalars as S
+from .operators import asof, checks, cross_section, portfolio, risk
+from .plans import adapter, assets, panel, report, research, weekly
+from .queries import _LEGS, _WEEKS, _legs, _weeks
+from .registry import query, rounded
+from .sources import connectors, files
+
+DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS symbol, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100.0 / count(*) AS close_adj FROM orders GROUP BY 1, 2)"
+
+
+def _folder() -> str:
+    """A folder of the driver, for its small files."""
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+# ---- configuration, JSON, manifests, retries, files
+
+
+@query("SELECT * FROM (VALUES ('evaluation', 2), ('project', 2), ('lacking', 0)) t(section, n_keys)")
+def s4_config(spark, d):
+    path = f"{_folder()}/config.yaml"
+    files.write_text(path, "project:\n  input: x\n  output: y\nevaluation:\n  design_end: '1998-12-31'\n  validation_end: '2000-06-30'\n")
+    rows = [(k, len(v)) for k, v in files.load_config(path, ("project", "evaluation")).items()]
+    try:
+        files.load_config(path, ("costs",))
+    except ValueError:
+        rows.append(("lacking", 0))
+    return spark.createDataFrame(rows, "section string, n_keys int")
+
+
+@query("SELECT r_name AS name, CASE WHEN r_regionkey % 2 = 1 THEN r_regionkey * 1.5 END AS value, '1995-01-0' || (r_regionkey + 1) AS day FROM region")
+def s6_c23_strict_json(spark, d):
+    rows = adapter.table(spark, d, "region").collect()  # five rows
+    values = [{"name": r.r_name, "value": r.r_regionkey * 1.5 if r.r_regionkey % 2 else float("nan"), "day": pd.Timestamp(1995, 1, r.r_regionkey + 1).date()} for r in rows]
+    path = f"{_folder()}/values.json"
+    files.write_json(path, values)
+    return files.read_json(spark, f"file://{path}").select("name", F.col("value").cast("double").alias("value"), "day")
+
+
+@query("SELECT n_name AS key, n_regionkey * 10 AS rows FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT n_name, -1 FROM nation WHERE n_regionkey = 2")
+def s7_s8_manifest(spark, d):
+    path = f"{_folder()}/manifest.json"
+    nations = adapter.table(spark, d, "nation").collect()  # 25 rows
+    files.write_manifest(path, {"gone": {"rows": 0}})
+    files.write_manifest(path, {n.n_name: {"rows": n.n_regionkey * 10} for n in nations}, merge=False)
+    for n in nations:
+        if n.n_regionkey == 2:
+            files.update_manifest(path, n.n_name, {"rows": -1})
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        return spark.createDataFrame([(k, int(v["rows"])) for k, v in json.load(f).items()], "key string, rows long")
+
+
+@query("SELECT * FROM (VALUES ('calls', 3.0), ('waits', 3.0), ('wrong kind', 1.0)) t(what, value)")
+def s10_retries(spark, d):
+    calls, waits = [], []
+
+    def flaky() -> int:
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return 1
+
+    files.with_retries(flaky, int, 3, 1.0, waits.append)
+    rows = [("calls", float(len(calls))), ("waits", sum(waits))]
+    try:
+        files.with_retries(lambda: "text", int, 1)
+    except TypeError:
+        rows.append(("wrong kind", 1.0))
+    return spark.createDataFrame(rows, "what string, value double")
+
+
+@query("SELECT r_name AS name, r_regionkey <> 1 AND r_regionkey <> 3 AS ok FROM region")
+def s20_file_digests(spark, d):
+    folder, rows = _folder(), []
+    for r in adapter.table(spark, d, "region").collect():  # five rows
+        raw = r.r_name.encode()
+        rows.append((r.r_name, hashlib.sha256(raw).hexdigest()))
+        if r.r_regionkey != 3:
+            with open(os.path.join(folder, r.r_name), "wb") as f:
+                f.write(raw + b"!" * (r.r_regionkey == 1))
+    return files.verify_files(spark, f"file://{folder}", spark.createDataFrame(rows, "name string, sha256 string")).select("name", "ok")
+
+
+# ---- connectors
+
+
+@query(f"WITH {DAILY} SELECT symbol, CASE symbol WHEN '1-URGENT' THEN 'no raw prices' WHEN '2-HIGH' THEN 'no adjusted prices' END AS reason, 0 AS bars FROM (SELECT DISTINCT symbol FROM daily) WHERE symbol IN ('1-URGENT', '2-HIGH') UNION ALL SELECT symbol, NULL, count(*) FROM daily WHERE symbol NOT IN ('1-URGENT', '2-HIGH') AND date <= DATE '1997-12-31' AND date >= DATE '1995-01-01' GROUP BY 1")
+def s13_fallback_prices(spark, d):
+    day = adapter.orders_daily(spark, d)
+    bars = day.select("date", "symbol", *(F.col("close_adj").alias(c) for c in ("open", "high", "low", "close", "volume")))
+    found, failed = connectors.fallback_prices(day.select("symbol").distinct(), bars.where("symbol <> '1-URGENT'"), bars.where("symbol <> '2-HIGH'"), "1995-01-01", "1997-12-31")
+    return found.groupBy("symbol").agg(F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("bars")).unionByName(failed.withColumn("bars", F.lit(0).cast("long")))
+
+
+@query("SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS symbol, CAST(o_orderdate AS DATE) AS report_date, CAST(o_orderdate AS DATE) + 45 AS notice_date, count(*) > 0 AS there, round(max(o_totalprice), 2) AS revenue FROM orders WHERE CAST(o_orderdate AS DATE) + 45 <= DATE '1998-06-30' GROUP BY 1, 2, 3")
+def s14_filings_connector(spark, d):
+    o = adapter.table(spark, d, "orders").groupBy("o_custkey", F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("x"))
+    text = F.concat(F.format_number("x", 2), F.lit(""))
+    raw = o.select(F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("SECURITY_CODE"), F.col("day").cast("string").alias("REPORT_DATE"), F.date_add("day", 45).cast("string").alias("NOTICE_DATE"), text.alias("TOTAL_OPERATE_INCOME"))
+    both = raw.unionByName(raw)  # providers repeat rows
+    names = {"SECURITY_CODE": "symbol", "REPORT_DATE": "report_date", "NOTICE_DATE": "notice_date", "TOTAL_OPERATE_INCOME": "revenue"}
+    out = connectors.fundamentals(both, names, "1998-06-30", ("revenue",))
+    return rounded(out.select("symbol", "report_date", "notice_date", F.col("available_date").isNotNull().alias("there"), "revenue"), 2)
+
+
+@query(f"WITH {DAILY}, s AS (SELECT symbol, count(*) AS n FROM daily GROUP BY 1) SELECT symbol, n AS rows, CASE WHEN symbol = '5-LOW' THEN 'fallback' ELSE 'primary' END AS provider FROM s")
+def s15_fallback_missing(spark, d):
+    """Prices of all symbols, those that the primary provider lacks from the fallback; tables and manifest are written and read again."""
+    day = adapter.orders_daily(spark, d)
+    wanted, primary = day.select("symbol").distinct(), day.where("symbol <> '5-LOW'").withColumn("provider", F.lit("primary"))
+
+    def fallback(lacking: DataFrame) -> DataFrame:
+        return day.join(lacking, "symbol", "left_semi").withColumn("provider", F.lit("fallback"))
+
+    folder = _folder()
+    records = assets.collect_assets(folder, wanted, primary, fallback, adapter.fundamentals(spark, d), adapter.memberships(spark, d), {"as_of": "2001-12-31"})
+    market = files.read_parquet(spark, f"{folder}/market_daily.parquet")
+    checks.require_columns(market, ("date", "symbol", "close_adj"), "market")
+    out = market.groupBy("symbol", "provider").agg(F.count(F.lit(1)).alias("rows"))
+    return out.where(F.lit(records["market_daily"]["rows"]) == market.count())
+
+
+@query("SELECT n_name AS symbol, CASE WHEN n_regionkey < 2 THEN 'first' WHEN n_regionkey < 4 THEN 'second' END AS provider FROM nation")
+def s16_provider_ledger(spark, d):
+    n = adapter.table(spark, d, "nation").select(F.col("n_name").alias("symbol"), "n_regionkey")
+    return connectors.from_providers(n.select("symbol"), {"first": n.where("n_regionkey < 2"), "second": n.where("n_regionkey < 4")})[1]
+
+
+@query(f"WITH {DAILY} SELECT date, round(close_adj, 6) AS close, round(close_adj * 2, 6) AS high, 'urgent' AS name, 'focal' AS segment FROM daily WHERE symbol = '1-URGENT'")
+def s17_market_frame(spark, d):
+    day = adapter.orders_daily(spark, d).where("symbol = '1-URGENT'")
+    text = {"开盘": "close_adj", "最低": "close_adj", "收盘": "close_adj", "成交量": "close_adj"}
+    raw = day.select(F.col("date").cast("string").alias("日期"), (F.col("close_adj") * 2).cast("string").alias("最高"), *(F.col(c).cast("string").alias(k) for k, c in text.items()))
+    return rounded(connectors.market_frame(raw.unionByName(raw), "000001", "urgent", "focal").select("date", "close", "high", "name", "segment"))
+
+
+@query(f"WITH {DAILY} SELECT date, round(close_adj, 6) AS settle, round(close_adj, 6) AS open_interest, 'LC0' AS symbol, 'LC' AS variety FROM daily WHERE symbol = '2-HIGH' AND date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
+def s18_futures_series(spark, d):
+    day = adapter.orders_daily(spark, d).where("symbol = '2-HIGH'")
+    raw = day.select(F.col("date").cast("string").alias("date"), *(F.col("close_adj").cast("string").alias(c) for c in ("open", "high", "low", "close", "volume", "hold", "settle")))
+    return rounded(connectors.futures_series(raw.unionByName(raw), "LC0", "LC", "1996-01-01", "1999-12-31").select("date", "settle", "open_interest", "symbol", "variety"))
+
+
+@query("SELECT DISTINCT CAST(last_day(CAST(o_orderdate AS DATE)) AS DATE) AS report_date FROM orders WHERE month(o_orderdate) = 12 AND last_day(CAST(o_orderdate AS DATE)) >= DATE '1996-12-31' AND last_day(CAST(o_orderdate AS DATE)) + 60 <= DATE '2000-06-30'")
+def s19_annual_reports(spark, d):
+    o = adapter.table(spark, d, "orders").select(F.last_day(F.to_date("o_orderdate")).alias("report_date")).distinct()
+    return connectors.annual_reports(o.withColumn("notice_date", F.date_add("report_date", 60)), "2000-06-30", "1996-12-31").select("report_date")
+
+
+@query("WITH r AS (SELECT r_name, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1), t AS (SELECT row_number() OVER (ORDER BY r_name) AS k, '| ' || r_name || ' | ' || nations || ' |' AS line FROM r) SELECT k + 9 AS k, line FROM t UNION ALL SELECT * FROM (VALUES (1, '# Regions'), (3, '- tables: 2'), (5, '## Nations'), (7, 'By region.'), (9 - 1, ''), (9, '|---|---|')) u(k, line) WHERE k <> 8")
+def s21_report(spark, d):
+    r = adapter.table(spark, d, "region").join(adapter.table(spark, d, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    table = r.groupBy("r_name").agg(F.count(F.lit(1)).alias("nations")).orderBy("r_name")
+    path = f"{_folder()}/report.md"
+    report.write_report(path, report.report("Regions", [("Nations", "By region.", table)], {"tables": 2}))
+    with open(path, encoding="utf-8") as f:
+        lines = [x for x in f.read().split("\n") if not x.startswith("| r_name")]
+    return spark.createDataFrame([(k + 1, x) for k, x in enumerate(lines) if x], "k int, line string")
+
+
+@query(f"WITH {_LEGS} SELECT leg, round(avg(leg_return), 6) AS mean_return FROM legs GROUP BY 1")
+def s22_chart_frames(spark, d):
+    return rounded(report.quantile_bars(_legs(spark, d)).drop("signal"))
+
+
+@query(f"WITH {DAILY}, f AS (SELECT count(DISTINCT symbol) AS s FROM daily) SELECT 'download' AS command, count(*) AS n FROM daily UNION ALL SELECT 'build', s FROM f")
+def s23_s24_command_line(spark, d):
+    folder = _folder()
+    files.write_text(f"{folder}/config.yaml", f"project:\n  input: {d}\n  output: {folder}/out\n")
+    found = [cli.main([c, "--config", f"{folder}/config.yaml"], spark) for c in ("download", "build")]
+    return spark.createDataFrame([("download", found[0]["rows"]), ("build", found[1]["series"])], "command string, n long")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN NULL ELSE DATE '1996-02-28' + CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 1 END END AS day FROM nation")
+def c24_utc_dates(spark, d):
+    text = F.element_at(F.array(F.lit("1996-02-28T20:30:00-05:00"), F.lit("1996-03-01 01:00:00+00:00"), F.lit("no date")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    return adapter.table(spark, d, "nation").select("n_nationkey", connectors.utc_date(text).alias("day"))
+
+
+# ---- checks, joins, order
+
+
+@query("SELECT p_partkey AS part, p_brand AS brand, p_retailprice AS price FROM part")
+def f1_f2_f3_columns(spark, d):
+    p = checks.rename_aliases(adapter.table(spark, d, "part"), {"part": "p_partkey", "brand": "p_brand", "p_size": "p_name"})
+    price = checks.first_present(p, ("close", "p_retailprice", "p_size"), "part")
+    return checks.require_columns(p, ("part", "brand", "p_size"), "part").select("part", "brand", F.col(price).alias("price"))
+
+
+@query("SELECT * FROM (VALUES ('columns', true), ('candidates', true), ('splits', true), ('repeated key', true), ('domain', true), ('late', true), ('families', true)) t(contract, raised)")
+def f1_f3_f15_broken_contracts(spark, d):
+    """Each contract on inputs, broken on purpose."""
+    n = adapter.table(spark, d, "nation")
+    broken = {
+        "columns": lambda: checks.require_columns(n, ("nothing",), "nation"),
+        "candidates": lambda: checks.first_present(n, ("x", "y"), "nation"),
+        "splits": lambda: research.Setup(design_end="2000-01-01", validation_end="1999-01-01"),
+        "repeated key": lambda: checks.require_unique(n, ["n_regionkey"], "nation"),
+        "domain": lambda: checks.require_domain(n, {"positive": F.col("n_nationkey") > 0}, "nation"),
+        "late": lambda: checks.require_point_in_time({"orders": (adapter.table(spark, d, "orders"), "o_orderdate")}, "1990-01-01"),
+        "families": lambda: cross_section.composite(n, {"a": ["n_nationkey"]}, {}, 0.5, 1),
+    }
+
+    def raises(call) -> bool:
+        try:
+            call()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(k, raises(v)) for k, v in broken.items()], "contract string, raised boolean")
+
+
+@query("SELECT c_custkey, least(greatest(c_acctbal, 0), 5000) AS clipped, coalesce(CASE WHEN c_nationkey > 5 THEN c_acctbal END, 1.0) AS filled FROM customer")
+def f13_coalesce_clip(spark, d):
+    c = adapter.table(spark, d, "customer")
+    return c.select("c_custkey", S.clip(F.col("c_acctbal"), 0.0, 5000.0).alias("clipped"), F.coalesce(F.when(F.col("c_nationkey") > 5, F.col("c_acctbal")), F.lit(1.0)).alias("filled"))
+
+
+_SCORES = "x AS (SELECT c_custkey AS k, c_acctbal / 1000 AS a, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey / 5.0 END AS b, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 7 - 3.0 END AS c FROM customer)"
+
+
+@query(
+    f"WITH {_SCORES}, f AS (SELECT k, CASE WHEN b IS NOT NULL THEN (a + b) / 2 ELSE NULL END AS quality, -c AS risk, a AS growth FROM x), g AS (SELECT *, CAST(quality IS NOT NULL AS INT) + CAST(risk IS NOT NULL AS INT) + 1 AS n FROM f)"
+    " SELECT k, round(quality, 6) AS quality_score, round(risk, 6) AS low_risk_score, n AS available_signal_families, CASE WHEN n >= 2 THEN round((coalesce(quality * 0.5, 0) + coalesce(risk * 0.25, 0) + growth * 0.25) / (CASE WHEN quality IS NULL THEN 0 ELSE 0.5 END + CASE WHEN risk IS NULL THEN 0 ELSE 0.25 END + 0.25), 6) END AS composite_score FROM g"
+)
+def c16_f17_composite(spark, d):
+    c = adapter.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("k"), (F.col("c_acctbal") / 1000).alias("a"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey") / 5.0).alias("b"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 7 - 3.0).cast("double").alias("c")
+    )
+    out = cross_section.composite(c, {"quality": ["a", "b"], "low_risk": ["c"], "growth": ["a"]}, {"quality": 0.5, "low_risk": 0.25, "growth": 0.25}, 0.6, 2)
+    return rounded(out.select("k", "quality_score", "low_risk_score", "available_signal_families", "composite_score"))
+
+
+@query("SELECT c_custkey, coalesce(c_nationkey >= 5 AND CASE WHEN c_custkey % 4 > 0 THEN c_acctbal END >= 1000, false) AS systematic_eligible, round(c_acctbal / sqrt(252), 6) AS volatility_63d FROM customer")
+def f11_c13_eligibility(spark, d):
+    z = {c: F.lit(1.0) for names in panel.FAMILIES.values() for c in names}
+    c = adapter.table(spark, d, "customer").withColumns({**z, "market_history_days": F.col("c_nationkey"), "adv_20d": F.when(F.col("c_custkey") % 4 > 0, F.col("c_acctbal")), "beta_6m": F.lit(1.0), "volatility_3m": F.col("c_acctbal")})
+    return rounded(panel.composite(c, 5, 1000.0).select("c_custkey", "systematic_eligible", "volatility_63d"))
+
+
+@query("SELECT n_name, r_name FROM nation LEFT JOIN region ON n_nationkey = r_regionkey")
+def j3_one_to_one(spark, d):
+    n, r = adapter.table(spark, d, "nation"), adapter.table(spark, d, "region")
+    return asof.one_to_one(n.select(F.col("n_nationkey").alias("k"), "n_name"), r.select(F.col("r_regionkey").alias("k"), "r_name"), ["k"], "nations").select("n_name", "r_name")
+
+
+@query("SELECT n_nationkey + 3 AS k, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey + 3")
+def j16_reindex(spark, d):
+    keys = adapter.table(spark, d, "nation").select((F.col("n_nationkey") + 3).alias("k"))
+    rows = adapter.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return asof.reindexed(keys, rows, ["k"]).select("k", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS place FROM orders")
+def o1_stable_sort(spark, d):
+    """Rows of equal dates in order of their key: the order is total, so it doesn't depend on how rows arrive."""
+    w = Window.partitionBy("o_orderpriority").orderBy(F.to_date("o_orderdate"), "o_orderkey")
+    return adapter.table(spark, d, "orders").repartition(7).select("o_orderkey", F.row_number().over(w).alias("place"))
+
+
+# ---- costs, risk, annual figures
+
+
+@query(
+    "WITH t AS (SELECT s_nationkey AS g, s_acctbal / 100000 AS trade, CASE WHEN s_suppkey % 5 > 0 THEN 1e6 * (1 + s_suppkey % 7) END AS adv, CASE WHEN s_suppkey % 3 > 0 THEN 0.01 * (1 + s_suppkey % 4) END AS vol, s_nationkey % 2 = 0 AS late FROM supplier),"
+    " p AS (SELECT *, CASE WHEN trade = 0 THEN 0 WHEN adv IS NULL THEN 1 ELSE abs(trade) * 1e8 / adv END AS part, greatest(coalesce(vol, 0.03), 0.005) AS sigma FROM t)"
+    " SELECT g, round(2 * sum(abs(trade)) * 3 / 1e4, 9) AS commission_cost, round(2 * sum(abs(trade)) * 5 / 1e4, 9) AS spread_cost, round(-2 * sum(least(trade, 0)) * CASE WHEN late THEN 5 ELSE 10 END / 1e4, 9) + 0 AS stamp_duty_cost, round(2 * sum(abs(trade) * 0.5 * sigma * sqrt(part)), 9) AS market_impact_cost, round(max(part), 6) AS max_adv_participation FROM p GROUP BY g, late"
+)
+def c19_trade_costs(spark, d):
+    key = F.col("s_suppkey")
+    t = adapter.table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), (F.col("s_acctbal") / 100000).alias("trade"), F.when(key % 5 > 0, 1e6 * (1 + key % 7)).alias("adv"), F.when(key % 3 > 0, 0.01 * (1 + key % 4)).alias("vol"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        day = pd.Timestamp("2023-08-28" if pdf["g"].iloc[0] % 2 == 0 else "2023-08-27")
+        cost = portfolio.trade_costs(pdf["trade"].to_numpy(float), pdf["adv"].to_numpy(float), pdf["vol"].to_numpy(float), day, portfolio.Costs(), 1e8, 2.0)
+        return pd.DataFrame([{"g": pdf["g"].iloc[0], **cost}])[["g", "commission_cost", "spread_cost", "stamp_duty_cost", "market_impact_cost", "max_adv_participation"]]
+
+    return rounded(t.groupBy("g").applyInPandas(one, "g int, commission_cost double, spread_cost double, stamp_duty_cost double, market_impact_cost double, max_adv_participation double"), 9, max_adv_participation=6)
+
+
+@query(
+    "WITH w AS (SELECT s_nationkey AS g, s_suppkey AS s, s_acctbal / 10000 AS a, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey % 5 / 4.0 END AS b FROM supplier), c AS (SELECT x.g, x.a AS ai, y.a AS aj, CASE WHEN x.s = y.s THEN 0.09 ELSE 0.01 END AS cov FROM w x JOIN w y ON x.g = y.g)"
+    " SELECT w.g, round(any_value(v.te), 6) AS tracking_error, round(sum(a * coalesce(b, 1)), 6) AS active_beta FROM w JOIN (SELECT g, sqrt(greatest(sum(ai * aj * cov), 0)) AS te FROM c GROUP BY 1) v ON v.g = w.g GROUP BY 1"
+)
+def a24_active_risk(spark, d):
+    key = F.col("s_suppkey")
+    w = adapter.table(spark, d, "supplier").select(F.col("s_nationkey").alias("signal_date"), key.alias("symbol"), (F.col("s_acctbal") / 10000).alias("target"), F.lit(0.0).alias("benchmark"), F.when(key % 3 > 0, key % 5 / 4.0).alias("market_beta_126d"))
+    n = w.select("signal_date", "symbol")
+    cov = n.toDF("signal_date", "sym_i").join(n.toDF("signal_date", "sym_j"), "signal_date").where("sym_i <= sym_j").withColumn("cov", F.when(F.col("sym_i") == F.col("sym_j"), 0.09).otherwise(0.01))
+    return rounded(risk.active_risk(w, cov).withColumnRenamed("signal_date", "g"))
+
+
+@query(
+    f"WITH {_WEEKS}, l AS (SELECT week, CAST(date_trunc('month', week) AS DATE) AS execution_date, avg(log_return) AS r FROM weeks WHERE log_return IS NOT NULL GROUP BY 1), m AS (SELECT execution_date, avg(r) / 10 AS r FROM l GROUP BY 1)"
+    " SELECT count(*) AS months, round(product(1 + r) - 1, 6) AS cumulative_net_return, round(pow(product(1 + r), 12.0 / count(*)) - 1, 6) AS annualized_net_return, round(stddev_samp(r) * sqrt(12), 6) AS annualized_net_volatility, round(avg(r) / stddev_samp(r) * sqrt(12), 5) AS net_sharpe_zero_rf FROM m"
+)
+def c12_annual_figures(spark, d):
+    weeks = _weeks(spark, d).where("log_return is not null").groupBy("week").agg(F.avg("log_return").alias("r"))
+    months = weeks.groupBy(F.trunc("week", "MM").alias("execution_date")).agg((F.avg("r") / 10).alias("strategy_net_return"))
+    zero = [c for c in ("implemented_one_way_turnover", "gross_traded_weight", "forced_exit_sell_weight", "forced_exit_count", "cash_weight", "total_cost", "commission_cost", "spread_cost", "stamp_duty_cost", "market_impact_cost")]
+    full = months.withColumns({"scenario": F.lit("s"), "cost_multiplier": F.lit(1.0), "research_split": F.lit("all"), "strategy_gross_return": F.col("strategy_net_return"), "benchmark_return": F.lit(0.0), **{c: F.lit(0.0) for c in zero}})
+    out = portfolio.performance(full)
+    return rounded(out.select("months", "cumulative_net_return", "annualized_net_return", "annualized_net_volatility", "net_sharpe_zero_rf"), net_sharpe_zero_rf=5)
+
+
+@query("SELECT n_nationkey, printf('%.2f%%', n_nationkey * 1.25) AS share FROM nation")
+def c23_percent(spark, d):
+    return adapter.table(spark, d, "nation").select("n_nationkey", S.percent(F.col("n_nationkey") * 0.0125).alias("share"))
+
+
+# ---- fits of several factors, attribution, model choice
+
+
+_FACTORS = f"""{_WEEKS}, fac AS (SELECT * FROM (SELECT week, max(log_return) FILTER (symbol = '1-URGENT') AS y, max(log_return) FILTER (symbol = '2-HIGH') AS market, max(log_return) FILTER (symbol = '3-MEDIUM') AS peer, max(log_return) FILTER (symbol = '5-LOW') AS material FROM weeks GROUP BY 1) WHERE y IS NOT NULL AND market IS NOT NULL AND peer IS NOT NULL AND material IS NOT NULL)"""
+
+
+def _three(window: str) -> str:
+    """SQL of the three slopes by Cramer's rule, from covariances of a window; and the means."""
+    pairs = [(a, b) for i, a in enumerate(("market", "peer", "material", "y")) for b in ("market", "peer", "material", "y")[i:] if not (a == "y" and b == "y")]
+    return ", ".join([f"covar_pop({a}, {b}) OVER w AS {a[:2]}{b[:2]}" for a, b in pairs] + [f"avg({c}) OVER w AS m_{c}" for c in ("market", "peer", "material", "y")] + ["count(*) OVER w AS n"]) + f" FROM fac WINDOW w AS (ORDER BY week ROWS {window})"
+
+
+_DET = "(mama * pepe * xx + 2 * mape * pexx * maxx - maxx * pepe * maxx - mape * mape * xx - mama * pexx * pexx)"
+_SLOPES = f"""((may * (pepe * xx - pexx * pexx) - mape * (pey * xx - pexx * xy) + maxx * (pey * pexx - pepe * xy)) / {_DET}) AS b1,
+((mama * (pey * xx - pexx * xy) - may * (mape * xx - pexx * maxx) + maxx * (mape * xy - pey * maxx)) / {_DET}) AS b2,
+((mama * (pepe * xy - pey * pexx) - mape * (mape * xy - pey * maxx) + may * (mape * pexx - pepe * maxx)) / {_DET}) AS b3"""
+#: `ma` stands for market and `xx` for material in the names of covariances.
+_SUMS = _three("{}").replace("covar_pop(market, material) OVER w AS mama", "covar_pop(market, material) OVER w AS maxx").replace("covar_pop(peer, material) OVER w AS pema", "covar_pop(peer, material) OVER w AS pexx").replace("covar_pop(material, material) OVER w AS mama", "covar_pop(material, material) OVER w AS xx").replace("covar_pop(material, y) OVER w AS may", "covar_pop(material, y) OVER w AS xy")
+
+
+@query(f"WITH {_FACTORS}, s AS (SELECT week, {_SUMS.format('51 PRECEDING')}), b AS (SELECT *, {_SLOPES} FROM s WHERE n >= 52) SELECT week, round(b1, 5) AS beta_market, round(b2, 5) AS beta_peer, round(b3, 5) AS beta_material, round(m_y - b1 * m_market - b2 * m_peer - b3 * m_material, 5) AS beta_const FROM b")
+def w17_rolling_three_factors(spark, d):
+    fit = weekly.rolling_fit(cli.weekly_factors(_weeks(spark, d)), "y", ["market", "peer", "material"], ["study"], "week", 52)
+    return rounded(fit.where("beta_const is not null").select("week", "beta_market", "beta_peer", "beta_material", "beta_const"), 5)
+
+
+@query(
+    f"WITH {_FACTORS}, s AS (SELECT week, y, market, peer, material, {_SUMS.format('BETWEEN 78 PRECEDING AND 1 PRECEDING')}), b AS (SELECT *, may / mama AS b0, {_SLOPES} FROM s WHERE n >= 78),"
+    " p AS (SELECT y, m_y + b0 * (market - m_market) AS small, m_y + b1 * (market - m_market) + b2 * (peer - m_peer) + b3 * (material - m_material) AS large FROM b)"
+    " SELECT count(*) AS observations, round(sqrt(avg(pow(y - small, 2))), 6) AS market_only_rmse, round(sqrt(avg(pow(y - large, 2))), 6) AS full_rmse, round(1 - sum(pow(y - large, 2)) / sum(pow(y - small, 2)), 5) AS incremental_oos_r2, round(avg(CASE WHEN sign(y) = sign(small) THEN 1.0 ELSE 0.0 END), 6) AS market_only_directional_accuracy, round(avg(CASE WHEN sign(y) = sign(large) THEN 1.0 ELSE 0.0 END), 6) AS full_directional_accuracy, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 6) AS naive_positive_directional_accuracy FROM p HAVING count(*) > 0"
+)
+def w18_a27_nested_models(spark, d):
+    p = weekly.walk_forward_models(cli.weekly_factors(_weeks(spark, d)), "y", cli.MODELS, ["study"], "week", 78)
+    return rounded(weekly.compared(p, ["study"], "y", "market_only", "full").drop("study"), incremental_oos_r2=5)
+
+
+@query(f"WITH {_FACTORS}, c AS (SELECT * FROM fac WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31') SELECT component, round(contribution, 6) AS contribution FROM (SELECT 0.8 * sum(market) AS market, 0.1 * sum(peer) AS peer, 0.01 * count(*) AS intercept, sum(y) - 0.8 * sum(market) - 0.1 * sum(peer) - 0.01 * count(*) AS residual, sum(y) AS total FROM c) UNPIVOT (contribution FOR component IN (market, peer, intercept, residual, total))")
+def a28_attribution(spark, d):
+    return rounded(weekly.attribution(cli.weekly_factors(_weeks(spark, d)), {"market": 0.8, "peer": 0.1}, 0.01, "y", "1997-01-01", "1998-12-31", "week"))
+
+
+@query("SELECT * FROM (VALUES ('reverting', 'ar1'), ('unit root', 'block_bootstrap'), ('worse than a walk', 'block_bootstrap'), ('explosive', 'block_bootstrap')) t(series, model)")
+def x11_model_choice(spark, d):
+    cases = {"reverting": (0.04, 0.060, 0.061, 0.95), "unit root": (0.10, 0.060, 0.061, 0.95), "worse than a walk": (0.04, 0.061, 0.061, 0.95), "explosive": (0.04, 0.060, 0.061, 1.0)}
+    return spark.createDataFrame([(k, weekly.chosen_model(*v)) for k, v in cases.items()], "series string, model string")
+
+
+@query("SELECT 20000 AS paths, true AS mean_reverts, true AS spread_fits, true AS repeats")
+def x9_ar1_paths(spark, d):
+    """Simulated AR(1) levels against their closed-form mean and deviation."""
+    phi, sigma, start, horizon = 0.9, 0.1, 2.0, 26
+    runs = [weekly.simulated_paths(spark, np.zeros(1), 20_000, horizon, 7, phi=phi, intercept=0.05, sigma=sigma, start=start) for _ in range(2)]
+    mean = 0.5 + phi**horizon * (start - 0.5) - start
+    spread = sigma * np.sqrt((1 - phi ** (2 * horizon)) / (1 - phi**2))
+    both = runs[0].join(runs[1].withColumnRenamed("total", "other"), "path")
+    a = both.agg(F.count(F.lit(1)).alias("paths"), F.avg("total").alias("m"), F.stddev_samp("total").alias("s"), F.max(F.abs(F.col("total") - F.col("other"))).alias("d"))
+    close = 4 * float(spread) / np.sqrt(20_000)
+    return a.select(F.col("paths").cast("int").alias("paths"), (F.abs(F.col("m") - float(mean)) < float(close)).alias("mean_reverts"), (F.abs(F.col("s") / float(spread) - 1) < 0.03).alias("spread_fits"), (F.col("d") == 0).alias("repeats"))
