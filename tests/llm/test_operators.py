@@ -396,9 +396,10 @@ def test_pipeline_matches_its_operators(spark, tmp_path):
     for i, t, *_ in rows[:6]:
         w = words(t)
         times = Counter(zip(w, w[1:], w[2:], strict=False))
-        assert not any(n > 1 for n in times.values()) or True
-        kept[i] = t
-    assert {x.doc_id for x in got} <= set(kept) and len(got) >= 5
+        again = {k + j for k, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if times[g] > 1 for j in range(3)}
+        if 100 * len(again) <= 50 * len(w):
+            kept[i] = t
+    assert {x.doc_id for x in got} == set(kept) and len(kept) >= 5
     for x in got:
         if x.doc_id != 1:
             assert x.n_tokens == len(tokenizer.encode(kept[x.doc_id], add_special_tokens=False).ids)
