@@ -59,12 +59,11 @@ class Workspace:
     `write` gives back what it wrote; `bucket` writes a table that later joins on
     its key without moving it again; `drop` deletes what was written under a name, `release`
     the bucketed tables, `close` all but the result, which stays in
-    `<shared folder>/llm-results` until `clear_results`.
+    `<shared folder>/llm` until `clear_results`.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.name = spark, f"llm-{uuid.uuid4().hex}"
-        self.root = f"{shared_dir(spark)}/{self.name}"
+        self.spark, self.root = spark, f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
         self.tables: list[str] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -91,7 +90,7 @@ class Workspace:
 
     def close(self, result: DataFrame) -> DataFrame:
         """Write the result, then drop every table it was made from."""
-        path = f"{shared_dir(self.spark)}/llm-results/{self.name}"
+        path = f"{self.root}-result"
         result.write.option("compression", "zstd").parquet(path)
         self.release()
         delete(self.spark, self.root)
@@ -106,7 +105,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def clear_results(spark: SparkSession) -> None:
     """Delete the results of all calls that used this shared folder; frames that read them end."""
-    delete(spark, f"{shared_dir(spark)}/llm-results")
+    delete(spark, f"{shared_dir(spark)}/llm")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, source: str | None = None) -> Iterator[pa.RecordBatch]:

@@ -9,13 +9,14 @@ their blocks doesn't move text again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 from .common import Workspace, slices, squeeze, unsqueeze
 
@@ -45,8 +46,8 @@ def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
     return out
 
 
-def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES, n: int | None = None) -> DataFrame:
-    """docs (doc_id, text) as a table bucketed by block: block, seq, doc_id, text (binary; null texts are empty)."""
+def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES, n: int | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text) as a table bucketed by block: block, seq, doc_id, text (binary; null texts are empty), and the columns of `carried`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, seq, size = TaskContext.get().partitionId() << 28, 0, 0
@@ -54,11 +55,13 @@ def blocked(ws: Workspace, docs: DataFrame, block_bytes: int = BLOCK_BYTES, n: i
             if size >= block_bytes:
                 block, size = block + 1, 0
             size += b.column("text").nbytes
-            yield pa.RecordBatch.from_arrays([pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(seq, seq + b.num_rows), pa.int64()), b.column("doc_id"), b.column("text").cast(pa.binary())], names=["block", "seq", "doc_id", "text"])
+            columns = [pa.array([block] * b.num_rows, pa.int64()), pa.array(np.arange(seq, seq + b.num_rows), pa.int64()), b.column("doc_id"), b.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*columns, *(b.column(c) for c in carried)], names=["block", "seq", "doc_id", "text", *carried])
             seq += b.num_rows
 
-    src = docs.select(F.col("doc_id").cast("long"), "text")
-    return ws.bucket(src.mapInArrow(run, "block long, seq long, doc_id long, text binary"), "block", n)
+    src = docs.select(F.col("doc_id").cast("long"), "text", *carried)
+    schema = st.StructType([*(st.StructField(c, st.LongType()) for c in ("block", "seq", "doc_id")), st.StructField("text", st.BinaryType()), *(src.schema[c] for c in carried)])
+    return ws.bucket(src.mapInArrow(run, schema), "block", n)
 
 
 class Documents:

@@ -20,17 +20,17 @@ through.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as st
 
 from . import exchange as X
 from . import text as T
-from .common import Workspace, parts, slices, text_bytes
+from .common import Workspace, parts, text_bytes
 from .components import connected
 
 SHINGLE = 5
@@ -384,13 +384,13 @@ def _listed(table: pa.Table) -> pa.Table:
     return pa.table({**keys, "cls": pa.array([*asked, *[None] * len(opened)], pa.int64()), "g": pa.array([*asked.values(), *opened], pa.int64())})
 
 
-def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """A row for each row of `src` (doc_id, n, cls), and for each class its root and component (the smallest doc_id of the root's documents)."""
+def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int, carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each row of `src` (doc_id, n, cls, block, idx); for each class its root and component (the smallest doc_id of the root's documents); and, where columns are carried, the blocks."""
     size = text_bytes(src)
     n_parts = parts(ws.spark, size)
     #: with some bits more than tokens need, few are taken for shared by chance
     bits = min(64, max(34, size.bit_length() + 6))
-    blocks = X.blocked(ws, src, block_bytes, n_parts)
+    blocks = X.blocked(ws, src, block_bytes, n_parts, carried)
     rows = ws.write(X.per_block(blocks, None, _classed(shingle), _CLASSED), "rows")
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.min(F.struct("block", "idx")).alias("home"))
     classes = ws.write(classes.select("cls", "doc", "home.block", "home.idx"), "classes")
@@ -399,7 +399,8 @@ def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int) -
     candidates = X.per_block(blocks, known.unionByName(home, allowMissingColumns=True), _candidates(shingle, bits), _CANDIDATE)
     blocks_and_levels = list(ws.tables)
     sets = ws.bucket(candidates.repartition(n_parts, "cls"), "cls", n_parts)
-    ws.release(blocks_and_levels)
+    if not carried:
+        ws.release(blocks_and_levels)
     ws.drop("levels")
     # groups: verified stars around the leader of each minimum hash
     each = sets.select("cls", F.posexplode("hashes").alias("k", "hash"))
@@ -431,7 +432,7 @@ def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int) -
     final = classes.join(grouped, "cls", "left").withColumn("gid", F.coalesce("gid", "cls")).join(joined.withColumnRenamed("node", "gid"), "gid", "left")
     final = ws.write(final.select("cls", "doc", F.coalesce("root", "gid").alias("root")), "final")
     names = final.groupBy("root").agg(F.min("doc").alias("component"))
-    return rows.select("doc_id", "n", "cls"), final.join(names, "root").select("cls", "root", "component")
+    return rows, final.join(names, "root").select("cls", "root", "component"), blocks
 
 
 def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -445,7 +446,7 @@ def join(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int
     of such rows alone has a null name. An empty table gives no rows.
     """
     ws = Workspace(spark)
-    rows, named = _components(ws, docs.select("doc_id", F.col(text).alias("text")), shingle, block_bytes)
+    rows, named, _ = _components(ws, docs.select("doc_id", F.col(text).alias("text")), shingle, block_bytes)
     out = rows.join(named, "cls", "left")
     return ws.close(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")))
 
@@ -455,27 +456,23 @@ def representatives(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows without doc_id are compared, but stay, and so do rows without words. Of
     rows that repeat a doc_id, one stays for each component that they name: texts
-    that aren't similar are kept both. An empty table gives no rows.
+    that aren't similar are kept both. An empty table gives no rows. Texts stay in
+    their blocks, which the places of the chosen rows come to.
     """
     ws = Workspace(spark)
-    rows, named = _components(ws, docs.select("doc_id", "text"), SHINGLE, BLOCK_BYTES)
-    out = ws.write(rows.join(named, "cls", "left").select("doc_id", "cls", "root", (F.col("cls").isNull() | (F.col("component") == F.col("doc_id"))).alias("stays")).where("doc_id is not null"), "places")
-    times = out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays"))
-    times = ws.write(times.where("stays"), "times")
-    plain = docs.join(times.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    # rows that repeat a doc_id are told apart by their class, which is made again for them alone
-    names = {c: c if c in ("doc_id", "text") else f"__{k}" for k, c in enumerate(docs.columns)}
-    repeated = docs.join(times.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*(F.col(c).alias(v) for c, v in names.items()))
-    own, schema = repeated.columns, st.StructType([*repeated.schema.fields, st.StructField("__cls", st.LongType())])
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text", source="text"):
-            column = b.column("__text")
-            d = X.Documents(pa.table({"block": pa.array([0] * len(column), pa.int64()), "seq": pa.array(range(len(column)), pa.int64()), "doc_id": pa.nulls(len(column), pa.int64()), "text": column}))
-            cls = pa.array([class_of(s) if len(s) else None for s in shingle_sets(d, SHINGLE)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(f) for f in own), cls], names=schema.names)
-
-    marked = repeated.mapInArrow(classed, schema)
-    found = marked.join(out.where("stays and cls is not null").select("doc_id", F.col("cls").alias("__cls"), "root").distinct(), ["doc_id", "__cls"]).dropDuplicates(["doc_id", "root"])
-    both = [x.select(*(F.col(v).alias(c) for c, v in names.items())) for x in (found, marked.where("__cls is null"))]
-    return ws.close(plain.unionByName(both[0]).unionByName(both[1]).unionByName(docs.where("doc_id is null")))
+    names = {c: f"__{k}" for k, c in enumerate(docs.columns) if c != "text"}
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("text").isNull().alias("__null"), *(F.col(c).alias(v) for c, v in names.items()))
+    rows, named, blocks = _components(ws, src, SHINGLE, BLOCK_BYTES, ["__null", *names.values()])
+    first = rows.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min(F.struct("doc_id", "block", "idx")).alias("r"))
+    chosen = first.join(named, "cls").groupBy("root").agg(F.min("r").alias("r")).select("r.block", "r.idx")
+    places = ws.write(chosen.unionByName(rows.where("cls is null or doc_id is null").select("block", "idx")), "places")
+    columns, schema = docs.columns, docs.schema
+
+    def run(block: pa.Table, wanted: pa.Table) -> pa.Table:
+        order = np.argsort(block["seq"].to_numpy(), kind="stable")
+        block = block.take(pa.array(np.sort(order[wanted["idx"].to_numpy()])))
+        text = pc.if_else(block["__null"], pa.scalar(None, pa.string()), block["text"].cast(pa.string()))
+        return pa.table({c: text if c == "text" else block[names[c]] for c in columns})
+
+    # the blocks stay until the caller has read the rows
+    return blocks.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(run, schema)

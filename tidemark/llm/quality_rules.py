@@ -143,8 +143,8 @@ def passing(spark: SparkSession, docs: DataFrame, prior: int = PRIOR) -> DataFra
     ws = Workspace(spark)
     first = counts(docs.select("doc_id", "text", "lang", "source"))
     rated = {f"r_{r.name}": F.expr(r.rate) for r in RULES}
-    bound = ws.write(limits(sketches(first.withColumns(rated), ["lang", "source"]), prior), "limits")
+    bound = ws.close(limits(sketches(first.withColumns(rated), ["lang", "source"]), prior))  # a row for each language and source
     # columns travel under other names, so that none clashes with a count
     names = {c: c if c in ("text", "lang", "source") else f"__{k}" for k, c in enumerate(docs.columns)}
     every = counts(docs.withColumnsRenamed(names), keep=tuple(names.values())).withColumns(rated)
-    return ws.close(_verdicts(every, bound).where("kept").select(*(F.col(v).alias(c) for c, v in names.items())))
+    return _verdicts(every, bound).where("kept").select(*(F.col(v).alias(c) for c, v in names.items()))

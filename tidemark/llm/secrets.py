@@ -232,4 +232,5 @@ def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]", example
 
     clean = scanned.where(F.size("spans") == 0).select(*names)
     out = clean.unionByName(dirty.select(*names, "live").mapInArrow(run, schema))
-    return ws.close(out.select(*(F.col(v).alias(c) for c, v in aliases.items())))
+    # the scanned rows stay until the caller has read them: no second copy is written
+    return out.select(*(F.col(v).alias(c) for c, v in aliases.items()))
