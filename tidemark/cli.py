@@ -95,7 +95,7 @@ def systematic_run(spark: SparkSession, source: str, out: str, setup: research.S
     summary = _saved(evaluate.ic_summary(ic, lags=setup.hac_lags), out, "signal_summary")
     months = portfolio.monthly(research.ledgers(spark, source, setup, panels), setup.mandate.turnover_cap)
     performance = _saved(portfolio.performance(_saved(months, out, "portfolio_monthly")), out, "portfolio_summary")
-    gates = _saved(research.gates(spark, source, setup), out, "gates")
+    gates = _saved(research.gates(spark, source, setup, panels, performance), out, "gates")
     checks = [r.asDict() for r in gates.orderBy("check_name").collect()]  # eight rows
     result = {"panel_rows": panels[1].count(), "gates": checks, "passed": all(c["passed"] for c in checks)}
     files.write_json(f"{out}/summary.json", result)

@@ -98,11 +98,12 @@ def ledgers(spark: SparkSession, sf_dir: str, setup: Setup, panels: dict[int, Da
     return settled(out)
 
 
-def gates(spark: SparkSession, sf_dir: str, setup: Setup) -> DataFrame:
-    """check_name, value, passed: eight numbers of the final holdout that must be positive. A missing number fails."""
+def gates(spark: SparkSession, sf_dir: str, setup: Setup, panels: dict[int, DataFrame] | None = None, perf: DataFrame | None = None) -> DataFrame:
+    """check_name, value, passed: eight numbers of the final holdout that must be positive. A missing number fails. Panels by lag and the performance are made here unless they are given."""
     split = "final_holdout"
-    panels = {lag: settled(eligible_panel(spark, sf_dir, setup, lag)) for lag in (1, 2)}
-    perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup, panels), setup.mandate.turnover_cap)))
+    panels = panels or {lag: settled(eligible_panel(spark, sf_dir, setup, lag)) for lag in (1, 2)}
+    if perf is None:
+        perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup, panels), setup.mandate.turnover_cap)))
     found = []
     for lag, name in ((1, ""), (2, "additional_lag_")):
         rows = panels[lag]
