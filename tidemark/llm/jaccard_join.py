@@ -404,15 +404,15 @@ def _components(ws: Workspace, src: DataFrame, shingle: int, block_bytes: int, c
     ws.drop("levels")
     # groups: verified stars around the leader of each minimum hash
     each = sets.select("cls", F.posexplode("hashes").alias("k", "hash"))
-    sizes = each.groupBy("k", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sizes and leaders are written first: a join of tables can split a common hash's rows over tasks, a join with an aggregate can't
+    sizes = ws.write(each.groupBy("k", "hash").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     shared = ws.write(each.join(sizes, ["k", "hash"]).select("cls", "k", "hash", "size"), "shared")
     # the leader of a hash is its most central class: that whose hashes are the most common
     centre = shared.groupBy("cls").agg(F.sum("size").alias("weight"))
-    ranked = shared.join(centre, "cls")
-    leaders = ranked.groupBy("k", "hash").agg(F.max_by("cls", F.struct("weight", "cls")).alias("g"))
-    met = ranked.join(leaders, ["k", "hash"]).where("cls <> g").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
+    leaders = ws.write(shared.join(centre, "cls").groupBy("k", "hash").agg(F.max_by("cls", F.struct("weight", "cls")).alias("g")), "leaders")
+    met = shared.join(leaders, ["k", "hash"]).where("cls <> g").groupBy("cls", "g").agg(F.count(F.lit(1)).alias("times"))
     stars = ws.write(met.where(F.col("times") >= SHARED).select(F.col("cls").alias("q"), "g"), "stars")
-    ws.drop("shared")
+    ws.drop("sizes", "shared", "leaders")
     chunks = stars.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("chunks"))
     zero = F.lit(0)
     split = stars.join(chunks, "g").select(F.col("g").alias("lead"), zero.cast("long").alias("k"), F.pmod(F.xxhash64("q"), F.col("chunks")).alias("qc"), zero.cast("long").alias("gc"), "q", "g")
