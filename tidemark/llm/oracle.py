@@ -106,4 +106,16 @@ _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0
 _ARCHIVE = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT *, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS top FROM p)
 SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to FROM d"""
 
-SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE}
+_AUDIT = f"""WITH RECURSIVE {_DOCS}, {_words('worded', 'docs', 'text')},
+marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+flagged AS (SELECT coalesce(lang, '') AS part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+ coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY text) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM worded LEFT JOIN marks USING (doc_id)),
+masked AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flagged GROUP BY 1, 2),
+orders AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || f FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS letters(f) WHERE NOT contains(filter_order, f)),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit, coalesce(list_sum([1 << (ascii(substr(filter_order, j, 1)) - 65) FOR j IN range(1, step)]), 0)::INT AS before
+ FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders WHERE length(filter_order) = 5)),
+told AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+ coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM masked, steps GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told"""
+
+SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE, "op11_filter_audit": _AUDIT}
