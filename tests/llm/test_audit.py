@@ -27,7 +27,7 @@ def rows_of():
 
 
 def brute(rows, labels):
-    good, toxic = ({d for d, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({d for d, *x in labels if x[k] == 1 and d is not None} for k in (0, 1))
     first = {}
     for d, t, *_ in rows:
         first[t or ""] = min(first.get(t or "", 1 << 63), (1 << 63) - 1 if d is None else d)

@@ -51,14 +51,21 @@ counts AS (SELECT rid, count(*) AS n_removed, count(*) FILTER (fresh) AS n_spans
 SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(t, '')) AS kept_sha256
 FROM worded LEFT JOIN counts USING (rid) LEFT JOIN kept USING (rid)"""
 
-_JACCARD = f"""WITH RECURSIVE {_DOCS}, {_words('worded', 'docs', f'translate(text, {_LOWER})')},
-sets AS (SELECT rid, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[p : p + 4], ' ') FOR p IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s, CASE WHEN len(w) < 5 THEN len(w) ELSE 5 END AS k FROM worded),
+
+def _similar(shingle: int, percent: int, more: str = "") -> str:
+    """Components of texts whose sets of distinct word shingles are similar; `more` columns may follow."""
+    return f"""WITH RECURSIVE {_DOCS}, {_words('worded', 'docs', f'translate(text, {_LOWER})')},
+sets AS (SELECT rid, doc_id, CASE WHEN len(w) >= {shingle} THEN list_distinct([array_to_string(w[p : p + {shingle - 1}], ' ') FOR p IN range(1, len(w) - {shingle - 2})]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s, least(len(w), {shingle}) AS k FROM worded),
 each AS (SELECT rid, len(s) AS n, k, unnest(s) AS t FROM sets),
 common AS (SELECT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb, count(*) AS c FROM each a JOIN each b ON a.t = b.t AND a.k = b.k AND a.rid <> b.rid GROUP BY 1, 2, 3, 4),
-links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+links AS (SELECT a, b FROM common WHERE 100 * c >= {percent} * (na + nb - c)),
 reach AS (SELECT rid AS a, rid AS b FROM docs UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
 named AS (SELECT reach.a AS rid, min(docs.doc_id) AS component_id FROM reach JOIN docs ON docs.rid = reach.b GROUP BY 1)
-SELECT doc_id, len(s) AS n_shingles, component_id FROM sets JOIN named USING (rid)"""
+SELECT doc_id, len(s) AS n_shingles, component_id{more} FROM sets JOIN named USING (rid)"""
+
+
+_JACCARD = _similar(5, 75)
+_MINHASH = _similar(4, 80, ", coalesce(doc_id = component_id, component_id IS NULL) AS kept")
 
 # Fixed values of the query: rules (name, rate, least spread, reach, direction) as quality_rules.RULES has them.
 _RULES = (("symbols", "1000 * n_symbols // greatest(n_words, 1)", 15, 6.0, 1), ("upper", "1000 * n_upper // greatest(word_chars, 1)", 25, 6.0, 1), ("dup_lines", "1000 * n_dup_lines // greatest(n_lines, 1)", 60, 6.0, 1), ("repeats", "1000 * n_repeat_words // greatest(n_words, 1)", 60, 6.0, 1), ("long_words", "1000 * word_chars // greatest(n_words, 1)", 1000, 6.0, 1), ("short_words", "1000 * word_chars // greatest(n_words, 1)", 600, 6.0, -1))
@@ -118,4 +125,4 @@ told AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (mask & (bef
  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM masked, steps GROUP BY 1, 2, 3, 4)
 SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told"""
 
-SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE, "op11_filter_audit": _AUDIT}
+SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE, "op11_filter_audit": _AUDIT, "op12_minhash_dedup": _MINHASH}
