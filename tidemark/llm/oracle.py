@@ -125,4 +125,18 @@ told AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (mask & (bef
  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost FROM masked, steps GROUP BY 1, 2, 3, 4)
 SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told"""
 
-SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE, "op11_filter_audit": _AUDIT, "op12_minhash_dedup": _MINHASH}
+_RUN = "[a-z\u00C0-\u00FF]{7,}"
+_SPELLING = f"""WITH RECURSIVE crc(tab) AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) FROM range(256) r(i)),
+runs AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {_LOWER}), '{_RUN}')) AS run FROM documents) GROUP BY 1, 2),
+bytes AS (SELECT run, n, tab, [CAST('0x' || substr(hex(encode(s)), 2 * k + 1, 2) AS BIGINT) FOR k IN range(strlen(s))] AS b FROM runs, crc),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) AS h FROM bytes),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM summed) WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+cut AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS part FROM (SELECT word, n, unnest(range(length(word))) AS k FROM words)),
+longer AS (SELECT DISTINCT word, cut.n, part AS shorter, s.n AS m FROM cut JOIN words s (shorter, n) ON s.shorter = cut.part),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (part, k) WHERE a.word <> b.word UNION SELECT word, shorter, m FROM longer UNION SELECT shorter, word, n FROM longer),
+best AS (SELECT word, count(*) AS n_near, arg_max(other, (m, -rank)) AS other, max(m) AS m FROM (SELECT *, row_number() OVER (ORDER BY other) AS rank FROM near) GROUP BY 1),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root FROM forms UNION SELECT chain.word, forms.form FROM chain JOIN forms ON forms.word = chain.root WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, chain.root, forms.n, forms.n_near, forms.form_n FROM forms JOIN chain USING (word) JOIN forms last ON last.word = chain.root AND last.form IS NULL"""
+
+SQL = {"op1_url_filter": _URL, "op2_suffix_dedup": _SUFFIX, "op3_substring_dedup": _SUBSTRING, "op4_jaccard_join": _JACCARD, "op6_quality_rules": _QUALITY, "op7_decontaminate": _LEAKS, "op9_warc": _ARCHIVE, "op11_filter_audit": _AUDIT, "op12_minhash_dedup": _MINHASH, "op13_spelling_variants": _SPELLING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, decontaminate, filter_audit, jaccard_join, minhash_dedup, oracle, quality_rules, secrets, substring_dedup, suffix_dedup, url_filter, warc
+from . import bpe, classifier, decontaminate, filter_audit, jaccard_join, minhash_dedup, oracle, quality_rules, secrets, spelling, substring_dedup, suffix_dedup, url_filter, warc
 
 # Fixed values of the url query: rules (verdict, host and path), and the hosts that the list itself blocks.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -75,6 +75,10 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.dedup(spark, _table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
