@@ -71,8 +71,9 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [M.BLOCK_BYTES, 3_000])
-def test_components_equal_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes, canopy", [(M.BLOCK_BYTES, M.CANOPY), (3_000, 20_000)])
+def test_components_equal_brute_force(spark, monkeypatch, block_bytes, canopy):
+    monkeypatch.setattr(M, "CANOPY", canopy)  # canopies of several chunks
     rows = corpus()
     docs = spark.createDataFrame([(*r, 1, "n", 2, "h") for r in rows], DOCS)
     got = M.dedup(spark, docs, block_bytes=block_bytes).select("doc_id", "n_shingles", "component_id", "kept").collect()

@@ -12,8 +12,9 @@ retained values at least; so if a class enters only the lists of all but need -
 the rarest first, any such pair meets in one of them. Lists that thousands of near copies
 share aren't expanded to pairs. Each list first names its most central class, against which its
 other classes are estimated and verified; then a member of its largest group, picked by hash;
-linked classes are one group, and only what still lies in different groups is paired at the
-end, all of it. Every link is confirmed by the Jaccard similarity of the full sets of 64-bit
+linked classes are one group. What still lies in different groups meets at the end, all of it:
+lists of one central class have much the same classes, and form one canopy, whose classes are
+counted against each other through an index, chunk by chunk. Every link is confirmed by the Jaccard similarity of the full sets of 64-bit
 shingle hashes.
 """
 
@@ -41,6 +42,8 @@ SKETCH, ESTIMATE = 64, 45
 BLOCK_BYTES = 4 << 20
 #: Bytes of sets that one comparison holds, roughly.
 COMPARED = 16 << 20
+#: Bytes of sets in a chunk of a canopy.
+CANOPY = 32 << 20
 
 Test = Callable[[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -122,6 +125,55 @@ def _alike(x: str, y: str) -> Column:
     return (TIMES * F.least(x, y) >= LEAST * F.greatest(x, y)) & (F.col(x) > 0)
 
 
+def _ragged(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of some sets, the places where each one's owners begin, and the owners."""
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    keys, start = np.unique(values[order], return_index=True)
+    return keys, np.append(start, len(order)), owner[order]
+
+
+def _shared(index: tuple[np.ndarray, np.ndarray, np.ndarray], own: np.ndarray, n: int) -> np.ndarray:
+    """How many values of `own` each of the n indexed sets has."""
+    keys, start, owner = index
+    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+    at = at[keys[at] == own]
+    size = start[at + 1] - start[at]
+    return np.bincount(owner[np.repeat(start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())], minlength=n)
+
+
+def compared(table: pa.Table) -> pa.Table:
+    """Links between a chunk's classes (role 1) and those of a chunk (role 0) of the same canopy: estimated by sketches, verified on full sets, one at most from a class to a group."""
+    table = table.combine_chunks()
+    hashes, role = table["hashes"].combine_chunks(), table["role"].to_numpy()
+    ends, values = hashes.offsets.to_numpy(), hashes.flatten().to_numpy().view(T.U)
+    n, cls, g = (table[c].to_numpy() for c in ("n", "cls", "g"))
+    members = np.flatnonzero(role == 0)
+    links: list[tuple[int, int]] = []
+    if len(members):
+        own = [values[ends[k] - ends[0] : ends[k + 1] - ends[0]] for k in range(len(cls))]
+        sets = [own[k] for k in members]
+        sizes, of, names = n[members], g[members], cls[members]
+        sketches = np.full((len(sets), SKETCH), np.iinfo(np.uint64).max, np.uint64)
+        for row, s in zip(sketches, sets, strict=True):
+            row[: len(s)] = s[:SKETCH]
+        few, full, last = _ragged([s[:SKETCH] for s in sets]), _ragged(sets), sketches[:, -1]
+        for q in np.flatnonzero(role == 1).tolist():
+            sketch, cut = own[q][:SKETCH], n[q] > SKETCH
+            both = _shared(few, sketch, len(sets))
+            limit = np.where(sizes > SKETCH, last, np.iinfo(np.uint64).max)
+            limit = np.minimum(limit, sketch[-1]) if cut else limit
+            held = (sketches <= sketch[-1]).sum(1) if cut else np.minimum(sizes, SKETCH)
+            union = np.searchsorted(sketch, limit, side="right") + held - both
+            near = (100 * both >= np.where((sizes > SKETCH) | cut, ESTIMATE, LEAST) * union) & (of != g[q]) & (names < cls[q])
+            if near.any():
+                both = _shared(full, own[q], len(sets))
+                near = np.flatnonzero(near & (TIMES * both >= LEAST * (n[q] + sizes - both)))
+                links += [(int(cls[q]), int(names[k])) for k in near[np.unique(of[near], return_index=True)[1]]]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 class _Groups:
     """Groups of linked classes, which grow as links come."""
 
@@ -131,14 +183,30 @@ class _Groups:
 
     def link(self, pairs: DataFrame) -> None:
         """Estimate and verify pairs (a, na, b, nb), and join the groups of those that are similar."""
-        ws, name, self.n = self.ws, f"round{self.n}", self.n + 1
+        ws, name = self.ws, f"round{self.n}"
         pairs = ws.write(pairs.where(_alike("na", "nb")).distinct(), f"{name}-pairs")
         near = _passing(ws, pairs, self.sketches, estimated, SKETCH, f"{name}-sketch")
         near = near.join(pairs, ["a", "b"]).select("a", "na", "b", "nb")
-        links = _passing(ws, near, self.sets, verified, np.iinfo(np.int32).max, f"{name}-set")
-        of = self.of
+        self.join(_passing(ws, near, self.sets, verified, np.iinfo(np.int32).max, f"{name}-set"))
+
+    def open(self, canopies: DataFrame) -> None:
+        """Compare all classes of each canopy (lead, cls, n, g), chunk by chunk, and join the groups of those that are similar."""
+        ws, name = self.ws, f"round{self.n}"
+        canopies = ws.write(canopies, f"{name}-canopies")
+        cost = F.ceil(F.sum(8 * F.col("n")) / CANOPY)
+        chunks = ws.write(canopies.groupBy("lead").agg(cost.alias("m"), F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").drop("low", "high"), f"{name}-chunks")
+        each = canopies.join(chunks, "lead").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("m")))
+        columns = ["lead", "x", "y", "cls", "g"]
+        asked = each.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select(*columns, F.lit(1).alias("role"))
+        held = each.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).select(*columns, F.lit(0).alias("role"))
+        met = ws.write(asked.unionByName(held), f"{name}-met")
+        self.join(ws.write(met.join(self.sets, "cls").groupBy("lead", "x", "y").applyInArrow(compared, "a long, b long"), f"{name}-links"))
+
+    def join(self, links: DataFrame) -> None:
+        """Make one group of those that links (a, b) connect."""
+        ws, name, of, self.n = self.ws, f"round{self.n}", self.of, self.n + 1
         between = links.join(of.toDF("a", "ga"), "a").join(of.toDF("b", "gb"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-        roots = connected(ws, between, f"{name}-links").toDF("g", "root")
+        roots = connected(ws, between, f"{name}-joined").toDF("g", "root")
         self.of = ws.write(of.join(roots, "g", "left").select("cls", F.coalesce("root", "g").alias("g")), f"{name}-groups")
 
     def lists(self, posts: DataFrame) -> DataFrame:
@@ -192,9 +260,7 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", shingle: int
     largest = ws.write(sizes.groupBy("v").agg(F.max_by(F.struct("g", "c"), F.struct("size", "g")).alias("x")).select("v", F.col("x.g").alias("gl"), F.col("x.c.cls").alias("a"), F.col("x.c.n").alias("na")), "largest")
     groups.link(lists.join(largest, "v").where("g <> gl").select("a", "na", F.col("cls").alias("b"), F.col("n").alias("nb")))
 
-    lists = groups.lists(posts)
-    x, y = lists.toDF("v", "a", "na", "ga"), lists.toDF("v", "b", "nb", "gb")
-    groups.link(x.join(y, "v").where((F.col("ga") < F.col("gb")) & _alike("na", "nb")).select("a", "na", "b", "nb"))
+    groups.open(groups.lists(posts).join(leaders, "v").select(F.col("a").alias("lead"), "cls", "n", "g").distinct())
 
     named = ws.write(classes.join(groups.of, "cls", "left").select("cls", "doc", F.coalesce("g", "cls").alias("g")), "named")
     names = named.groupBy("g").agg(F.min("doc").alias("component"))
