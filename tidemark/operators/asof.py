@@ -92,10 +92,24 @@ def close_on(rows: DataFrame, market: DataFrame, day: str, name: str) -> DataFra
     return rows.join(point, [day, "symbol"], "left")
 
 
+def nearest(points: DataFrame, probes: DataFrame, values: list[str], day: str, name: str, on: tuple[str, ...] = ("symbol",), forward: bool = False) -> DataFrame:
+    """The probes with `name`, a struct of the values of the last point (date) up to their `day`, or `forward` of the first from it on, with the same `on`; null without one.
+
+    A sort-merge join: both sides together are sorted by key and day, and filled over
+    a window, however long the gap; rows are neither compared in pairs nor dealt to months.
+    """
+    p = points.select(*on, F.col("date").cast("date").alias("__t"), F.lit(0).alias("__side"), F.struct(*values).alias("__p"))
+    q = probes.select(*on, F.col(day).cast("date").alias("__t"), F.lit(1).alias("__side"), F.struct(*probes.columns).alias("__q"))
+    order = F.desc("__t") if forward else F.asc("__t")
+    w = Window.partitionBy(*on).orderBy(order, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.when(F.col("__t").isNotNull(), F.last("__p", ignorenulls=True).over(w))
+    return p.unionByName(q, allowMissingColumns=True).withColumn(name, found).where("__side = 1").select("__q.*", name)
+
+
 def forward_return(prices: DataFrame, spans: DataFrame) -> DataFrame:
-    """spans (symbol, start, end) with the return from the first price at or after start to the last at or before end. Spans meet prices by symbol and month."""
-    priced = prices.where("close_adj is not null and close_adj > 0").withColumn("__month", _month("date"))
-    each = spans.withColumn("__month", F.explode(F.sequence(_month("start"), _month("end"), F.expr("interval 1 month"))))
-    joined = each.join(priced, ["symbol", "__month"]).where((F.col("date") >= F.col("start")) & (F.col("date") <= F.col("end")))
-    ends = joined.groupBy(*spans.columns).agg(F.min_by("close_adj", "date").alias("first_close"), F.max_by("close_adj", "date").alias("last_close"), F.count(F.lit(1)).alias("bars"))
-    return ends.withColumn("span_return", F.when(F.col("bars") > 1, F.col("last_close") / F.col("first_close") - 1))
+    """spans (symbol, start, end) with first_close (the first price at or after start), last_close (the last at or before end) and span_return; a single bar gives zero."""
+    priced = prices.where("close_adj is not null")
+    begun = nearest(priced, spans, ["close_adj"], "start", "__a", forward=True)
+    out = nearest(priced, begun, ["close_adj"], "end", "__z")
+    out = out.withColumns({"first_close": F.col("__a.close_adj"), "last_close": F.col("__z.close_adj")}).drop("__a", "__z")
+    return out.withColumn("span_return", F.col("last_close") / F.nullif(F.col("first_close"), F.lit(0.0)) - 1)

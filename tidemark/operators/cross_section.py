@@ -94,7 +94,12 @@ def composite(df: DataFrame, families: Mapping[str, Sequence[str]], weights: Map
 
 
 def bucket(rank: Column, n: Column, q: Column) -> Column:
-    """Equal-count bucket of a rank (1 to n) for q of 5 or 3, by whole numbers: a plain ntile differs at edges."""
-    five = F.greatest(F.lit(1), (((rank - 1) * 5 + n - 2) / (n - 1)).cast("int"))
-    three = F.least(F.lit(3), ((rank - 1) * 3 / (n - 1)).cast("int") + 1)
-    return F.when(q == 5, five).otherwise(three)
+    """Equal-count bucket (1 to q) of a rank (1 to n), by whole numbers: a plain ntile differs at edges.
+
+    A rank on an edge belongs to the bucket below it; of three buckets, to that above, as the
+    reference values have it, whose thirds are a little too small. A single row is in bucket 1.
+    """
+    steps = F.greatest(n - 1, F.lit(1))
+    below = F.greatest(F.lit(1), (((rank - 1) * q + steps - 1) / steps).cast("int"))
+    three = F.least(F.lit(3), ((rank - 1) * 3 / steps).cast("int") + 1)
+    return F.when(q == 3, three).otherwise(below)

@@ -8,12 +8,16 @@ cash, and what is last known of each name.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 MONTHS = 12
 STAMP_CHANGE = pd.Timestamp("2023-08-28")
@@ -100,16 +104,21 @@ LEDGER = (
 )
 
 
-def _fold(rows: pd.DataFrame, m: Mandate) -> pd.DataFrame:
-    scenario, multiplier = rows["scenario"].iloc[0], float(rows["cost_multiplier"].iloc[0])
-    held: dict[str, float] = {}
-    cash = 0.0
-    facts: dict[str, tuple[float, float, float, str]] = {}  # last volume, deviation, score and group of every name met
-    out = []
-    for day, month in rows.sort_values(["execution_date", "symbol"]).groupby("execution_date", sort=True):
+class Account:
+    """What a scenario carries from month to month: weights, cash, and the last volume, deviation, score and group of every name met."""
+
+    def __init__(self, scenario: str, multiplier: float, mandate: Mandate):
+        self.scenario, self.multiplier, self.mandate = scenario, multiplier, mandate
+        self.held: dict[str, float] = {}
+        self.cash = 0.0
+        self.facts: dict[str, tuple[float, float, float, str]] = {}
+
+    def trade(self, month: pd.DataFrame) -> list[tuple]:
+        """Ledger rows of one month (in order of symbol); none if it has too few names."""
+        m, held, cash, facts, out = self.mandate, self.held, self.cash, self.facts, []
         if len(month) < m.min_holdings:
-            continue
-        names = month["symbol"].tolist()
+            return out
+        day, names = month["execution_date"].iloc[0], month["symbol"].tolist()
         bench = dict(zip(names, month["benchmark"], strict=True))
         if not held:
             held, cash = dict(bench), 0.0
@@ -129,7 +138,7 @@ def _fold(rows: pd.DataFrame, m: Mandate) -> pd.DataFrame:
         every = names + exits
         start = np.array([held.get(s, 0.0) for s in every])
         day_ = pd.Timestamp(day)
-        w, cost, left = funded(np.append(plan, np.zeros(len(exits))), start, np.array([facts[s][0] for s in every], float), np.array([facts[s][1] for s in every], float), day_, m, multiplier)
+        w, cost, left = funded(np.append(plan, np.zeros(len(exits))), start, np.array([facts[s][0] for s in every], float), np.array([facts[s][1] for s in every], float), day_, m, self.multiplier)
         gain = np.array([ahead.get(s, 0.0) for s in every], float)
         value = w * (1 + gain)
         nav = float(value.sum() + left)
@@ -137,10 +146,27 @@ def _fold(rows: pd.DataFrame, m: Mandate) -> pd.DataFrame:
             raise RuntimeError("net asset value does not reconcile")
         for k, s in enumerate(every):
             b = bench.get(s, 0.0)
-            out.append((scenario, multiplier, day, month["signal_date"].iloc[0], s, month["research_split"].iloc[0], s in bench, s not in bench, b, start[k], target.get(s, 0.0), w[k], w[k] - b, w[k] - start[k], (w[k] - start[k]) * m.aum, facts[s][0], ahead.get(s), betas.get(s), facts[s][2], facts[s][3], left, cash, *(cost[c] for c in ("commission_cost", "spread_cost", "stamp_duty_cost", "market_impact_cost", "total_cost", "max_adv_participation"))))
-        held = {s: v / nav for s, v in zip(every, value, strict=True) if v / nav > 1e-14}
-        cash = left / nav
-    return pd.DataFrame(out, columns=[c.split()[0] for c in LEDGER.split(", ")])
+            out.append((self.scenario, self.multiplier, day, month["signal_date"].iloc[0], s, month["research_split"].iloc[0], s in bench, s not in bench, b, start[k], target.get(s, 0.0), w[k], w[k] - b, w[k] - start[k], (w[k] - start[k]) * m.aum, facts[s][0], ahead.get(s), betas.get(s), facts[s][2], facts[s][3], left, cash, *(cost[c] for c in ("commission_cost", "spread_cost", "stamp_duty_cost", "market_impact_cost", "total_cost", "max_adv_participation"))))
+        self.held = {s: v / nav for s, v in zip(every, value, strict=True) if v / nav > 1e-14}
+        self.cash = left / nav
+        return out
+
+
+def _months(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """The months of rows that come in order of date and symbol; a batch may end within a month."""
+    rest: list[pd.DataFrame] = []
+    for b in batches:
+        rows = b.to_pandas()
+        if not len(rows):
+            continue
+        for day, month in rows.groupby("execution_date", sort=True):
+            if rest and rest[0]["execution_date"].iloc[0] != day:
+                yield pd.concat(rest, ignore_index=True)
+                rest = []
+            rest.append(month)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
+
 
 
 def backtest(targets: DataFrame, mandate: Mandate) -> DataFrame:
@@ -149,9 +175,21 @@ def backtest(targets: DataFrame, mandate: Mandate) -> DataFrame:
     targets: scenario, cost_multiplier, execution_date, signal_date, symbol, benchmark,
     target, forward_return, composite_score, adv20_rmb, volatility_63d,
     market_beta_126d, industry_group, research_split; rows without label or score
-    must be gone before. Scenarios are independent tasks.
+    must be gone before. Scenarios are independent tasks. Their months come in order, sorted
+    by Spark, and go as they are folded: memory holds one month, one batch and the state.
     """
-    return targets.groupBy("scenario", "cost_multiplier").applyInPandas(lambda pdf: _fold(pdf, mandate), LEDGER)
+    keys = ["scenario", "cost_multiplier"]
+    names = [c.split()[0] for c in LEDGER.split(", ")]
+    ordered = targets.repartition(*keys).sortWithinPartitions(*keys, "execution_date", "symbol")
+    schema = to_arrow_schema(StructType.fromDDL(LEDGER))
+
+    def fold(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        account = Account(key[0].as_py(), float(key[1].as_py()), mandate)
+        for month in _months(batches):
+            rows = pd.DataFrame(account.trade(month), columns=names)
+            yield pa.RecordBatch.from_pandas(rows, schema=schema, preserve_index=False)
+
+    return ordered.groupBy(*keys).applyInArrow(fold, LEDGER)
 
 
 def monthly(ledger: DataFrame, cap: float) -> DataFrame:
@@ -229,9 +267,9 @@ def contributions(ledger: DataFrame, split: str = "final_holdout") -> DataFrame:
 
 
 def concentration(ledger: DataFrame, split: str = "final_holdout") -> DataFrame:
-    """For each scenario: the top contributor and its share, and the largest absolute active weight of a name and of a group."""
+    """For each scenario: the top contributor (of equal ones the first name) and its share, and the largest absolute active weight of a name and of a group."""
     keys = ["scenario", "cost_multiplier"]
-    top = contributions(ledger, split).groupBy(*keys).agg(F.max_by(F.struct("symbol", "share_of_absolute_active_contribution"), F.struct("absolute_active_contribution", "symbol")).alias("t"))
+    top = contributions(ledger, split).groupBy(*keys).agg(F.min_by(F.struct("symbol", "share_of_absolute_active_contribution"), F.struct(-F.col("absolute_active_contribution"), "symbol")).alias("t"))
     own = ledger.where((F.col("research_split") == split) & F.col("in_current_universe"))
     single = own.groupBy(*keys).agg(F.max(F.abs("active_weight")).alias("maximum_absolute_single_name_active_weight"))
     group = own.groupBy(*keys, "execution_date", "industry_group").agg(F.sum("active_weight").alias("g")).groupBy(*keys).agg(F.max(F.abs("g")).alias("maximum_absolute_group_active_weight"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -29,19 +30,52 @@ def recent_returns(market: DataFrame, months: DataFrame, lookback: int) -> DataF
     return grid.withColumn("r", F.when(before > 0, F.col("close_adj") / before - 1)).select("signal_date", "symbol", "date", "r")
 
 
-def covariance(returns: DataFrame, lookback: int, shrinkage: float, yearly: int) -> DataFrame:
+#: Symbols of a tile.
+TILE = 256
+
+
+def gram(table: pa.Table) -> pa.Table:
+    """sym_i, sym_j (in order of name), c: the pairwise-complete covariances between the symbols of two tiles (own: which one) of a month, and n, the dates that they share.
+
+    With returns X, centred and zero where missing, and M marking those that are there, X'X,
+    X'M, M'X and M'M hold all sums that a covariance over shared dates needs.
+    """
+    table = table.sort_by("symbol").combine_chunks()
+    days, values = (table[c].combine_chunks() for c in ("days", "values"))
+    size = np.diff(days.offsets.to_numpy())
+    row, day = np.repeat(np.arange(len(size)), size), days.flatten().to_numpy(zero_copy_only=False)
+    every, column = np.unique(day, return_inverse=True)
+    x, m = np.zeros((len(size), len(every))), np.zeros((len(size), len(every)))
+    x[row, column], m[row, column] = values.flatten().to_numpy(zero_copy_only=False), 1.0
+    x -= m * (x.sum(1) / np.maximum(m.sum(1), 1))[:, None]
+    own, first, second = (table[c].to_numpy() for c in ("own", "first", "second"))
+    a, b = np.flatnonzero(own == first), np.flatnonzero(own == second)
+    n = m[a] @ m[b].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = (x[a] @ x[b].T - (x[a] @ m[b].T) * (m[a] @ x[b].T) / n) / (n - 1)
+    i, j = np.triu_indices(len(a)) if first[0] == second[0] else np.indices(c.shape).reshape(2, -1)
+    c, n, i, j = c[i, j], n[i, j].astype(np.int64), a[i], b[j]
+    names = table["symbol"].combine_chunks()
+    return pa.table({"signal_date": pa.array([table["signal_date"][0].as_py()] * len(c), pa.date32()), "sym_i": names.take(pa.array(np.minimum(i, j))), "sym_j": names.take(pa.array(np.maximum(i, j))), "c": pa.array(c, pa.float64(), mask=~np.isfinite(c)), "n": n})
+
+
+def covariance(returns: DataFrame, lookback: int, shrinkage: float, yearly: int, tile: int = TILE) -> DataFrame:
     """signal_date, sym_i, sym_j, cov for i <= j: pairwise-complete sample covariance, diagonal shrinkage, annualised.
 
     Pairs with too little overlap count as zero; a missing own variance becomes the
-    month's median variance, and none falls below 1e-8.
+    month's median variance, and none falls below 1e-8. A month's symbols are dealt to tiles of
+    about `tile`; a task multiplies two tiles' returns. A symbol's returns travel once for each
+    tile of its month, as one row, so what is shuffled doesn't grow with names squared times dates.
     """
     least = max(20, lookback // 2)
-    a = returns.where("r is not null").select("signal_date", "date", F.col("symbol").alias("sym_i"), F.col("r").alias("ri"))
-    b = a.withColumnsRenamed({"sym_i": "sym_j", "ri": "rj"})
-    found = a.join(b, ["signal_date", "date"]).where("sym_i <= sym_j").groupBy("signal_date", "sym_i", "sym_j").agg(F.covar_samp("ri", "rj").alias("c"), F.count(F.lit(1)).alias("n")).withColumn("c", F.when(F.col("n") >= least, F.col("c")))
-    names = returns.select("signal_date", "symbol").distinct()
-    pairs = names.withColumnRenamed("symbol", "sym_i").join(names.withColumnRenamed("symbol", "sym_j"), "signal_date").where("sym_i <= sym_j")
-    full = pairs.join(found, ["signal_date", "sym_i", "sym_j"], "left")
+    there = F.when(F.col("r").isNotNull(), F.struct(F.unix_date("date").alias("day"), "r"))
+    series = returns.groupBy("signal_date", "symbol").agg(F.collect_list(there).alias("x"))
+    tiles = series.groupBy("signal_date").agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))
+    each = series.join(tiles, "signal_date").withColumn("own", F.pmod(F.xxhash64("symbol"), F.col("tiles")))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    each = each.select("signal_date", "symbol", F.col("x.day").alias("days"), F.col("x.r").alias("values"), "own", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"))
+    found = each.groupBy("signal_date", "first", "second").applyInArrow(gram, "signal_date date, sym_i string, sym_j string, c double, n long")
+    full = found.withColumn("c", F.when(F.col("n") >= least, F.col("c")))
     middle = full.where("sym_i = sym_j").groupBy("signal_date").agg(F.median("c").alias("__m"))
     full = full.join(middle, "signal_date", "left")
     own = F.greatest(F.coalesce("c", "__m", F.lit(1e-8)), F.lit(1e-8))

@@ -62,14 +62,23 @@ def beta(bars: DataFrame, n: int, least: int, yearly: int) -> DataFrame:
     """
     both = F.col("simple_return").isNotNull() & F.col("benchmark_return").isNotNull()
     w = Window.partitionBy("symbol", both).orderBy("date").rowsBetween(-(n - 1), 0)
-    pair = ("simple_return", "benchmark_return")
-    sums = F.struct(F.count(F.lit(1)).over(w).alias("n"), F.regr_sxx(*pair).over(w).alias("xx"), F.regr_sxy(*pair).over(w).alias("xy"), F.regr_syy(*pair).over(w).alias("yy"))
-    out = bars.withColumn("__s", F.when(both, sums))
+    out = bars.withColumn("__s", F.when(both, joint_sums(w)))
     out = out.withColumn("__s", F.last("__s", ignorenulls=True).over(by().rowsBetween(Window.unboundedPreceding, 0)))
-    xx, xy, yy, seen = (F.col(f"__s.{c}") for c in ("xx", "xy", "yy", "n"))
+    return beta_of(out, "__s", least, yearly)
+
+
+def joint_sums(w: Window) -> Column:
+    """Count and centred sums of simple_return and benchmark_return over a window of rows that have both."""
+    pair = ("simple_return", "benchmark_return")
+    return F.struct(F.count(F.lit(1)).over(w).alias("n"), F.regr_sxx(*pair).over(w).alias("xx"), F.regr_sxy(*pair).over(w).alias("xy"), F.regr_syy(*pair).over(w).alias("yy"))
+
+
+def beta_of(out: DataFrame, sums: str, least: int, yearly: int) -> DataFrame:
+    """beta_6m, idio_volatility_6m and beta_observations from a column of `joint_sums`, which goes."""
+    xx, xy, yy, seen = (F.col(f"{sums}.{c}") for c in ("xx", "xy", "yy", "n"))
     ok = (seen >= least) & (xx > 0)
     idio = F.sqrt(F.greatest(yy - xy * xy / xx, F.lit(0.0)) / (seen - 1)) * F.sqrt(F.lit(float(yearly)))
-    return out.withColumns({"beta_6m": F.when(ok, xy / xx), "idio_volatility_6m": F.when(ok, idio), "beta_observations": F.coalesce(seen, F.lit(0))}).drop("__s")
+    return out.withColumns({"beta_6m": F.when(ok, xy / xx), "idio_volatility_6m": F.when(ok, idio), "beta_observations": F.coalesce(seen, F.lit(0))}).drop(sums)
 
 
 def month_calendar(days: DataFrame, lag: int = 1) -> DataFrame:

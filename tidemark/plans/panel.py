@@ -13,9 +13,13 @@ from ..operators import asof, cross_section, windows
 # Names of features, which outputs carry, and the families that they form.
 PRICE = ("momentum_12_1", "momentum_6_1", "volatility_3m", "beta_6m", "idio_volatility_6m", "adv_20d", "amihud_20d")
 FUNDAMENTAL = ("gross_profitability", "accrual_quality", "leverage_quality", "quality_raw", "growth_raw", "fundamental_momentum_raw")
+BETA = ("beta_6m", "idio_volatility_6m")
 NEUTRALISED = ("momentum_12_1", "momentum_6_1", "volatility_3m", "beta_6m", "idio_volatility_6m", "amihud_20d", "quality_raw", "growth_raw", "fundamental_momentum_raw")
 FAMILIES = {"price_momentum": ("momentum_12_1_z", "momentum_6_1_z"), "low_risk": ("volatility_3m_z", "beta_6m_z", "idio_volatility_6m_z"), "quality": ("quality_raw_z",), "fundamental_momentum": ("growth_raw_z", "fundamental_momentum_raw_z")}
 
+#: What names a version of the members.
+VERSION = ["snapshot_date", "available_date"]
+
 # Accounting items under all names that filings use.
 ITEMS = {
     "assets": ("total_assets", "assets"),
@@ -87,14 +91,15 @@ def fundamental_features(known: DataFrame) -> DataFrame:
     return known.withColumns({**now, "revenue_growth_yoy": growth, "profit_change_to_assets": profit, "growth_raw": S.row_mean(growth, profit), "fundamental_momentum_raw": now["quality_raw"] - before["quality_raw"]})
 
 
-def price_features(market: DataFrame, benchmark: str, f: Features) -> DataFrame:
-    """Every bar with its rolling features; the benchmark's return joins by date."""
+def price_features(market: DataFrame, benchmark: str | None, f: Features) -> DataFrame:
+    """Every bar with its rolling features; the benchmark's return joins by date. Without a benchmark symbol beta and its companions are left to `member_betas`."""
     bars = windows.with_returns(market)
-    index = bars.where(F.col("symbol") == benchmark).select("date", F.col("simple_return").alias("benchmark_return"))
-    bars = bars.join(index, "date", "left")
+    if benchmark:
+        index = bars.where(F.col("symbol") == benchmark).select("date", F.col("simple_return").alias("benchmark_return"))
+        bars = bars.join(index, "date", "left")
     bars = windows.momentum(windows.momentum(windows.history(bars), "momentum_12_1", f.long, f.skip), "momentum_6_1", f.medium, f.skip)
     bars = windows.liquidity(windows.volatility(bars, f.volatility, f.min_volatility, f.yearly), f.liquidity, f.min_liquidity)
-    return windows.beta(bars, f.beta, f.min_beta, f.yearly)
+    return windows.beta(bars, f.beta, f.min_beta, f.yearly) if benchmark else bars
 
 
 def member_benchmark(market: DataFrame, members: DataFrame) -> DataFrame:
@@ -102,13 +107,53 @@ def member_benchmark(market: DataFrame, members: DataFrame) -> DataFrame:
 
     members: signal_date, symbol, benchmark_weight, snapshot_date, available_date.
     Returns are weighted once for each version of the members, not for each month.
+    Weights that sum to zero count as equal.
     """
     bars = windows.with_returns(market).select("date", "symbol", "simple_return")
-    version = ["snapshot_date", "available_date"]
-    joined = members.select(*version, "symbol", "benchmark_weight").distinct().join(bars, "symbol")
+    joined = version_weights(members, bars).join(bars, "symbol")
     there = F.col("simple_return").isNotNull()
-    daily = joined.groupBy(*version, "date").agg((F.sum(F.col("simple_return") * F.col("benchmark_weight")) / F.nullif(F.sum(F.when(there, F.col("benchmark_weight"))), F.lit(0.0))).alias("benchmark_return"))
-    return members.select("signal_date", *version).distinct().join(daily, version).where("date <= signal_date").select("signal_date", "date", "benchmark_return")
+    weight = F.sum(F.when(there, F.col("weight")))
+    daily = joined.groupBy(*VERSION, "date").agg(F.when(weight > 0, F.sum(F.col("simple_return") * F.col("weight")) / weight).alias("benchmark_return"))
+    return members.select("signal_date", *VERSION).distinct().join(daily, VERSION).where("date <= signal_date").select("signal_date", "date", "benchmark_return")
+
+
+def version_weights(members: DataFrame, bars: DataFrame) -> DataFrame:
+    """snapshot_date, available_date, symbol, weight of the members that have bars at all; equal weights where a version's don't sum to a positive number."""
+    held = members.select(*VERSION, "symbol", "benchmark_weight").distinct().join(bars.select("symbol").distinct(), "symbol", "left_semi")
+    total = F.sum("benchmark_weight").over(windows.Window.partitionBy(*VERSION))
+    return held.select(*VERSION, "symbol", F.when((total > 0) & (total < float("inf")), F.col("benchmark_weight")).otherwise(1.0).alias("weight"))
+
+
+def member_betas(market: DataFrame, known: DataFrame, f: Features) -> DataFrame:
+    """signal_date, symbol, beta_6m, idio_volatility_6m, beta_observations: each member against the return of the members known at that date.
+
+    known: signal_date, symbol, benchmark_weight, snapshot_date, available_date. The benchmark
+    changes with the version of the members, so each version has a series of its own, of the
+    days that its months look back on and no others: from the bar `beta` bars before a member's
+    first signal date. (All days, where a version has a weight of zero: a day on which only such
+    members have returns is no joint bar, so that windows reach further back.) A window is then
+    the last `beta` joint bars up to the signal date.
+    """
+    numbers = windows.Window.partitionBy("symbol").orderBy("date")
+    bars = windows.with_returns(market).where("simple_return is not null").select("date", "symbol", "simple_return", F.row_number().over(numbers).alias("k"))
+    months = known.select("signal_date", *VERSION, "symbol").distinct()
+    weights = version_weights(known, bars)
+    some = weights.groupBy(*VERSION).agg(F.min("weight").alias("least"))
+    spans = months.groupBy(*VERSION, "symbol").agg(F.min("signal_date").alias("first"), F.max("signal_date").alias("last")).join(some, VERSION)
+    at = asof.nearest(bars, spans, ["k"], "first", "at")
+    back = F.when(F.col("least") > 0, F.greatest(F.col("at.k") - f.beta + 1, F.lit(1))).otherwise(1)
+    begun = at.withColumn("k", back).join(bars.select("symbol", "k", "date"), ["symbol", "k"], "left")
+    days = begun.groupBy(*VERSION).agg(F.min(F.coalesce("date", "first")).alias("low"), F.max("last").alias("high"))
+    month = F.explode(F.sequence(F.trunc("low", "MM"), F.trunc("high", "MM"), F.expr("interval 1 month")))
+    asked = weights.join(days, VERSION).withColumn("month", month)
+    met = asked.join(bars.withColumn("month", F.trunc("date", "MM")), ["symbol", "month"]).where(F.col("date").between(F.col("low"), F.col("high")))
+    day = windows.Window.partitionBy(*VERSION, "date")
+    total = F.sum("weight").over(day)
+    joint = met.select(*VERSION, "symbol", "date", "simple_return", F.when(total > 0, F.sum(F.col("simple_return") * F.col("weight")).over(day) / total).alias("benchmark_return")).where("benchmark_return is not null")
+    w = windows.Window.partitionBy(*VERSION, "symbol").orderBy("date").rowsBetween(-(f.beta - 1), 0)
+    rolled = joint.withColumn("s", windows.joint_sums(w))
+    out = asof.nearest(rolled, months, ["s"], "signal_date", "x", (*VERSION, "symbol"))
+    return windows.beta_of(out.select("signal_date", "symbol", F.col("x.s").alias("s")), "s", f.min_beta, f.yearly)
 
 
 def labels(rows: DataFrame, market: DataFrame, benchmark: str | None) -> DataFrame:
@@ -132,12 +177,15 @@ def weighted_mean(value: str, weight: str, key: str) -> "F.Column":
     return F.when(total > 0, F.sum(F.col(value) * F.col(weight)).over(w) / total).otherwise(F.avg(value).over(w))
 
 
-def build(market: DataFrame, filings: DataFrame, members: DataFrame, benchmark: str, f: Features, group: str | None = "industry_group") -> DataFrame:
-    """One row for each month and member: features known at the signal date, labels between execution dates, scores across the month."""
+def build(market: DataFrame, filings: DataFrame, members: DataFrame, benchmark: str | None, f: Features, group: str | None = "industry_group") -> DataFrame:
+    """One row for each month and member: features known at the signal date, labels between execution dates, scores across the month. Without a benchmark symbol the members known at the signal date, by their weights, are the benchmark of beta and labels."""
     calendar = windows.month_calendar(market.select("date"), f.lag)
     known = asof.membership_asof(calendar, members)
-    bars = asof.last_known(calendar, price_features(market, benchmark, f)).select("signal_date", "symbol", "market_history_days", *PRICE, "beta_observations", "liquidity_observations")
+    own = [*PRICE, "beta_observations"] if benchmark else [c for c in PRICE if c not in BETA]
+    bars = asof.last_known(calendar, price_features(market, benchmark, f)).select("signal_date", "symbol", "market_history_days", *own, "liquidity_observations")
     rows = known.join(bars, ["signal_date", "symbol"])
+    if not benchmark:
+        rows = rows.join(member_betas(market, known, f), ["signal_date", "symbol"], "left")
     tidy = asof.with_effective_date(items(filings))
     books = fundamental_features(asof.fundamentals_asof(calendar, tidy, list(ITEMS))).select("signal_date", "symbol", "report_count", F.col("current.report_date").alias("financial_report_date"), *FUNDAMENTAL, "revenue_growth_yoy", "profit_change_to_assets")
     out = labels(rows.join(books, ["signal_date", "symbol"], "left"), market, benchmark)

@@ -161,14 +161,14 @@ def attribution(df: DataFrame, coefficients: dict[str, float], intercept: float,
 
 
 def peer_scores(df: DataFrame, key: str, good: Sequence[str], growth: Sequence[str], bad: Sequence[str], name: str = "symbol") -> DataFrame:
-    """quality, growth and balance scores of each key's peers from clipped z-scores, their mean, rank and universe size."""
+    """quality, growth and balance scores of each key's peers from clipped z-scores, their mean, rank and universe size (all peers, scored or not)."""
     out = df
     for c in (*good, *growth, *bad):
         out = cross_section.quantile_z(out, c, [key], f"{c}_z")
     out = out.withColumns({"quality_score": S.row_mean(*(F.col(f"{c}_z") for c in good)), "growth_score": S.row_mean(*(F.col(f"{c}_z") for c in growth)), "balance_score": -S.row_mean(*(F.col(f"{c}_z") for c in bad))})
     out = out.withColumn("operating_score", S.row_mean(F.col("quality_score"), F.col("growth_score"), F.col("balance_score")))
     w = Window.partitionBy(key)
-    return out.withColumns({"score_rank": F.rank().over(w.orderBy(F.desc_nulls_last("operating_score"))), "universe": F.count("operating_score").over(w)})
+    return out.withColumns({"score_rank": F.rank().over(w.orderBy(F.desc_nulls_last("operating_score"))), "universe": F.count(F.lit(1)).over(w)})
 
 
 def rank_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -271,11 +271,19 @@ def simulated_paths(spark: SparkSession, returns: np.ndarray, simulations: int,
     return spark.range(0, chunks, 1, min(chunks, 64)).mapInPandas(run, "path long, total double")
 
 
-def scenario_grid(spark: SparkSession, paths: DataFrame, material: float, betas: Sequence[float], passed: Sequence[float]) -> DataFrame:
-    """beta, pass_through, quantile, profit_change: the grid of parameters over quantiles of the endpoint shock. The grid is a short list of literals."""
+def scenario_grid(spark: SparkSession, paths: DataFrame, material: float, betas: Sequence[float], passed: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """beta, pass_through, quantile, profit_change and the endpoint shock that gives it, for each of `keys`: quantiles of the profit change, not of the shock. The grid is a short list of literals.
+
+    The profit change is linear in the shock, so its quantile is that of the shock, from the
+    other end where the slope is negative.
+    """
     cuts = (0.05, 0.5, 0.95)
-    q = paths.agg(F.percentile(F.exp("total") - 1, F.array(*map(F.lit, cuts))).alias("q")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, cuts)).alias("quantile"), F.col("q").alias("shock"))).alias("s")).select("s.*")
+    q = paths.groupBy(*keys).agg(F.percentile(F.exp("total") - 1, F.array(*map(F.lit, cuts))).alias("__q"))
     out = q.withColumn("beta", F.explode(F.array(*map(F.lit, betas)))).withColumn("pass_through", F.explode(F.array(*map(F.lit, passed))))
+    out = out.withColumn("__k", F.explode(F.array(*map(F.lit, range(len(cuts))))))
+    slope = S.shock_to_profit(F.lit(material), F.col("beta"), F.lit(1.0), F.col("pass_through"))
+    shock = F.element_at("__q", F.when(slope < 0, len(cuts) - F.col("__k")).otherwise(F.col("__k") + 1))
+    out = out.withColumns({"quantile": F.element_at(F.array(*map(F.lit, cuts)), F.col("__k") + 1), "shock": shock}).drop("__q", "__k")
     return out.withColumn("profit_change", S.shock_to_profit(F.lit(material), F.col("beta"), F.col("shock"), F.col("pass_through")))
 
 

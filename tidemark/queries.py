@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import asof, checks, cross_section, evaluate, portfolio, risk, windows
-from .plans import adapter, panel, research, weekly
+from .plans import adapter, commodity, panel, research, weekly
 from .registry import QUERIES, SQL, Query, query, rounded, scratch
 from .sources import connectors, files
 
@@ -400,11 +400,11 @@ def j8_w21_labels(spark, d):
     return rounded(panel.labels(known, m, adapter.BENCHMARK).select("execution_date", "symbol", "label_start_close_adj", "forward_return", "forward_excess_return"))
 
 
-@query(f"WITH {_MARKET}, s AS (SELECT DISTINCT symbol, DATE '1996-02-10' AS start, DATE '1998-11-20' AS \"end\" FROM market), j AS (SELECT s.*, m.date, m.close_adj FROM s JOIN market m ON m.symbol = s.symbol AND m.date BETWEEN s.start AND s.\"end\") SELECT symbol, round(max_by(close_adj, date) / min_by(close_adj, date) - 1, 6) AS span_return FROM j GROUP BY 1 HAVING count(*) > 1")
+@query(f"WITH {_MARKET}, s AS (SELECT DISTINCT symbol, DATE '1996-02-10' AS start, DATE '1998-11-20' AS \"end\" FROM market) SELECT symbol, round(max_by(close_adj, date) FILTER (date <= \"end\") / min_by(close_adj, date) FILTER (date >= start) - 1, 6) AS span_return FROM s JOIN market USING (symbol) GROUP BY 1")
 def j9_span_return(spark, d):
     m = _market(spark, d)
     spans = m.select("symbol").distinct().select("symbol", F.to_date(F.lit("1996-02-10")).alias("start"), F.to_date(F.lit("1998-11-20")).alias("end"))
-    return rounded(asof.forward_return(m, spans).where("bars > 1").select("symbol", "span_return"))
+    return rounded(asof.forward_return(m, spans).select("symbol", "span_return"))
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
@@ -530,6 +530,21 @@ def a18_weighted_label(spark, d):
     return rounded(out.select("execution_date", F.round("benchmark_forward_return", 9).alias("benchmark_forward_return")).distinct())
 
 
+_MEMBER_BETA = f"""WITH {_MARKET}, {_CALENDAR}, {_MEMBERS}, {_KNOWN}, ret AS (SELECT * FROM (SELECT symbol, date, close_adj / lag(close_adj) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM market) WHERE r IS NOT NULL),
+bm AS (SELECT snapshot_date, available_date, date, sum(r * benchmark_weight) / sum(benchmark_weight) AS x FROM fund JOIN ret USING (symbol) GROUP BY 1, 2, 3),
+joint AS (SELECT k.signal_date, k.symbol, r AS y, x FROM known k JOIN ret ON ret.symbol = k.symbol AND ret.date <= k.signal_date JOIN bm ON bm.snapshot_date = k.snapshot_date AND bm.available_date = k.available_date AND bm.date = ret.date
+ QUALIFY row_number() OVER (PARTITION BY k.signal_date, k.symbol ORDER BY ret.date DESC) <= 26),
+fit AS (SELECT signal_date, symbol, count(*) AS n, regr_sxx(y, x) AS xx, regr_sxy(y, x) AS xy, regr_syy(y, x) AS yy FROM joint GROUP BY 1, 2)
+SELECT signal_date, symbol, CASE WHEN n >= 20 THEN round(xy / xx, 5) END AS beta_6m, CASE WHEN n >= 20 THEN round(sqrt((yy - xy * xy / xx) / (n - 1)) * sqrt(52), 5) END AS idio_volatility_6m, coalesce(n, 0) AS beta_observations FROM (SELECT DISTINCT signal_date, symbol FROM known) LEFT JOIN fit USING (signal_date, symbol)"""
+
+
+@query(_MEMBER_BETA)
+def x13_a10_a19_member_beta(spark, d):
+    m = _settled(spark, d)
+    known = asof.membership_asof(_calendar(spark, d, m), adapter.memberships(spark, d))
+    return rounded(panel.member_betas(m, research.settled(known), panel.WEEKLY), 5)
+
+
 @query("SELECT p_partkey, round((CASE WHEN p_size > 10 THEN p_size ELSE 0 END + p_retailprice / 100) / CASE WHEN p_size > 10 THEN 2 ELSE 1 END, 6) AS m, round(CASE WHEN p_size > 10 THEN 1.0 ELSE 0.5 END, 6) AS covered FROM part")
 def a20_f12_row_mean(spark, d):
     cols = [F.when(F.col("p_size") > 10, F.col("p_size").cast("double")), F.col("p_retailprice") / 100]
@@ -646,11 +661,28 @@ def x10_unit_root(spark, d):
 
 @query()
 def x8_x12_bootstrap_quantiles(spark, d):
-    rows = _weeks(spark, d).where("symbol = '1-URGENT' and log_return is not null").orderBy("week").select("log_return").collect()  # one weekly series
-    import numpy as np
+    weeks = research.settled(_weeks(spark, d).select("symbol", "week", "close_adj"))
+    fitted = research.settled(commodity.fits(weeks, ["symbol"], "close_adj", "week"))
+    paths = commodity.simulated(weeks, fitted, ["symbol"], "close_adj", "week", 10_000, 52, 7)
+    return rounded(weekly.scenario_grid(spark, paths, 1000.0, [0.3, 0.5], [0.0, 0.5, 0.9], ["symbol"]))
+
 
-    paths = weekly.simulated_paths(spark, np.array([r[0] for r in rows]), 10_000, 52, 20250829)
-    return rounded(weekly.scenario_grid(spark, paths, 1000.0, [0.3, 0.5], [0.0, 0.5, 0.9]))
+
+_WALK = f"""WITH {_WEEKS}, p AS (SELECT symbol, ln(close_adj) AS y, lag(ln(close_adj)) OVER w AS x, row_number() OVER w AS k, count(*) OVER (PARTITION BY symbol) AS n FROM weeks WHERE close_adj IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY week)),
+c AS (SELECT *, k <= greatest(20, CAST(floor(n * 0.8) AS BIGINT)) AS train FROM p),
+f AS (SELECT symbol, max(n) AS n, regr_slope(y, x) AS phi, regr_intercept(y, x) AS intercept, sqrt((regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x)) / (regr_count(y, x) - 1)) AS sigma, regr_slope(y, x) FILTER (train) AS b, regr_intercept(y, x) FILTER (train) AS a FROM c GROUP BY 1),
+t AS (SELECT symbol, sqrt(avg(pow(y - a - b * x, 2))) AS ar_rmse, sqrt(avg(pow(y - x, 2))) AS walk_rmse FROM c JOIN f USING (symbol) WHERE NOT train GROUP BY 1)
+SELECT symbol, n, round(phi, 6) AS phi, round(intercept, 5) AS intercept, round(sigma, 6) AS sigma, CASE WHEN phi > 0 AND phi < 1 THEN round(-ln(2) / ln(phi), 4) END AS half_life, round(ar_rmse, 6) AS ar_rmse, round(walk_rmse, 6) AS walk_rmse FROM f LEFT JOIN t USING (symbol)"""
+
+
+@query(_WALK)
+def x11_ar1_against_walk(spark, d):
+    return rounded(commodity.ar1_against_walk(_weeks(spark, d), ["symbol"], "close_adj", "week").drop("last_level"), intercept=5, half_life=4)
+
+
+@query()
+def x10_x11_commodity_fits(spark, d):
+    return rounded(commodity.fits(_weeks(spark, d), ["symbol"], "close_adj", "week"))
 
 
 def queries() -> dict[str, Query]:
