@@ -156,9 +156,11 @@ def test_retries_back_off():
     assert files.with_retries(flaky, dict, 3, 1.0, waits.append) == {} and waits == [1.0, 2.0]
 
 
-def test_unit_root_tells_walks_from_noise():
+def test_unit_root_tells_walks_from_noise(spark):
     rng = np.random.default_rng(1)
-    assert weekly.adf(rng.normal(size=300))[1] < 0.01 < 0.2 < weekly.adf(np.cumsum(rng.normal(size=300)))[1]
+    rows = [("noise", k, float(x)) for k, x in enumerate(rng.normal(size=300))] + [("walk", k, float(x)) for k, x in enumerate(np.cumsum(rng.normal(size=300)))]
+    p = {r.s: r.adf_p_value for r in weekly.unit_root(spark.createDataFrame(rows, "s string, k long, y double"), "y", ["s"], "k").collect()}
+    assert p["noise"] < 0.01 < 0.2 < p["walk"]
 
 
 def test_queries_and_sql_have_the_same_names():

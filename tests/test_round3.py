@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import brute
 from tidemark.operators import asof, cross_section, portfolio, risk
-from tidemark.plans import commodity, panel, weekly
+from tidemark.plans import commodity, panel, regression, weekly
 
 DAY = dt.date(2020, 1, 1)
 RNG = np.random.default_rng(4)
@@ -235,8 +236,8 @@ def test_study_of_price_series_by_brute_force(spark):
         assert (r.n, r.phi, r.intercept, r.sigma) == (len(y), pytest.approx(b), pytest.approx(a), pytest.approx(e.std(ddof=1)))
         assert r.ar_rmse == pytest.approx(np.sqrt(np.mean((y[cut:] - ta - tb * y[cut - 1 : -1]) ** 2)))
         assert r.walk_rmse == pytest.approx(np.sqrt(np.mean((y[cut:] - y[cut - 1 : -1]) ** 2)))
-        stat, p, lags = weekly.adf(y)
-        assert (r.adf_stat, r.adf_p_value, r.lags) == (pytest.approx(stat), pytest.approx(p), lags)
+        stat, lags = brute.adf(y)
+        assert (r.adf_stat, r.adf_p_value, r.lags) == (pytest.approx(stat), pytest.approx(weekly.adf_p(stat)), lags)
     fits = commodity.fits(df, ["symbol"], "close", "week")
     paths = commodity.simulated(df, fits, ["symbol"], "close", "week", 1500, 10, 5)
     got = paths.toPandas()
@@ -260,3 +261,52 @@ def test_study_of_price_series_by_brute_force(spark):
         assert np.allclose(own.total, want)
     grid = weekly.scenario_grid(spark, paths, 100.0, [0.5], [0.0], ["symbol"]).collect()
     assert len(grid) == 9
+
+
+def test_unit_roots_by_brute_force(spark):
+    rows, want = [], {}
+    for n in (9, 21, 24, 60, 333):
+        for kind in ("noise", "walk", "lagged"):
+            e = RNG.normal(size=n)
+            y = 50 + (e if kind == "noise" else np.cumsum(e) if kind == "walk" else np.convolve(e, [1, 0.6, -0.5, 0.4], "same"))
+            rows += [(f"{kind}{n}", k, float(x)) for k, x in enumerate(y)] + [(f"{kind}{n}", n, None)]
+            want[f"{kind}{n}"] = brute.adf(y) if n > 20 else (None, None)
+    got = regression.unit_root_statistic(spark.createDataFrame(rows, "s string, k long, y double"), "y", ["s"], "k").collect()
+    assert len(got) == len(want) and any(lags for _, lags in want.values())
+    for r in got:
+        assert (r.adf_stat, r.lags) == (pytest.approx(want[r.s][0], rel=1e-6) if r.n > 20 else None, want[r.s][1]), r
+
+
+def test_newey_west_and_attribution_by_brute_force(spark):
+    models = {"one": ["a"], "two": ["b", "a"], "four": ["a", "b", "c", "d"]}
+    rows, data = [], {}
+    for s in ("x", "y"):
+        z = RNG.normal(size=(60, 4))
+        y = z @ [0.5, -0.2, 0.0, 0.1] + np.convolve(RNG.normal(size=60), [1, 0.7], "same") + 0.3
+        data[s] = (y, z)
+        rows += [(s, day(7 * k), float(y[k]), *map(float, z[k])) for k in range(60)] + [(s, day(-7), None, 1.0, 1.0, 1.0, 1.0), (s, day(-14), 1.0, 1.0, None, 1.0, 1.0)]
+    rows += [("few", day(7 * k), 1.0, *map(float, RNG.normal(size=4))) for k in range(2)]
+    df = spark.createDataFrame(rows, "s string, week date, y double, a double, b double, c double, d double").repartition(3)
+    got = {(r.s, r.model, r.term): r for r in regression.hac_models(df, models, "y", "week", 3, ["s"]).collect()}
+    assert not any(s == "few" for s, _, _ in got)
+    for s, (y, z) in data.items():
+        for m, xs in models.items():
+            use, x = y, z[:, ["abcd".index(c) for c in xs]]
+            if "b" not in xs:  # the row without b counts in models that don't need it
+                use, x = np.append(1.0, y), np.vstack([np.ones((1, len(xs))), x])
+            b, se, r2, adj, aic = brute.ols(use, x, 3)
+            for k, term in enumerate(["const", *xs]):
+                r = got[s, m, term]
+                assert (r.n, r.coefficient, r.hac_se) == (len(use), pytest.approx(b[k]), pytest.approx(se[k]))
+                assert (r.r_squared, r.adj_r_squared, r.aic) == (pytest.approx(r2), pytest.approx(adj), pytest.approx(aic))
+                assert r.p_value == pytest.approx(math.erfc(abs(b[k] / se[k]) / math.sqrt(2)))
+    one = df.where("s = 'x' and y is not null and b is not null")
+    fitted = regression.hac_models(one, models, "y", "week", 3, p_values=False)
+    parts = {(r.model, r.component): r.contribution for r in regression.attribution(one, fitted, ["a", "b", "c", "d"], "y", str(day(70)), str(day(140)), "week").collect()}
+    y, z = data["x"]
+    for m, xs in models.items():
+        b = brute.ols(y, z[:, ["abcd".index(c) for c in xs]], 3)[0]
+        want = {"intercept": b[0] * 11, "total": y[10:21].sum()} | {c: b[k] * z[10:21, "abcd".index(c)].sum() for k, c in enumerate(xs, 1)}
+        want["residual"] = want["total"] - sum(v for c, v in want.items() if c != "total")
+        assert {c: v for (k, c), v in parts.items() if k == m} == pytest.approx(want)
+    assert regression.attribution(one, fitted, ["a"], "y", "1990-01-01", "1990-02-01", "week").where("contribution is not null").count() == 0

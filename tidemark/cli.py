@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import evaluate, portfolio, windows
-from .plans import adapter, assets, report, research, weekly
+from .plans import adapter, assets, regression, report, research, weekly
 from .sources import files
 
 COMMANDS = ("download", "build", "analyze", "report", "systematic-download", "systematic-run")
 MODELS = {"market_only": ["market"], "full": ["market", "peer", "material"]}
+#: Models that are fitted; of these, MODELS are compared out of sample.
+FITTED = {**MODELS, "market_plus_peers": ["market", "peer"]}
 SERIES = {"y": "1-URGENT", "market": "2-HIGH", "peer": "3-MEDIUM", "material": "5-LOW"}
 
 
@@ -66,7 +68,7 @@ def build(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
 
 def analyze(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
     factors = research.settled(weekly_factors(files.read_parquet(spark, f"{out}/weekly.parquet")))
-    models = _saved(weekly.hac_models(factors, MODELS, "y", "week"), out, "models")
+    models = _saved(regression.hac_models(factors, FITTED, "y", "week"), out, "models")
     _saved(weekly.rolling_fit(factors, "y", MODELS["full"], ["study"], "week"), out, "rolling")
     forecasts = _saved(weekly.walk_forward_models(factors, "y", MODELS, ["study"], "week"), out, "forecasts")
     oos = weekly.compared(forecasts, ["study"], "y", "market_only", "full").drop("study").first()

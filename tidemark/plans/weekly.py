@@ -13,50 +13,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
-from ..functions.probability import normal_two_sided
 from ..operators import cross_section
 from ..operators.windows import average_rank
-
-OLS = "model string, term string, coefficient double, hac_se double, hac_t double, p_value double, n long, r_squared double, adj_r_squared double, aic double"
-
-
-def ols_fit(y: np.ndarray, x: np.ndarray, lags: int) -> dict[str, np.ndarray | float]:
-    """Least squares with intercept, and Newey-West errors (Bartlett weights, no small-sample factor)."""
-    n, z = len(y), np.column_stack([np.ones(len(y)), x])
-    k = z.shape[1]
-    inv = np.linalg.pinv(z.T @ z)
-    b = inv @ z.T @ y
-    e = y - z @ b
-    g = z * e[:, None]
-    s = g.T @ g
-    for lag in range(1, lags + 1):
-        c = g[lag:].T @ g[:-lag]
-        s += (1 - lag / (lags + 1)) * (c + c.T)
-    se = np.sqrt(np.maximum(np.diag(inv @ s @ inv), 0))
-    ssr, sst = float(e @ e), float(((y - y.mean()) ** 2).sum())
-    r2 = 1 - ssr / sst if sst > 0 else math.nan
-    return {"b": b, "se": se, "e": e, "r2": r2, "adj": 1 - (1 - r2) * (n - 1) / (n - k) if n > k else math.nan, "aic": n * math.log(2 * math.pi) + n * math.log(max(ssr, 1e-300) / n) + n + 2 * k}
-
-
-def hac_models(df: DataFrame, models: dict[str, Sequence[str]], y: str, order: str, lags: int = 4) -> DataFrame:
-    """Every model of one weekly series, a task each; a row for each term."""
-    names = list(models.items())
-    each = df.withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        model = pdf["model"].iloc[0]
-        cols = list(dict(names)[model])
-        d = pdf.sort_values(order)[[y, *cols]].dropna()
-        if len(d) <= len(cols) + 1:
-            return pd.DataFrame(columns=[c.split()[0] for c in OLS.split(", ")])
-        r = ols_fit(d[y].to_numpy(float), d[cols].to_numpy(float), lags)
-        t = r["b"] / np.where(r["se"] > 0, r["se"], np.nan)
-        return pd.DataFrame({"model": model, "term": ["const", *cols], "coefficient": r["b"], "hac_se": r["se"], "hac_t": t, "p_value": [normal_two_sided(v) if np.isfinite(v) else None for v in t], "n": len(d), "r_squared": r["r2"], "adj_r_squared": r["adj"], "aic": r["aic"]})
-
-    return each.groupBy("model").applyInPandas(fit, OLS)
-
+from .regression import unit_root_statistic
 
 def rolling_slope(df: DataFrame, y: str, x: str, keys: Sequence[str], order: str, n: int) -> DataFrame:
     """slope, intercept of y on x over the last n rows, once n are there."""
@@ -151,15 +113,6 @@ def accuracy(df: DataFrame, keys: Sequence[str], actual: str, predicted: str, ba
     return there.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sqrt(F.avg(e0 * e0)).alias("base_rmse"), (1 - F.sum(e * e) / F.nullif(F.sum(e0 * e0), F.lit(0.0))).alias("incremental_r2"), F.avg((F.signum(actual) == F.signum(predicted)).cast("double")).alias("directional_accuracy"))
 
 
-def attribution(df: DataFrame, coefficients: dict[str, float], intercept: float, y: str, start: str, end: str, day: str) -> DataFrame:
-    """component, contribution of each factor, the intercept and the rest to the summed return of a window."""
-    w = df.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    sums = w.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("total"), *(F.sum(F.col(c) * b).alias(f"c_{c}") for c, b in coefficients.items()))
-    known = sum((F.col(f"c_{c}") for c in coefficients), F.col("n") * intercept)
-    pairs = [(c, F.col(f"c_{c}")) for c in coefficients] + [("intercept", F.col("n") * intercept), ("residual", F.col("total") - known), ("total", F.col("total"))]
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("component"), v.cast("double").alias("contribution")) for n, v in pairs))).alias("s")).select("s.*")
-
-
 def peer_scores(df: DataFrame, key: str, good: Sequence[str], growth: Sequence[str], bad: Sequence[str], name: str = "symbol") -> DataFrame:
     """quality, growth and balance scores of each key's peers from clipped z-scores, their mean, rank and universe size (all peers, scored or not)."""
     out = df
@@ -214,39 +167,16 @@ def adf_p(t: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def adf(y: np.ndarray, most: int | None = None) -> tuple[float, float, int]:
-    """Unit-root statistic, p-value and lag order; the order with the best AIC over a common sample, then all rows it leaves."""
-    d = np.diff(y)
-    n = len(d)
-    most = most if most is not None else max(0, min(int(math.ceil(12 * (len(y) / 100) ** 0.25)), n // 2 - 2))
-
-    def system(p: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        return d[skip:], np.column_stack([np.ones(n - skip), y[skip:-1], *(d[skip - k : n - k] for k in range(1, p + 1))])
-
-    def fit(p: int, skip: int) -> tuple[float, float]:
-        t, z = system(p, skip)
-        inv = np.linalg.pinv(z.T @ z)
-        b = inv @ z.T @ t
-        e = t - z @ b
-        m, k = z.shape
-        aic = m * math.log(max(float(e @ e), 1e-300) / m) + 2 * k
-        return aic, float(b[1] / math.sqrt(max(float(e @ e) / (m - k) * inv[1, 1], 1e-300)))
-
-    p = min(range(most + 1), key=lambda k: fit(k, most)[0])
-    t = fit(p, p)[1]
-    return t, adf_p(t), p
+@F.pandas_udf(DoubleType())
+def unit_root_p(stat: pd.Series) -> pd.Series:
+    """`adf_p` of a column; null stays null."""
+    return stat.map(adf_p, na_action="ignore").astype(float)
 
 
 def unit_root(df: DataFrame, value: str, keys: Sequence[str], order: str) -> DataFrame:
     """adf_stat, adf_p_value, lags, n of each series."""
-    head = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        stat = adf(y) if len(y) > 20 else (None, None, None)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), *stat, len(y)]], columns=[*keys, "adf_stat", "adf_p_value", "lags", "n"])
-
-    return df.groupBy(*keys).applyInPandas(one, f"{head}, adf_stat double, adf_p_value double, lags long, n long")
+    out = unit_root_statistic(df, value, keys, order)
+    return out.select(*keys, "adf_stat", unit_root_p("adf_stat").alias("adf_p_value"), "lags", "n")
 
 
 def simulated_paths(spark: SparkSession, returns: np.ndarray, simulations: int, horizon: int, seed: int, block: int = 4, phi: float | None = None, intercept: float = 0.0, sigma: float = 0.0, start: float = 0.0) -> DataFrame:

@@ -646,19 +646,6 @@ def a26_f16_failure_gates(spark, d):
     return rounded(research.gates(spark, d, SETUP))
 
 
-@query()
-def a12_hac_models(spark, d):
-    w = _weeks(spark, d)
-    base = w.where("symbol = '1-URGENT'").select("week", F.col("log_return").alias("y"))
-    other = w.where("symbol = '2-HIGH'").select("week", F.col("log_return").alias("x1")).join(w.where("symbol = '5-LOW'").select("week", F.col("log_return").alias("x2")), "week")
-    return rounded(weekly.hac_models(base.join(other, "week"), {"one": ["x1"], "two": ["x2"], "both": ["x1", "x2"]}, "y", "week"))
-
-
-@query()
-def x10_unit_root(spark, d):
-    return rounded(weekly.unit_root(_weeks(spark, d), "close_adj", ["symbol"], "week"))
-
-
 @query()
 def x8_x12_bootstrap_quantiles(spark, d):
     weeks = research.settled(_weeks(spark, d).select("symbol", "week", "close_adj"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import cli
 from .functions import scalars as S
 from .operators import asof, checks, cross_section, portfolio, risk
-from .plans import adapter, assets, panel, report, research, weekly
+from .plans import adapter, assets, panel, regression, report, research, weekly
 from .queries import _LEGS, _WEEKS, _legs, _weeks
 from .registry import query, rounded
 from .sources import connectors, files
@@ -361,9 +361,68 @@ def w18_a27_nested_models(spark, d):
     return rounded(weekly.compared(p, ["study"], "y", "market_only", "full").drop("study"), incremental_oos_r2=5)
 
 
-@query(f"WITH {_FACTORS}, c AS (SELECT * FROM fac WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31') SELECT component, round(contribution, 6) AS contribution FROM (SELECT 0.8 * sum(market) AS market, 0.1 * sum(peer) AS peer, 0.01 * count(*) AS intercept, sum(y) - 0.8 * sum(market) - 0.1 * sum(peer) - 0.01 * count(*) AS residual, sum(y) AS total FROM c) UNPIVOT (contribution FOR component IN (market, peer, intercept, residual, total))")
+def _inverted(name: str, source: str, keys: str) -> str:
+    """SQL of the inverse `inv` of each matrix m (k x k) of `source`, by elimination, a pivot a round."""
+    return f"""{name}_g AS (SELECT {keys}, 1 AS p, len(m) AS k, [list_concat(m[i], [CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FOR j IN range(1, len(m) + 1)]) FOR i IN range(1, len(m) + 1)] AS a FROM {source}
+ UNION ALL SELECT {keys}, p + 1, k, [CASE WHEN i = p THEN [x / a[p][p] FOR x IN a[p]] ELSE [a[i][j] - a[i][p] * a[p][j] / a[p][p] FOR j IN range(1, 2 * k + 1)] END FOR i IN range(1, k + 1)] FROM {name}_g WHERE p <= k),
+{name} AS (SELECT {keys}, [r[k + 1 : 2 * k] FOR r IN a] AS inv FROM {name}_g WHERE p = k + 1)"""
+
+
+def _products(name: str, source: str, keys: str) -> str:
+    """SQL of the summed outer products m of the vectors z of `source`."""
+    return f"""{name}_c AS (SELECT {keys}, i, j, sum(z[i] * z[j]) AS s, count(*) AS rows FROM (SELECT *, unnest(range(1, len(z) + 1)) AS j FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM {source})) GROUP BY ALL),
+{name} AS (SELECT {keys}, max(rows) AS rows, list(r ORDER BY i) AS m FROM (SELECT {keys}, i, max(rows) AS rows, list(s ORDER BY j) AS r FROM {name}_c GROUP BY ALL) GROUP BY ALL)"""
+
+
+_DESIGN = "d AS (" + " UNION ALL ".join(f"SELECT '{m}' AS model, week, y, [{', '.join(['1.0::DOUBLE', *xs, 'y'])}] AS z, ['const', {', '.join(repr(x) for x in xs)}] AS terms FROM fac" for m, xs in cli.FITTED.items()) + ")"
+_FITTED = f"""WITH RECURSIVE {_FACTORS.removeprefix('WITH ')}, {_DESIGN}, {_products('zz', 'd', 'model, terms')}, blocks AS (SELECT model, [r[1 : len(terms)] FOR r IN m[1 : len(terms)]] AS m FROM zz), {_inverted('zi', 'blocks', 'model')},
+b AS (SELECT model, terms, rows AS n, inv, [list_dot_product(r, m[len(m)][1 : len(terms)]) FOR r IN inv] AS b FROM zi JOIN zz USING (model))"""
+_HAC = f"""{_FITTED}, e AS (SELECT model, y, z[1 : len(b)] AS z, y - list_dot_product(z[1 : len(b)], b) AS e, row_number() OVER (PARTITION BY model ORDER BY week) AS k FROM d JOIN b USING (model)),
+near AS (SELECT p.model, p.z AS z, q.z AS o, p.e * q.e * (1 - abs(p.k - q.k) / 5.0) AS w FROM e p JOIN e q ON p.model = q.model AND abs(p.k - q.k) <= 4),
+s AS (SELECT model, i, j, sum(z[i] * o[j] * w) AS s FROM (SELECT *, unnest(range(1, len(z) + 1)) AS j FROM (SELECT *, unnest(range(1, len(z) + 1)) AS i FROM near)) GROUP BY ALL),
+v AS (SELECT model, t, sqrt(sum(inv[t][i] * s * inv[j][t])) AS se FROM (SELECT *, unnest(range(1, len(inv) + 1)) AS t FROM s JOIN b USING (model)) GROUP BY ALL),
+f AS (SELECT model, sum(e * e) AS ssr, var_pop(y) * count(*) AS sst FROM e GROUP BY 1)
+SELECT model, terms[t] AS term, round(b[t], 6) AS coefficient, round(se, 6) AS hac_se, round(b[t] / se, 5) AS hac_t, n, round(1 - ssr / sst, 6) AS r_squared, round(1 - ssr / sst * (n - 1) / (n - len(b)), 6) AS adj_r_squared, round(n * ln(2 * pi()) + n * ln(ssr / n) + n + 2 * len(b), 4) AS aic FROM v JOIN b USING (model) JOIN f USING (model)"""
+
+
+@query(_HAC)
+def a12_hac_models(spark, d):
+    return rounded(regression.hac_models(cli.weekly_factors(_weeks(spark, d)), cli.FITTED, "y", "week", p_values=False), hac_t=5, aic=4)
+
+
+@query()
+def a12_hac_p_values(spark, d):
+    return rounded(regression.hac_models(cli.weekly_factors(_weeks(spark, d)), cli.FITTED, "y", "week").select("model", "term", "p_value"))
+
+
+_PARTS = f"""{_FITTED}, c AS (SELECT * FROM d WHERE week BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'),
+sums AS (SELECT model, i, sum(z[i]) AS x FROM (SELECT model, z, unnest(range(1, len(z))) AS i FROM c) GROUP BY ALL), whole AS (SELECT model, sum(y) AS total FROM c GROUP BY 1),
+parts AS (SELECT model, CASE WHEN i = 1 THEN 'intercept' ELSE terms[i] END AS component, b[i] * x AS contribution FROM sums JOIN b USING (model))
+SELECT model, component, round(contribution, 6) AS contribution FROM (SELECT * FROM parts UNION ALL SELECT model, 'total', total FROM whole UNION ALL SELECT model, 'residual', total - (SELECT sum(contribution) FROM parts p WHERE p.model = whole.model) FROM whole)"""
+
+
+@query(_PARTS)
 def a28_attribution(spark, d):
-    return rounded(weekly.attribution(cli.weekly_factors(_weeks(spark, d)), {"market": 0.8, "peer": 0.1}, 0.01, "y", "1997-01-01", "1998-12-31", "week"))
+    factors = research.settled(cli.weekly_factors(_weeks(spark, d)))
+    fitted = regression.hac_models(factors, cli.FITTED, "y", "week", p_values=False)
+    return rounded(regression.attribution(factors, fitted, cli.MODELS["full"], "y", "1997-01-01", "1998-12-31", "week"))
+
+
+_UNIT_ROOT = f"""WITH RECURSIVE {_WEEKS}, y0 AS (SELECT symbol, week, close_adj - avg(close_adj) OVER (PARTITION BY symbol) AS y, count(*) OVER (PARTITION BY symbol) AS n FROM weeks WHERE close_adj IS NOT NULL),
+y1 AS (SELECT symbol, n, y - lag(y) OVER w AS d, lag(y) OVER w AS b, row_number() OVER w - 2 AS k FROM y0 WINDOW w AS (PARTITION BY symbol ORDER BY week)),
+y2 AS (SELECT symbol, n, k, d, b, list_reverse(list(d) OVER (PARTITION BY symbol ORDER BY k ROWS BETWEEN 120 PRECEDING AND 1 PRECEDING)) AS h, CAST(greatest(0, least(ceil(12 * pow(n / 100.0, 0.25)), (n - 1) // 2 - 2)) AS INT) AS most FROM y1 WHERE d IS NOT NULL),
+v1 AS (SELECT symbol, most, list_concat(list_concat([1.0::DOUBLE, b], coalesce(h[1 : most], [])), [d]) AS z FROM y2 WHERE k >= most), {_products('m1', 'v1', 'symbol, most')},
+o1 AS (SELECT symbol, lags, rows, m[len(m)][1 : lags + 2] AS zt, m[len(m)][len(m)] AS tt, [r[1 : lags + 2] FOR r IN m[1 : lags + 2]] AS m FROM (SELECT *, unnest(range(0, most + 1)) AS lags FROM m1)), {_inverted('i1', 'o1', 'symbol, lags')},
+pick AS (SELECT symbol, arg_min(lags, rows * ln((tt - list_dot_product([list_dot_product(r, zt) FOR r IN inv], zt)) / rows) + 2 * (lags + 2)) AS lags FROM o1 JOIN i1 USING (symbol, lags) GROUP BY 1),
+v2 AS (SELECT symbol, lags, list_concat(list_concat([1.0::DOUBLE, b], coalesce(h[1 : lags], [])), [d]) AS z FROM y2 JOIN pick USING (symbol) WHERE k >= lags), {_products('m2', 'v2', 'symbol, lags')},
+o2 AS (SELECT symbol, lags, rows, m[len(m)][1 : lags + 2] AS zt, m[len(m)][len(m)] AS tt, [r[1 : lags + 2] FOR r IN m[1 : lags + 2]] AS m FROM m2), {_inverted('i2', 'o2', 'symbol, lags')},
+fit AS (SELECT symbol, lags, rows, tt, zt, inv, [list_dot_product(r, zt) FOR r IN inv] AS b FROM o2 JOIN i2 USING (symbol, lags))
+SELECT symbol, (SELECT max(n) FROM y0 WHERE y0.symbol = fit.symbol) AS n, lags, round(b[2] / sqrt((tt - list_dot_product(b, zt)) / (rows - lags - 2) * inv[2][2]), 5) AS adf_stat FROM fit"""
+
+
+@query(_UNIT_ROOT)
+def x10_unit_root(spark, d):
+    return rounded(regression.unit_root_statistic(_weeks(spark, d), "close_adj", ["symbol"], "week"), adf_stat=5)
 
 
 @query("SELECT * FROM (VALUES ('reverting', 'ar1'), ('unit root', 'block_bootstrap'), ('worse than a walk', 'block_bootstrap'), ('explosive', 'block_bootstrap')) t(series, model)")
