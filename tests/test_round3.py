@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from tidemark.operators import asof, cross_section, portfolio, risk
+from tidemark.operators import asof, cross_section, portfolio, risk, windows
 from tidemark.plans import commodity, panel, regression, weekly
 
 DAY = dt.date(2020, 1, 1)
@@ -310,3 +310,22 @@ def test_newey_west_and_attribution_by_brute_force(spark):
         want["residual"] = want["total"] - sum(v for c, v in want.items() if c != "total")
         assert {c: v for (k, c), v in parts.items() if k == m} == pytest.approx(want)
     assert regression.attribution(one, fitted, ["a"], "y", "1990-01-01", "1990-02-01", "week").where("contribution is not null").count() == 0
+
+
+@pytest.mark.parametrize("accuracy", [20, 200, 10_000])
+def test_quantiles_are_exact_whatever_the_sketch(spark, accuracy):
+    groups = {"normal": RNG.normal(size=3000), "ties": RNG.integers(0, 5, 2000).astype(float), "one": np.array([3.0]), "two": np.array([1.0, 2.0]), "same": np.full(500, 7.0), "skewed": np.exp(RNG.normal(0, 3, 1501)), None: RNG.normal(size=90)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("normal", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "q string, v double").repartition(7)
+    cuts = (0.0, 0.01, 0.05, 0.5, 0.95, 0.999, 1.0)
+    got = {r[0]: r[1] for r in windows.exact_quantiles(df.withColumnRenamed("q", "k"), "v", cuts, ["k"], accuracy).collect()}
+    assert got.keys() == groups.keys()
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.quantile(v, cuts).tolist())
+    every = np.concatenate(list(groups.values()))
+    assert windows.exact_quantiles(df, "v", cuts, (), accuracy).first()[0] == pytest.approx(np.quantile(every, cuts).tolist())
+    out = windows.winsorised(df, "v", 0.05, 0.95, "w", ("q",)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.w is None if r.v is None else r.w == pytest.approx(np.clip(r.v, *np.quantile(groups[r.q], [0.05, 0.95])))
+    assert windows.winsorised(df.where("v is null"), "v", 0.05, 0.95, "w").count() == 2

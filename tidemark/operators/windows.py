@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,10 +108,57 @@ def log_return(series: DataFrame, value: str, name: str = "log_return", order: s
     return series.withColumn(name, F.ln(F.col(value) / F.lag(value).over(Window.partitionBy("symbol").orderBy(order))))
 
 
+#: Of a sketch: ranks are right to one part in so many.
+ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, value: str, cuts: Sequence[float], keys: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """keys and q: the exact quantiles (linear between neighbours) of a column for each key, in the order of `cuts`; keys without a value have no row.
+
+    A sketch brackets each quantile. Of the values below and above a bracket only the count and
+    the nearest are kept; those inside are counted by value and ranked. So a task holds the few
+    ten-thousandths of a key's values that lie in a bracket, not all. A sketch that missed by
+    more than its margin would be an error.
+    """
+    own = {k: f"__k{i}" for i, k in enumerate(keys)}
+    names, margin = list(own.values()), 2.0 / accuracy
+    there = df.where(F.col(value).isNotNull()).select(*(F.col(k).alias(x) for k, x in own.items()), F.col(value).cast("double").alias("__v"))
+    ends = [max(c - margin, 0.0) for c in cuts] + [min(c + margin, 1.0) for c in cuts]
+    sketch = there.groupBy(*names).agg(F.percentile_approx("__v", ends, accuracy).alias("__b"), F.count(F.lit(1)).alias("__n"))
+    if names:
+        other = sketch.withColumnsRenamed({x: f"{x}s" for x in names})
+        met = there.join(other, [F.col(x).eqNullSafe(F.col(f"{x}s")) for x in names])
+    else:
+        met = there.join(F.broadcast(sketch))  # one row
+    cells = []
+    for i, c in enumerate(cuts):
+        side = F.when(F.col("__v") < F.col("__b")[i], -1).when(F.col("__v") > F.col("__b")[len(cuts) + i], 1).otherwise(0)
+        cells.append(F.struct(F.lit(i).alias("cut"), ((F.col("__n") - 1) * c).alias("at"), side.alias("side"), F.when(side == 0, F.col("__v")).alias("u")))
+    each = met.select(*names, "__v", F.explode(F.array(*cells)).alias("x")).select(*names, "__v", "x.*")
+    counted = each.groupBy(*names, "cut", "at", "side", "u").agg(F.count(F.lit(1)).alias("times"), F.min("__v").alias("least"), F.max("__v").alias("most"))
+    upto = F.sum("times").over(Window.partitionBy(*names, "cut").orderBy("side", "u"))
+    ranked = counted.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("times"))
+
+    def of_rank(r: Column) -> Column:
+        """The value of a rank: one inside, the last below or the first above."""
+        here = (F.col("start") <= r) & (r < F.col("upto"))
+        return F.max(F.when(here & ((F.col("side") <= 0) & ((F.col("side") == 0) | (r == F.col("upto") - 1))), F.col("most")).when(here & (F.col("side") > 0) & (r == F.col("start")), F.col("least")))
+
+    lower, upper = of_rank(F.floor("at")), of_rank(F.ceil("at"))
+    missed = lower.isNull() | upper.isNull()
+    found = ranked.groupBy(*names, "cut", "at").agg(F.when(missed, F.raise_error(F.lit("a sketch missed its quantile")).cast("double")).otherwise(lower + (upper - lower) * (F.col("at") - F.floor("at"))).alias("v"))
+    out = found.groupBy(*names).agg(F.transform(F.array_sort(F.collect_list(F.struct("cut", "v"))), lambda x: x["v"]).alias("q"))
+    return out.withColumnsRenamed({x: k for k, x in own.items()})
+
+
 def winsorised(df: DataFrame, value: str, low: float, high: float, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """value clipped to its exact quantiles (linear between neighbours), over all rows or each key."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__q"))
-    joined = df.join(q, list(keys)) if keys else df.join(F.broadcast(q))  # one row
+    """value clipped to its exact quantiles (linear between neighbours), over all rows or each key; a null key has its own. Null values stay null."""
+    own = {f"__w{i}": F.col(k) for i, k in enumerate(keys)}
+    q = exact_quantiles(df, value, (low, high), keys).toDF(*own, "__q")
+    if keys:
+        joined = df.withColumns(own).alias("l").join(q.alias("r"), [F.col(f"l.{x}").eqNullSafe(F.col(f"r.{x}")) for x in own], "left").select("l.*", "r.__q").drop(*own)
+    else:
+        joined = df.join(F.broadcast(q), how="left")  # one row at most
     return joined.withColumn(name, F.when(F.col(value).isNotNull(), F.least(F.greatest(F.col(value), F.col("__q")[0]), F.col("__q")[1]))).drop("__q")
 
 

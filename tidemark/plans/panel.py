@@ -195,13 +195,24 @@ def build(market: DataFrame, filings: DataFrame, members: DataFrame, benchmark:
 
 
 def scored(rows: DataFrame, f: Features, group: str | None) -> DataFrame:
-    """<feature>_z of every neutralised feature that enough of the month's rows have, and eligible_for_scoring."""
+    """<feature>_z of every neutralised feature that enough of the month's rows have, and eligible_for_scoring.
+
+    Features are unpivoted, so that one set of windows by month and feature scores them all; the
+    other columns travel with the first one only. A row that is there twice comes back once.
+    """
     day = ["execution_date"]
-    out = cross_section.robust_z(rows, "adv_20d", day, "adv_20d_z", f.clip)
-    out = out.withColumns({f"cs_coverage_{c}": cross_section.coverage(out, c, day) for c in NEUTRALISED})
-    for c in NEUTRALISED:
-        out = cross_section.neutralised(out, c, "adv_20d", day, f"{c}_z", group, f.clip, f.min_cross_section)
-        out = out.withColumn(f"{c}_z", F.when(F.col(f"cs_coverage_{c}") >= f.min_coverage, F.col(f"{c}_z")))
+    rows = cross_section.robust_z(rows, "adv_20d", day, "adv_20d_z", f.clip)
+    whole = F.struct(*rows.columns)
+    each = [F.struct(F.lit(c).alias("__feature"), F.col(c).alias("__value"), (whole if k == 0 else F.lit(None).cast(rows.select(whole.alias("w")).schema["w"].dataType)).alias("__row")) for k, c in enumerate(NEUTRALISED)]
+    own = [*day, "symbol", "adv_20d", *([group] if group else [])]
+    long = rows.select(*own, F.explode(F.array(*each)).alias("__e")).select(*own, "__e.*")
+    keys = [*day, "__feature"]
+    long = long.withColumn("__share", cross_section.coverage(long, "__value", keys))
+    long = cross_section.neutralised(long, "__value", "adv_20d", keys, "__score", group, f.clip, f.min_cross_section)
+    shares = [F.max(F.when(F.col("__feature") == c, F.col("__share"))).alias(f"cs_coverage_{c}") for c in NEUTRALISED]
+    scores = [F.max(F.when((F.col("__feature") == c) & (F.col("__share") >= f.min_coverage), F.col("__score"))).alias(f"{c}_z") for c in NEUTRALISED]
+    wide = long.groupBy(*day, "symbol").agg(F.first("__row", ignorenulls=True).alias("__row"), *shares, *scores)
+    out = wide.select("__row.*", *(f"cs_coverage_{c}" for c in NEUTRALISED), *(f"{c}_z" for c in NEUTRALISED))
     full = S.filled(*(F.col(f"{c}_z") for c in NEUTRALISED)) == len(NEUTRALISED)
     return out.withColumn("eligible_for_scoring", F.col("minimum_history_ok") & F.col("row_coverage_ok") & full)
 

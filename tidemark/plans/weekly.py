@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
 from ..operators import cross_section
-from ..operators.windows import average_rank
+from ..operators.windows import average_rank, exact_quantiles
 from .regression import unit_root_statistic
 
 def rolling_slope(df: DataFrame, y: str, x: str, keys: Sequence[str], order: str, n: int) -> DataFrame:
@@ -208,7 +208,7 @@ def scenario_grid(spark: SparkSession, paths: DataFrame, material: float, betas:
     other end where the slope is negative.
     """
     cuts = (0.05, 0.5, 0.95)
-    q = paths.groupBy(*keys).agg(F.percentile(F.exp("total") - 1, F.array(*map(F.lit, cuts))).alias("__q"))
+    q = exact_quantiles(paths.withColumn("__shock", F.exp("total") - 1), "__shock", cuts, keys).withColumnRenamed("q", "__q")
     out = q.withColumn("beta", F.explode(F.array(*map(F.lit, betas)))).withColumn("pass_through", F.explode(F.array(*map(F.lit, passed))))
     out = out.withColumn("__k", F.explode(F.array(*map(F.lit, range(len(cuts))))))
     slope = S.shock_to_profit(F.lit(material), F.col("beta"), F.lit(1.0), F.col("pass_through"))
