@@ -329,3 +329,26 @@ def test_quantiles_are_exact_whatever_the_sketch(spark, accuracy):
     for r in out:
         assert r.w is None if r.v is None else r.w == pytest.approx(np.clip(r.v, *np.quantile(groups[r.q], [0.05, 0.95])))
     assert windows.winsorised(df.where("v is null"), "v", 0.05, 0.95, "w").count() == 2
+
+
+def test_peer_validation_by_brute_force(spark):
+    symbols = [f"p{k}" for k in range(7)] + ["M"]
+    prices = [(s, dt.date(2021, 4, 20) + dt.timedelta(days=9 * k), float(x)) for s in symbols for k, x in enumerate(np.exp(np.cumsum(RNG.normal(0, 0.1, 90))))]
+    prices = [x for x in prices if x[0] != "p6"]
+    scores = [(dt.date(y, 12, 31), s, None if s == "p5" and y == 2020 else float(RNG.integers(0, 4))) for y in (2020, 2021, 2023) for s in symbols[:7]]
+    cutoff = dt.date(2022, 8, 1)
+    got = weekly.validated(spark.createDataFrame(scores, "report_date date, symbol string, operating_score double"), spark.createDataFrame(prices, "symbol string, date date, close_adj double"), "M", str(cutoff)).collect()
+    assert {r.report_date.year for r in got} == {2020, 2021}
+    for r in got:
+        start = dt.date(r.report_date.year + 1, 5, 1)
+        end = min(start + dt.timedelta(days=183), cutoff)
+        assert (r.evaluation_start, r.evaluation_end) == (start, end)
+
+        def back(s, start=start, end=end):
+            own = [(d, p) for x, d, p in prices if x == s]
+            a, z = [p for d, p in own if d >= start], [p for d, p in own if d <= end]
+            return z[-1] / a[0] - 1 if a and z else None
+
+        pairs = [(x, back(s) - back("M")) for d, s, x in scores if d == r.report_date and x is not None and back(s) is not None]
+        x, y = (pd.Series(c).rank() for c in zip(*pairs, strict=True))
+        assert (r.companies, r.rank_ic) == (len(pairs), pytest.approx(x.corr(y))) and 0 <= r.p_value <= 1

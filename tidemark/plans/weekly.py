@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as S
-from ..operators import cross_section
+from ..functions.probability import correlation_p
+from ..operators import asof, cross_section
 from ..operators.windows import average_rank, exact_quantiles
 from .regression import unit_root_statistic
 
@@ -131,6 +132,30 @@ def rank_correlation(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return r.groupBy(key).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("__x", "__y") / F.nullif(F.stddev_pop("__x") * F.stddev_pop("__y"), F.lit(0.0))).alias("rank_ic"))
 
 
+#: Days after the first of May of the next year over which a report's scores are held against returns.
+EVALUATED = 183
+
+
+def validated(scores: DataFrame, prices: DataFrame, benchmark: str, cutoff: str, p_values: bool = True) -> DataFrame:
+    """report_date, evaluation_start, evaluation_end, companies, rank_ic (p_value): how the scores of each report date rank the peers' later returns in excess of the benchmark.
+
+    scores: report_date, symbol, operating_score. The window begins on the first of May after the
+    report's year and ends EVALUATED days later, at the cutoff at the latest; report dates whose
+    window has not begun by then are left out. Peers without a score or a price don't count.
+    """
+    last = F.to_date(F.lit(cutoff))
+    windows = scores.select("report_date").distinct().withColumn("start", F.make_date(F.year("report_date") + 1, F.lit(5), F.lit(1))).where(F.col("start") <= last)
+    windows = windows.withColumn("end", F.least(F.date_add("start", EVALUATED), last))
+    asked = scores.select("report_date", "symbol", "operating_score").join(windows, "report_date")
+    market = windows.select("report_date", F.lit(benchmark).alias("symbol"), F.lit(None).cast("double").alias("operating_score"), "start", "end")
+    held = asof.forward_return(prices, asked.unionByName(market))
+    index = held.where(F.col("symbol") == benchmark).select("report_date", F.col("span_return").alias("market_return"))
+    excess = held.where(F.col("symbol") != benchmark).join(index, "report_date").withColumn("excess", F.col("span_return") - F.col("market_return"))
+    ic = windows.join(rank_correlation(excess, "report_date", "operating_score", "excess"), "report_date", "left")
+    out = ic.select("report_date", F.col("start").alias("evaluation_start"), F.col("end").alias("evaluation_end"), F.coalesce("n", F.lit(0)).alias("companies"), "rank_ic")
+    return out.withColumn("p_value", correlation_p("rank_ic", F.col("companies").cast("double"))) if p_values else out
+
+
 def bridge(df: DataFrame, year: str, volume: str, price: str, keys: Sequence[str] = ()) -> DataFrame:
     """Symmetric bridge of value from each year to the next: effect of volume at mean price, of price at mean volume, and their sum."""
     last = df.select(*keys, (F.col(year) + 1).alias(year), F.col(volume).alias("__v"), F.col(price).alias("__p"))

@@ -583,6 +583,30 @@ def a29_peer_rank_correlation(spark, d):
     return rounded(weekly.rank_correlation(c, "k", "x", "y"))
 
 
+_VALIDATED = f"""WITH {_MARKET}, {_FILINGS}, s AS (SELECT symbol, report_date, net_income / total_assets AS score, make_date(year(report_date) + 1, 5, 1) AS start FROM base WHERE month(report_date) = 12),
+w AS (SELECT *, least(start + 183, DATE '1998-07-15') AS stop FROM s WHERE start <= DATE '1998-07-15'), both_ AS (SELECT symbol, report_date, score, start, stop FROM w UNION ALL SELECT DISTINCT 'MKT', report_date, NULL, start, stop FROM w),
+f AS (SELECT symbol, report_date, score, start, stop, max_by(close_adj, date) FILTER (date <= stop) / min_by(close_adj, date) FILTER (date >= start) - 1 AS r FROM both_ JOIN market USING (symbol) GROUP BY ALL),
+x AS (SELECT f.*, f.r - m.r AS excess FROM f JOIN f m ON m.report_date = f.report_date AND m.symbol = 'MKT' WHERE f.symbol <> 'MKT' AND f.score IS NOT NULL AND f.r IS NOT NULL),
+k AS (SELECT *, rank() OVER (PARTITION BY report_date ORDER BY score) + (count(*) OVER (PARTITION BY report_date, score) - 1) / 2.0 AS a, rank() OVER (PARTITION BY report_date ORDER BY excess) + (count(*) OVER (PARTITION BY report_date, excess) - 1) / 2.0 AS b FROM x)
+SELECT report_date, start AS evaluation_start, stop AS evaluation_end, count(*) AS companies, round(corr(a, b), 6) AS rank_ic FROM k GROUP BY 1, 2, 3"""
+
+
+def _validated(spark: SparkSession, d: str, p: bool) -> DataFrame:
+    annual = adapter.fundamentals(spark, d).where("month(report_date) = 12 and available_date = notice_date")
+    scores = annual.select("report_date", "symbol", (F.col("net_income") / F.col("total_assets")).alias("operating_score"))
+    return weekly.validated(research.settled(scores), _settled(spark, d), adapter.BENCHMARK, "1998-07-15", p)
+
+
+@query(_VALIDATED)
+def a29_j9_peer_validation(spark, d):
+    return rounded(_validated(spark, d, False))
+
+
+@query()
+def a29_peer_p_values(spark, d):
+    return rounded(_validated(spark, d, True).select("report_date", "p_value"))
+
+
 @query("SELECT round(0.05 * b, 6) AS beta, round(0.25 * p, 6) AS pass_through, round(-1000.0 * (0.05 * b) * 0.1 * (1 - 0.25 * p), 6) AS profit_change FROM range(1, 5) t(b), range(0, 4) u(p)")
 def j15_c21_scenario_grid(spark, d):
     g = spark.range(1, 5).select((0.05 * F.col("id")).alias("beta")).withColumn("pass_through", F.explode(F.array(*(F.lit(0.25 * p) for p in range(4)))))
