@@ -142,7 +142,8 @@ def test_substring_dedup(spark, docs, rows, hot):
     assert sum(x.n_removed for x in got) > 0 and all((x.n_spans > 0) == (x.n_removed > 0) for x in got)
 
 
-def test_only_factors_remove_words(spark, docs, monkeypatch):
+@pytest.mark.parametrize("block_bytes, parts", [(1, 16), (substring_dedup.X.BLOCK_BYTES, 1)])
+def test_only_factors_remove_words(spark, docs, monkeypatch, block_bytes, parts):
     real = substring_dedup._serve_passages
 
     def without(window):
@@ -150,7 +151,7 @@ def test_only_factors_remove_words(spark, docs, monkeypatch):
             from tidemark.llm import substring_dedup as m
 
             own, none = m.ReferenceBlock.factors, np.zeros(0, np.int64)
-            m.ReferenceBlock.factors = lambda self: (none, none)
+            m.ReferenceBlock.factors = lambda self, doc=None: (none, none)
             try:
                 return real(window)(rows)
             finally:
@@ -159,9 +160,35 @@ def test_only_factors_remove_words(spark, docs, monkeypatch):
         return serve
 
     monkeypatch.setattr(substring_dedup, "_serve_passages", without)
-    # blocks are as small as can be, so that next to no passage is known within one
-    one = spark.createDataFrame([(k, LOREM[k % 8]) for k in range(16)], "doc_id long, text string").repartition(16)
-    assert {x.n_removed for x in substring_dedup.dedup(spark, one, block_bytes=1).collect()} == {0}
+    # blocks as small as can be, and one block that holds all copies
+    one = spark.createDataFrame([(k, LOREM[k % 8]) for k in range(16)], "doc_id long, text string").repartition(parts)
+    assert {x.n_removed for x in substring_dedup.dedup(spark, one, block_bytes=block_bytes).collect()} == {0}
+    assert {x.n_removed for x in substring_dedup.dedup(spark, docs, block_bytes=block_bytes).collect()} == {0}
+
+
+@pytest.mark.parametrize("hot", [2048, 1])
+def test_copies_within_one_block(spark, hot):
+    """Repeated rows, missing ids and passages that copies share, all in one block."""
+    rng = np.random.default_rng(11)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(6)]
+    data = [(int(k) if k % 17 else None, base[k % 6] if k % 3 else base[k % 6][:90] + " | " + base[(k + 1) % 6][40:]) for k in rng.permutation(120)]
+    data += [(5, base[0]), (5, base[0]), (700, base[0] + " " + base[0])]
+    first = {}
+    ids = [float("inf") if d is None else d for d, _ in data]
+    for d, (_, t) in zip(ids, data, strict=True):
+        w = t.split()
+        for k in range(len(w) - 12):
+            first[tuple(w[k : k + 13])] = min(first.get(tuple(w[k : k + 13]), d), d)
+    want = []
+    for d, (doc_id, t) in zip(ids, data, strict=True):
+        w = t.split()
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 12):
+            if first[tuple(w[k : k + 13])] < d:
+                gone[k : k + 13] = True
+        want.append((doc_id, len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    df = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    same([(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring_dedup.dedup(spark, df, hot=hot).collect()], want)
 
 
 def test_factors_are_greedy_and_longest():
@@ -172,18 +199,23 @@ def test_factors_are_greedy_and_longest():
         doc = rng.integers(0, 10, len(passages))
         edge = np.concatenate([[0], np.cumsum([len(p) for p in passages])]).astype(np.int64)
         flat = np.array([x for p in passages for x in p], np.int64)
-        start, length = substring_dedup.ReferenceBlock(flat, edge, doc, window).factors()
+        block = substring_dedup.ReferenceBlock(flat, edge, doc, window)
+        start, length = block.factors()
         gone = substring_dedup.T.covered(start, length, len(flat)) if len(flat) else np.zeros(0, bool)
+        later = doc + rng.integers(0, 3, len(doc))  # other copies of the passages
+        at, size = block.factors(later)
+        again = substring_dedup.T.covered(at, size, len(flat)) if len(flat) else np.zeros(0, bool)
         first = {}
         for p, d in zip(passages, doc, strict=True):
             for k in range(len(p) - window + 1):
                 first[tuple(p[k : k + window])] = min(first.get(tuple(p[k : k + window]), 99), d)
-        want = np.zeros(len(flat), bool)
-        for p, d, a in zip(passages, doc, edge, strict=False):
-            for k in range(len(p) - window + 1):
-                if first[tuple(p[k : k + window])] < d:
-                    want[a + k : a + k + window] = True
-        assert gone.tolist() == want.tolist() and (length >= window).all()
+        for flags, n, ids in ((gone, length, doc), (again, size, later)):
+            want = np.zeros(len(flat), bool)
+            for p, d, a in zip(passages, ids, edge, strict=False):
+                for k in range(len(p) - window + 1):
+                    if first[tuple(p[k : k + window])] < d:
+                        want[a + k : a + k + window] = True
+            assert flags.tolist() == want.tolist() and (n >= window).all()
 
 
 def test_words_of_one_hash_are_told_apart():

@@ -11,10 +11,11 @@ words at least. They, and nothing else, are the duplicate spans.
 Seeds are content-defined anchors: each window has one, equal windows have the same,
 and a seed that only one document has needs no factoring. (1) Blocks of documents ask
 which of their seeds occur in several documents. (2) They send the passages around
-these, each distinct one once with its smallest doc_id, to the seed's reference
-block, which answers with the words that factors cover. Passages around a seed with
-very many of them go window by window, dealt by the window, so that no block grows
-with a common passage.
+these to the seed's reference block, which answers with the words that factors cover.
+Text that several documents of a block have is sent once, with its two smallest
+doc_ids: it is factored once for each, and what holds for the second document holds
+for all later ones. Passages around a seed with very many of them go window by window,
+dealt by the window, so that no block grows with a common passage.
 
 Hashes only bring candidates together: words and passages are compared by their bytes.
 """
@@ -98,10 +99,8 @@ class ReferenceBlock:
         head = np.ones(len(w), bool)
         head[1:] = w[order][1:] != w[order][:-1]
         first = order[head][np.cumsum(head) - 1]
-        self.source = np.empty(len(w), np.int64)
-        self.source[order] = self.at[first]
-        self.hit = np.empty(len(w), bool)
-        self.hit[order] = d[first] < d[order]
+        self.source, self.earliest = np.empty(len(w), np.int64), np.empty(len(w), np.int64)
+        self.source[order], self.earliest[order] = self.at[first], d[first]
 
     @staticmethod
     def _pairs(a: np.ndarray, b: np.ndarray, step: int) -> np.ndarray:
@@ -123,13 +122,18 @@ class ReferenceBlock:
                 going = going[ok]
         return length
 
-    def factors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Passage-wise greedy factors against earlier documents: first word (place in `words`) and length of each."""
+    def factors(self, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Passage-wise greedy factors against earlier documents: first word (place in `words`) and length of each.
+
+        doc: the documents that have the passages, where other copies than the indexed ones are to be factored.
+        """
+        doc = self.doc if doc is None else doc
         first = np.cumsum(self.size) - self.size
         end = first + self.size
         far = len(self.at)
-        # the next hit at or after each window
-        follow = np.minimum.accumulate(np.where(self.hit, np.arange(far), far)[::-1])[::-1] if far else np.zeros(0, np.int64)
+        # the next window at or after each that an earlier document has
+        hit = self.earliest < doc[self.passage]
+        follow = np.minimum.accumulate(np.where(hit, np.arange(far), far)[::-1])[::-1] if far else np.zeros(0, np.int64)
         starts, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         live, now = np.flatnonzero(self.size > 0), first[self.size > 0]
         while len(live):
@@ -138,7 +142,9 @@ class ReferenceBlock:
             live, i = live[ok], i[ok]
             if not len(live):
                 break
-            n = self.extended(self.at[i], self.source[i])
+            n = end[live] - i + self.window - 1  # to the passage's end, if the source is the indexed copy of the passage
+            other = self.source[i] != self.at[i]
+            n[other] = self.extended(self.at[i[other]], self.source[i[other]])
             starts.append(self.at[i] - live)  # the breaks before it aside
             lengths.append(n)
             now = i + n - self.window + 1  # the first window that crosses the factor's end
@@ -188,7 +194,7 @@ class _State:
 
 
 class _Passages:
-    """Open passages of a block; `one` lists one of each content, that of the earliest document, and `back` leads to it."""
+    """Open passages of a block; `one` lists one of each content, that of the earliest document, `back` leads to it, and `later` is the next document that has it (else the same)."""
 
     def __init__(self, state: _State, start: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, content: np.ndarray):
         self.state, self.start, self.size, self.doc = state, start, size, doc
@@ -202,6 +208,13 @@ class _Passages:
         alike[own] = own
         self.one, self.back = np.unique(alike, return_inverse=True)
         self.key = key[self.one]
+        low = doc[self.one]
+        after = np.flatnonzero(doc > low[self.back])
+        self.later = np.full(len(low), X.NO_ID, np.int64)
+        np.minimum.at(self.later, self.back[after], doc[after])
+        self.again = np.zeros(len(low), bool)
+        self.again[self.back[after]] = True
+        self.later[~self.again] = low[~self.again]
 
     def _other(self, alike: np.ndarray) -> np.ndarray:
         """Passages that differ in words from the one that has the same hash."""
@@ -228,7 +241,7 @@ class _Passages:
         for mine in self.dealt(parts):
             at = self.one[mine]
             a, z = w.start[self.start[at]], w.end[self.start[at] + self.size[at] - 1]
-            head = X.pack((z - a).astype("<u4"), self.doc[at])
+            head = X.pack((z - a).astype("<u4"), self.doc[at], self.later[mine])
             content = squeeze(b"".join([buf[x:y].tobytes() for x, y in zip(a.tolist(), z.tolist(), strict=True)]))
             rows.append((int(self.key[mine[0]] % T.U(parts)), self.state.d.block, 2, len(head).to_bytes(8, "little") + head + content))
         return rows
@@ -238,15 +251,17 @@ class _Passages:
         bits = {p: b for p, k, b in zip(answers["part"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True) if k == 2}
         size = self.size[self.one]
         first = np.cumsum(size) - size
-        flags = np.zeros(int(size.sum()), bool)
+        flags = np.zeros((2, int(size.sum())), bool)  # for the earliest document that has the words, and for later ones
         for mine in self.dealt(parts):
             n = size[mine]
             at = np.repeat(first[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flags[at] = np.unpackbits(np.frombuffer(unsqueeze(bits[int(self.key[mine[0]] % T.U(parts))]), np.uint8), count=int(n.sum()))
-        # a passage that an earlier document of the block has too is one factor
+            more = at[np.repeat(self.again[mine], n)]
+            got = np.unpackbits(np.frombuffer(unsqueeze(bits[int(self.key[mine[0]] % T.U(parts))]), np.uint8), count=len(at) + len(more))
+            flags[0, at], flags[1, more] = got[: len(at)], got[len(at) :]
         n = self.size
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        covered = flags[np.repeat(first[self.back], n) + inner] | np.repeat(self.doc > self.doc[self.one][self.back], n)
+        is_later = np.repeat((self.doc > self.doc[self.one][self.back]).astype(np.int64), n)
+        covered = flags[is_later, np.repeat(first[self.back], n) + inner]
         gone = np.zeros(int(self.state.w.rows[-1]), bool)
         gone[(np.repeat(self.start, n) + inner)[covered]] = True
         return gone
@@ -273,11 +288,14 @@ def _serve_anchors(most: int):
 
 def _serve_passages(window: int):
     def serve(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-        """A reference block: factors all its passages, and gives each block the words of its own that factors cover (bits)."""
-        bufs, starts, lengths, hashes, counts, docs, base = [], [], [], [], [], [], 0
+        """A reference block: factors all its passages, and gives each block the words of its own that factors cover (bits).
+
+        Bits for the earliest document of a block come first, then those for later ones, of the passages that have any.
+        """
+        bufs, starts, lengths, hashes, counts, docs, later, base = [], [], [], [], [], [], [], 0
         for _, _, blob in rows:
             end = 8 + int.from_bytes(blob[:8], "little")
-            size, doc = X.unpack(blob[8:end], "<u4", "i8")
+            size, doc, follow = X.unpack(blob[8:end], "<u4", "i8", "i8")
             buf = np.frombuffer(unsqueeze(blob[end:]), np.uint8)
             w = T.Words(buf, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), T.PLAIN)
             bufs.append(buf)
@@ -286,16 +304,15 @@ def _serve_passages(window: int):
             hashes.append(w.hash)
             counts.append(np.diff(w.rows))
             docs.append(doc)
+            later.append(follow)
             base += len(buf)
         words = word_ids(np.concatenate(bufs), np.concatenate(starts), np.concatenate(lengths), np.concatenate(hashes))
-        edge = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-        start, length = ReferenceBlock(words, edge, np.concatenate(docs), window).factors()
-        turn = np.zeros(len(words) + 1, np.int32)
-        np.add.at(turn, start, 1)
-        np.add.at(turn, start + length, -1)
-        covered = np.cumsum(turn[:-1]) > 0
+        count, doc, follow = np.concatenate(counts), np.concatenate(docs), np.concatenate(later)
+        block = ReferenceBlock(words, np.concatenate([[0], np.cumsum(count)]), doc, window)
+        mine, others = T.covered(*block.factors(), len(words)), T.covered(*block.factors(follow), len(words))
+        again = np.repeat(follow > doc, count)
         cuts = np.cumsum([0, *(len(h) for h in hashes)])
-        return [(r[0], 2, squeeze(np.packbits(covered[x:y]).tobytes())) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
+        return [(r[0], 2, squeeze(np.packbits(np.concatenate([mine[x:y], others[x:y][again[x:y]]])).tobytes())) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
 
     return serve
 
