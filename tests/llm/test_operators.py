@@ -79,15 +79,45 @@ def test_suffix_dedup(spark, docs, rows):
     same([tuple(x) for x in suffix_dedup.dedup(spark, docs, window=100, gram=20, block_bytes=20_000).collect()], want)
 
 
+@pytest.mark.parametrize("memory", [suffix_dedup.MEMORY, 1 << 14])
+def test_only_the_sort_removes_bytes(spark, docs, monkeypatch, memory):
+    def without(window, memory):
+        def serve(rows):
+            from tidemark.llm import suffix_dedup as m
+
+            own = m.repeated_windows
+            m.repeated_windows = lambda pieces, window, memory, times: [np.zeros(len(p) - window + 1, bool) for p in pieces]
+            try:
+                yield from m._serve_shard(window, memory)(rows)
+            finally:
+                m.repeated_windows = own
+
+        return serve
+
+    with_sort = suffix_dedup.dedup(spark, docs, window=100, gram=20, memory=memory).collect()
+    assert sum(x.n_removed for x in with_sort) > 0
+    monkeypatch.setattr(suffix_dedup, "_serve_shard", without)
+    assert {x.n_removed for x in suffix_dedup.dedup(spark, docs, window=100, gram=20, memory=memory).collect()} == {0}
+
+
+def test_surroundings_of_one_hash_are_told_apart():
+    s = suffix_dedup._State.__new__(suffix_dedup._State)
+    s.window, s.d = 4, type("D", (), {"buf": np.frombuffer(b"abcdabcdabceabcd", np.uint8)})
+    s.start, s.count, s.at = np.array([0, 4, 8, 12]), np.ones(4, np.int64), np.zeros(4, np.int64)
+    s.anchor = s.content = np.ones(4, np.uint64)
+    one, times, back = s.distinct(np.arange(4))
+    assert one.tolist() == [0, 2] and times.tolist() == [2, 1] and back.tolist() == [0, 0, 1, 0]
+
+
 def test_a_hot_passage_is_sorted_in_bounded_parts(tmp_path, spark):
     rng = np.random.default_rng(5)
     passage = rng.bytes(150)
     texts = [rng.bytes(rng.integers(40, 90)) + passage[: 150 - k % 3] + rng.bytes(rng.integers(40, 90)) for k in range(300)]
     window, limit, parts = 60, 4000, []
 
-    def sort(pieces):
+    def sort(pieces, times):
         parts.append(sum(map(len, pieces)))
-        return suffix_dedup.repeated_windows(pieces, window, 1 << 16)
+        return suffix_dedup.repeated_windows(pieces, window, 1 << 16, times)
 
     shard = shards.Shard(str(tmp_path), window, limit, sort)
     pieces = []  # each window around the passage's bytes 130 to 140, as one anchor

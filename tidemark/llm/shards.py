@@ -4,7 +4,8 @@ Equal windows have the same anchor at the same offset. Too large a shard is deal
 by anchor; surroundings of one anchor are dealt by halves of that offset's range and
 by the bytes that all windows of a half have in common, which are more of the window
 the smaller the range is. So windows that are equal meet in one part. Of equal
-pieces that a division meets all repeat, and one goes on.
+pieces that a division meets one goes on, marked as met more than once, and the others
+take over what its sort finds.
 """
 
 from __future__ import annotations
@@ -21,12 +22,16 @@ from . import text as T
 #: A piece: its place in the shard's bytes, windows, anchor after that place, place of its first flag, routing key, times met (2 at most).
 _ITEM = np.dtype([("pos", "<i8"), ("n", "<i4"), ("at", "<i4"), ("flag", "<i8"), ("key", "<u8"), ("times", "u1")])
 _CHUNK, _FILES = 1 << 12, 256
+#: Flags of a window: it repeats; its piece is met more than once.
+_AGAIN, _OFTEN = 1, 2
+#: A piece left out by a division: place of its first flag, that of its equal's, windows.
+_LEFT_OUT = np.dtype([("flag", "<i8"), ("equal", "<i8"), ("n", "<i8")])
 
 
 class Shard:
-    """`add` pieces, `solve`, then read each piece's flags in order. `sort(pieces)` tells which windows of different pieces repeat; it gets `limit` bytes at most."""
+    """`add` pieces, `solve`, then read each piece's flags in order. `sort(pieces, times)` tells which windows of different pieces repeat, each met `times` times; it gets `limit` bytes at most."""
 
-    def __init__(self, folder: str, window: int, limit: int, sort: Callable[[list[bytes]], list[np.ndarray]]):
+    def __init__(self, folder: str, window: int, limit: int, sort: Callable[[list[bytes], list[int]], list[np.ndarray]]):
         self.folder, self.window, self.limit, self.sort = folder, window, max(limit, 4 * window), sort
         self.file, self.index = open(f"{folder}/bytes", "w+b"), open(f"{folder}/items", "w+b")
         self.size = self.windows = 0
@@ -45,13 +50,21 @@ class Shard:
         self.index.flush()
         self.again = np.memmap(f"{self.folder}/flags", np.uint8, "w+", shape=max(1, self.windows))
         if self.windows:
-            self._solve(self.index.name, 0, 0)
+            with open(f"{self.folder}/equal", "w+b") as self.equal:
+                self._solve(self.index.name, 0, 0)
+                self.equal.flush()
+                k = os.path.getsize(self.equal.name) // _LEFT_OUT.itemsize
+                while k:  # the last ones first: a piece that others equal may have been left out later
+                    a = max(0, k - _CHUNK)
+                    for flag, equal, n in np.fromfile(self.equal.name, _LEFT_OUT, k - a, offset=a * _LEFT_OUT.itemsize)[::-1].tolist():
+                        self.again[flag : flag + n] |= self.again[equal : equal + n] & _AGAIN
+                    k = a
 
     def flags(self, first: int, count: int) -> Iterator[np.ndarray]:
         """Flags of `count` pieces from the piece `first`."""
         for x in self._items(self.index.name, first, count):
             for a, n in zip(x["flag"].tolist(), x["n"].tolist(), strict=True):
-                yield self.again[a : a + n]
+                yield self.again[a : a + n] & _AGAIN
 
     def close(self) -> None:
         self.file.close()
@@ -65,9 +78,6 @@ class Shard:
     def _bytes(self, pos: int, n: int) -> bytes:
         return os.pread(self.file.fileno(), n, pos)
 
-    def _repeats(self, flag: int, n: int) -> None:
-        self.again[flag : flag + n] = 1
-
     def _solve(self, path: str, low: int, high: int) -> None:
         """low, high: range of the anchor's offset in all windows of the file's pieces; high is 0 before pieces are dealt by anchor."""
         size = sum(int(x["n"].sum()) + len(x) * (self.window - 1) for x in self._items(path))
@@ -105,15 +115,13 @@ class Shard:
                 x["at"] -= first
                 x["n"] = last - first
                 keep = np.ones(len(x), bool)
-                for j, (pos, n, at, flag, _, times) in enumerate(x.tolist()):
+                for j, (pos, n, at, flag, _, _) in enumerate(x.tolist()):
                     raw = self._bytes(pos, n + self.window - 1)
-                    if times > 1:
-                        self._repeats(flag, n)
                     name = hashlib.blake2b(raw, digest_size=16).digest()
                     known = seen.get(name)
                     if known and known[1] == n and self._bytes(known[0], len(raw)) == raw:
-                        self._repeats(flag, n)
-                        self._repeats(known[2], n)
+                        self.equal.write(np.array([(flag, known[2], n)], _LEFT_OUT).tobytes())
+                        self.again[known[2] : known[2] + n] |= _OFTEN
                         keep[j] = False
                         continue
                     if not known and len(seen) < most:
@@ -140,11 +148,8 @@ class Shard:
                 slot = known.setdefault(self._bytes(pos, n + self.window - 1), len(known))
                 if slot == len(total):
                     total.append(0)
-                total[slot] += times
+                total[slot] += times + int(self.again[flag] & _OFTEN)
                 places.append((slot, flag, n))
-        found = self.sort(list(known))
+        found = self.sort(list(known), total)
         for slot, flag, n in places:
-            if total[slot] > 1:
-                self._repeats(flag, n)
-            else:
-                self.again[flag : flag + n] |= found[slot]
+            self.again[flag : flag + n] |= found[slot]

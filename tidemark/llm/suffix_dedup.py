@@ -2,11 +2,13 @@
 
 Every byte goes that a string of `window` bytes covers which also starts elsewhere.
 Blocks of documents first ask about the anchors of their windows; a window can
-repeat only if its anchor does. Where an anchor has one surrounding in all places,
-its windows repeat as a whole; where it has several, the distinct surroundings go to
-the anchor's shard, whose suffixes are sorted by external induction. Suffixes that
-share `window` bytes with a neighbour repeat. A shard lies on disk; one larger than a
-fixed share of memory is divided first, and queues go to disk beyond theirs.
+repeat only if its anchor does. The surroundings of anchors met more than once go to
+the anchor's shard, each distinct one once with its count, and the shard's suffixes
+are sorted by external induction. Suffixes that share `window` bytes with a
+neighbour repeat, and those of a surrounding that counts more than one. A shard lies
+on disk; one larger than a fixed share of memory is divided first, and queues go to
+disk beyond theirs. Hashes only bring candidates together: surroundings count as
+alike where their bytes are.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from .anchors import Segments
 from .common import SLICE_BYTES, Workspace, parts, text_bytes
 from .induced_sort import sorted_suffixes
 from .shards import Shard
+from .substring_dedup import differing
 
 WINDOW, GRAM = 400, 64
 MEMORY = 192 << 20
@@ -56,42 +59,45 @@ class _State:
             a = z
         kinds = (np.int64, np.int64, np.int64, T.U, T.U, np.int64)
         self.start, self.count, self.row, self.anchor, self.content, self.at = (np.concatenate([f[k] for f in found] or [np.zeros(0, t)]) for k, t in enumerate(kinds))
-        order = np.lexsort((self.content, self.anchor))
-        a_, c_ = self.anchor[order], self.content[order]
+        order = np.argsort(self.anchor, kind="stable")
+        a_ = self.anchor[order]
         head = np.ones(len(order), bool)
         head[1:] = a_[1:] != a_[:-1]
         at = np.flatnonzero(head)
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(head) - 1
-        self.anchors, self.one = a_[at], c_[at]
-        self.mixed = (np.maximum.reduceat(c_, at) != self.one).astype("u1") if len(at) else np.zeros(0, "u1")
+        self.anchors = a_[at]
         self.times = np.minimum(np.diff(np.append(at, len(order))), 2).astype("u1")
 
     def distinct(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the chosen segments: one of each content in order of content, how often it occurs (2 at most), and each one's content."""
-        _, first, back, times = np.unique(self.content[chosen], return_index=True, return_inverse=True, return_counts=True)
-        return chosen[first], np.minimum(times, 2).astype("u1"), back
+        """Of the chosen segments: one of each content, how often it occurs (2 at most), and each one's content."""
+        _, first, back = np.unique(self.content[chosen], return_index=True, return_inverse=True)
+        alike = chosen[first][back]
+        odd = (self.count[alike] != self.count[chosen]) | (self.at[alike] != self.at[chosen]) | (self.anchor[alike] != self.anchor[chosen])
+        same = np.flatnonzero(~odd)
+        odd[same] = differing(self.d.buf, self.start[chosen[same]], self.start[alike[same]], self.count[chosen[same]] + self.window - 1)
+        alike[odd] = chosen[odd]  # equal hashes of different bytes: each stands for itself
+        one, back, times = np.unique(alike, return_inverse=True, return_counts=True)
+        return one, np.minimum(times, 2).astype("u1"), back
 
 
 def _serve_anchors(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
-    """0: the anchor occurs once; 1: often, in one surrounding; 2: in several."""
-    got = [X.unpack(b, "u8", "u8", "u1", "u1") for _, _, b in rows]
-    a, c, mixed, times = (np.concatenate([g[k] for g in got]) for k in range(4))
+    """0: the anchor occurs once; 1: more often."""
+    got = [X.unpack(b, "u8", "u1") for _, _, b in rows]
+    a, times = (np.concatenate([g[k] for g in got]) for k in range(2))
     order = np.argsort(a, kind="stable")
     head = np.ones(len(a), bool)
     head[1:] = a[order][1:] != a[order][:-1]
     at = np.flatnonzero(head)
     group = np.empty(len(a), np.int64)
     group[order] = np.cumsum(head) - 1
-    several = (np.minimum.reduceat(c[order], at) != np.maximum.reduceat(c[order], at)) | (np.maximum.reduceat(mixed[order], at) > 0)
-    often = np.add.reduceat(times[order].astype(np.int64), at) > 1
-    flag = np.where(several, 2, often).astype("u1")[group]
+    flag = (np.add.reduceat(times[order].astype(np.int64), at) > 1).astype("u1")[group]
     cuts = np.cumsum([0, *(len(g[0]) for g in got)])
     return [(r[0], 1, X.pack(flag[x:y])) for r, x, y in zip(rows, cuts[:-1], cuts[1:], strict=True)]
 
 
-def repeated_windows(pieces: list[bytes], window: int, memory: int = MEMORY) -> list[np.ndarray]:
-    """For each of several different pieces, which of its windows also start elsewhere in them, by sorting the suffixes of all."""
+def repeated_windows(pieces: list[bytes], window: int, memory: int = MEMORY, times: list[int] | None = None) -> list[np.ndarray]:
+    """For each of several different pieces, which of its windows also start elsewhere, by sorting the suffixes of all; times: how often each piece is met."""
     sizes = np.array([len(p) + 1 for p in pieces])
     offs = np.concatenate([[0], np.cumsum(sizes)])
     with tempfile.TemporaryDirectory(prefix="suffixes-") as folder:
@@ -101,10 +107,12 @@ def repeated_windows(pieces: list[bytes], window: int, memory: int = MEMORY) ->
             text[a : a + len(p)] += _BREAK + 1
             text[a + len(p)] = _BREAK
         text[-1] = 0
+        often = np.append(np.repeat(np.array(times or [1] * len(pieces)) > 1, sizes), False)
         again = np.zeros(len(text), bool)
         before = -1
         for pos, h in sorted_suffixes(text, folder, memory, window):
             hit = np.flatnonzero(h >= window)
+            again[pos[often[pos]]] = True
             again[pos[hit]] = True
             again[np.where(hit > 0, pos[np.maximum(hit - 1, 0)], before)] = True
             before = int(pos[-1])
@@ -116,7 +124,7 @@ def _serve_shard(window: int, memory: int):
     def serve(rows: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
         """For each content that a block sent, which of its windows repeat (bits)."""
         with tempfile.TemporaryDirectory(prefix="shard-") as folder:
-            shard = Shard(folder, window, memory // SHARE, lambda pieces: repeated_windows(pieces, window, memory))
+            shard = Shard(folder, window, memory // SHARE, lambda pieces, times: repeated_windows(pieces, window, memory, times))
             sent = []
             for block, _, blob in rows:
                 raw = X.unsqueeze(blob)
@@ -149,19 +157,19 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int
 
     def ask_anchors(d: X.Documents, _: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
-        return X.packed_table(list(X.deal(d.block, 1, s.anchors, n, s.anchors, s.one, s.mixed, s.times)))
+        return X.packed_table(list(X.deal(d.block, 1, s.anchors, n, s.anchors, s.times)))
 
     known = ws.write(X.ask(X.per_block(blocks, None, ask_anchors, X.PACKED), _serve_anchors), "anchors")
 
-    def open_segments(s: _State, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Flags of all segments; of those with several surroundings: themselves, one of each content, its times, and each one's content."""
+    def open_segments(s: _State, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segments whose anchor is met more than once: themselves, one of each content, its times, and each one's content."""
         flag = X.collected(answers, 1, s.anchors, n, "u1")[0][s.group] if len(s.group) else np.zeros(0, "u1")
-        chosen = np.flatnonzero(flag == 2)
-        return (flag, chosen, *s.distinct(chosen))
+        chosen = np.flatnonzero(flag)
+        return (chosen, *s.distinct(chosen))
 
     def ask_shards(d: X.Documents, answers: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
-        _, _, one, times, _ = open_segments(s, answers)
+        _, one, times, _ = open_segments(s, answers)
         rows = []
         part = (s.anchor[one] % T.U(n)).astype(np.int64)
         for p in np.unique(part).tolist():
@@ -175,22 +183,24 @@ def dedup(spark: SparkSession, docs: DataFrame, text: str = "text", window: int
 
     def finish(d: X.Documents, answers: pa.Table) -> pa.Table:
         s = _State(d, window, gram)
-        flag, chosen, one, _, back = open_segments(s, answers)
+        chosen, one, _, back = open_segments(s, answers)
         edge = np.zeros(len(d.buf) + 1, np.int32)  # removed stretches: +1 where one begins, -1 after its end
-        same = np.flatnonzero(flag == 1)
-        np.add.at(edge, s.start[same], 1)
-        np.add.at(edge, s.start[same] + s.count[same] + window - 1, -1)
         bits: dict[int, np.ndarray] = {p: np.frombuffer(X.unsqueeze(b), np.uint8) for p, k, b in zip(answers["part"].to_pylist(), answers["kind"].to_pylist(), answers["blob"].to_pylist(), strict=True) if k == 2}
         part, at = (s.anchor[one] % T.U(n)).astype(np.int64).tolist(), dict.fromkeys(bits, 0)
-        repeats = []
+        first, end = [], []  # runs of windows that repeat, of each content
         for p, count in zip(part, s.count[one].tolist(), strict=True):
             size = (count + 7) // 8
-            repeats.append(np.flatnonzero(np.unpackbits(bits[p][at[p] : at[p] + size], count=count)))
+            turn = np.diff(np.unpackbits(bits[p][at[p] : at[p] + size], count=count).astype(np.int8), prepend=0, append=0)
+            first.append(np.flatnonzero(turn == 1))
+            end.append(np.flatnonzero(turn == -1) + window - 1)
             at[p] += size
-        for start, k in zip(s.start[chosen].tolist(), back.tolist(), strict=True):
-            if len(repeats[k]):
-                np.add.at(edge, start + repeats[k], 1)
-                np.add.at(edge, start + repeats[k] + window, -1)
+        n_runs = np.array([len(f) for f in first], np.int64)
+        mine = n_runs[back]
+        at_run = np.repeat((np.cumsum(n_runs) - n_runs)[back], mine) + np.arange(mine.sum()) - np.repeat(np.cumsum(mine) - mine, mine)
+        start = np.repeat(s.start[chosen], mine)
+        if len(at_run):
+            np.add.at(edge, start + np.concatenate(first)[at_run], 1)
+            np.add.at(edge, start + np.concatenate(end)[at_run], -1)
         gone = np.cumsum(edge[:-1]) > 0
         n_gone, n_spans, sha = [], [], []
         for a, z in zip(d.offs[:-1].tolist(), d.offs[1:].tolist(), strict=True):
