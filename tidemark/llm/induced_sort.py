@@ -248,21 +248,47 @@ def _sorted_stars(text: np.ndarray, stars: np.ndarray, folder: str, memory: int)
 
 
 def _prefixes(text: np.ndarray, pos: np.ndarray, limit: int) -> np.ndarray:
-    """Common prefix of each suffix with the one before it; values of `limit` or more are only known to be so."""
+    """Common prefix of each S* suffix with the one before it; values of `limit` or more are only known to be so.
+
+    One suffix in 16, in order of text, is compared from its start. Those after it begin
+    with what is left of its prefix, if that holds the whole next piece too: then the
+    same place of the other suffix is of type S* as well, and sorts before.
+    """
     h = np.zeros(len(pos), np.int32)
     width = 16
-    for a in range(1, len(pos), 1 << 16):
-        mine = np.arange(a, min(a + (1 << 16), len(pos)))
-        off = 0
-        while len(mine) and off < limit:
-            span = np.arange(off, off + width)
-            x, y = pos[mine][:, None] + span, pos[mine - 1][:, None] + span
-            end = len(text) - 1
-            same = (text[np.minimum(x, end)] == text[np.minimum(y, end)]) & (x < end) & (y < end)
-            n = np.where(same.all(axis=1), width, np.argmin(same, axis=1))
-            h[mine] += n.astype(np.int32)
-            mine = mine[n == width]
-            off += width
+    tail = max(0, len(text) - 2 * width)
+    last = np.append(text[tail:], np.zeros(width, text.dtype))  # the last strings of `width`; only one of two holds the terminator
+    strings, last = (np.lib.stride_tricks.sliding_window_view(x, width) if len(x) >= width else None for x in (text, last))
+
+    def at(place: np.ndarray) -> np.ndarray:
+        late = place > len(text) - width
+        if not late.any():
+            return strings[place]
+        out = np.empty((len(place), width), text.dtype)
+        out[late] = last[place[late] - tail]
+        if not late.all():
+            out[~late] = strings[place[~late]]
+        return out
+
+    def compare(ranks: np.ndarray) -> None:
+        for a in range(0, len(ranks), 1 << 14):
+            mine = ranks[a : a + (1 << 14)]
+            while len(mine):
+                other = at(pos[mine] + h[mine]) != at(pos[mine - 1] + h[mine])
+                n = np.argmax(other, axis=1)
+                n[~other[np.arange(len(n)), n]] = width
+                h[mine] += n.astype(np.int32)
+                mine = mine[(n == width) & (h[mine] < limit)]
+
+    order = np.argsort(pos)  # in order of text
+    place, k = pos[order], np.arange(len(pos))
+    lead = k - k % width
+    compare(order[k[(lead == k) & (order > 0)]])
+    follow = k[(lead != k) & (order > 0)]
+    least, after = h[order[lead[follow]]], place[np.minimum(follow + 1, len(k) - 1)]
+    known = (follow + 1 < len(k)) & (after - place[lead[follow]] < least)
+    h[order[follow]] = np.where(known, least - (place[follow] - place[lead[follow]]), 0)
+    compare(order[follow])
     return h
 
 
@@ -274,6 +300,7 @@ def sorted_suffixes(text: np.ndarray, folder: str, memory: int, limit: int = _FA
     `limit` or more are only known to be so. An array of the terminator alone gives
     that one suffix.
     """
+    text = np.asarray(text)  # as mapped, without the checks of a mapped array at each access
     top = int(text.max()) if len(text) else 0
     stars = _sorted_stars(text, _stars(text, memory), folder, memory)
     h = _prefixes(text, stars, limit)
