@@ -352,3 +352,76 @@ def test_peer_validation_by_brute_force(spark):
         pairs = [(x, back(s) - back("M")) for d, s, x in scores if d == r.report_date and x is not None and back(s) is not None]
         x, y = (pd.Series(c).rank() for c in zip(*pairs, strict=True))
         assert (r.companies, r.rank_ic) == (len(pairs), pytest.approx(x.corr(y))) and 0 <= r.p_value <= 1
+
+
+def jobs_of(spark, name, call):
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        call()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_checks_ride_on_the_write(spark, tmp_path):
+    from tidemark.operators.watch import Watch
+
+    df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("v"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("day"))
+    names = spark.range(7).select(F.col("id").alias("v"), F.concat(F.lit("n"), "id").alias("name"))
+    plain = jobs_of(spark, "plain", lambda: df.join(names.groupBy("v").agg(F.any_value("name").alias("name")), "v", "left").write.parquet(str(tmp_path / "plain")))
+
+    def checked(limit, cutoff, right, path):
+        w = Watch()
+        rows = w.point_in_time(w.domain(df, {"small": F.col("v") < limit, "there": F.col("k") >= 0}, "rows"), "day", cutoff, "rows")
+        return w.write(w.many_to_one(rows, right, ["v"], "names"), str(tmp_path / path))
+
+    assert jobs_of(spark, "checked", lambda: checked(7, "2021-01-01", names, "good")) == plain
+    good = spark.read.parquet(str(tmp_path / "good"))
+    assert good.count() == 100 and good.where("name is null").count() == 0
+    twice = names.unionByName(names.limit(1))
+    for bad, message in (((6, "2021-01-01", names), "rows breaks rules: {'small': 14}"), ((7, "2020-02-01", names), "dates after 2020-02-01 in: rows"), ((7, "2021-01-01", twice), r"names, right repeats the key \['v'\]")):
+        with pytest.raises(ValueError, match=message):
+            checked(*bad, "good")
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["good", "plain"]
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 100  # what was there stays
+
+
+def test_checks_of_frames_that_are_left_out_or_empty(spark, tmp_path):
+    from tidemark.operators.watch import Watch
+
+    n, none = spark.range(5).withColumn("x", F.lit(1)), spark.range(0).withColumn("y", F.lit(1))
+    w = Watch()
+    assert w.write(w.one_to_one(n, none, ["id"], "n"), str(tmp_path / "a")).count() == 5
+    w = Watch()
+    w.domain(n.where("false"), {"x": F.col("x") > 5}, "empty").write.format("noop").mode("overwrite").save()
+    w.settle()
+    w = Watch()
+    twice = w.unique(n.unionByName(n), ["id"], "n").join(none, "id")
+    with pytest.raises(ValueError, match="n repeats the key"):
+        w.write(twice, str(tmp_path / "b"))
+    nulls = spark.createDataFrame([(None, 1), (None, 2)], "id long, x int")
+    w = Watch()
+    with pytest.raises(ValueError, match="repeats"):
+        w.write(w.unique(nulls, ["id"], "nulls"), str(tmp_path / "c"))
+
+
+def test_windows_on_the_stored_layout_move_no_bars(spark, tmp_path):
+    from tidemark.sources import layout
+
+    rows = [(s, day(k), float(10 + (k * 7 + i) % 13), 5.0 + k % 3) for i, s in enumerate("abcM") for k in range(80)]
+    market = spark.createDataFrame(rows, "symbol string, date date, close_adj double, volume double").withColumn("close_raw", F.col("close_adj"))
+    stored = layout.store_by_symbol(market, str(tmp_path / "market"), "market_test", buckets=4)
+
+    def features(df):
+        bars = windows.liquidity(windows.volatility(windows.momentum(windows.history(windows.with_returns(df)), "m", 20, 4), 13, 10, 52), 4, 3)
+        return windows.beta(panel.with_benchmark(bars, "M"), 26, 20, 52)
+
+    names = sorted(features(market).columns)
+    got, want = (sorted(features(df).select(names).collect(), key=lambda r: (r.symbol, r.date)) for df in (stored, market))
+    for a, b in zip(got, want, strict=True):
+        assert a.asDict() == pytest.approx(b.asDict(), nan_ok=True)
+    plan = features(stored)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(symbol" not in plan and "Bucketed: true" in plan
+    assert "Exchange hashpartitioning(symbol" in features(market)._jdf.queryExecution().executedPlan().toString()
+    layout.drop(spark, "market_test", str(tmp_path / "market"))
+    assert not (tmp_path / "market").exists()

@@ -102,6 +102,21 @@ def price_features(market: DataFrame, benchmark: str | None, f: Features) -> Dat
     return windows.beta(bars, f.beta, f.min_beta, f.yearly) if benchmark else bars
 
 
+#: Dates of a benchmark up to which it is sent to every task; a longer one is joined by shuffle.
+BROADCAST_DATES = 1_000_000
+
+
+def with_benchmark(bars: DataFrame, benchmark: str) -> DataFrame:
+    """Bars (with simple_return) of all other symbols with benchmark_return by date.
+
+    Bars stay where they lie as long as the benchmark's dates, which are counted first
+    (one bucket of a stored market), are few enough to be sent.
+    """
+    index = bars.where(F.col("symbol") == benchmark).select("date", F.col("simple_return").alias("benchmark_return"))
+    few = bars.where(F.col("symbol") == benchmark).limit(BROADCAST_DATES + 1).count() <= BROADCAST_DATES
+    return bars.where(F.col("symbol") != benchmark).join(F.broadcast(index) if few else index, "date", "left")
+
+
 def member_benchmark(market: DataFrame, members: DataFrame) -> DataFrame:
     """signal_date, date, benchmark_return: the members' weighted return, weights renewed over those that have one that day.
 
