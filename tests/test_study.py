@@ -6,11 +6,12 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark import cli
 from tidemark.operators import asof, risk
-from tidemark.plans import panel, weekly
+from tidemark.plans import panel, study, weekly
 
 R = random.Random(3)
 DAY = dt.date(2020, 1, 1)
@@ -125,5 +126,32 @@ def test_command_line_is_reproducible(spark, tmp_path):
         found.append((json.loads((tmp_path / run / "analysis.json").read_text()), (tmp_path / run / "report.md").read_text()))
         assert json.loads((tmp_path / run / "manifest.json").read_text())["daily"]["sha256"]
     assert found[0] == found[1] and found[0][1].startswith("# Weekly study")
+    summary = found[0][0]
+    assert {r["component"] for r in summary["attribution"]} == {"market", "peer", "material", "intercept", "residual", "total"}
+    assert all(r["companies"] > 5 and r["p_value"] is not None for r in summary["peer_validation"]) and len(summary["price_models"]) == 5
+    built = json.loads((tmp_path / "one" / "build_diagnostics.json").read_text())
+    assert built["model_weeks"] == summary["weeks"] <= built["weeks"] and 0 < built["hhi"] < built["share_sum"] / 100 < 1
+    assert all(f"## {title}" in found[0][1] for title in ("Attribution", "Peers", "Price series", "Scenarios", "Revenue bridge"))
     with pytest.raises(ValueError, match="evaluation"):
         cli.main(["systematic-run", "--config", str(config)], spark)
+
+
+def test_weekly_panel_and_bridge_by_brute_force(spark):
+    roles = study.Roles("f", "b", ("p", "q"), "m")
+    rng = np.random.default_rng(8)
+    rows = [(s, dt.date(2020, 1, 3) + dt.timedelta(days=7 * k), float(rng.uniform(5, 9)), None if k == 0 or (s, k) in (("p", 4), ("q", 4), ("q", 7), ("f", 9)) else float(rng.normal())) for s in "fbpqmx" for k in range(40)]
+    weeks = spark.createDataFrame(rows, "symbol string, week date, close_adj double, log_return double")
+    panel_ = study.weekly_panel(weeks, roles)
+    wide = pd.DataFrame(rows, columns=["symbol", "week", "close", "r"]).pivot(index="week", columns="symbol", values="r")
+    low, high = wide["m"].dropna().quantile([0.01, 0.99])
+    want = pd.DataFrame({"focal_return": wide["f"], "market_return": wide["b"], "peer_return": wide[["p", "q"]].mean(axis=1), "material_return": wide["m"].clip(low, high), "focal_excess": wide["f"] - wide["b"]})
+    got = pd.DataFrame([r.asDict() for r in panel_.collect()]).set_index("week").sort_index()
+    assert np.allclose(got[want.columns].astype(float), want, equal_nan=True)
+    assert study.model_rows(panel_).count() == len(want.dropna()) == 37
+    d = study.diagnostics(panel_).first()
+    assert (d.weeks, d.model_weeks) == (40, 37) and (d.clip_low, d.clip_high) == pytest.approx((low, high))
+    assert study.weekly_panel(weeks.where("false"), roles).count() == 0
+    sales = spark.createDataFrame([("a", 2000, 10.0, 2.0), ("a", 2001, 12.0, 3.0), ("a", 2003, 1.0, 1.0), ("b", 2001, 5.0, 5.0)], "segment string, year int, volume double, price double")
+    assert sorted(map(tuple, study.revenue_bridge(sales).collect())) == [("a", 2001, "net", 16.0), ("a", 2001, "price", 11.0), ("a", 2001, "volume", 5.0)]
+    revenue = spark.createDataFrame([(k, x) for k, x in enumerate((50.0, 30.0, 10.0, 5.0, 3.0, 2.0))], "k int, x double")
+    assert tuple(study.concentration(revenue, "k", "x").first()) == pytest.approx((0.25 + 0.09 + 0.01 + 0.0025 + 0.0009, 98.0))

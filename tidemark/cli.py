@@ -1,8 +1,9 @@
 """Command line: `python -m tidemark.cli <command> --config file.yaml`.
 
 download            source tables of the weekly study: daily means of orders, with a manifest
-build               weekly series from them
-analyze             models, rolling fits and forecasts of the weekly study, as tables and JSON
+build               weekly series and model panel, peers' operating scores, revenue bridge, diagnostics
+analyze             models, rolling fits, forecasts, attribution, peer validation and the study of price
+                    series with its scenarios, as tables and JSON
 report              a Markdown report of the analysis
 systematic-download market, filings and members, with a manifest
 systematic-run      panel, diagnostics, portfolios and gates, as tables, JSON and a report
@@ -24,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import evaluate, portfolio, windows
-from .plans import adapter, assets, regression, report, research, weekly
+from .plans import adapter, assets, commodity, regression, report, research, study, weekly
 from .sources import files
 
 COMMANDS = ("download", "build", "analyze", "report", "systematic-download", "systematic-run")
 MODELS = {"market_only": ["market"], "full": ["market", "peer", "material"]}
 #: Models that are fitted; of these, MODELS are compared out of sample.
 FITTED = {**MODELS, "market_plus_peers": ["market", "peer"]}
+#: Window of the attribution, end of the peers' windows, and the scenarios of the material's price.
+ATTRIBUTED, CUTOFF = ("1997-01-01", "1998-12-31"), "1998-07-15"
+SIMULATIONS, HORIZON, SEED, MATERIAL, BETAS, PASSED = 10_000, 52, 7, 1000.0, [0.3, 0.5], [0.0, 0.5, 0.9]
 SERIES = {"y": "1-URGENT", "market": "2-HIGH", "peer": "3-MEDIUM", "material": "5-LOW"}
 
 
@@ -63,23 +67,57 @@ def download(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
 def build(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
     daily = files.read_parquet(spark, f"{out}/daily.parquet")
     weeks = _saved(windows.log_return(windows.weekly_last(daily, "close_adj"), "close_adj"), out, "weekly")
-    return {"weeks": weeks.select("week").distinct().count(), "series": weeks.select("symbol").distinct().count()}
+    panel = _saved(study.weekly_panel(weeks), out, "weekly_panel")
+    _saved(study.model_rows(panel), out, "weekly_model_panel")
+    _saved(study.operating_scores(adapter.fundamentals(spark, source)), out, "peer_operating_scores")
+    _saved(study.revenue_bridge(study.segment_sales(spark, source)), out, "revenue_bridge")
+    held = study.concentration(study.customer_revenue(spark, source), "o_custkey", "revenue")
+    found = {**study.diagnostics(panel).first().asDict(), **held.first().asDict()}
+    files.write_json(f"{out}/build_diagnostics.json", found)
+    return {**found, "series": weeks.select("symbol").distinct().count()}
+
+
+def model_factors(panel: DataFrame) -> DataFrame:
+    """week, y and the factors under the names of `FITTED`, from rows of the model panel."""
+    return panel.select("week", F.col("focal_return").alias("y"), F.col("market_return").alias("market"), F.col("peer_return").alias("peer"), F.col("material_return").alias("material"), F.lit(1).alias("study"))
 
 
 def analyze(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
-    factors = research.settled(weekly_factors(files.read_parquet(spark, f"{out}/weekly.parquet")))
+    factors = model_factors(files.read_parquet(spark, f"{out}/weekly_model_panel.parquet"))
     models = _saved(regression.hac_models(factors, FITTED, "y", "week"), out, "models")
     _saved(weekly.rolling_fit(factors, "y", MODELS["full"], ["study"], "week"), out, "rolling")
     forecasts = _saved(weekly.walk_forward_models(factors, "y", MODELS, ["study"], "week"), out, "forecasts")
     oos = weekly.compared(forecasts, ["study"], "y", "market_only", "full").drop("study").first()
-    summary = {"weeks": factors.count(), "models": [r.asDict() for r in models.orderBy("model", "term").collect()], "out_of_sample": oos.asDict() if oos else None}
+    parts = _saved(regression.attribution(factors, models, MODELS["full"], "y", *ATTRIBUTED, "week"), out, "attribution")
+    scores = files.read_parquet(spark, f"{out}/peer_operating_scores.parquet")
+    market = _saved(adapter.market(spark, source), out, "market")
+    checked = _saved(weekly.validated(scores, market, adapter.BENCHMARK, CUTOFF), out, "peer_validation")
+    weeks = files.read_parquet(spark, f"{out}/weekly.parquet").select("symbol", "week", "close_adj")
+    fitted = _saved(commodity.fits(weeks, ["symbol"], "close_adj", "week"), out, "price_models")
+    paths = commodity.simulated(weeks, fitted, ["symbol"], "close_adj", "week", SIMULATIONS, HORIZON, SEED)
+    scenarios = _saved(weekly.scenario_grid(spark, paths, MATERIAL, BETAS, PASSED, ["symbol"]), out, "scenarios")
+
+    def rows(df: DataFrame, *order: str) -> list[dict[str, Any]]:
+        return [r.asDict() for r in df.orderBy(*order).collect()]  # a table of the report
+
+    summary = {
+        "weeks": factors.count(),
+        "models": rows(models, "model", "term"),
+        "out_of_sample": oos.asDict() if oos else None,
+        "attribution": rows(parts.where("model = 'full'"), "component"),
+        "peer_validation": rows(checked, "report_date"),
+        "price_models": rows(fitted, "symbol"),
+        "scenarios": scenarios.count(),
+    }
     files.write_json(f"{out}/analysis.json", summary)
     return summary
 
 
 def study_report(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
     models = files.read_parquet(spark, f"{out}/models.parquet").orderBy("model", "term")
-    text = report.report("Weekly study", [("Models", "Least squares with Newey-West errors.", models.select("model", "term", "coefficient", "hac_t", "p_value", "n"))], {"input": source})
+    titles = {"attribution": ("Attribution", ("model", "component")), "peer_validation": ("Peers", ("report_date",)), "price_models": ("Price series", ("symbol",)), "scenarios": ("Scenarios", ("symbol", "beta", "pass_through", "quantile")), "revenue_bridge": ("Revenue bridge", ("segment", "year", "effect"))}
+    tables = [(title, "", files.read_parquet(spark, f"{out}/{name}.parquet").orderBy(*order)) for name, (title, order) in titles.items()]
+    text = report.report("Weekly study", [("Models", "Least squares with Newey-West errors.", models.select("model", "term", "coefficient", "hac_t", "p_value", "n")), *tables], {"input": source})
     report.write_report(f"{out}/report.md", text)
     return {"characters": len(text)}
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import asof, checks, cross_section, evaluate, portfolio, risk, windows
-from .plans import adapter, commodity, panel, research, weekly
+from .operators import asof, checks, cross_section, evaluate, portfolio, risk, watch, windows
+from .plans import adapter, commodity, panel, research, study, weekly
 from .registry import QUERIES, SQL, Query, query, rounded, scratch
-from .sources import connectors, files
+from .sources import connectors, files, layout
 
 SETUP = research.Setup()
 
@@ -613,9 +613,88 @@ def j15_c21_scenario_grid(spark, d):
     return rounded(g.withColumn("profit_change", S.shock_to_profit(F.lit(1000.0), F.col("beta"), F.lit(0.1), F.col("pass_through"))))
 
 
+# ---- stored layout, checked writes and the weekly study
+
+
+_STORED = f"""WITH {_BARS}, f AS (SELECT date, symbol, simple_return,
+ CASE WHEN market_history_days > 52 THEN ln(lag(close_adj, 4) OVER w / lag(close_adj, 52) OVER w) END AS momentum_12_1,
+ CASE WHEN count(dollar_volume) OVER l >= 3 THEN avg(dollar_volume) OVER l END AS adv_20d,
+ CASE WHEN count(simple_return) OVER v >= 10 THEN stddev_samp(simple_return) OVER v * sqrt(52) END AS volatility_3m
+ FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), l AS (PARTITION BY symbol ORDER BY date ROWS 3 PRECEDING), v AS (PARTITION BY symbol ORDER BY date ROWS 12 PRECEDING)),
+x AS (SELECT f.*, m.simple_return AS mr FROM f JOIN f m ON m.date = f.date AND m.symbol = 'MKT' WHERE f.symbol <> 'MKT' AND f.simple_return IS NOT NULL AND m.simple_return IS NOT NULL)
+SELECT date, symbol, round(simple_return, 6) AS simple_return, round(momentum_12_1, 6) AS momentum_12_1, round(adv_20d, 4) AS adv_20d, round(volatility_3m, 6) AS volatility_3m,
+ CASE WHEN count(*) OVER b >= 20 THEN round(regr_slope(simple_return, mr) OVER b, 5) END AS beta_6m FROM x WINDOW b AS (PARTITION BY symbol ORDER BY date ROWS 25 PRECEDING)"""
+
+
+@query(_STORED)
+def s12_w1_w4_a10_stored_layout(spark, d):
+    """All rolling features of a market that is stored by symbol once; its windows move no bars."""
+    stored = layout.store_by_symbol(_market(spark, d), scratch(spark))
+    bars = windows.volatility(windows.momentum(_bars(spark, d, stored), "momentum_12_1", 52, 4), 13, 10, 52)
+    out = windows.beta(panel.with_benchmark(windows.liquidity(bars, 4, 3), adapter.BENCHMARK), 26, 20, 52)
+    there = out.where("simple_return is not null and benchmark_return is not null")
+    return rounded(there.select("date", "symbol", "simple_return", "momentum_12_1", "adv_20d", "volatility_3m", "beta_6m"), adv_20d=4, beta_6m=5)
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, CAST(l_shipdate AS DATE) AS day, o_custkey, o_orderpriority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey"
+)
+def f5_f8_f9_j2_checked_write(spark, d):
+    """Lines with their orders: domains, cutoff and unique orders are checked by the job that writes the join."""
+    w = watch.Watch()
+    lines = adapter.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", "l_discount", F.to_date("l_shipdate").alias("day"))
+    lines = w.point_in_time(w.domain(lines, {"quantity": F.col("l_quantity") > 0, "discount": F.col("l_discount").between(0, 1)}, "lineitem"), "day", "2001-12-31", "lineitem")
+    orders = adapter.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return w.write(w.many_to_one(lines, orders, ["o_orderkey"], "lines"), scratch(spark)).withColumnRenamed("o_orderkey", "l_orderkey")
+
+
+@query("SELECT n_nationkey, n_name, s.n, s.balance FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey")
+def j3_checked_one_to_one(spark, d):
+    w = watch.Watch()
+    nation = adapter.table(spark, d, "nation").select("n_nationkey", "n_name")
+    held = adapter.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
+    return w.write(w.one_to_one(nation, held, ["n_nationkey"], "nations"), scratch(spark))
+
+
+_PANEL = f"""WITH {_WEEKS}, p AS (SELECT week, max(log_return) FILTER (symbol = '1-URGENT') AS focal_return, max(log_return) FILTER (symbol = '2-HIGH') AS market_return, avg(log_return) FILTER (symbol IN ('3-MEDIUM', '4-NOT SPECIFIED')) AS peer_return,
+ max(close_adj) FILTER (symbol = '5-LOW') AS material_price, max(log_return) FILTER (symbol = '5-LOW') AS material_return_raw FROM weeks GROUP BY 1),
+q AS (SELECT quantile_cont(material_return_raw, 0.01) AS low, quantile_cont(material_return_raw, 0.99) AS high FROM p),
+panel AS (SELECT p.*, CASE WHEN material_return_raw IS NOT NULL THEN least(greatest(material_return_raw, low), high) END AS material_return FROM p, q)"""
+
+
+@query(f"{_PANEL} SELECT week, round(focal_return, 6) AS focal_return, round(market_return, 6) AS market_return, round(peer_return, 6) AS peer_return, round(material_price, 4) AS material_price, round(material_return_raw, 6) AS material_return_raw, round(focal_return - market_return, 6) AS focal_excess, round(peer_return - market_return, 6) AS peer_excess, round(material_return, 6) AS material_return FROM panel")
+def s23_weekly_panel(spark, d):
+    return rounded(study.weekly_panel(_weeks(spark, d)), material_price=4)
+
+
+@query(f"{_PANEL} SELECT count(*) AS weeks, count(*) FILTER (m) AS model_weeks, min(week) FILTER (m) AS model_start, max(week) FILTER (m) AS model_end, round(min(material_return), 6) AS clip_low, round(max(material_return), 6) AS clip_high FROM (SELECT *, focal_return IS NOT NULL AND market_return IS NOT NULL AND peer_return IS NOT NULL AND material_return IS NOT NULL AS m FROM panel)")
+def s23_build_diagnostics(spark, d):
+    return rounded(study.diagnostics(study.weekly_panel(_weeks(spark, d))))
+
+
+@query(
+    "WITH y AS (SELECT l_returnflag AS segment, CAST(year(l_shipdate) AS INT) AS year, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS v, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100 / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS p FROM lineitem GROUP BY 1, 2),"
+    " b AS (SELECT a.segment, a.year, (a.v - b.v) * (a.p + b.p) / 2 AS volume, (a.p - b.p) * (a.v + b.v) / 2 AS price FROM y a JOIN y b ON b.segment = a.segment AND b.year = a.year - 1)"
+    " SELECT segment, year, 'volume' AS effect, round(volume, 2) AS value FROM b UNION ALL SELECT segment, year, 'price', round(price, 2) FROM b UNION ALL SELECT segment, year, 'net', round(volume + price, 2) FROM b"
+)
+def s23_c18_revenue_bridge(spark, d):
+    return rounded(study.revenue_bridge(study.segment_sales(spark, d)), 2)
+
+
+@query("WITH r AS (SELECT o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / 100 AS revenue FROM orders GROUP BY 1), s AS (SELECT revenue * 100 / sum(revenue) OVER () AS share FROM r QUALIFY row_number() OVER (ORDER BY revenue DESC, o_custkey) <= 5) SELECT round(sum(pow(share / 100, 2)) * 1e4, 6) AS hhi, round(sum(share), 6) AS share_sum FROM s")
+def s23_customer_concentration(spark, d):
+    return rounded(study.concentration(study.customer_revenue(spark, d), "o_custkey", "revenue").withColumn("hhi", F.col("hhi") * 1e4))
+
+
+@query()
+def s23_c17_operating_scores(spark, d):
+    return rounded(study.operating_scores(adapter.fundamentals(spark, d)))
+
+
 # ---- risk, portfolio and whole plans
 
 
+
 def _all_months(spark: SparkSession, d: str) -> DataFrame:
     return asof.membership_asof(_calendar(spark, d), adapter.memberships(spark, d)).select("signal_date", "symbol")
 

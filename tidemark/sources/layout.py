@@ -14,22 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 BUCKET_BYTES = 256 << 20
 
 
-def buckets_for(df: DataFrame, size: int | None = None) -> int:
-    """Buckets by the size of the input (Spark's own estimate, unless it is given), at least Spark's number of shuffle partitions. Buckets beyond the number of symbols stay empty."""
-    if size is None:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(-(-size // BUCKET_BYTES), 100_000))
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets for so many bytes of bars, at least Spark's number of shuffle partitions. Buckets beyond the number of symbols stay empty."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
-def store_by_symbol(df: DataFrame, path: str, name: str | None = None, symbol: str = "symbol", day: str = "date", buckets: int | None = None) -> DataFrame:
+def store_by_symbol(df: DataFrame, path: str, name: str | None = None, symbol: str = "symbol", day: str = "date", size: int = 0, buckets: int | None = None) -> DataFrame:
     """Write the table below `path`, as `name` (one of its own by default) in the catalog, and give it back as it is read.
 
     One file for each bucket: rows are brought together by symbol once, when the
-    table is stored. A table of that name is replaced.
+    table is stored. `size`, the table's bytes where the caller knows them, or
+    `buckets` sets their number. A table of that name is replaced.
     """
     spark = df.sparkSession
-    n, name = buckets or buckets_for(df), name or f"market_{uuid.uuid4().hex}"
+    n, name = buckets or buckets_for(spark, size), name or f"market_{uuid.uuid4().hex}"
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     df.repartition(n, symbol).write.mode("overwrite").format("parquet").option("path", path).bucketBy(n, symbol).sortBy(symbol, day).saveAsTable(name)
     return spark.table(name)
