@@ -272,3 +272,54 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     spark.read.parquet(f"{tmp_path}/documents.parquet").where("false").write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{tmp_path}/benchmark.parquet").where("false").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_one_owner_in_many_repositories(spark):
+    key = "Zq8Rt5Yw2Lp9Vx4Nb7Kd3Mf6"
+    rows = [(k, f"api_key = {key}{'A' * (k >= 500)}", "one") for k in range(504)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.n_live, r.n_examples) for r in secrets.report(spark, docs).collect()}
+    assert {got[k] for k in range(500)} == {(0, 1)} and {got[k] for k in range(500, 504)} == {(1, 0)}
+    assert secrets.redact(spark, docs).where("text like '%[secret]%'").count() == 4
+
+
+def test_one_phrase_in_ten_thousand_items(spark):
+    phrase = " ".join(f"w{k}" for k in range(10))
+    bench = spark.createDataFrame([(k % 9_999, phrase) for k in range(10_000)] + [(10_000, phrase + " tail"), (None, "w3")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(["x", *[phrase] * 40, "tail" if k == 7 else "y"])) for k in range(250)] + [(250, "w3"), (251, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.annotate(spark, docs, bench).drop("spans").collect()}
+    names = sorted({str(k) for k in range(9_999)} | {"10000"})
+    want = hashlib.sha256(",".join(names).encode()).hexdigest()
+    assert {(got[k].n_items, got[k].items_sha256) for k in range(250)} == {(10_000, want)}
+    assert [got[k].n_hit for k in (0, 7, 250, 251)] == [400, 401, 1, 0] and got[250].n_items == 0
+
+
+def test_foreign_archives_are_streamed(spark, tmp_path):
+    import gzip
+
+    def member(fields, block):
+        head = "".join(f"{k}: {v}\r\n" for k, v in {**fields, "Content-Length": len(block)}.items())
+        return gzip.compress(f"WARC/1.0\r\n{head}\r\n".encode() + block + b"\r\n\r\n")
+
+    body = b"<html>" + bytes(range(256)) * 2000
+    (tmp_path / "a.warc.gz").write_bytes(member({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>"}, b"software: x\r\n") + member({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:2>", "WARC-Target-URI": "http://a/"}, b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n" + body))
+    (tmp_path / "b.warc.gz").write_bytes(b"")
+    got = sorted(warc.read_files(spark, str(tmp_path)).collect(), key=lambda r: r.record_type)
+    assert [(r.record_type, r.url, r.payload_bytes, r.page_id) for r in got] == [("response", "http://a/", len(body), None), ("warcinfo", None, 13, None)]
+    assert got[0].payload == body and got[0].payload_digest == warc.digest(body)
+    (tmp_path / "c.warc.gz").write_bytes(member({"WARC-Type": "response"}, b"x")[:-4])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_files(spark, str(tmp_path / "c.warc.gz")).collect()
+
+
+def test_tokenizers_that_change_words_are_refused(tmp_path):
+    import json
+
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    path = tmp_path / "t.json"
+    for change in ({"decoder": {"type": "WordPiece", "prefix": "##", "cleanup": True}}, {"normalizer": {"type": "Replace", "pattern": {"String": "a b"}, "content": "c"}}, {"normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Prepend", "prepend": "_"}]}}):
+        path.write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError, match="decoder|normalizer"):
+            bpe.check_tokenizer(str(path))
+    bpe.check_tokenizer(queries.tokenizer_path())

@@ -452,7 +452,16 @@ def test_pipeline_matches_its_operators(spark, tmp_path):
         k += 1
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, " ".join(words(texts[1])[10:25]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    from tidemark.llm.common import shared_dir
+
+    def left():
+        root = shared_dir(spark).removeprefix("file:")
+        there = {os.path.join("llm", x) for x in os.listdir(f"{root}/llm")} if os.path.isdir(f"{root}/llm") else set()
+        return there | {t.name for t in spark.catalog.listTables()}
+
+    before = left()
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert left() == before  # neither tables nor folders of the stages stay
     tokenizer = bpe.load(queries.tokenizer_path())
     kept = {}
     for i, t, *_ in rows[:6]:

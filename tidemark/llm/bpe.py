@@ -32,13 +32,29 @@ _TABLE = "block long, part int, doc_id long, n int, data binary, blob binary"
 _SCHEMA = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("blob", pa.binary())])
 
 
+#: Normalizers that give a word the same result alone as within its text.
+WORD_NORMALIZERS = ("NFC", "NFD", "Lowercase")
+
+
+def _keeps_words(step: dict[str, Any]) -> bool:
+    """A normalizer that changes each word by itself, or only the white space between words."""
+    if step.get("type") == "Sequence":
+        return all(map(_keeps_words, step["normalizers"]))
+    blanks = step.get("type") == "Replace" and step.get("pattern") == {"Regex": r"\s+"} and step.get("content") == " "
+    return blanks or step.get("type") in WORD_NORMALIZERS
+
+
 def check_tokenizer(path: str) -> None:
-    """Raise ValueError unless words at white space can be encoded each on its own."""
+    """Raise ValueError unless words at white space can be encoded each on its own, and decoding joins pieces as they are (no decoder)."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [spec.get("pre_tokenizer") or {}]
     split = [s for s in steps if s.get("type") == "Split" and s.get("behavior") == "Removed" and s.get("invert")]
     added = [t for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
+    if spec.get("decoder"):
+        raise ValueError("this tokenizer's decoder changes pieces as it joins them")
+    if spec.get("normalizer") and not _keeps_words(spec["normalizer"]):
+        raise ValueError("this tokenizer's normalizer doesn't treat words independently")
     if not split or added or spec.get("post_processor"):
         raise ValueError("this tokenizer doesn't encode words at white space independently")
 

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -53,6 +54,22 @@ def parts(spark: SparkSession, size: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
 
+_scopes: list[list[Workspace]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """What the workspaces opened inside have written, results and catalog entries too, goes at the end; frames made inside must have been written elsewhere by then."""
+    opened: list[Workspace] = []
+    _scopes.append(opened)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for ws in opened:
+            ws.clear()
+
+
 class Workspace:
     """Tables that one operator writes to the shared folder, which cut lineage and survive lost executors.
 
@@ -65,6 +82,8 @@ class Workspace:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}"
         self.tables: list[str] = []
+        for scope in _scopes:
+            scope.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -74,7 +93,8 @@ class Workspace:
     def bucket(self, df: DataFrame, key: str, n: int | None = None) -> DataFrame:
         name = f"llm_{uuid.uuid4().hex}"
         self.tables.append(name)
-        df.write.option("compression", "zstd").bucketBy(n or parts(self.spark), key).format("parquet").saveAsTable(name)
+        # below the shared folder: the default warehouse is a folder of the driver
+        df.write.option("compression", "zstd").option("path", f"{self.root}/{name}").bucketBy(n or parts(self.spark), key).format("parquet").saveAsTable(name)
         return self.spark.table(name)
 
     def drop(self, *names: str) -> None:
@@ -86,8 +106,15 @@ class Workspace:
         """Delete these of the tables that `bucket` wrote, or all."""
         for t in list(self.tables if tables is None else tables):
             self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            delete(self.spark, f"{self.root}/{t}")
             self.tables.remove(t)
 
+    def clear(self) -> None:
+        """Delete all that was written, the result too."""
+        self.release()
+        delete(self.spark, self.root)
+        delete(self.spark, f"{self.root}-result")
+
     def close(self, result: DataFrame) -> DataFrame:
         """Write the result, then drop every table it was made from."""
         path = f"{self.root}-result"
@@ -104,7 +131,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def clear_results(spark: SparkSession) -> None:
-    """Delete the results of all calls that used this shared folder; frames that read them end."""
+    """Delete the results of all calls that used this shared folder, and their tables in the catalog; frames that read them end."""
+    for t in spark.catalog.listTables(pattern="llm_*"):
+        if re.fullmatch("llm_[0-9a-f]{32}", t.name):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     delete(spark, f"{shared_dir(spark)}/llm")
 
 

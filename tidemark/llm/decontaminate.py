@@ -2,7 +2,8 @@
 
 A shard is a bounded slice of a partition. Of its words, only runs made of
 benchmark words and long enough to hold a test phrase can match; their word ids,
-parted by a separator, are the shard's text. Its FM-index is a wavelet matrix
+parted by a separator, are the shard's text: what is indexed is these runs, not
+words that no phrase has. Its FM-index is a wavelet matrix
 over the Burrows-Wheeler transform with every sixteenth suffix position kept.
 Test phrases are searched backward, all at once; occurrences are located by
 walking to the next sampled position; their spans merge into the words to remove.
@@ -169,9 +170,8 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> list[str]:
     return paths
 
 
-def _hits(w: T.Words, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """start word, length and phrase-item pairs of all occurrences in a shard: arrays (start, length, item)."""
-    none = np.zeros(0, np.int64)
+def _hits(w: T.Words, block: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of phrases: the length, start word and phrase of all occurrences in a shard, and where the items of each phrase lie (first, owner)."""
     vocab = block["vocab"]
     at = np.minimum(np.searchsorted(vocab, w.hash), len(vocab) - 1)
     ids = np.where(vocab[at] == w.hash, at + 1, 0)
@@ -184,7 +184,7 @@ def _hits(w: T.Words, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     long = end - start >= min(n for n, *_ in block["phrases"])
     start, end = start[long], end[long]
     if not len(start):
-        return none, none, none
+        return
     size = end - start
     # text position -> word position: runs one after another, a separator after each
     offs = np.concatenate([[0], np.cumsum(size + 1)])
@@ -194,20 +194,13 @@ def _hits(w: T.Words, block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place[real] = (np.repeat(start, size + 1) + inner)[real]
     x[real] = ids[place[real]]
     index = FMIndex(x)
-    starts, lengths, items = [], [], []
     for n, rows, first, owner in block["phrases"]:
         low, high = index.search(rows)
         found = np.flatnonzero(high > low)
         times = (high - low)[found]
-        if not len(found):
-            continue
-        flat = np.repeat(low[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        phrase, pos = np.repeat(found, times), place[index.locate(flat)]
-        many = (first[1:] - first[:-1])[phrase]
-        starts.append(np.repeat(pos, many))
-        lengths.append(np.full(many.sum(), n))
-        items.append(owner[np.repeat(first[phrase], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)])
-    return (np.concatenate(starts), np.concatenate(lengths), np.concatenate(items)) if starts else (none, none, none)
+        if len(found):
+            flat = np.repeat(low[found], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            yield n, place[index.locate(flat)], np.repeat(found, times), first, owner
 
 
 def _ship(spark: SparkSession, benchmark: DataFrame, window: int, block_words: int) -> list[str]:
@@ -227,7 +220,8 @@ class _Shard:
         self.buf, self.offs = T.packed(column)
         w = self.words = T.Words(self.buf, self.offs, T.ALNUM)
         self.hit = np.zeros(len(w.hash), bool)
-        self.items: list[set[str]] = [set() for _ in range(len(column))]
+        #: arrays of item ids for each row; rows with the same phrases share one array
+        self.items: list[list[np.ndarray]] = [[] for _ in range(len(column))]
         for name in names if len(w.hash) else ():
             if name not in loaded:
                 if len(names) > 1:
@@ -235,18 +229,38 @@ class _Shard:
                 with open(SparkFiles.get(name), "rb") as f:
                     loaded[name] = pickle.load(f)
             block = loaded[name]
-            start, length, item = _hits(w, block)
-            for n in np.unique(length).tolist():
-                self.hit |= T.covered(start[length == n], n, len(self.hit))
-            row = np.searchsorted(w.rows, start, side="right") - 1
-            for r, i in np.unique(np.stack([row, item], axis=1), axis=0).tolist():
-                if block["items"][i] is not None:
-                    self.items[r].add(block["items"][i])
+            ids = np.array(block["items"], object)
+            for n, start, phrase, first, owner in _hits(w, block):
+                self.hit |= T.covered(start, n, len(self.hit))
+                # occurrences fold to a row's distinct phrases before any phrase becomes its items
+                met = np.unique(np.stack([np.searchsorted(w.rows, start, side="right") - 1, phrase], axis=1), axis=0)
+                edges = np.flatnonzero(np.diff(met[:, 0], prepend=-1, append=-1))
+                same: dict[bytes, np.ndarray] = {}
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    key = met[a:z, 1].tobytes()
+                    if key not in same:
+                        seen = np.zeros(len(ids), bool)
+                        for p in met[a:z, 1].tolist():
+                            seen[owner[first[p] : first[p + 1]]] = True
+                        same[key] = ids[seen]
+                    self.items[met[a, 0]].append(same[key])
         counts = np.zeros(len(self.hit) + 1, np.int64)
         np.cumsum(self.hit, out=counts[1:])
         self.n_hit = counts[w.rows[1:]] - counts[w.rows[:-1]]
         self.n_words = np.diff(w.rows)
 
+    def listed(self) -> list[tuple[int, str]]:
+        """Of each row, the number of distinct items with an id and the digest of their sorted ids."""
+        known: dict[tuple[int, ...], tuple[int, str]] = {}
+        out = []
+        for arrays in self.items:
+            key = tuple(map(id, arrays))
+            if key not in known:
+                names = sorted({x for a in arrays for x in a.tolist() if x is not None})
+                known[key] = len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
+            out.append(known[key])
+        return out
+
     def spans(self, r: int) -> list[tuple[int, int]]:
         """Merged removal spans of a row, in bytes."""
         w, a, z = self.words, self.words.rows[r], self.words.rows[r + 1]
@@ -277,9 +291,9 @@ def annotate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text: s
         for b in slices(batches, "__text", SHARD_BYTES):
             s = _Shard(b.column("__text"), names, loaded)
             spans = [[{"start": a, "end": z} for a, z in s.spans(r)] if k else [] for r, k in enumerate(s.n_hit.tolist())]
-            sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in s.items]
+            n_items, sha = zip(*s.listed(), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), pa.array(s.n_words, pa.int64()), pa.array(s.n_hit, pa.int64()), pa.array([len(i) for i in s.items], pa.int64()), pa.array(sha), pa.array(s.n_hit > 0), pa.array(spans, spans_type)],
+                [*(b.column(c) for c in kept), pa.array(s.n_words, pa.int64()), pa.array(s.n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha), pa.array(s.n_hit > 0), pa.array(spans, spans_type)],
                 names=schema.names,
             )
 

@@ -2,8 +2,9 @@
 
 Each text gives candidate spans. A candidate's value is hashed, and the corpus
 tells how many repositories (documents) and owners (sources) hold it: a value
-that several owners share is a copied example; one that belongs to a single
-owner or two, and looks random, is a live credential. Base kinds (assign,
+that three owners or fifty repositories share is widely copied, an example; one
+that belongs to an owner or two and few of their repositories, and looks random,
+is a live credential. Base kinds (assign,
 access, hex) stay as they are found; the generic kind is added only for
 owner-specific, live-looking values.
 """
@@ -33,6 +34,8 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
 
 #: A value of at least so many owners is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is one of at least so many repositories, whoever owns them.
+EXAMPLE_REPOS = 50
 MIN_GENERIC, MIN_ENTROPY = 20, 3.5
 #: Tasks among which the rows of one value are spread.
 SALTS = 16
@@ -140,7 +143,7 @@ def ownership(spans: DataFrame, repo: str, owner: str) -> DataFrame:
     return each.groupBy("value", owner).agg(F.count(F.lit(1)).alias("n")).groupBy("value").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def judged(ws: Workspace, docs: DataFrame, text: str, repo: str, owner: str, example_owners: int, carry_text: bool = True) -> tuple[DataFrame, DataFrame]:
+def judged(ws: Workspace, docs: DataFrame, text: str, repo: str, owner: str, example_owners: int, example_repos: int, carry_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of `docs` with __rid and spans, with or without their text; and for each __rid its `live` and `examples` spans."""
     scanned = ws.write(scan(docs.withColumn("__rid", F.monotonically_increasing_id()), text, carry_text), "spans")
     each = scanned.where(F.size("spans") > 0).select("__rid", F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.explode("spans").alias("s")).select("*", F.col("s.value").alias("value"))
@@ -148,7 +151,7 @@ def judged(ws: Workspace, docs: DataFrame, text: str, repo: str, owner: str, exa
     salted = each.withColumn("salt", F.pmod(F.xxhash64("__rid"), F.lit(SALTS)))
     stats = ownership(each, "repo", "owner").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     known = salted.join(stats, ["value", "salt"], "left")
-    shared = F.col("n_owners") >= example_owners
+    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     per_row = known.groupBy("__rid").agg(
         F.array_sort(F.collect_list(F.when(~shared & F.col("s.live"), F.struct("s.start", "s.kind", "s.end")))).alias("live"),
         F.array_sort(F.collect_list(F.when(shared, F.struct("s.start", "s.kind", "s.end")))).alias("examples"),
@@ -166,16 +169,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def report(spark: SparkSession, docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def report(spark: SparkSession, docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """One row for each row of `docs`; its columns besides id, text and owner are not read.
 
     doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples.
     A null or empty text has no spans. Null owners count as one owner, null
-    repositories as one repository. Repeated rows are reported each.
+    repositories as one repository. Repeated rows are reported each. An empty table
+    gives no rows.
     """
     ws = Workspace(spark)
     src = docs.select(F.col(repo).alias("doc_id"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-    scanned, per_row = judged(ws, src, "text", "doc_id", "owner", example_owners, carry_text=False)
+    scanned, per_row = judged(ws, src, "text", "doc_id", "owner", example_owners, example_repos, carry_text=False)
     base = F.filter("spans", lambda s: s["kind"] < 3)
     base = F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -194,18 +198,19 @@ def report(spark: SparkSession, docs: DataFrame, text: str = "text", repo: str =
     )
 
 
-def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, mask: str = "[secret]", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """`docs` (doc_id, text, source) with live credentials in `text` replaced by `mask`; rows without any are as before, and every row stays.
 
     n_chars follows where it is a column; a null text stays null. Null owners count
-    as one, as do null ids. An empty table gives no rows.
+    as one, as do null ids. Repeated rows are masked each, and count as one
+    repository. An empty table gives no rows.
     """
     ws = Workspace(spark)
     # columns travel under names that can't clash with the spans
     fixed = {"doc_id": "doc_id", "text": "text", "source": "source"}
     aliases = {c: fixed.get(c, f"__{k}") for k, c in enumerate(docs.columns)}
     plain = docs.withColumnsRenamed(aliases)
-    scanned, per_row = judged(ws, plain, "text", "doc_id", "source", example_owners)
+    scanned, per_row = judged(ws, plain, "text", "doc_id", "source", example_owners, example_repos)
     dirty = scanned.where(F.size("spans") > 0).join(per_row.select("__rid", "live"), "__rid", "left")
     schema, names, count = plain.schema, plain.columns, aliases.get("n_chars")
 

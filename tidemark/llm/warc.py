@@ -3,9 +3,10 @@
 The writer makes a response record for one page of each group of equal payloads
 and revisit records for the others. The reader decompresses member by member,
 frames the block by Content-Length and verifies block and payload digests.
-Archives are rows of byte chunks, written by Spark's own writer, so that they
-can lie in any store; a chunk holds whole members, and `read_records` also reads
-any file object of a foreign archive.
+Archives are `.warc.gz` files, one for each task that writes; only those of tasks
+that Spark committed are listed, so a task that is run again leaves a file that
+nobody reads. A reading task streams a file in pieces of 64 KB and holds one
+record. Archives of others are read the same way.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import Any, BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:tidemark:page:"
 DATE = "2024-01-01T00:00:00Z"
 
+#: Bytes of payloads that a reading task hands on at once.
 CHUNK_BYTES = 1 << 20
 LEVEL = 4
 
@@ -90,7 +94,9 @@ def parse(raw: bytes) -> dict[str, Any]:
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
         raise ValueError("Content-Length doesn't fit the record")
-    http, found, payload = block.partition(b"\r\n\r\n")
+    http, found, payload = b"", b"", block
+    if fields.get("content-type", "application/http").startswith("application/http") and fields.get("warc-type") in ("response", "request", "revisit"):
+        http, found, payload = block.partition(b"\r\n\r\n")
     http_fields = _fields(http) if found else {}
     checks = [("warc-block-digest", block)] + [("warc-payload-digest", payload)] * (fields.get("warc-type") == "response")
     for name, data in checks:
@@ -126,48 +132,83 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "url", "payload", F.when(other, F.col("answer")).alias("refers_to"))
 
 
-def write_archives(planned: DataFrame) -> DataFrame:
-    """archive, chunk, data: each task writes one archive in chunks of whole members."""
+def located(uri: str) -> tuple[pa_fs.FileSystem, str]:
+    """Arrow's file system and the path in it; local paths and file, hdfs, s3 (s3a), gs and abfs addresses."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pa_fs.LocalFileSystem(), uri
+    if uri.startswith("file:"):
+        return pa_fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pa_fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([archive], pa.int32()), pa.array([chunk], pa.int32()), pa.array([b"".join(held)], pa.binary())], names=["archive", "chunk", "data"])
+def write_archives(planned: DataFrame, folder: str) -> DataFrame:
+    """path, records: each task streams its rows (page_id, url, payload, refers_to) to an archive below `folder`. Write the result down before it is read: computed again, it names new files."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, out, n = f"{folder}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.warc.gz", None, 0
         for b in batches:
             for i in range(b.num_rows):
+                if out is None:  # a task without rows has no archive
+                    store, name = located(path)
+                    store.create_dir(name.rpartition("/")[0], recursive=True)
+                    out = store.open_output_stream(name, compression=None)
                 page_id, url, payload, ref = (b.column(k)[i].as_py() for k in range(4))
-                held.append(record(page_id, url, payload or b"", ref))
-                size += len(held[-1])
-                if size >= CHUNK_BYTES:
-                    yield out()
-                    chunk, held, size = chunk + 1, [], 0
-        if held:
-            yield out()
+                out.write(record(page_id, url, payload or b"", ref))
+                n += 1
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return planned.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "archive int, chunk int, data binary")
+    return planned.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, records long")
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record (a revisit has no payload)."""
+def read_archives(archives: DataFrame, tasks: int) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of every record of the files in `path` (a revisit has no payload).
+
+    Files are dealt to `tasks` tasks; a gzip file can't be read from its middle, so one
+    task reads a whole file, record by record. Records of other types (warcinfo, say) have
+    no page_id and a payload as it stands; ids that aren't ours are null. A digest
+    that the record doesn't state is that of its payload.
+    """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def number(field: str | None) -> int | None:
         text = (field or "").strip("<>").removeprefix(RECORD_ID)
         return int(text) if re.fullmatch(r"-?\d+", text) else None
 
+    def records(path: str) -> Iterator[tuple]:
+        store, name = located(path)
+        with store.open_input_stream(name, compression=None, buffer_size=0) as f:
+            for r in read_records(f):
+                fields, kind = r["fields"], r["fields"].get("warc-type")
+                n = int(r["http"].get("content-length", len(r["payload"]))) if kind == "revisit" else len(r["payload"])
+                stated = fields.get("warc-payload-digest", "")
+                sha = stated.removeprefix("sha1:") if stated.startswith("sha1:") else digest(r["payload"])
+                yield number(fields.get("warc-record-id")), fields.get("warc-target-uri"), n, sha, kind, number(fields.get("warc-refers-to")), None if kind == "revisit" else r["payload"]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(0):
-                rows = []
-                for r in read_records([data.as_py()]):
-                    f, kind = r["fields"], r["fields"]["warc-type"]
-                    n = int(r["http"].get("content-length", len(r["payload"])))
-                    rows.append((number(f["warc-record-id"]), f.get("warc-target-uri"), n, f["warc-payload-digest"].removeprefix("sha1:"), kind, number(f.get("warc-refers-to")), r["payload"] if kind == "response" else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            for path in b.column(0).to_pylist():
+                rows, size = [], 0
+                for row in records(path):
+                    rows.append(row)
+                    size += len(row[-1] or b"") + 200
+                    if size >= CHUNK_BYTES:
+                        yield table(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield table(rows)
+
+    return archives.select("path").repartition(tasks).mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
 
-    return archives.select("data").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+def read_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """Records of all archives that a path or pattern names, those of others too; columns as of `read_archives`. Only names are listed: contents are streamed by the tasks."""
+    names = spark.read.format("binaryFile").load(pattern).select("path")
+    return read_archives(names, max(1, names.count()))
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, html: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -181,5 +222,5 @@ def round_trip(spark: SparkSession, pages: DataFrame, html: str = "html", min_by
     """
     ws = Workspace(spark)
     src = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col(html).cast("binary"), F.lit(b"")).alias("payload"))
-    archives = ws.write(write_archives(plan_revisits(src, min_bytes)), "archives")
-    return ws.close(read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    archives = ws.write(write_archives(plan_revisits(src, min_bytes), f"{ws.root}/warc"), "archives")
+    return ws.close(read_archives(archives, max(1, archives.count())).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
