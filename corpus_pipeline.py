@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe, decontaminate, jaccard_join, quality_rules, secrets
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import delete, shared_dir, temporary
 from tidemark.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,11 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again by the next."""
+    """All stages, each written as Parquet to the shared folder and read again by the next. Of all that is written, the last stage's rows stay."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        done = stage(spark, docs, sf_dir)
-        done.write.parquet(f"{root}/{name}")
+        with temporary():
+            done = stage(spark, docs, sf_dir)
+            done.write.parquet(f"{root}/{name}")
         docs = spark.read.schema(done.schema).parquet(f"{root}/{name}")
+        if last:
+            delete(spark, f"{root}/{last}")
+        last = name
     return docs
