@@ -74,7 +74,7 @@ def operating_ratios(filings: DataFrame) -> DataFrame:
         revenue.alias("revenue"),
         income.alias("income"),
         (income / F.nullif(F.col("total_assets"), F.lit(0.0))).alias("return_on_assets"),
-        (1 - F.col("cost_of_goods_sold") / F.nullif(revenue, F.lit(0.0))).alias("gross_margin"),
+        (F.col("operating_cash_flow") / F.nullif(revenue, F.lit(0.0))).alias("cash_margin"),
         (F.col("total_liabilities") / F.nullif(F.col("total_assets"), F.lit(0.0))).alias("debt_ratio"),
     )
     last = now.select("symbol", F.add_months("report_date", 12).alias("report_date"), F.col("revenue").alias("__r"), F.col("income").alias("__i"))
@@ -84,7 +84,7 @@ def operating_ratios(filings: DataFrame) -> DataFrame:
 
 def operating_scores(filings: DataFrame) -> DataFrame:
     """The ratios with quality, growth, balance and operating scores, rank and universe of each report date."""
-    return weekly.peer_scores(operating_ratios(filings), "report_date", ["return_on_assets", "gross_margin"], ["revenue_growth", "income_growth"], ["debt_ratio"])
+    return weekly.peer_scores(operating_ratios(filings), "report_date", ["return_on_assets", "cash_margin"], ["revenue_growth", "income_growth"], ["debt_ratio"])
 
 
 def revenue_bridge(sales: DataFrame, keys: Sequence[str] = ("segment",)) -> DataFrame:

@@ -686,9 +686,19 @@ def s23_customer_concentration(spark, d):
     return rounded(study.concentration(study.customer_revenue(spark, d), "o_custkey", "revenue").withColumn("hhi", F.col("hhi") * 1e4))
 
 
-@query()
+_OPERATING = f"""WITH {_LINES}, {_FILINGS}, a AS (SELECT symbol, report_date, net_income / total_assets AS roa, operating_cash_flow / revenue AS cash, total_liabilities / total_assets AS debt, revenue, net_income FROM base WHERE month(report_date) = 12),
+g AS (SELECT a.*, a.revenue / p.revenue - 1 AS sales, a.net_income / p.net_income - 1 AS income FROM a LEFT JOIN a p ON p.symbol = a.symbol AND year(p.report_date) = year(a.report_date) - 1),
+u AS (SELECT symbol, report_date, unnest(['roa', 'cash', 'debt', 'sales', 'income']) AS f, unnest([roa, cash, debt, sales, income]) AS x FROM g),
+e AS (SELECT *, count(x) OVER w AS n, quantile_cont(x, 0.05) OVER w AS low, quantile_cont(x, 0.95) OVER w AS high FROM u WINDOW w AS (PARTITION BY report_date, f)),
+c AS (SELECT *, CASE WHEN x IS NOT NULL THEN least(greatest(x, low), high) END AS y FROM e),
+z AS (SELECT symbol, report_date, f, CASE WHEN n >= 3 AND x IS NOT NULL THEN CASE WHEN stddev_pop(y) OVER w > 1e-12 THEN (y - avg(y) OVER w) / stddev_pop(y) OVER w ELSE 0 END END AS z FROM c WINDOW w AS (PARTITION BY report_date, f)),
+s AS (SELECT symbol, report_date, avg(z) FILTER (f IN ('roa', 'cash')) AS quality, avg(z) FILTER (f IN ('sales', 'income')) AS growth, -avg(z) FILTER (f = 'debt') AS balance FROM z GROUP BY 1, 2)
+SELECT report_date, symbol, round(quality, 5) AS quality_score, round(growth, 5) AS growth_score, round(balance, 5) AS balance_score, round(list_avg([quality, growth, balance]), 5) AS operating_score, count(*) OVER (PARTITION BY report_date) AS universe FROM s"""
+
+
+@query(_OPERATING)
 def s23_c17_operating_scores(spark, d):
-    return rounded(study.operating_scores(adapter.fundamentals(spark, d)))
+    return rounded(study.operating_scores(adapter.fundamentals(spark, d)).select("report_date", "symbol", "quality_score", "growth_score", "balance_score", "operating_score", "universe"), 5)
 
 
 # ---- risk, portfolio and whole plans
