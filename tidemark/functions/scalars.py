@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +26,12 @@ def symbol_strict(value: Column) -> Column:
     return F.when(code != "", F.lpad(code, 6, "0")).otherwise(F.raise_error(F.concat(F.lit("no code in "), F.coalesce(value, F.lit("null")))))
 
 
-def exchange_suffix(code: Column) -> Column:
-    """Exchange of a six-digit code, or null."""
+def exchange_suffix(code: Column, indices: Mapping[str, str] = INDEX_SUFFIX) -> Column:
+    """Exchange of a six-digit code, or null. Codes of `indices` have theirs whatever their prefix; none where all codes are securities'."""
     out = F.lit(None).cast("string")
     for suffix, pattern in reversed(PREFIX_SUFFIX):
         out = F.when(code.rlike(pattern), suffix).otherwise(out)
-    for index, suffix in INDEX_SUFFIX.items():
+    for index, suffix in indices.items():
         out = F.when(code == index, suffix).otherwise(out)
     return out
 
