@@ -1,10 +1,12 @@
-"""What larger tables showed: codes of indices among made-up securities."""
+"""What larger tables showed: codes of indices among made-up securities, pairs of names, repeated readings."""
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark import queries as q
 from tidemark.functions import scalars as S
+from tidemark.operators import risk
 
 
 def test_symbols_equal_their_sql_where_a_key_gives_an_index_code(spark, tmp_path):
@@ -20,3 +22,26 @@ def test_symbols_equal_their_sql_where_a_key_gives_an_index_code(spark, tmp_path
 @pytest.mark.parametrize("code, suffix", [("000852", "SS"), ("000851", "SZ"), ("920001", "BJ"), ("910001", "SS"), ("700001", None)])
 def test_indices_keep_their_exchange(spark, code, suffix):
     assert spark.createDataFrame([(code,)], "c string").select(S.exchange_suffix(S.F.col("c")).alias("x")).first()["x"] == suffix
+
+
+def test_factor_risk_is_active_risk_of_the_covariance_that_the_factors_make(spark):
+    rng = np.random.default_rng(5)
+    names, dates, variance = [f"s{k:02d}" for k in range(12)], (1, 2), {"f": 0.01, "g": 0.04}
+    rows = [(t, s, float(rng.random()), float(rng.random()), None if k % 4 == 0 else float(rng.random()), float(rng.normal()), float(rng.normal()), float(rng.random())) for t in dates for k, s in enumerate(names)]
+    w = spark.createDataFrame(rows, "signal_date int, symbol string, target double, benchmark double, market_beta_126d double, f double, g double, own double")
+    pairs = [(a[0], a[1], b[1], 0.01 * a[5] * b[5] + 0.04 * a[6] * b[6] + (a[7] if a[1] == b[1] else 0.0)) for a in rows for b in rows if a[0] == b[0] and a[1] <= b[1]]
+    cov = spark.createDataFrame(pairs, "signal_date int, sym_i string, sym_j string, cov double")
+    want = {r["signal_date"]: (r["tracking_error"], r["active_beta"]) for r in risk.active_risk(w, cov).collect()}
+    got = {r["signal_date"]: (r["tracking_error"], r["active_beta"]) for r in risk.factor_risk(w, variance, "own").collect()}
+    assert set(got) == set(dates) and all(got[t] == pytest.approx(want[t], rel=1e-12) for t in dates)
+
+
+def test_active_risk_of_the_suppliers_meets_no_pairs_and_equals_its_sql(spark, tmp_path):
+    rows = [(k, k % 3 if k % 50 else None, float(k * 7919 % 11000 - 1000)) for k in range(1, 400)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    want = sorted(con.execute(q.oracle_sql()["a24_active_risk"]).fetchall())
+    df = q.queries()["a24_active_risk"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == want and len(want) == 3
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
