@@ -7,6 +7,7 @@ import pytest
 from tidemark import queries as q
 from tidemark.functions import scalars as S
 from tidemark.operators import risk
+from tidemark.plans import adapter
 
 
 def test_symbols_equal_their_sql_where_a_key_gives_an_index_code(spark, tmp_path):
@@ -45,3 +46,39 @@ def test_active_risk_of_the_suppliers_meets_no_pairs_and_equals_its_sql(spark, t
     df = q.queries()["a24_active_risk"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in df.collect()) == want and len(want) == 3
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _read(spark, monkeypatch):
+    """A counter of the order lines that tasks read, whatever plan reads them."""
+    seen, lines = spark.sparkContext.accumulator(0), adapter.lines
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def watched(session, d):
+        df = lines(session, d)
+        return df.mapInArrow(counted, df.schema)
+
+    monkeypatch.setattr(adapter, "lines", watched)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["a23_x7_performance"])
+def test_a_run_reads_the_order_lines_once(spark, monkeypatch, name):
+    d = "/root/testdata/sf0.01"
+    whole, seen = adapter.lines(spark, d).count(), _read(spark, monkeypatch)
+    assert q.queries()[name](spark, d).count() > 0
+    assert seen.value == whole
+
+
+def test_market_filings_and_members_of_the_days_are_those_of_the_lines(spark):
+    d = "/root/testdata/sf0.001"
+    by_day, lines = adapter.days(spark, d), adapter.lines(spark, d)
+    week = S.F.date_trunc("week", "day").cast("date").alias("date")
+    want = lines.groupBy(week, "symbol").agg((S.F.sum("price") / 100.0 / S.F.sum("qty")).alias("close_adj"), S.F.max(S.F.col("price") / 100.0 / S.F.col("qty")).alias("high_raw"), S.F.sum("qty").cast("double").alias("volume"))
+    got = adapter.market(spark, d, by_day).where(S.F.col("symbol") != adapter.BENCHMARK).select(*want.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    for table in (adapter.fundamentals(spark, d, by_day), adapter.memberships(spark, d, by_day=by_day)):
+        assert table.count() > 0

@@ -123,19 +123,20 @@ def study_report(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
 
 
 def systematic_download(spark: SparkSession, source: str, out: str) -> dict[str, Any]:
-    market = research.settled(adapter.market(spark, source))
-    wanted = market.select("symbol").distinct()
-    return assets.collect_assets(out, wanted, market, lambda lacking: market.join(lacking, "symbol", "left_semi"), adapter.fundamentals(spark, source), adapter.memberships(spark, source), {"input": source})
+    known = research.inputs(spark, source)
+    market, wanted = known.market, known.market.select("symbol").distinct()
+    return assets.collect_assets(out, wanted, market, lambda lacking: market.join(lacking, "symbol", "left_semi"), known.filings, known.members, {"input": source})
 
 
 def systematic_run(spark: SparkSession, source: str, out: str, setup: research.Setup) -> dict[str, Any]:
-    panels = {lag: research.settled(research.eligible_panel(spark, source, setup, lag)) for lag in (1, 2)}
+    known = research.inputs(spark, source)
+    panels = {lag: research.settled(research.eligible_panel(known, setup, lag)) for lag in (1, 2)}
     ic = evaluate.information_coefficients(panels[1], list(research.SIGNALS), least=setup.min_cross_section)
     ic = _saved(ic.withColumn("research_split", research.S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end)), out, "monthly_ic")
     summary = _saved(evaluate.ic_summary(ic, lags=setup.hac_lags), out, "signal_summary")
-    months = portfolio.monthly(research.ledgers(spark, source, setup, panels), setup.mandate.turnover_cap)
+    months = portfolio.monthly(research.ledgers(known, setup, panels), setup.mandate.turnover_cap)
     performance = _saved(portfolio.performance(_saved(months, out, "portfolio_monthly")), out, "portfolio_summary")
-    gates = _saved(research.gates(spark, source, setup, panels, performance), out, "gates")
+    gates = _saved(research.gates(known, setup, panels, performance), out, "gates")
     checks = [r.asDict() for r in gates.orderBy("check_name").collect()]  # eight rows
     result = {"panel_rows": panels[1].count(), "gates": checks, "passed": all(c["passed"] for c in checks)}
     files.write_json(f"{out}/summary.json", result)

@@ -57,11 +57,25 @@ class Setup:
             raise ValueError("the design period must end before validation does")
 
 
-def eligible_panel(spark: SparkSession, sf_dir: str, setup: Setup, lag: int = 1) -> DataFrame:
+@dataclass(frozen=True)
+class Inputs:
+    """What a run knows: the market, the filings and the members."""
+
+    market: DataFrame
+    filings: DataFrame
+    members: DataFrame
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """All inputs from one reading of the order lines, settled; every lag and step of a run can share them."""
+    by_day = settled(adapter.days(spark, sf_dir))
+    return Inputs(settled(adapter.market(spark, sf_dir, by_day)), settled(adapter.fundamentals(spark, sf_dir, by_day)), settled(adapter.memberships(spark, sf_dir, by_day=by_day)))
+
+
+def eligible_panel(known: Inputs, setup: Setup, lag: int = 1) -> DataFrame:
     """Scored rows that are fit for research, with their split."""
-    market = settled(adapter.market(spark, sf_dir))
     f = replace(setup.features, lag=lag)
-    built = panel.build(market, adapter.fundamentals(spark, sf_dir), adapter.memberships(spark, sf_dir), adapter.BENCHMARK, f)
+    built = panel.build(known.market, known.filings, known.members, adapter.BENCHMARK, f)
     out = panel.composite(built, setup.min_history, setup.min_adv, yearly=f.yearly)
     return out.withColumn("research_split", S.split_label(F.col("execution_date"), setup.design_end, setup.validation_end)).where("systematic_eligible")
 
@@ -88,22 +102,21 @@ def simulate(aims: DataFrame, setup: Setup, scenario: str, multipliers: tuple[fl
     return portfolio.backtest(each.drop("raw_weight", "target_ex_ante_tracking_error", "target_active_market_beta"), setup.mandate)
 
 
-def ledgers(spark: SparkSession, sf_dir: str, setup: Setup, panels: dict[int, DataFrame] | None = None) -> DataFrame:
+def ledgers(known: Inputs, setup: Setup, panels: dict[int, DataFrame] | None = None) -> DataFrame:
     """Baseline under every cost multiplier, and the extra-lag run under the first of 1.0."""
-    market = settled(adapter.market(spark, sf_dir))
     out = None
     for lag, name, costs in ((1, "baseline", setup.multipliers), (2, "extra_lag", (1.0,))):
-        one = simulate(targets(panels[lag] if panels else eligible_panel(spark, sf_dir, setup, lag), market, setup), setup, name, costs)
+        one = simulate(targets(panels[lag] if panels else eligible_panel(known, setup, lag), known.market, setup), setup, name, costs)
         out = one if out is None else out.unionByName(one)
     return settled(out)
 
 
-def gates(spark: SparkSession, sf_dir: str, setup: Setup, panels: dict[int, DataFrame] | None = None, perf: DataFrame | None = None) -> DataFrame:
+def gates(known: Inputs, setup: Setup, panels: dict[int, DataFrame] | None = None, perf: DataFrame | None = None) -> DataFrame:
     """check_name, value, passed: eight numbers of the final holdout that must be positive. A missing number fails. Panels by lag and the performance are made here unless they are given."""
     split = "final_holdout"
-    panels = panels or {lag: settled(eligible_panel(spark, sf_dir, setup, lag)) for lag in (1, 2)}
+    panels = panels or {lag: settled(eligible_panel(known, setup, lag)) for lag in (1, 2)}
     if perf is None:
-        perf = settled(portfolio.performance(portfolio.monthly(ledgers(spark, sf_dir, setup, panels), setup.mandate.turnover_cap)))
+        perf = settled(portfolio.performance(portfolio.monthly(ledgers(known, setup, panels), setup.mandate.turnover_cap)))
     found = []
     for lag, name in ((1, ""), (2, "additional_lag_")):
         rows = panels[lag]
