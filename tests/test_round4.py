@@ -65,7 +65,7 @@ def _read(spark, monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", ["a23_x7_performance", "a25_concentration", "a26_f16_failure_gates"])
+@pytest.mark.parametrize("name", ["a23_x7_performance", "a25_concentration", "a26_f16_failure_gates", "x1_x2_projected_targets"])
 def test_a_run_reads_the_order_lines_once(spark, monkeypatch, name):
     d = "/root/testdata/sf0.01"
     whole, seen = adapter.lines(spark, d).count(), _read(spark, monkeypatch)
