@@ -148,6 +148,57 @@ def test_induced_sort(tmp_path, memory):
         assert np.concatenate([p for p, _ in got]).tolist() == order and np.concatenate([h for _, h in got]).tolist() == common
 
 
+@pytest.mark.parametrize("join", [4, 1 << 15])
+def test_doubling(monkeypatch, join):
+    monkeypatch.setattr(induced_sort, "_JOIN", join)
+    rng = np.random.default_rng(join)
+    for trial in range(40):
+        x = rng.integers(0, rng.integers(1, 5), rng.integers(1, 80))
+        x = np.concatenate([x, x, x[1:]]) if trial % 2 else x
+        assert induced_sort._doubling(x).tolist() == sorted(range(len(x)), key=lambda i: x[i:].tolist())
+
+
+def test_a_part_is_sorted_without_recursion(monkeypatch):
+    """The largest part that a shard sorts at once: names of names, one queue a name, take many times as long."""
+    memory, window = 1 << 20, 60
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"etaoinshrdlu ", np.uint8)
+    pieces: set[bytes] = set()
+    while sum(map(len, pieces)) + len(pieces) + 151 < memory // suffix_dedup.SHARE:
+        p = rng.choice(letters, 150)
+        q = p.copy()
+        q[rng.integers(150)] = ord("!")  # a near copy
+        pieces |= {p.tobytes()} if len(pieces) % 3 else {p.tobytes(), q.tobytes()}
+    pieces = sorted(pieces)
+
+    def recursion(*_):
+        raise AssertionError("names are sorted by recursion")
+
+    monkeypatch.setattr(induced_sort, "sorted_suffixes", recursion)
+    found = suffix_dedup.repeated_windows(pieces, window, memory)
+    times = Counter(p[k : k + window] for p in pieces for k in range(len(p) - window + 1))
+    assert [f.tolist() for f in found] == [[times[p[k : k + window]] > 1 for k in range(len(p) - window + 1)] for p in pieces]
+
+
+def test_passages_below_the_window_reach_no_shard(spark, monkeypatch):
+    """An anchor that documents share sends nothing to be sorted where what surrounds it differs."""
+    rng = random.Random(9)
+    letters, passage = "abcdefghijklmnopqrstuvwxyz ", "a passage that all of these documents share and that is short"
+    rows = [(k, "".join(rng.choices(letters, k=150)) + passage + "".join(rng.choices(letters, k=150))) for k in range(40)]
+
+    def none_sent(window, memory):
+        def serve(asked):
+            for _ in asked:
+                raise AssertionError("a surrounding was sent")
+            return iter(())
+
+        return serve
+
+    monkeypatch.setattr(suffix_dedup, "_serve_shard", none_sent)
+    got = suffix_dedup.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), window=100, gram=20, block_bytes=3_000).collect()
+    assert sorted((x.doc_id, x.n_bytes, x.n_removed) for x in got) == [(k, len(t), 0) for k, t in rows]
+
+
 def brute_windows(rows, window=13):
     """(doc_id, words, removed, kept_sha256) of each row: words of windows that a smaller doc_id has too go."""
     far = 1 << 62
